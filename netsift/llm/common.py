@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless PYTHONPATH has it already."""
+    package = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_netsift_shipped", False):
+        return
+    built = Path(tempfile.mkdtemp(prefix="netsift-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(built, "w") as z:
+        for source in package.rglob("*.py"):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(built))
+    sc._netsift_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, read by Spark."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,9 +56,3 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` (a shuffle join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[str]:
-    """The strings of a column one by one; null becomes empty."""
-    for value in batch.column(column):
-        yield value.as_py() or ""
