@@ -41,7 +41,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op10_html": op10_html,
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op4_packing": op4_packing,

@@ -14,8 +14,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(word: str) -> set[str]:
-    """A word's features: itself and its first four and five letters."""
-    return {word, f"{word[:4]}*", f"{word[:5]}*"}
+    """A word's features: itself and its first four, five and six letters."""
+    return {word, f"{word[:4]}*", f"{word[:5]}*", f"{word[:6]}*"}
 
 
 def counts(text: str, vocabulary: dict[str, int], cache: dict[str, tuple[int, ...]]) -> dict[int, int]:
@@ -41,7 +41,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str,
 
 
 def select_vocabulary(sample: DataFrame, max_terms: int, min_docs: int) -> list[tuple[str, float]]:
-    """The terms that tell grade 0 from the others best, with their log odds.
+    """The terms that speak most for a grade above 0, with their log odds.
 
     Terms are counted by document and grade in one aggregation over the
     sample; only the ``max_terms`` best come to the driver.
@@ -60,7 +60,7 @@ def select_vocabulary(sample: DataFrame, max_terms: int, min_docs: int) -> list[
     by_term = sample.select("text", "y").mapInArrow(run, "term string, bad int").groupBy("term").agg(F.sum("bad").alias("b"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("b") + 0.5) / (good + 1))
     # evidence: the log odds times the root of the counts behind them
-    best = by_term.where(F.col("n") >= min_docs).withColumn("odds", odds).orderBy((F.abs("odds") * F.sqrt("n")).desc(), "term").limit(max_terms)
+    best = by_term.where(F.col("b") >= min_docs).withColumn("odds", odds).where("odds > 1").orderBy((F.col("odds") * F.sqrt("b")).desc(), "term").limit(max_terms)
     return [(r["term"], r["odds"]) for r in best.collect()]
 
 
@@ -72,7 +72,7 @@ def design(sample: list[dict[int, int]], width: int) -> np.ndarray:
     return x
 
 
-def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, *, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, *, l2: float = 1e-4, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights shared by all thresholds, and the ordered thresholds.
 
     P(grade > k) = sigmoid(x.w - theta_k); thresholds stay ordered as a first
@@ -102,7 +102,7 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, *, l2: float
     return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, grades: int = 3, max_labelled: int = 12_000, max_terms: int = 600, min_docs: int = 3, severe: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, grades: int = 3, max_labelled: int = 12_000, max_terms: int = 1000, min_docs: int = 3, severe: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> dict:
     """Fit on at most ``max_labelled`` labelled rows.
 
     ``label_col`` holds grades 0..grades-1. Where it is only 0 or 1 and
