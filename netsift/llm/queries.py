@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontamination, lines, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,11 +48,31 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_hash")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_topk": op3_topk,
+    "op8_decontamination": op8_decontamination,
     "op10_html": op10_html,
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op4_packing": op4_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.SQL,
+    "op3_topk": topk.SQL,
+    "op8_decontamination": decontamination.SQL,
+}
