@@ -24,7 +24,9 @@ def _seed(array: str, at: str, mask: str) -> Column:
 def _seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """A row for each position and mask that fits: ``at`` (from 0) and ``seed``."""
     span = max(map(len, masks))
-    placed = df.where(F.size("w") >= span).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - span)))
+    # no filter on the size: Catalyst would cut the text into words twice
+    starts = F.when(F.size("w") >= span, F.sequence(F.lit(0), F.size("w") - span)).otherwise(F.array().cast("array<int>"))
+    placed = df.withColumn("at", F.explode(starts))
     return placed.withColumn("seed", F.explode(F.array(*[_seed("w", "at", m) for m in masks])))
 
 
@@ -52,7 +54,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] =
     if items.limit(max_broadcast_seeds + 1).count() <= max_broadcast_seeds:
         items = F.broadcast(items)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("doc_hash"), words(F.col(text_col)).alias("w"))
-    hits = _seeds(texts, masks).join(items, "seed").select("doc_id", "doc_hash", "item_id", "at", before.alias("d_before"), around.alias("d_around"), "i_before", "i_around", "i_words")
+    hits = _seeds(texts, masks).join(items, "seed")
+    # the array of one keeps what follows out of the join's condition, where each position would carry its whole text
+    part = F.struct("at", before.alias("d_before"), around.alias("d_around"), "i_before", "i_around", "i_words")
+    hits = hits.select("doc_id", "doc_hash", "item_id", F.explode(F.array(part)).alias("x")).select("doc_id", "doc_hash", "item_id", "x.*")
 
     # put both in line: drop what only one of them has in front
     shared = F.least("d_before", "i_before")
