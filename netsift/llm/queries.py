@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lines, repeats, simhash, topk
+from . import decontamination, lines, passages, repeats, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +69,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op9_passages": op9_passages,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op1_line_dedup": op1_line_dedup,
