@@ -73,7 +73,14 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
     "op9_passages": op9_passages,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op6_simhash": op6_simhash,

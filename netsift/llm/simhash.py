@@ -28,9 +28,9 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bit i is 1 if it is set in more than half of the hashes."""
-    if not hashes:
+    if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)
     h = np.array(hashes, "<u8")
@@ -217,3 +217,85 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, limit: int = 3, id_col: s
     least = prints.groupBy("__c").agg(F.min("first").alias("component_id"))
     by_print = prints.join(least, "__c").select("fp", "component_id")
     return found.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def _sketches(docs: DataFrame, size: int, segments: int, sketch: int) -> DataFrame:
+    """For each text: its fingerprint, those of some segments, and its least shingle hashes.
+
+    A segment is a run of words up to one whose hash says so (sixteen words
+    on average), so an edit changes only the segments that it touches; the
+    ``segments`` of least fingerprint are taken, the same ones in texts alike.
+    """
+
+    def run(batches):
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            fps, parts, least = [], [], []
+            for text in batch.column(1):
+                body = text.as_py() or ""
+                hashes = np.array([digest(s, 42) for s in shingles(body, size)], np.uint64)
+                fps.append(fingerprint(hashes))
+                words = body.encode("utf-8", "surrogatepass").lower().split()
+                marks = [i + 1 for i, w in enumerate(words) if not digest(w, 7) & 15]
+                cuts = [0, *marks, len(words)]
+                own = {fingerprint(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(a, max(a + 1, b - size + 1))], np.uint64)) for a, b in itertools.pairwise(cuts) if b - a >= 4}
+                parts.append(sorted(own, key=lambda x: digest(x.to_bytes(8, "little"), 3))[:segments])
+                least.append(np.unique(hashes)[:sketch].astype("<u8").tobytes())
+            parts = [np.array(p, "<u8").view("<i8") for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(parts, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["key", "fp", "parts", "least"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, fp long, parts array<long>, least binary")
+
+
+def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
+    """Jaccard similarity by the least hashes of the union; exact where both sets are whole."""
+    union = np.union1d(a, b)
+    if len(a) >= sketch or len(b) >= sketch:
+        union = union[:sketch]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return np.isin(union, both, assume_unique=True).sum() / len(union) if len(union) else 1.0
+
+
+def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int = 3, segments: int = 8, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id.
+
+    Equal texts are one class. Texts are candidates if their SimHash
+    fingerprints over runs of ``size`` words link within ``limit`` bits in the
+    Gray-order index, or if they share the fingerprint of a segment: three
+    bits alone find few of the pairs near 0.8. A segment that many texts share
+    sets each against the least of them only. Candidates link if the Jaccard
+    similarity of their shingle sets is ``similarity`` or more, by the
+    ``sketch`` least hashes (exact up to that many shingles). Groups are the
+    connected components of the links.
+
+    Null texts count as empty, and all empty texts are equal. A null id comes
+    before all others. Of repeated rows one stays. All columns stay as they
+    are; an empty table stays empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key, row_id = F.xxhash64(text, F.lit(11)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.select(key.alias("key"), row_id.alias("id"), text.alias("text"))
+    found = stash(_sketches(keyed, size, segments, sketch).dropDuplicates(["key"]), "sketches")
+
+    # whole fingerprints: texts of one fingerprint, and fingerprints that link
+    reach = components(linked(found, limit=limit)).select(F.col("node").alias("fp"), F.col("component").alias("unit"))
+    whole = found.select("key", "fp").join(reach, "fp", "left").select("key", F.coalesce("unit", "fp").alias("unit"), F.lit(0).alias("kind"))
+    parts = found.select("key", F.explode("parts").alias("unit"), F.lit(1).alias("kind"))
+    units = whole.unionByName(parts)
+    least = units.groupBy("kind", "unit").agg(F.min("key").alias("of"), F.max("key").alias("last")).where("of <> last").select("kind", "unit", "of")
+    pairs = units.join(least, ["kind", "unit"]).where("key <> of").select("key", "of").distinct()
+
+    def alike(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(i).to_pylist()] for i in (2, 3))
+            ok = pa.array([_similarity(x, y, sketch) >= similarity for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    mine = pairs.join(found.select("key", F.col("least").alias("x")), "key")
+    both = mine.join(found.select(F.col("key").alias("of"), F.col("least").alias("y")), "of").select("key", "of", "x", "y")
+    group = components(both.mapInArrow(alike, "a long, b long")).select(F.col("node").alias("key"), F.col("component").alias("group"))
+
+    ids = keyed.groupBy("key").agg(F.min("id").alias("id")).join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    stay = ids.groupBy("group").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.key").alias("__key"))
+    marked = docs.withColumns({"__id": row_id, "__key": key})
+    return marked.join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
