@@ -127,6 +127,8 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lane: int = 256
         i = base + step
         if i[-1] >= n:
             base, have = base[:-1], have[:-1]
+            if not len(base):
+                break
             i = base + step
         j = before[i]
         have = np.where(j < 0, 0, np.maximum(have - 1, 0))
