@@ -18,6 +18,7 @@ from ..operators import evaluate as E
 from ..operators import features as X
 from ..operators import flows as L
 from ..operators import graph as G
+from ..operators import ml as M
 from ..operators import windows as W
 from . import views as V
 
@@ -679,6 +680,64 @@ def top_confusions(spark, d):
     return E.top_confusions(cm_of(spark, d))
 
 
+@query("preprocess", """
+WITH m AS (SELECT quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) AS q FROM lineitem WHERE l_orderkey % 3 = 0)
+SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber > 1 THEN CAST(l_quantity AS DOUBLE) END, q) AS l_quantity, CAST(l_returnflag = 'A' AS INTEGER) AS "l_returnflag_A", CAST(l_returnflag = 'N' AS INTEGER) AS "l_returnflag_N", CAST(l_returnflag = 'R' AS INTEGER) AS "l_returnflag_R" FROM lineitem, m""", views=False)
+def preprocess(spark, d):
+    li = items(spark, d)
+    state = M.fit_preprocessor(li.where("split = 'train'"), ["l_quantity"], ["l_returnflag"])
+    return M.apply_preprocessor(li.withColumn("l_quantity", F.when(F.col("l_linenumber") > 1, F.col("l_quantity"))), state, ["l_orderkey", "l_linenumber"])
+
+
+@query("validate_features", "SELECT 'l_quantity' AS \"column\", 'missing' AS problem, CAST(1 AS BIGINT) AS n FROM lineitem WHERE false UNION ALL SELECT 'label', 'label out of range', count(*) FROM lineitem WHERE l_linenumber > 6 HAVING count(*) > 0", views=False)
+def validate_features(spark, d):
+    li = V.read(spark, d, "lineitem").withColumn("label", F.col("l_linenumber"))
+    return M.validate_features(li, ["l_quantity", "l_discount"], ("is_attack",), "label", 7)
+
+
+def vectors(spark, d):
+    e = V.read(spark, d, "embeddings").where("label is not null")
+    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)))
+
+
+XS = [f"x{i}" for i in range(16)]
+
+
+@query("forest_predictions")
+def forest_predictions(spark, d):
+    v = vectors(spark, d)
+    model = M.train_forest(v.where("id % 5 <> 0"), XS, trees=20, depth=8)
+    return M.predict_classes(model, v, XS).select("id", "label", "class_index", F.round("class_confidence", 6).alias("confidence"), "is_threat")
+
+
+@query("boosted_predictions")
+def boosted_predictions(spark, d):
+    v = vectors(spark, d).withColumn("label", F.col("label") % 3)
+    models = M.train_boosted(v.where("id % 5 <> 0"), XS, classes=3, rounds=5, depth=3)
+    return M.predict_boosted(models, v, XS).select("id", "label", "class_index", F.round("class_confidence", 6).alias("confidence"))
+
+
+@query("anomaly_scores")
+def anomaly_scores(spark, d):
+    v = vectors(spark, d)
+    return M.anomaly_scores(M.train_isolation_forest(v, XS, trees=50), v).select("id", F.round("decision", 6).alias("decision"), "is_anomaly", "anomaly_confidence")
+
+
+@query("cross_validate")
+def cross_validate(spark, d):
+    return M.cross_validate(vectors(spark, d), XS, k=3, trees=10, depth=5)
+
+
+@query("combine_ml")
+def combine_ml(spark, d):
+    v = vectors(spark, d).withColumnRenamed("id", "sample_id")
+    model = M.train_forest(v, XS, trees=10, depth=5)
+    names = F.array(*map(F.lit, M.CLASS_NAMES))
+    classified = M.predict_classes(model, v, XS).select("sample_id", F.least("class_index", F.lit(6)).alias("class_index"), "class_confidence").withColumn("class_name", F.element_at(names, F.col("class_index") + 1))
+    odd = M.anomaly_scores(M.train_isolation_forest(v.withColumnRenamed("sample_id", "id"), XS, trees=20), v).select("sample_id", "is_anomaly", "anomaly_confidence")
+    return C.combine_ml(classified, odd).select("sample_id", "threat_class", "detector_type", F.round("confidence", 6).alias("confidence"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows to reconnaissance signals of each internal host, the most confident first."""
     f = V.flows(spark, sf_dir)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship_package
+
 # Destination port by event type.
 PORTS = {"click": 80, "view": 443, "signup": 22, "purchase": 8443, "error": 53}
 CLASSES = ("RECON_PORT_SCAN", "DGA_DNS_TUNNELLING", "BOTNET_C2_BEACONING", "ENCRYPTED_MALWARE", "DATA_EXFILTRATION", "VOLUMETRIC_DDOS")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
