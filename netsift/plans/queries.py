@@ -19,6 +19,7 @@ from ..operators import features as X
 from ..operators import flows as L
 from ..operators import graph as G
 from ..operators import ml as M
+from ..operators import runs as R
 from ..operators import windows as W
 from . import views as V
 
@@ -738,6 +739,73 @@ def combine_ml(spark, d):
     return C.combine_ml(classified, odd).select("sample_id", "threat_class", "detector_type", F.round("confidence", 6).alias("confidence"))
 
 
+@query("entity_events", SIG + """, w AS (SELECT entity, seq, us, pps, avg(pps) OVER h AS m, coalesce(stddev_samp(pps) OVER h, 0) AS sd FROM ctx WINDOW h AS (PARTITION BY entity ORDER BY us, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+z AS (SELECT entity, round(arg_max(CASE WHEN sd >= 0.00001 THEN greatest(0, (pps - m) / sd) WHEN m > 0 THEN greatest(0, (pps - m) / greatest(m, 1)) WHEN pps <= 10 THEN 0 ELSE pps / 10 END, (us, seq)), 3) AS zscore, count(*) AS observations FROM w GROUP BY ALL),
+k AS (SELECT src_ip AS entity, count(DISTINCT dst_ip) AS known_destinations FROM flows GROUP BY ALL), a AS (SELECT entity, count(*) AS n FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL)
+SELECT entity, zscore, observations, known_destinations, coalesce(n, 0) AS active_signals FROM z LEFT JOIN k USING (entity) LEFT JOIN a USING (entity)""")
+def entity_events(spark, d):
+    return R.entity_events(V.contexts(spark, d), V.flows(spark, d), signals(spark, d)).drop("last_is_new")
+
+
+@query("batch_entity_features", EXFIL.replace("FROM flows", "FROM fl").replace("WITH e AS", "WITH fl AS (SELECT * FROM flows WHERE us >= 1704067200000000 AND us < 1705276800000000), e AS") + "SELECT entity, flow_count, outbound_bytes, inbound_bytes, destinations, round(outbound_bytes / 1209600, 6) AS outbound_rate, r.ports AS unique_dst_ports FROM x LEFT JOIN (SELECT src_ip AS entity, count(DISTINCT dst_port) AS ports FROM fl GROUP BY ALL) r USING (entity)")
+def batch_entity_features(spark, d):
+    from datetime import UTC, datetime
+
+    b = X.batch_entity_features(V.flows(spark, d), datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 15, tzinfo=UTC))
+    return b.select("entity", "flow_count", "outbound_bytes", "inbound_bytes", "destinations", F.round("outbound_rate", 6).alias("outbound_rate"), "unique_dst_ports")
+
+
+@query("run_pipeline", INC + """SELECT 'packets' AS counter, count(*) AS n FROM packets UNION ALL SELECT 'alerts', count(*) FROM grp UNION ALL SELECT 'incidents', count(*) FROM inci UNION ALL SELECT 'signals', count(*) FROM grp""")
+def run_pipeline(spark, d):
+    out = R.run_pipeline(V.packets(spark, d), V.contexts(spark, d), DAY, "12 hours", ["ddos", "c2", "encrypted"])
+    return out["stats"].where("counter <> 'flows'")
+
+
+@query("evaluate_captures", SIG + """, n AS (SELECT seq, us, entity, row_number() OVER (PARTITION BY entity ORDER BY us, seq) AS no FROM ctx),
+k AS (SELECT entity, no, seq, us, us AS last, true AS kept FROM n WHERE no = 1 UNION ALL
+  SELECT n.entity, n.no, n.seq, n.us, CASE WHEN n.us - k.last >= 43200000000 THEN n.us ELSE k.last END, n.us - k.last >= 43200000000 FROM k JOIN n ON n.entity = k.entity AND n.no = k.no + 1),
+t AS (SELECT seq, arg_max(threat_class, (confidence, -o)) AS predicted FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL),
+h AS (SELECT p.seq, arg_min(g.threat_class, g.event_order) AS truth FROM k p JOIN gt g ON p.entity = g.entity AND p.us BETWEEN g.lo - 5000000 AND g.hi + 5000000 WHERE p.kept GROUP BY ALL)
+SELECT k.seq AS decision_id, coalesce(t.predicted, 'BENIGN') AS predicted, coalesce(h.truth, 'BENIGN') AS truth FROM k LEFT JOIN t USING (seq) LEFT JOIN h USING (seq) WHERE k.kept""")
+def evaluate_captures(spark, d):
+    return R.evaluate_captures(signals(spark, d), V.gt_events(spark, d), 12 * H).select("decision_id", "predicted", "truth")
+
+
+@query("ablate_modes", SIG + """, s AS (SELECT seq, threat_class, confidence, CASE o WHEN 0 THEN 'rules' WHEN 1 THEN 'classifier' ELSE 'anomaly' END AS source FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'),
+m AS (SELECT unnest(['rules', 'classifier', 'anomaly', 'fused']) AS mode), b AS (SELECT seq, mode, arg_max(threat_class, (confidence, threat_class)) AS predicted FROM s JOIN m ON mode = source OR mode = 'fused' GROUP BY ALL),
+t AS (SELECT seq, CASE WHEN event_type = 'error' THEN 'VOLUMETRIC_DDOS' ELSE 'BENIGN' END AS truth FROM base)
+SELECT mode, count(*) AS decisions, count(*) FILTER (coalesce(predicted, 'BENIGN') = truth) AS correct, count(*) FILTER (truth = 'BENIGN' AND coalesce(predicted, 'BENIGN') <> 'BENIGN') AS false_alarms FROM t CROSS JOIN m LEFT JOIN b USING (seq, mode) GROUP BY mode""")
+def ablate_modes(spark, d):
+    names = F.element_at(F.array(*map(F.lit, ("rules", "classifier", "anomaly"))), F.col("detector_order") + 1)
+    s = D.active_signals(signals(spark, d)).select(F.col("seq").alias("decision_id"), "threat_class", "confidence", names.alias("source"))
+    truth = V.base(spark, d).select(F.col("seq").alias("decision_id"), F.when(F.col("event_type") == "error", "VOLUMETRIC_DDOS").otherwise("BENIGN").alias("truth"))
+    return R.ablate_modes(s, truth)
+
+
+@query("union_signals", SIG + "SELECT o AS source_order, count(*) AS n FROM sig WHERE o < 2 AND confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL")
+def union_signals(spark, d):
+    s = D.active_signals(signals(spark, d))
+    return R.union_signals(s.where("detector_order = 0"), s.where("detector_order = 1")).groupBy("source_order").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("confidence_by_correctness", "SELECT predicted = truth AS correct, CAST(grouping(predicted = truth) AS TINYINT) AS overall, count(*) AS n, round(avg(latency), 6) AS mean, min(latency) AS min, max(latency) AS max FROM decisions GROUP BY ROLLUP (predicted = truth)")
+def confidence_by_correctness(spark, d):
+    return rounded(R.confidence_by_correctness(V.decisions(spark, d).withColumnsRenamed({"truth": "label", "latency": "confidence"})), "mean")
+
+
+@query("strongest_weakest_class", CM + "SELECT arg_max(name, (f1, name)) AS strongest, arg_min(name, (f1, name)) AS weakest FROM m3 WHERE f1 IS NOT NULL")
+def strongest_weakest_class(spark, d):
+    return R.strongest_weakest_class(E.class_metrics(cm_of(spark, d)))
+
+
+@query("importance_by_domain", "WITH i AS (SELECT l_returnflag AS feature, CAST(sum(l_quantity) AS DOUBLE) AS gain FROM lineitem GROUP BY ALL), g AS (SELECT CASE WHEN feature IN ('A', 'R') THEN 'returned' ELSE 'other' END AS family, sum(gain) AS gain FROM i GROUP BY ALL) SELECT family, round(gain, 4) AS gain, round(gain / sum(gain) OVER (), 6) AS share FROM g", views=False)
+def importance_by_domain(spark, d):
+    i = V.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("feature")).agg(F.sum(F.col("l_quantity").cast("double")).alias("gain"))
+    families = i.where(F.col("feature").isin("A", "R")).select("feature", F.lit("returned").alias("family"))
+    out = R.importance_by_domain(i, families)
+    return out.withColumns({"gain": F.round("gain", 4), "share": F.round("share", 6)})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows to reconnaissance signals of each internal host, the most confident first."""
     f = V.flows(spark, sf_dir)
