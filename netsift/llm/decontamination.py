@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sized_broadcast
+
 #: Token positions that count (1) and that any token may fill (0). Chosen so
 #: that single substitutions three or more tokens apart, or two side by side,
 #: still leave a seed of one mask whole.
@@ -51,8 +53,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] =
     before = F.least(F.col("at"), F.lit(reach))
     around = F.slice("w", F.col("at") - before + 1, before + span + reach)
     items = _seeds(items, masks).select("seed", "item_id", before.alias("i_before"), around.alias("i_around"), F.size("w").alias("i_words"))
-    if items.limit(max_broadcast_seeds + 1).count() <= max_broadcast_seeds:
-        items = F.broadcast(items)
+    items = sized_broadcast(items, max_broadcast_seeds)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("doc_hash"), words(F.col(text_col)).alias("w"))
     hits = _seeds(texts, masks).join(items, "seed")
     # the array of one keeps what follows out of the join's condition, where each position would carry its whole text

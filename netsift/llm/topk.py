@@ -31,9 +31,9 @@ def scan(cells: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, shift:
     """``query_id, vec_id, low, high``: score bounds of all that may be among a query's k best.
 
     A component c * 2^shift + r with 0 <= r < 2^shift bounds the inner
-    product from the cells alone. Within a batch a vector stays if its upper
-    bound reaches the batch's kth largest lower bound; later steps compare
-    over all batches. The queries of one block are broadcast.
+    product from the cells alone. A vector stays if its upper bound reaches
+    the kth largest lower bound that its task has seen by then; later steps
+    compare over all tasks. The queries of one block are broadcast.
     """
     shared = cells.sparkSession.sparkContext.broadcast((queries, ids))
 
@@ -42,6 +42,7 @@ def scan(cells: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, shift:
         rest = (1 << shift) - 1
         low_part, high_part = np.minimum(q, 0).sum(axis=1) * rest, np.maximum(q, 0).sum(axis=1) * rest
         width = q.shape[1]
+        best = np.full((len(q), k), np.iinfo(np.int64).min)
         for batch in batches:
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -57,11 +58,10 @@ def scan(cells: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, shift:
                 low, high = base + low_part[at : at + 256, None], base + high_part[at : at + 256, None]
                 itself = own[at : at + 256, None] == vec[None, :]
                 low[itself] = np.iinfo(np.int64).min
-                if len(vec) > k:
-                    least = np.partition(low, len(vec) - k, axis=1)[:, len(vec) - k, None]
-                    rows, cols = np.nonzero((high >= least) & ~itself)
-                else:
-                    rows, cols = np.nonzero(~itself)
+                top = np.partition(low, len(vec) - k, axis=1)[:, -k:] if len(vec) > k else low
+                both = np.concatenate([best[at : at + 256], top], axis=1)
+                best[at : at + 256] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                rows, cols = np.nonzero((high >= best[at : at + 256].min(axis=1)[:, None]) & ~itself)
                 yield pa.RecordBatch.from_arrays([pa.array(own[at + rows]), pa.array(vec[cols]), pa.array(low[rows, cols]), pa.array(high[rows, cols])], names=["query_id", "vec_id", "low", "high"])
 
     return cells.mapInArrow(run, "query_id long, vec_id long, low long, high long")
@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shift: int = 3
     cells = stash(approximate(vectors, shift), "cells")
     asked = vectors.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").withColumn("width", F.size("v"))
     groups = asked.groupBy("width").count().collect()  # as many as there are vector lengths
-    found = None
+    blocks = []
     for width, n in sorted((r["width"], r["count"]) for r in groups):
         parts = -(-n // block)
         for part in range(parts):
@@ -99,10 +99,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shift: int = 3
             if not rows.num_rows:
                 continue
             q = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
-            near = scan(cells, q, rows.column("vec_id").to_numpy(), k, shift)
-            found = near if found is None else found.unionByName(near)
-    if found is None:
+            blocks += stash(scan(cells, q, rows.column("vec_id").to_numpy(), k, shift), "near").inputFiles()
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = spark.read.schema("query_id long, vec_id long, low long, high long").parquet(*blocks)
     best = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
     reach = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).groupBy("query_id").agg(F.min("low").alias("least"))
     found = stash(found.join(reach, "query_id").where(F.col("high") >= F.col("least")).select("query_id", "vec_id", "high"), "candidates")
