@@ -504,10 +504,10 @@ def latest_alerts(spark, d):
     return C.latest(a, 25, tie="tie").select("seq", "detector_order", us("ts"))
 
 
-@query("evidence")
+@query("evidence", RECON + "SELECT src_ip, 'RECON_PORT_SCAN' AS threat_class, 'Rapid port discovery sweep: ' || ports || ' unique ports; High destination fan-out: ' || ips || ' target IPs' AS evidence, 'Inspect source host for unauthorized discovery utilities or scanning tools.' AS action FROM r")
 def evidence(spark, d):
     s = D.detect(X.recon_features(V.flows(spark, d), ["src_ip"], 30 * DAY), "recon").withColumn("detector_type", F.lit("DETERMINISTIC_BASELINE"))
-    return s.select("src_ip", "threat_class", C.evidence_items(s.columns).alias("evidence"), C.recommended_action().alias("action"))
+    return s.select("src_ip", "threat_class", F.array_join(C.evidence_items(s.columns), "; ").alias("evidence"), C.recommended_action().alias("action"))
 
 
 EDGE = SIG + """, act AS (SELECT *, 'sig-' || substr(sha256(concat_ws('|', seq, o)), 1, 8) AS sid FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'),
