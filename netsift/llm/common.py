@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_dir, ship_package
 
+#: Spark's setting that a query's shuffle files go at its end.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, read by Spark."""
@@ -20,11 +23,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the reader nothing, and the
-    shuffles behind ``df`` are not run again.
+    shuffles behind ``df`` are not run again: their files go when the table
+    is written.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections import Counter
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -272,6 +272,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
     often = plain.mapInArrow(hashes_only, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     often = often.select("h", F.ceil(F.col("n") / salt_rows).cast("int").alias("parts"))
     places = plain.mapInArrow(with_place, "h long, key long, no int").join(often, "h").groupBy("key").agg(F.collect_set(F.struct("no", "parts")).alias("places"))
+    places = stash(places, "places")
 
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -284,69 +285,85 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
 
     def contexts(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = []
-            for key, doc, body, places in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
-                body, key, doc = unpack.decompress(body.as_py()), key.as_py(), doc.as_py()
-                h, first, last, _ = anchors(np.frombuffer(body, np.uint8), np.array([len(body)]), length)
-                for place in places.as_py():
-                    no, parts = place["no"], place["parts"]
-                    if no < len(h):
-                        a, b = int(first[no]), int(last[no])
-                        rows.append((int(h[no].view(np.int64)), key % parts, parts > 1, _NULL_ID if doc is None else doc, key, a, body[a : b + length]))
-                if len(rows) > 5000:
-                    yield _batch(rows, ["h", "salt", "hot", "doc", "key", "at", "bytes"])
-                    rows = []
-            if rows:
-                yield _batch(rows, ["h", "salt", "hot", "doc", "key", "at", "bytes"])
+        names = ["h", "salt", "hot", "doc", "key", "at", "bytes"]
+
+        def documents():
+            for batch in batches:
+                lists = batch.column(3)
+                flat, edges = lists.flatten(), np.cumsum(np.r_[0, lists.value_lengths().to_numpy()])
+                no, parts = flat.field("no").to_numpy(), flat.field("parts").to_numpy()
+                for i, (key, doc, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
+                    own = slice(edges[i], edges[i + 1])
+                    yield key, _NULL_ID if doc is None else doc, no[own], parts[own], unpack.decompress(body.as_py())
+
+        for chunk in _chunks(documents(), 120_000):
+            data = b"".join(r[4] for r in chunk)
+            h, first, last, owner = anchors(np.frombuffer(data, np.uint8), np.cumsum([len(r[4]) for r in chunk]), length)
+            counts = np.array([len(r[2]) for r in chunk])
+            whose = np.repeat(np.arange(len(chunk)), counts)
+            have = np.bincount(owner, minlength=len(chunk))
+            no, parts = np.concatenate([r[2] for r in chunk]), np.concatenate([r[3] for r in chunk])
+            there = no < have[whose]
+            whose, parts, no = whose[there], parts[there], no[there]
+            place = (np.cumsum(have) - have)[whose] + no
+            key, doc = (np.array([r[k] for r in chunk], np.int64)[whose] for k in (0, 1))
+            begin = np.cumsum([0, *(len(r[4]) for r in chunk)])[whose]
+            a, b = first[place], last[place] + length
+            pieces = [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
+            for at in range(0, len(pieces), 5000):
+                part = slice(at, at + 5000)
+                columns = [h[place[part]].view(np.int64), key[part] % parts[part], parts[part] > 1, doc[part], key[part], (a - begin)[part]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces[part], pa.binary())], names=names)
 
     around = squeezed.join(places, "key").mapInArrow(contexts, "h long, salt long, hot boolean, doc long, key long, at long, bytes binary")
 
     def shards(batches):
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        groups = (list(g) for _, g in itertools.groupby(rows, key=lambda r: r[:2]))
         held, size = [], 0
-        for group in groups:
-            held += group
-            size += sum(len(r[6]) for r in group)
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(6).nbytes
             if size >= shard_bytes:
-                yield from found(held)
-                held, size = [], 0
+                table = pa.Table.from_batches(held).combine_chunks()
+                h, salt = table.column(0).to_numpy(), table.column(1).to_numpy()
+                cuts = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
+                if len(cuts):  # the last hash may go on in the next batch
+                    yield from found(table.slice(0, cuts[-1] + 1))
+                    table = table.slice(cuts[-1] + 1)
+                held, size = table.to_batches(), table.column(6).nbytes
         if held:
-            yield from found(held)
+            yield from found(pa.Table.from_batches(held))
 
-    def found(rows):
+    def found(table):
+        h, salt, hot, doc, key, at = (c.to_numpy() for c in table.columns[:6])
+        body = table.column(6).to_pylist()
         # equal contexts share all their strings: the least of them stands for the rest
-        least: dict[tuple, tuple] = {}
-        for r in rows:
-            k, place = (r[0], r[1], r[6]), (r[3], r[4], r[5])
-            if k not in least or place < least[k]:
-                least[k] = place
-        gone = [[], [], []]
-        for r in rows:
-            if (r[3], r[4], r[5]) != least[r[0], r[1], r[6]]:
-                n = len(r[6]) - length + 1
-                gone[0].append(np.full(n, r[3], np.int64))
-                gone[1].append(np.full(n, r[4], np.int64))
-                gone[2].append(np.arange(r[5], r[5] + n))
-        hot = {(r[0], r[1]) for r in rows if r[2]}
+        digest = np.fromiter(map(hash, body), np.int64, len(body))
+        order = np.lexsort((at, key, doc, digest, salt, h))
+        h, salt, hot, doc, key, at, digest = (x[order] for x in (h, salt, hot, doc, key, at, digest))
+        body = [body[i] for i in order.tolist()]
+        group = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+        same = np.fromiter(map(operator.eq, body[1:], body[:-1]), bool, len(body) - 1)
+        head = group | np.r_[True, (digest[1:] != digest[:-1]) | ~same]
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        late = np.flatnonzero((doc != doc[lead]) | (key != key[lead]) | (at != at[lead]))
+        sizes = np.fromiter(map(len, body), np.int64, len(body))
+        runs = [doc[late], key[late], at[late], (at + sizes)[late]]
         # one context alone has no string twice, and needs no sorting unless other shards hold its hash
-        several = Counter(k[:2] for k in least)
-        least = {k: place for k, place in least.items() if several[k[:2]] > 1 or k[:2] in hot}
-        kept = [(*place, k[2]) for k, place in least.items()]
-        doc, key, start, head, first, at, data = shard_repeats(kept, length)
-        parts = [np.concatenate([*g, x[~first]]).astype(np.int64) for g, x in zip(gone, (doc, key, start))]
-        runs = _runs(*parts, length)
+        number = np.cumsum(group) - 1
+        keep = np.flatnonzero(head & ((np.bincount(number, weights=head)[number] > 1) | hot))
+        kept = [(d, k, a, body[i]) for d, k, a, i in zip(doc[keep].tolist(), key[keep].tolist(), at[keep].tolist(), keep.tolist())]
+        s_doc, s_key, s_start, first_of, first, place, data = shard_repeats(kept, length)
+        sorted_runs = _runs(s_doc[~first], s_key[~first], s_start[~first], length)
+        runs = [np.concatenate([x, y]).astype(np.int64) for x, y in zip(runs, sorted_runs)]
         for lo in range(0, len(runs[0]), 50_000):
             piece = [pa.array(x[lo : lo + 50_000]) for x in runs]
             n = len(piece[0])
             yield pa.RecordBatch.from_arrays([*piece, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["doc", "key", "from", "to", "salt", "string"])
-        if hot:
+        if hot.any():
             # the first of each string in the salted contexts, for the merge
-            whose = np.repeat(np.array([k[:2] in hot for k in least]), [len(k[2]) for k in least])
-            salt = np.repeat(np.array([k[1] for k in least], np.int64), [len(k[2]) for k in least])
-            out = np.flatnonzero(head & whose[at]) if len(at) else []
-            rows = [(doc[i], key[i], start[i], start[i] + length, salt[at[i]], data[at[i] : at[i] + length].tobytes()) for i in out]
+            own = np.repeat(keep, sizes[keep])
+            out = np.flatnonzero(first_of & hot[own[place]]) if len(place) else []
+            rows = [(s_doc[i], s_key[i], s_start[i], s_start[i] + length, salt[own[place[i]]], data[place[i] : place[i] + length].tobytes()) for i in out]
             for lo in range(0, len(rows), 5000):
                 yield _batch(rows[lo : lo + 5000], ["doc", "key", "from", "to", "salt", "string"])
 
