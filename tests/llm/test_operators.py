@@ -362,6 +362,17 @@ def test_passages(spark):
     assert passages.near_passages(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_behind_other_heads(spark):
+    # documents 1 to 46 each hold one five-word run of the passage by chance, so each of its minima has an unrelated head;
+    # 101 repeats 100 whole, of which 90 has only the first half
+    p, q = prose(21, 50).split(), prose(22, 60).split()
+    rows = [(i + 1, f"{prose(300 + i, 60)} {' '.join(p[i : i + 5])} {prose(400 + i, 60)}") for i in range(46)]
+    rows += [(60, f"{prose(23, 30)} {' '.join(p)} {prose(24, 30)}"), (61, f"{prose(25, 40)} {' '.join(p)} {prose(26, 20)}")]
+    rows += [(90, f"{prose(27, 30)} {' '.join(q[:25])} {prose(28, 60)}"), (100, f"{prose(29, 30)} {' '.join(q)}"), (101, f"{' '.join(q)} {prose(30, 30)}")]
+    got = {(r.doc_id, r.of_doc_id, r.start, r.n_words, r.of_start) for r in passages.near_passages(docs(spark, rows)).collect()}
+    assert got == {(61, 60, 40, 50, 30), (101, 100, 0, 60, 30)}
+
+
 # --- pages
 
 
