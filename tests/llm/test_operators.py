@@ -315,6 +315,20 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert simhash.dedup(df.limit(0)).count() == 0
 
 
+def test_dedup_of_long_texts_is_exact(spark):
+    # pairs of long texts with similarities close to 0.8 on either side, each pair on words of its own
+    rows, want = [], set()
+    for k in range(24):
+        words = [f"p{k}x{w}" for w in prose(500 + k, 1000).split()]
+        other = words[: 1000 - 104 - k % 8 * 3] + [f"q{k}y{i}" for i in range(104 + k % 8 * 3)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = (frozenset(simhash.shingles(t, 5)) for _, t in rows[-2:])
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+    assert 24 < len(want) < 48
+    assert {r.doc_id for r in simhash.dedup(docs(spark, rows)).collect()} == want
+
+
+
 # --- decontamination
 
 
