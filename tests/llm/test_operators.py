@@ -397,6 +397,14 @@ def test_page_text():
     assert html.lines_of("") == [] and html.lines_of("<p>cut <b") == [("cut", 0)]
 
 
+def test_page_text_after_open_controls():
+    text = lambda page, want: " ".join(t for t, role in html.lines_of(page) if role == want)
+    assert text("<datalist><option value=a></datalist><article>one</article>", 1) == "one"
+    assert text("<article>one <select><option>x<option>y</select>two</article><form><option>z</option></form>", 1) == "one two"
+    assert text("<article>one <math><mi>x</mi></math> <object>two</object><button>b</button></article>", 1) == "one x two"
+    assert text("<option>a<article>one</article>", 1) == "one" and text("<p>one</p><button>b</button><select><option>c</select>", 0) == "one"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(8)
     for _ in range(60):
