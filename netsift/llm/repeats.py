@@ -20,72 +20,82 @@ _NULL_ID = np.iinfo(np.int64).min
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes that start at each position, by doubling."""
+    """A 64-bit hash of the GRAM bytes that start at each position, from three words of eight bytes."""
+    n = len(data) - 7
+    word = np.empty(n, np.uint64)
+    for k in range(8):
+        part = len(range(k, n, 8))
+        word[k::8] = data[k : k + 8 * part].view("<u8")
+    m = len(data) - GRAM + 1
     with np.errstate(over="ignore"):
-        power, width = np.uint64(_MULTIPLIER), 1
-        h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        spans = {1: h}
-        powers = {1: power}
-        while width * 2 <= GRAM:
-            h = h[:-width] * power + h[width:]
-            power, width = power * power, width * 2
-            spans[width], powers[width] = h, power
-        out, done = spans[width], width
-        while done < GRAM:  # the rest of GRAM in powers of two
-            step = 1 << ((GRAM - done).bit_length() - 1)
-            tail = spans[step][done:]
-            n = min(len(out), len(tail))
-            out = out[:n] * powers[step] + tail[:n]
-            done += step
-        out = out ^ (out >> np.uint64(29))
-        out = out * np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
+        out = word[:m] * np.uint64(_MULTIPLIER)
+        out += word[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
+        out += word[GRAM - 8 : GRAM - 8 + m] * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours: blocks' running minima from either end, two of which cover a window."""
+    n = len(x) - width + 1
+    blocks = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    blocks[: len(x)] = x
+    blocks = blocks.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    back = np.minimum.accumulate(blocks, axis=1).ravel()
+    return np.minimum(ahead[:n], back[width - 1 : width - 1 + n])
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Content-defined anchors of documents laid end to end: ``hashes, first, last, owner``.
+    """Content-defined anchors of documents laid end to end: ``hashes, first, last, owner, twice``.
 
     Each start of a ``length``-byte string belongs to the gram of least hash
-    inside the string (the leftmost such); starts ``first..last`` of a
-    document share one. Equal strings have equal anchor hashes wherever they
-    stand, and the strings of one anchor all differ.
+    inside the string (the leftmost such); the starts ``first..last`` of a
+    document that follow each other with one hash make one context. Equal
+    strings have equal anchor hashes wherever they stand. The strings of a
+    context all differ, unless it is marked ``twice``: then the gram itself
+    comes again within it, as in a run of one byte.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(bool)
     h = gram_hashes(data)
-    value, at, width, window = h, np.arange(len(h), dtype=np.int32), 1, length - GRAM + 1
-    while width < window:
-        step = min(width, window - width)
-        left = value[:-step] <= value[step:]
-        at = np.where(left, at[:-step], at[step:])
-        value = np.minimum(value[:-step], value[step:])
-        width += step
-    fits = np.ones(len(value), bool)
+    # the upper half of the hash, then the place: the least is the leftmost of equal ones
+    place = np.arange(len(h), dtype=np.uint64)
+    own = _window_minima((h & ~np.uint64(0xFFFFFFFF)) | place, length - GRAM + 1) & np.uint64(0xFFFFFFFF)
+    fits = np.ones(len(own), bool)
     for end in ends.tolist():  # strings do not cross documents
         fits[max(0, end - length + 1) : end] = False
     starts = np.flatnonzero(fits)
     if not len(starts):
-        return none.astype(np.uint64), none, none, none
-    own = at[starts]
-    heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    first, last = starts[heads], starts[np.r_[heads[1:], len(starts)] - 1]
-    return value[first], first, last, np.searchsorted(ends, first, side="right")
-
-
-def suffix_array(data: np.ndarray) -> np.ndarray:
+        return none.astype(np.uint64), none, none, none, none.astype(bool)
+    at = own[starts].astype(np.int64)
+    moved = np.r_[True, at[1:] != at[:-1]]
+    step = np.flatnonzero(moved)
+    value, owner = h[at[step]], np.searchsorted(ends, starts[step], side="right")
+    new = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]
+    heads = step[new]
+    twice = np.diff(np.r_[np.flatnonzero(new), len(step)]) > 1
+    return value[new], starts[heads], starts[np.r_[heads[1:], len(starts)] - 1], owner[new], twice
+
+
+def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     """All suffixes in order.
 
     Larsson and Sadakane's refinement: groups by the first eight bytes are
     sorted again by the rank of the suffix as far on as they are sorted
-    already, which doubles the depth; groups of one are left alone.
+    already, which doubles the depth; groups of one are left alone. With
+    ``depth``, suffixes equal in so many bytes or more may stay in order of
+    their places, which keeps common prefixes up to ``depth`` right.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n]
-    sa = np.argsort(word, kind="stable")
+    sa = np.argsort(word)
     ordered = word[sa]
     head = np.r_[True, ordered[1:] != ordered[:-1]]
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -99,8 +109,11 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         if not len(slots):
             break
         suffix = sa[slots]
+        if depth and done >= depth:
+            sa[slots] = suffix[np.lexsort((suffix, rank[suffix]))]
+            break
         key = rank[suffix] * (n + 2) + rank[np.minimum(suffix + done, n)] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, suffix = key[order], suffix[order]
         sa[slots] = suffix
         new = np.r_[True, key[1:] != key[:-1]]
@@ -110,7 +123,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return sa
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
+def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
     """Common prefix, up to ``most``, of each suffix in order with the one before it.
 
     Kasai's method: along the text a suffix's prefix is at least the last
@@ -160,7 +173,7 @@ def shard_repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> t
     sizes = np.array([len(c[3]) for c in contexts])
     data = np.frombuffer(b"".join(c[3] for c in contexts), np.uint8)
     ends = np.cumsum(sizes)
-    sa = suffix_array(data)
+    sa = suffix_array(data, length)
     lcp = common_prefixes(data, sa, length)
     owner = np.repeat(np.arange(len(contexts)), sizes)[sa]
     valid = sa + length <= ends[owner]
@@ -232,11 +245,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
     (in a document of smaller id, or before in its own) is removed. Strings
     are judged on the whole input and do not cross documents.
 
+    Of equal texts the least document stands for all: the others of
+    ``length`` bytes or more go whole, and only it is searched.
+
     1. Each start belongs to an anchor inside its string, so equal strings
        have equal anchors. Anchor hashes are counted with map-side sums; those
        that occur once cannot hold a repeat.
     2. The bytes around the others go to shards by anchor hash, a hash that
-       very many share to several shards by a salt.
+       very many share to several shards by a salt of document and place.
     3. Each shard sorts its suffixes (Larsson-Sadakane), takes common
        prefixes (Kasai), and finds all but the first start of each string.
     4. What is first in a salted shard is merged with the same hash's other
@@ -255,23 +271,28 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
         rows = ((k, t.as_py()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(2)))
         for chunk in _chunks(rows, 120_000):
             data = np.frombuffer(b"".join(r[1] for r in chunk), np.uint8)
-            h, _, _, owner = anchors(data, np.cumsum([len(r[1]) for r in chunk]), length)
-            yield np.array([r[0] for r in chunk], np.int64), h.view(np.int64), owner
+            h, _, _, owner, twice = anchors(data, np.cumsum([len(r[1]) for r in chunk]), length)
+            yield np.array([r[0] for r in chunk], np.int64), h.view(np.int64), owner, twice
 
     def hashes_only(batches):
-        for group in itertools.batched((h for _, h, _ in anchored(batches)), 30):
+        for group in itertools.batched((np.r_[h, h[twice]] for _, h, _, twice in anchored(batches)), 30):
             h, n = np.unique(np.concatenate(group), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
 
     def with_place(batches):
-        for keys, h, owner in anchored(batches):
+        for keys, h, owner, _ in anchored(batches):
             no = np.arange(len(h)) - np.searchsorted(owner, owner)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[owner]), pa.array(no.astype(np.int32))], names=["h", "key", "no"])
 
     plain = base.select("key", "doc_id", "text")
+    # classes of equal texts, known by two hashes and the length
+    equal = ["h1", "h2", "size"]
+    members = base.select("key", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.length("text").alias("size"))
+    leads = members.where(F.col("size") >= length).groupBy(*equal).agg(F.min(F.struct("doc", "key")).alias("lead"), F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+    copies = stash(members.join(leads, equal).where(F.col("key") != F.col("lead.key")).select("key", F.lit(True).alias("copy")).distinct(), "copies")
     often = plain.mapInArrow(hashes_only, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     often = often.select("h", F.ceil(F.col("n") / salt_rows).cast("int").alias("parts"))
-    places = plain.mapInArrow(with_place, "h long, key long, no int").join(often, "h").groupBy("key").agg(F.collect_set(F.struct("no", "parts")).alias("places"))
+    places = plain.mapInArrow(with_place, "h long, key long, no int").join(often, "h").groupBy("key").agg(F.collect_set(F.struct("no", "parts")).alias("places")).join(copies, "key", "left_anti")
     places = stash(places, "places")
 
     def squeeze(batches):
@@ -285,7 +306,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
 
     def contexts(batches):
         unpack = zstandard.ZstdDecompressor()
-        names = ["h", "salt", "hot", "doc", "key", "at", "bytes"]
+        names = ["h", "salt", "hot", "doc", "key", "at", "bytes", "twice"]
 
         def documents():
             for batch in batches:
@@ -298,7 +319,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
 
         for chunk in _chunks(documents(), 120_000):
             data = b"".join(r[4] for r in chunk)
-            h, first, last, owner = anchors(np.frombuffer(data, np.uint8), np.cumsum([len(r[4]) for r in chunk]), length)
+            h, first, last, owner, twice = anchors(np.frombuffer(data, np.uint8), np.cumsum([len(r[4]) for r in chunk]), length)
             counts = np.array([len(r[2]) for r in chunk])
             whose = np.repeat(np.arange(len(chunk)), counts)
             have = np.bincount(owner, minlength=len(chunk))
@@ -310,12 +331,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
             begin = np.cumsum([0, *(len(r[4]) for r in chunk)])[whose]
             a, b = first[place], last[place] + length
             pieces = [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
+            with np.errstate(over="ignore"):
+                salt = ((key + (a - begin) * np.int64(_MULTIPLIER >> 1)) >> np.int64(20)) % parts
             for at in range(0, len(pieces), 5000):
                 part = slice(at, at + 5000)
-                columns = [h[place[part]].view(np.int64), key[part] % parts[part], parts[part] > 1, doc[part], key[part], (a - begin)[part]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces[part], pa.binary())], names=names)
+                columns = [h[place[part]].view(np.int64), salt[part], parts[part] > 1, doc[part], key[part], (a - begin)[part]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces[part], pa.binary()), pa.array(twice[place[part]])], names=names)
 
-    around = squeezed.join(places, "key").mapInArrow(contexts, "h long, salt long, hot boolean, doc long, key long, at long, bytes binary")
+    around = squeezed.join(places, "key").mapInArrow(contexts, "h long, salt long, hot boolean, doc long, key long, at long, bytes binary, twice boolean")
 
     def shards(batches):
         held, size = [], 0
@@ -334,12 +357,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
             yield from found(pa.Table.from_batches(held))
 
     def found(table):
-        h, salt, hot, doc, key, at = (c.to_numpy() for c in table.columns[:6])
+        h, salt, hot, doc, key, at, twice = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 5, 7))
         body = table.column(6).to_pylist()
         # equal contexts share all their strings: the least of them stands for the rest
         digest = np.fromiter(map(hash, body), np.int64, len(body))
         order = np.lexsort((at, key, doc, digest, salt, h))
-        h, salt, hot, doc, key, at, digest = (x[order] for x in (h, salt, hot, doc, key, at, digest))
+        h, salt, hot, doc, key, at, twice, digest = (x[order] for x in (h, salt, hot, doc, key, at, twice, digest))
         body = [body[i] for i in order.tolist()]
         group = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
         same = np.fromiter(map(operator.eq, body[1:], body[:-1]), bool, len(body) - 1)
@@ -350,7 +373,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
         runs = [doc[late], key[late], at[late], (at + sizes)[late]]
         # one context alone has no string twice, and needs no sorting unless other shards hold its hash
         number = np.cumsum(group) - 1
-        keep = np.flatnonzero(head & ((np.bincount(number, weights=head)[number] > 1) | hot))
+        keep = np.flatnonzero(head & ((np.bincount(number, weights=head)[number] > 1) | hot | twice))
         kept = [(d, k, a, body[i]) for d, k, a, i in zip(doc[keep].tolist(), key[keep].tolist(), at[keep].tolist(), keep.tolist())]
         s_doc, s_key, s_start, first_of, first, place, data = shard_repeats(kept, length)
         sorted_runs = _runs(s_doc[~first], s_key[~first], s_start[~first], length)
@@ -391,9 +414,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, body, spans in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for doc, body, spans, copy in zip(*batch.columns[1:5]):
                 body, kept, end, n, removed = unpack.decompress(body.as_py()), [], 0, 0, 0
-                for span in sorted((s["from"], s["to"]) for s in spans.as_py() or []):
+                for span in [(0, len(body))] if copy.as_py() else sorted((s["from"], s["to"]) for s in spans.as_py() or []):
                     if not n or span[0] > end:
                         kept.append(body[end : span[0]])
                         n += 1
@@ -411,7 +434,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 2_0
                 yield _batch(rows, names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
-    return squeezed.join(spans, "key", "left").select("key", "doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    return squeezed.join(spans, "key", "left").join(copies, "key", "left").select("key", "doc_id", "text", "spans", "copy").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
 
 
 _TYPES = {"hot": pa.bool_(), "bytes": pa.binary(), "string": pa.binary(), "kept": pa.binary(), "kept_sha256": pa.string()}
