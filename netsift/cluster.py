@@ -25,10 +25,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where unset and Spark runs in one process, a new temporary one.
+
+    On a cluster the setting is required: executors cannot see each other's
+    temporary folders.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="netsift-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

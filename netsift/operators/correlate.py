@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import evidence_count, stable_id
+from ..functions.scalars import evidence_count, severity_band, stable_id
 
 # Attack stage and recommended action of each threat class.
 STAGES = {
@@ -35,7 +37,7 @@ def _lookup(table: dict[str, str], column: str, other: str) -> Column:
 
 
 def attack_stage(threat: str = "threat_class") -> Column:
-    return _lookup(STAGES, threat, "UNKNOWN")
+    return _lookup(STAGES, threat, "UNKNOWN_STAGE")
 
 
 def recommended_action(threat: str = "threat_class") -> Column:
@@ -60,14 +62,25 @@ def risk_severity(risk_column: Column, critical: Column, high: Column) -> Column
     return F.when((risk_column >= 0.9) | critical, "CRITICAL").when((risk_column >= 0.7) | high, "HIGH").when(risk_column >= 0.4, "MEDIUM").otherwise("LOW")
 
 
+def _risk_parts() -> list[Column]:
+    """What a group's risk is made of; classes and types are few, so their sets are summed map-side without laying rows out twice."""
+    return [
+        F.count(F.lit(1)).alias("signals"), F.max("confidence").alias("c"), F.size(F.collect_set("threat_class")).cast("long").alias("classes"), F.size(F.collect_set("detector_type")).cast("long").alias("types"),
+        F.coalesce(F.max("zscore"), F.lit(0.0)).alias("z"), F.bool_or(F.col("severity") == "CRITICAL").alias("crit"), F.bool_or(F.col("severity") == "HIGH").alias("hi"),
+    ]
+
+
+def _with_risk(a: DataFrame) -> DataFrame:
+    a = a.withColumn("risk", risk(F.col("c"), F.col("classes"), F.col("types"), F.col("z")))
+    return a.withColumn("severity", risk_severity(F.col("risk"), F.col("crit"), F.col("hi"))).drop("c", "types", "z", "crit", "hi")
+
+
 def composite_risk(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group_no")) -> DataFrame:
     """Risk and severity of whole groups."""
     a = grouped.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("signals"), F.max("confidence").alias("c"), F.count_distinct("threat_class").alias("classes"), F.count_distinct("detector_type").alias("types"),
-        F.coalesce(F.max("zscore"), F.lit(0.0)).alias("z"), F.bool_or(F.col("severity") == "CRITICAL").alias("crit"), F.bool_or(F.col("severity") == "HIGH").alias("hi"),
-    )
-    a = a.withColumn("risk", risk(F.col("c"), F.col("classes"), F.col("types"), F.col("z")))
-    return a.select(*key, "signals", "classes", "risk", risk_severity(F.col("risk"), F.col("crit"), F.col("hi")).alias("severity"))
+        *_risk_parts()
+    )
+    return _with_risk(a).select(*key, "signals", "classes", "risk", "severity")
 
 
 def risk_progression(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group_no"), order: tuple[str, ...] = ("ts", "detector_order")) -> DataFrame:
@@ -87,22 +100,35 @@ def threat_stages(signals: DataFrame) -> DataFrame:
     return signals.select("entity", "ts", "threat_class", attack_stage().alias("stage"), "confidence")
 
 
-# Evidence texts by threat class, with the feature column of each.
+# Evidence texts by threat class, with the measured value of each.
 EVIDENCE = (
     ("VOLUMETRIC_DDOS", "pps", "High packet velocity: %.1f packets/sec"),
+    ("VOLUMETRIC_DDOS", "syn_ratio * 100", "Abnormal SYN flag ratio: %.1f%%"),
+    ("VOLUMETRIC_DDOS", "bytes_per_sec / 1024", "Bandwidth volume: %.1f KB/s"),
     ("BOTNET_C2_BEACONING", "periodicity", "High connection periodicity: score %.2f / 1.00"),
     ("BOTNET_C2_BEACONING", "jitter", "Low timing jitter: %.1f%%"),
+    ("BOTNET_C2_BEACONING", "connection_count", "Persistent repeated callbacks: %d connections"),
     ("DGA_DNS_TUNNELLING", "entropy_mean", "Elevated domain character entropy: %.2f"),
     ("DGA_DNS_TUNNELLING", "query_length_mean", "Abnormal query string length: mean %.1f chars"),
+    ("DGA_DNS_TUNNELLING", "nullif(nxdomain_count, 0)", "High NXDOMAIN failure frequency: %d failures"),
+    ("ENCRYPTED_MALWARE", "ja3", "Observable TLS JA3 fingerprint: %s"),
+    ("ENCRYPTED_MALWARE", "ja4", "Observable TLS JA4 fingerprint: %s"),
+    ("ENCRYPTED_MALWARE", "sni", "Target Server Name Indication (SNI): %s"),
     ("RECON_PORT_SCAN", "unique_dst_ports", "Rapid port discovery sweep: %d unique ports"),
     ("RECON_PORT_SCAN", "unique_dst_ips", "High destination fan-out: %d target IPs"),
+    ("DATA_EXFILTRATION", "outbound_bytes / 1048576", "Large outbound transfer volume: %.2f MB"),
     ("DATA_EXFILTRATION", "up_down_ratio", "Asymmetric outbound byte ratio: %.1f"),
 )
 
 
 def evidence_items(columns: list[str]) -> Column:
     """Evidence texts of a signal from the feature columns at hand; a plain line where there is none."""
-    lines = [F.when((F.col("threat_class") == threat) & F.col(c).isNotNull(), F.format_string(text, F.col(c))) for threat, c, text in EVIDENCE if c in columns]
+    lines = []
+    for threat, value, text in EVIDENCE:
+        if any(c in columns for c in re.findall(r"[a-z]\w+", value) if c != "nullif"):
+            v = F.expr(value)
+            v = v.cast("long") if "%d" in text else v.cast("string") if "%s" in text else v.cast("double")
+            lines.append(F.when((F.col("threat_class") == threat) & v.isNotNull(), F.format_string(text, v)))
     if "zscore" in columns:
         lines.append(F.when(F.col("zscore") > 2, F.format_string("Traffic velocity deviates significantly (+%.1fσ) from host baseline", F.col("zscore"))))
     if "is_new_destination" in columns:
@@ -118,14 +144,15 @@ def build_incidents(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group
     rows = F.array_sort(F.collect_list(F.struct(order.alias("at"), attack_stage().alias("stage"), F.col(evidence).alias("evidence"))))
     body = grouped.groupBy(*key).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), rows.alias("r"),
-        F.max_by("threat_class", F.struct("confidence", -F.unix_micros("ts"), -F.col("detector_order"))).alias("main_class"),
+        F.max_by("threat_class", F.struct("confidence", -F.unix_micros("ts"), -F.col("detector_order"))).alias("main_class"), *_risk_parts(),
     )
-    body = body.withColumns({"stages": F.transform("r", lambda x: x["stage"]), "evidence_items": F.array_distinct(F.flatten(F.transform("r", lambda x: x["evidence"]))), "recommended_action": recommended_action("main_class")}).drop("r")
-    return body.join(composite_risk(grouped, key), list(key)).withColumn("incident_id", stable_id("INC-", *key, F.unix_micros("first_seen")))
+    body = _with_risk(body).withColumns({"stages": F.transform("r", lambda x: x["stage"]), "evidence_items": F.array_distinct(F.flatten(F.transform("r", lambda x: x["evidence"]))), "recommended_action": recommended_action("main_class")}).drop("r")
+    return body.withColumn("incident_id", stable_id("INC-", *key, F.unix_micros("first_seen")))
 
 
 def alert_summary(columns: list[str]) -> Column:
     """A sentence with the class, both ends and up to five measured values."""
+    # Formats of the measured values.
     shown = (("pps", "%.1f pps"), ("syn_ratio", "SYN ratio %.2f"), ("periodicity", "periodicity %.2f"), ("jitter", "jitter %.1f%%"), ("entropy_mean", "DNS entropy %.2f"))
     parts = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.format_string(t, F.col(c))) for c, t in shown if c in columns)))
     details = F.when(F.size(parts) > 0, F.concat(F.lit(" ("), F.array_join(parts, ", "), F.lit(")"))).otherwise("")
@@ -159,5 +186,5 @@ def combine_ml(classified: DataFrame, anomalies: DataFrame, key: str = "sample_i
     both = classified.join(anomalies, key)
     threat = F.col("class_index") > 0
     return both.where(threat | F.col("is_anomaly")).withColumns(
-        {"threat_class": F.when(threat, F.col("class_name")).otherwise("UNKNOWN_ANOMALY"), "detector_type": F.when(threat, "LIGHTWEIGHT_ML").otherwise("ANOMALY_DETECTION"), "confidence": F.when(threat, F.col("class_confidence")).otherwise(F.col("anomaly_confidence"))}
-    )
+        {"threat_class": F.when(threat, F.col("class_name")).otherwise("UNKNOWN_ANOMALY"), "detector_type": F.when(threat, "LIGHTWEIGHT_ML").otherwise("UNSUPERVISED_ANOMALY"), "confidence": F.when(threat, F.col("class_confidence")).otherwise(F.col("anomaly_confidence"))}
+    ).withColumn("severity", severity_band("confidence"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,29 +74,57 @@ def binary_anomaly_metrics(decisions: DataFrame, benign: str = "BENIGN") -> Data
     return c.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def latency_percentiles(df: DataFrame, value: str = "latency") -> DataFrame:
-    """The interpolated median, and the value at position int(.95 n).
+def values_at(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: tuple[str, ...] = (), bins: int = 4096) -> DataFrame:
+    """``by, n`` and, for each name, the value at a rank (from 0) that is given as a function of n; nulls do not count.
 
-    Values are counted first, so ranks come from the few distinct ones.
+    Exact without sorting or gathering all: a histogram of equal ranges tells
+    which range holds each rank, and only the values of those are counted.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    total = df.agg(F.count(value).alias("total"), F.percentile(value, 0.5).alias("median"))
-    at = F.floor(F.col("total") * 0.95)
-    return upto.join(F.broadcast(total)).where(F.col("upto") > at).groupBy("total", "median").agg(F.min(value).alias("p95"))
+    keys = list(by) or ["__all"]
+    x = df.where(F.col(value).isNotNull()).select(*by, *([] if by else [F.lit(0).alias("__all")]), F.col(value).cast("double").alias("__v"))
+    ends = x.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("n"))
+    width = F.col("__hi") - F.col("__lo")
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("__lo")) / width * bins))).otherwise(0).cast("int")
+    placed = x.join(ends, keys).select(*keys, "__v", place.alias("__bin"))
+    upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    hist = placed.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__c")).withColumn("__end", F.sum("__c").over(upto)).withColumn("__begin", F.col("__end") - F.col("__c"))
+    asked = ends.select(*keys, "n", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("rank")) for k, f in ranks.items()))).alias("a")).select(*keys, "n", "a.name", "a.rank")
+    held = hist.join(asked, keys).where("rank >= __begin and rank < __end").select(*keys, "__bin", "__begin", "n", "name", "rank")
+    counts = placed.join(held.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi").groupBy(*keys, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    within = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("__stop", F.sum("__c").over(within))
+    found = counts.join(held, [*keys, "__bin"]).where("rank < __begin + __stop and rank >= __begin + __stop - __c")
+    out = found.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("name") == k, F.col("__v"))).alias(k) for k in ranks))
+    return out if by else out.drop("__all")
+
+
+def quantiles(df: DataFrame, value: str, fractions: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, n, q0, q1, ...``: exact quantiles, interpolated between the two values beside their place."""
+    ranks = {}
+    for i, q in enumerate(fractions):
+        ranks |= {f"lo{i}": lambda n, q=q: F.floor((n - 1) * q), f"hi{i}": lambda n, q=q: F.ceil((n - 1) * q)}
+    part = lambda q: (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    return values_at(df, value, ranks, by).select(*by, "n", *((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part(q)).alias(f"q{i}") for i, q in enumerate(fractions)))
+
+
+def latency_percentiles(df: DataFrame, value: str = "latency") -> DataFrame:
+    """The interpolated median, and the value at position int(.95 n)."""
+    at = values_at(df, value, {"lo": lambda n: F.floor((n - 1) / 2), "hi": lambda n: F.ceil((n - 1) / 2), "p95": lambda n: F.floor(n * 0.95)})
+    return at.select(F.col("n").alias("total"), ((F.col("lo") + F.col("hi")) / 2).alias("median"), "p95")
 
 
 def score_distribution(df: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    p = F.percentile(value, F.array(*map(F.lit, q)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), p.alias("p"))
-    return out.select(*by, "n", "mean", "std", "min", "max", *(F.col("p")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(q)))
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    p = quantiles(df, value, q, tuple(by)).drop("n").withColumnsRenamed({f"q{i}": f"p{round(x * 100)}" for i, x in enumerate(q)})
+    return sums.join(p, list(by), "left")
 
 
 def threshold_sweep(scores: DataFrame, percents: tuple[int, ...] = (1, 5, 10, 15, 20, 25, 30), value: str = "score", attack: str = "is_attack") -> DataFrame:
-    """Rates if the scores up to each percentile count as anomalous: one pass for the thresholds, one for the counts."""
-    t = scores.agg(F.percentile(value, F.array(*(F.lit(p / 100) for p in percents))).alias("t"))
-    table = t.select(F.posexplode("t").alias("i", "threshold")).withColumn("pct", F.element_at(F.array(*map(F.lit, percents)), F.col("i") + 1)).drop("i")
+    """Rates if the scores up to each percentile count as anomalous."""
+    t = quantiles(scores, value, [p / 100 for p in percents])
+    table = t.select(F.explode(F.array(*(F.struct(F.lit(p).alias("pct"), F.col(f"q{i}").alias("threshold")) for i, p in enumerate(percents)))).alias("t")).select("t.*")
+    # a row for each percentile beside every score
     rows = scores.join(F.broadcast(table))
     alarm, bad = F.col(value) <= F.col("threshold"), F.col(attack)
     c = rows.groupBy("pct", "threshold").agg(F.count_if(alarm & bad).alias("tp"), F.count_if(alarm & ~bad).alias("fp"), F.count_if(~alarm & bad).alias("fn"), F.count_if(~alarm & ~bad).alias("tn"))
@@ -125,9 +155,10 @@ def _long(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def class_feature_stats(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = _long(df, columns, label).groupBy("feature", "label").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), p.alias("p"))
-    return out.select("feature", "label", "mean", "std", F.col("p")[0].alias("p10"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p90"))
+    rows = _long(df, columns, label).where(F.col("label").isNotNull())
+    out = rows.groupBy("feature", "label").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    p = quantiles(rows, "value", [0.1, 0.5, 0.9], ("feature", "label")).drop("n").toDF("feature", "label", "p10", "median", "p90")
+    return out.join(p, ["feature", "label"], "left")
 
 
 def category_concentration(df: DataFrame, column: str, label: str, over: float = 70.0) -> DataFrame:
@@ -178,5 +209,11 @@ def class_centroids(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return df.groupBy(label).agg(*(F.avg(c).alias(c) for c in columns))
 
 
+def long_metrics(cv: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """A row for each metric of each fold."""
+    names = [c for c in cv.columns if c not in keys]
+    return cv.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names))).alias("m")).select(*keys, "m.*")
+
+
 def fold_summary(cv: DataFrame) -> DataFrame:
     return cv.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_subdomain, jitter_pct, nonempty, periodicity_cv, periodicity_linear, scan_type, shannon_entropy
-from .flows import explode_entities, failed_connection
+from .flows import FIVE, explode_entities, failed_connection, sessions
 
 
 def temporal_features(events: DataFrame, key: list[str], min_obs: int = 2, ts: str = "ts", tie: str = "seq") -> DataFrame:
@@ -100,7 +100,9 @@ def in_out_volumes(flows: DataFrame) -> DataFrame:
 
 def entity_profiles(contexts: DataFrame) -> DataFrame:
     """First and last sight, observations and how many destinations, ports and fingerprints each entity has."""
-    return contexts.groupBy("entity").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("observations"), F.count_distinct("dst_ip").alias("known_destinations"), F.count_distinct("dst_port").alias("known_ports"))
+    known = {"known_destinations": "dst_ip", "known_ports": "dst_port", "known_ja3": "ja3", "known_ja4": "ja4", "known_domains": "sni"}
+    counts = [F.count_distinct(c).alias(n) for n, c in known.items() if c in contexts.columns]
+    return contexts.groupBy("entity").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("observations"), *counts)
 
 
 def sample_known_destinations(flows: DataFrame, k: int = 5, entity: str = "src_ip") -> DataFrame:
@@ -140,3 +142,47 @@ def context_join(base: DataFrame, *features: DataFrame, on: tuple[str, ...] = ("
     for f in features:
         base = base.join(f, list(on), "left")
     return base
+
+
+def packet_contexts(packets: DataFrame, gap_seconds: float = 30.0, rule: str = "reset") -> DataFrame:
+    """At each packet, the state of its flow and of its source by then: what the detectors read.
+
+    Of the flow: rates, flag share, and, from three inter-arrival times on,
+    jitter and periodicity. Of the source: flows begun, distinct destinations
+    and ports, failed flows, bytes out and in. Distinct counts are running
+    sums of first sights and failures running sums of changes, so no frame
+    holds more than numbers; windows of one key share a sort.
+    """
+    flow = Window.partitionBy(*FIVE, "session").orderBy("ts", "seq")
+    so_far = flow.rowsBetween(Window.unboundedPreceding, 0)
+    us = F.unix_micros("ts")
+    p = sessions(packets, gap_seconds).withColumns(
+        {
+            "observations": F.count(F.lit(1)).over(so_far), "byte_count": F.sum("packet_length").over(so_far), "syn_count": F.sum("tcp_syn").over(so_far), "ack_count": F.sum("tcp_ack").over(so_far),
+            "rst_count": F.sum("tcp_rst").over(so_far), "start_us": F.min(us).over(so_far), "iat": (us - F.lag(us).over(flow)) / 1000,
+        }
+    )
+    p = p.withColumns({"iats": F.count("iat").over(so_far), "mean": F.avg("iat").over(so_far), "std": F.stddev_pop("iat").over(so_far), "failed_now": failed_connection(rule).cast("int")})
+    p = p.withColumn("failed_change", F.col("failed_now") - F.coalesce(F.lag("failed_now").over(flow), F.lit(0)))
+    first = lambda *key: (F.row_number().over(Window.partitionBy("src_ip", *key).orderBy("ts", "seq")) == 1).cast("long")
+    p = p.withColumns({"new_ip": first("dst_ip"), "new_port": first("dst_port"), "new_flow": (F.col("observations") == 1).cast("long")})
+    own = Window.partitionBy("entity").orderBy("ts", "seq", F.desc("outbound")).rowsBetween(Window.unboundedPreceding, 0)
+    out = F.col("outbound")
+    total = lambda c, when=out: F.sum(F.when(when, F.col(c)).otherwise(0)).over(own)
+    e = explode_entities(p).withColumns(
+        {
+            "flow_count": total("new_flow"), "unique_dst_ips": total("new_ip"), "unique_dst_ports": total("new_port"), "failed_count": total("failed_change"),
+            "outbound_bytes": total("packet_length"), "inbound_bytes": total("packet_length", ~out), "first_us": F.min(F.when(out, us)).over(own),
+        }
+    ).where("outbound")
+    seconds, life = (us - F.col("start_us")) / 1e6, F.greatest(F.lit(1.0), (us - F.col("first_us")) / 1e6)
+    zero, timed = F.lit(0.0), F.col("iats") >= 3
+    jitter = jitter_pct("mean", "std")
+    return e.select(
+        "seq", "ts", "entity", F.col("dst_ip").alias("target"), "observations",
+        F.coalesce(F.try_divide("observations", seconds), zero).alias("pps"), F.coalesce(F.try_divide("byte_count", seconds), zero).alias("bytes_per_sec"), (F.col("syn_count") / F.col("observations")).alias("syn_ratio"),
+        F.when(timed, jitter).alias("jitter"), F.when(timed, periodicity_linear(jitter)).alias("periodicity"),
+        "flow_count", "unique_dst_ips", "unique_dst_ports", (F.col("failed_count") / F.col("flow_count")).alias("failed_ratio"), (F.col("flow_count") / life).alias("connection_rate"), (F.col("flow_count") >= 3).alias("sufficient"),
+        "outbound_bytes", (F.col("outbound_bytes") / life).alias("outbound_rate"), F.when(F.col("inbound_bytes") > 0, F.col("outbound_bytes") / F.greatest(F.lit(1.0), F.col("inbound_bytes"))).when(F.col("outbound_bytes") > 10_000, 100.0).otherwise(1.0).alias("up_down_ratio"),
+        F.lit(0).cast("long").alias("large_transfers"), F.lit(True).alias("direction_available"), (F.col("new_ip") == 1).alias("is_new_destination"),
+    )

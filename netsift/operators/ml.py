@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import anomaly_confidence
-from .evaluate import classification_metrics
+from .evaluate import classification_metrics, quantiles
 
 # Class names in order of their index.
-CLASS_NAMES = ("BENIGN", "VOLUMETRIC_DDOS", "RECON_PORT_SCAN", "BOTNET_C2_BEACONING", "DGA_DNS_TUNNELLING", "ENCRYPTED_MALWARE", "DATA_EXFILTRATION")
+CLASS_NAMES = ("BENIGN", "VOLUMETRIC_DDOS", "BOTNET_C2_BEACONING", "DGA_DNS_TUNNELLING", "ENCRYPTED_MALWARE", "RECON_PORT_SCAN", "DATA_EXFILTRATION")
+# The models' features in order.
+FEATURE_NAMES = (
+    "duration", "total_packets", "total_bytes", "bytes_forward", "bytes_backward", "packets_per_sec", "bytes_per_sec", "packet_size_mean", "iat_mean", "iat_std", "periodicity_score", "jitter", "burst_rate",
+    "dns_query_count", "unique_domain_count", "domain_length_mean", "domain_entropy", "ngram_score", "dns_query_rate", "session_resumption", "tls_packet_size_mean",
+    "unique_dst_ips", "unique_dst_ports", "connection_attempt_rate", "failed_connection_ratio", "fan_out", "outbound_bytes", "outbound_rate", "upload_download_ratio", "destination_count", "large_transfer_score",
+    "entity_flow_count_1m", "entity_unique_destinations_1m", "entity_new_destinations_5m", "entity_avg_connection_interval", "entity_periodicity",
+    "ja3_JA3_A", "ja3_JA3_B", "ja3_JA3_C", "ja3_JA3_D", "ja3_JA3_E", "ja4_JA4_A", "ja4_JA4_B", "ja4_JA4_C", "ja4_JA4_D", "ja4_JA4_E", "ja4_JA4_SUS_1", "ja4_JA4_SUS_2", "ja4_JA4_SUS_3",
+    "tls_version_NONE", "tls_version_TLS1.2", "tls_version_TLS1.3",
+)
+#: Which column or expression of a context fills a feature, where the names differ.
+CONTEXT_FEATURES = {
+    "duration": "duration_sec", "total_packets": "packet_count", "total_bytes": "byte_count", "packets_per_sec": "pps", "periodicity_score": "periodicity", "domain_length_mean": "query_length_mean", "domain_entropy": "entropy_mean",
+    "connection_attempt_rate": "connection_rate", "failed_connection_ratio": "failed_ratio", "fan_out": "unique_dst_ips + unique_dst_ports", "upload_download_ratio": "up_down_ratio", "destination_count": "destinations",
+    "large_transfer_score": "large_transfers", "entity_flow_count_1m": "flow_count", "entity_unique_destinations_1m": "unique_dst_ips",
+}
 
 
 def clean_features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,6 +41,24 @@ def clean_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf")), 0.0).otherwise(x(c)) for c in columns})
 
 
+def to_ml_features(contexts: DataFrame, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The models' features in order, as doubles, from what the contexts hold; 0 where that is nothing or not finite.
+
+    Fingerprints and TLS versions become one column for each known value.
+    """
+    have = set(contexts.columns)
+
+    def source(name: str):
+        for prefix, column, form in (("ja3_JA3_", "ja3", "ja3_JA3_{}"), ("ja4_JA4_", "ja4", "ja4_JA4_{}"), ("tls_version_", "tls_version", "tls_version_{}")):
+            if name.startswith(prefix):
+                return (F.upper(column) == name[len(prefix) :]).cast("double") if column in have else F.lit(0.0)
+        text = name if name in have else CONTEXT_FEATURES.get(name)
+        return F.expr(text).cast("double") if text and set(re.findall(r"[a-z]\w+", text)) <= have else F.lit(0.0)
+
+    x = {n: source(n) for n in FEATURE_NAMES}
+    return contexts.select(*keep, *(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v).alias(n) for n, v in x.items()))
+
+
 def validate_features(df: DataFrame, columns: list[str], forbidden: tuple[str, ...] = (), label: str | None = None, classes: int = 7) -> DataFrame:
     """A row per violation: missing, forbidden, not numeric, null or not finite values, labels out of range."""
     spark = df.sparkSession
@@ -60,9 +94,10 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
 
     Vocabularies are of fingerprint and version columns and come to the driver.
     """
-    medians = train.agg(*(F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric)).first()
+    rows = train.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric))).alias("p")).select("p.*")
+    medians = {r["feature"]: r["q0"] for r in quantiles(rows, "value", [0.5], ("feature",)).collect()} if numeric else {}
     words = train.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in categorical)).first() if categorical else {}
-    return {"medians": {c: medians[c] for c in numeric}, "words": {c: list(words[c]) for c in categorical}}
+    return {"medians": {c: medians.get(c) for c in numeric}, "words": {c: list(words[c]) for c in categorical}}
 
 
 def apply_preprocessor(df: DataFrame, state: dict, keep: list[str] = ()) -> DataFrame:
@@ -150,7 +185,7 @@ def train_isolation_forest(df: DataFrame, columns: list[str], trees: int = 100,
     nodes = rows.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, threshold double, left int, right int, path double").toPandas()
     forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
     model = {"trees": [{c: g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")} for g in forest], "columns": columns, "norm": _path_norm(min(sample, n)), "offset": 0.0}
-    model["offset"] = anomaly_scores(model, df).agg(F.percentile("decision", contamination)).first()[0] or 0.0
+    model["offset"] = anomaly_scores(model, df).transform(lambda s: quantiles(s, "decision", [contamination])).select("q0").first()[0] if n else 0.0
     return model
 
 
@@ -189,14 +224,22 @@ def with_folds(df: DataFrame, k: int = 5, label: str | None = None, group: str |
 
 
 def cross_validate(df: DataFrame, columns: list[str], k: int = 5, label: str = "label", trees: int = 20, depth: int = 8, **folds) -> DataFrame:
-    """Accuracy and macro metrics of a forest on each held-out fold; the input is cached, the folds loop on the driver."""
+    """Accuracy and macro metrics of a forest on each held-out fold; the folds loop on the driver, over one cached input.
+
+    With ``group``, whole groups are held out, and a group in two folds is an
+    error. The fold's predictions are counted before the cache is freed.
+    """
     data = with_folds(df, k, label=label, **folds).persist()
     out = None
+    if folds.get("group") and data.groupBy(folds["group"]).agg(F.count_distinct("fold").alias("n")).where("n > 1").take(1):
+        raise ValueError("a group stands in more than one fold")
     for fold in range(k):
         model = train_forest(data.where(F.col("fold") != fold), columns, label, trees, depth)
         held = predict_classes(model, data.where(F.col("fold") == fold), columns)
-        row = classification_metrics(held, label, "class_index").withColumn("fold", F.lit(fold))
+        found = classification_metrics(held, label, "class_index").withColumn("fold", F.lit(fold))
+        row = df.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
         out = row if out is None else out.unionByName(row)
+    data.unpersist()
     return out
 
 

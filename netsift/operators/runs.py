@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import correlate as C
@@ -49,15 +50,25 @@ def entity_events(contexts: DataFrame, flows: DataFrame, signals: DataFrame, his
     return X.context_join(z, seen, active).withColumn("active_signals", F.coalesce("active_signals", F.lit(0)))
 
 
-def run_pipeline(packets: DataFrame, contexts: DataFrame, gap_seconds: float = 300.0, flow_gap: str = "30 seconds", enabled: list[str] | None = None) -> dict[str, DataFrame]:
-    """Packets and contexts to flows, signals, incidents, alerts and counters; signals are persisted between the fan-outs."""
-    flows = L.build_flows(packets, flow_gap)
-    keep = tuple(c for c in ("entity", "ts", "seq", "target") if c in contexts.columns)
-    signals = D.run_detectors(contexts, enabled, keep=keep).withColumns({"detector_type": F.lit("DETERMINISTIC_BASELINE"), "zscore": F.lit(0.0)})
-    grouped = C.group_signals(D.active_signals(signals), gap_seconds).persist()
+def run_pipeline(packets: DataFrame, gap_seconds: float = 300.0, flow_gap_seconds: float = 30.0, enabled: list[str] | None = None, ml: Callable[[DataFrame], DataFrame] | None = None, history: int = 60) -> dict[str, DataFrame]:
+    """Packets to flows, contexts, signals, incidents, alerts and counters.
+
+    Each packet's context is the state of its flow and source by then, with
+    the source's deviation from its own baseline. Rules run over the contexts
+    in one scan; ``ml`` may add signals of other detector types from the same
+    contexts. Nothing is cached: a caller that reads several of the tables
+    writes the first ones.
+    """
+    flows = L.build_flows(packets, f"{int(flow_gap_seconds)} seconds")
+    contexts = W.pps_zscore(X.packet_contexts(packets, flow_gap_seconds), history=history)
+    told = ("pps", "syn_ratio", "bytes_per_sec", "periodicity", "jitter", "unique_dst_ips", "unique_dst_ports", "outbound_bytes", "up_down_ratio", "zscore", "is_new_destination")
+    signals = D.run_detectors(contexts, enabled, keep=("entity", "ts", "seq", "target", *told)).withColumn("detector_type", F.lit("DETERMINISTIC_BASELINE"))
+    if ml:
+        signals = signals.unionByName(ml(contexts), allowMissingColumns=True)
+    grouped = C.group_signals(D.active_signals(signals), gap_seconds)
     incidents = C.build_incidents(grouped.withColumn("evidence", C.evidence_items(grouped.columns)))
     alerts = C.build_alerts(grouped, incidents)
-    return {"flows": flows, "signals": signals, "incidents": incidents, "alerts": alerts, "stats": run_stats(packets=packets, flows=flows, signals=grouped, incidents=incidents, alerts=alerts)}
+    return {"flows": flows, "contexts": contexts, "signals": signals, "incidents": incidents, "alerts": alerts, "stats": run_stats(packets=packets, flows=flows, signals=grouped, incidents=incidents, alerts=alerts)}
 
 
 def run_stats(**tables: DataFrame) -> DataFrame:
@@ -65,14 +76,17 @@ def run_stats(**tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("counter"), "n") for k, t in tables.items()])
 
 
-def evaluate_captures(signals: DataFrame, events: DataFrame, throttle_seconds: float = 1.0, tolerance_seconds: float = 5.0, min_confidence: float = 0.1) -> DataFrame:
+def evaluate_captures(packets: DataFrame, events: DataFrame, throttle_seconds: float = 1.0, tolerance_seconds: float = 5.0, min_confidence: float = 0.1, flow_gap_seconds: float = 30.0, enabled: list[str] | None = None) -> DataFrame:
     """Decisions of throttled instants against ground truth: ``decision_id, entity, ts, predicted, truth``.
 
-    An instant's decision is its most confident active signal's class, BENIGN where none is active.
+    Each source is judged at most once in ``throttle_seconds``, by the state
+    that its flow and itself have by then. An instant's decision is its most
+    confident active signal's class, BENIGN where none is active.
     """
-    instants = W.throttle(signals.select("entity", "ts", "seq").distinct(), ["entity"], throttle_seconds)
-    chosen = signals.join(instants.select("seq"), "seq", "left_semi")
-    top = D.top_signal(D.active_signals(chosen, min_confidence), ("seq",)).select("seq", "predicted")
+    instants = W.throttle(packets.select(F.col("src_ip").alias("entity"), "ts", "seq"), ["entity"], throttle_seconds)
+    contexts = X.packet_contexts(packets, flow_gap_seconds, "half_open").join(instants.select("seq"), "seq", "left_semi")
+    signals = D.run_detectors(contexts, enabled, keep=("entity", "ts", "seq"))
+    top = D.top_signal(D.active_signals(signals, min_confidence), ("seq",)).select("seq", "predicted")
     decisions = instants.join(top, "seq", "left").select(F.col("seq").alias("decision_id"), "entity", "ts", F.coalesce("predicted", F.lit("BENIGN")).alias("predicted"))
     return E.align_ground_truth(decisions, events, tolerance_seconds)
 
@@ -105,7 +119,7 @@ def confidence_by_correctness(predictions: DataFrame) -> DataFrame:
 
 def importance_by_domain(importance: DataFrame, families: DataFrame) -> DataFrame:
     """Share of the gain by feature family."""
-    total = importance.join(F.broadcast(families), "feature", "left").groupBy(F.coalesce("family", F.lit("other")).alias("family")).agg(F.sum("gain").alias("gain"))
+    total = importance.join(families, "feature", "left").groupBy(F.coalesce("family", F.lit("other")).alias("family")).agg(F.sum("gain").alias("gain"))
     return total.withColumn("share", F.col("gain") / F.sum("gain").over(Window.partitionBy()))
 
 
@@ -133,15 +147,32 @@ def single_feature_baselines(train: DataFrame, test: DataFrame, columns: list[st
     return reduce(DataFrame.unionByName, rows)
 
 
-def final_evaluation(models: dict, test: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
-    """Metrics of every fitted forest on the held-out split."""
-    rows = [E.classification_metrics(M.predict_classes(m, test, columns), label, "class_index").withColumn("model", F.lit(n)) for n, m in models.items()]
-    return reduce(DataFrame.unionByName, rows)
+def final_evaluation(models: dict, test: DataFrame, columns: list[str], label: str = "label", val: DataFrame | None = None) -> DataFrame:
+    """Metrics of every fitted forest on the held-out split; with ``val``, also there, and validation less test."""
+    parts = {"test": test} | ({"val": val} if val is not None else {})
+    rows = [E.classification_metrics(M.predict_classes(m, df, columns), label, "class_index").withColumns({"model": F.lit(n), "split": F.lit(s)}) for n, m in models.items() for s, df in parts.items()]
+    every = reduce(DataFrame.unionByName, rows)
+    if val is None:
+        return every
+    of = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c))).over(Window.partitionBy("model"))
+    return every.withColumns({f"{c}_gap": of("val", c) - of("test", c) for c in ("accuracy", "macro_f1")})
+
+
+def scores_under_noise(model, df: DataFrame, columns: list[str], percents: tuple[int, ...] = (5, 10, 20), label: str = "label", seed: int = 42) -> DataFrame:
+    """Metrics of a fitted forest on features moved by up to each per cent, and how far they fall below the clean ones."""
+    rows = [E.classification_metrics(M.predict_classes(model, M.perturb(df, columns, p / 100, seed) if p else df, columns), label, "class_index").withColumn("pct", F.lit(p)) for p in (0, *percents)]
+    every = reduce(DataFrame.unionByName, rows)
+    clean = every.where("pct = 0").select(F.col("accuracy").alias("clean_accuracy"), F.col("macro_f1").alias("clean_macro_f1"))
+    # one row beside a row for each per cent
+    told = every.join(clean).withColumns({"accuracy_drop": F.col("clean_accuracy") - F.col("accuracy"), "macro_f1_drop": F.col("clean_macro_f1") - F.col("macro_f1")})
+    return told.drop("clean_accuracy", "clean_macro_f1")
 
 
 def audit_report(df: DataFrame, columns: list[str], label: str, entity: str, split: str = "split") -> dict[str, DataFrame]:
-    """Violations, leakage, balance, class statistics and mutual information of a labelled table."""
-    return {"violations": M.validate_features(df, columns), "leakage": E.entity_leakage(df, entity, split), "balance": E.class_balance(df, label, split), "class_stats": E.class_feature_stats(df, columns, label), "information": E.mutual_information(df, columns, label)}
+    """Violations, leakage, balance, class statistics, mutual information, class centroids, folds by entity and single features of a labelled table."""
+    train, test = df.where(F.col(split) == "train"), df.where(F.col(split) == "test")
+    cv = M.cross_validate(df, columns, 3, label, 10, 5, group=entity)
+    return {"centroids": E.class_centroids(df, columns, label), "folds": E.fold_summary(E.long_metrics(cv)), "single_features": single_feature_baselines(train, test, columns, label), "violations": M.validate_features(df, columns), "leakage": E.entity_leakage(df, entity, split), "balance": E.class_balance(df, label, split), "class_stats": E.class_feature_stats(df, columns, label), "information": E.mutual_information(df, columns, label)}
 
 
 def save_model(model, path: str, metadata: DataFrame) -> None:
@@ -150,5 +181,7 @@ def save_model(model, path: str, metadata: DataFrame) -> None:
     metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_model(kind, path: str):
-    return kind.load(f"{path}/model")
+def load_model(kind, path: str, spark: SparkSession | None = None):
+    """The model; with a session, also its metadata as a table."""
+    model = kind.load(f"{path}/model")
+    return (model, spark.read.json(f"{path}/metadata")) if spark else model

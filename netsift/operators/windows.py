@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,24 @@ def burst_window(packets: DataFrame, seconds: float = 5.0, key: list[str] = ("sr
     return out.withColumn("burst_rate", F.col("burst_packets") / F.lit(float(seconds))).drop("__us")
 
 
+def burst_sources(packets: DataFrame, seconds: float = 5.0, key: list[str] = ("dst_ip",), source: str = "src_ip") -> DataFrame:
+    """How many packets the packet's own source has in the trailing window of the key, and how many sources there are.
+
+    A source's count is a frame over its own packets; the number of sources
+    is that of packets that are their source's last in the window.
+    """
+    df = packets.withColumn("__us", F.unix_micros("ts"))
+    width = int(seconds * 1e6)
+    own = Window.partitionBy(*key, source).orderBy("__us", "seq")
+    df = df.withColumns({"source_packets": F.count(F.lit(1)).over(_trailing([*key, source], seconds)), "__next": F.lead("__us").over(own)})
+    # a source is in the window of t while t lies in [its packet, that + width]: stretches that touch count once
+    ends = F.array(F.struct(F.col("__us").alias("t"), F.lit(1).alias("d")), F.struct(F.least(F.col("__us") + width + 1, F.coalesce("__next", F.col("__us") + width + 1)).alias("t"), F.lit(-1).alias("d")))
+    steps = df.select(*key, F.explode(ends).alias("e")).select(*key, F.col("e.t").alias("__us"), F.col("e.d").alias("d")).groupBy(*key, "__us").agg(F.sum("d").alias("d"))
+    upto = Window.partitionBy(*key).orderBy("__us").rowsBetween(Window.unboundedPreceding, 0)
+    levels = steps.withColumn("sources", F.sum("d").over(upto)).select(*key, "__us", "sources")
+    return df.join(levels, [*key, "__us"]).drop("__us", "__next")
+
+
 def timing_window(packets: DataFrame, seconds: float = 30.0, key: list[str] = ("src_ip",)) -> DataFrame:
     """Count, first and last time and the inter-arrival times (ms) of the trailing window."""
     w = _trailing(list(key), seconds)
@@ -44,16 +66,16 @@ def timing_window(packets: DataFrame, seconds: float = 30.0, key: list[str] = ("
 
 
 def baseline_window(packets: DataFrame, seconds: float = 300.0, bucket_seconds: float = 1.0, key: list[str] = ("src_ip",)) -> DataFrame:
-    """Per bucket: counts and bytes of the trailing buckets and the distinct sources and destinations in them.
+    """Per bucket: counts and bytes of the trailing buckets, one by one and summed, and the distinct sources and destinations in them.
 
     Packets are first summed by (key, bucket), so a flood costs one row per
     bucket; the frame is by bucket number and holds the cutoff bucket.
     """
     key = list(key)
     bucket = F.floor(F.unix_micros("ts") / (bucket_seconds * 1e6)).cast("long")
-    sums = packets.withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"), F.collect_set("dst_ip").alias("dsts"))
+    sums = packets.withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"), F.collect_set("dst_ip").alias("dsts"), F.collect_set("src_ip").alias("srcs"))
     w = Window.partitionBy(*key).orderBy("bucket").rangeBetween(-int(seconds // bucket_seconds), 0)
-    return sums.select(*key, "bucket", F.sum("n").over(w).alias("baseline_packets"), F.sum("bytes").over(w).alias("baseline_bytes"), F.count(F.lit(1)).over(w).alias("buckets"), F.size(F.array_distinct(F.flatten(F.collect_list("dsts").over(w)))).cast("long").alias("distinct_dst"))
+    return sums.select(*key, "bucket", F.sum("n").over(w).alias("baseline_packets"), F.sum("bytes").over(w).alias("baseline_bytes"), F.count(F.lit(1)).over(w).alias("buckets"), F.size(F.array_distinct(F.flatten(F.collect_list("dsts").over(w)))).cast("long").alias("distinct_dst"), F.size(F.array_distinct(F.flatten(F.collect_list("srcs").over(w)))).cast("long").alias("distinct_src"), F.collect_list("n").over(w).alias("bucket_packets"), F.collect_list("bytes").over(w).alias("bucket_bytes"))
 
 
 def window_snapshots(packets: DataFrame, every_n: int = 1, burst: float = 5.0, timing: float = 30.0, baseline: float = 300.0, key: list[str] = ("src_ip",)) -> DataFrame:
@@ -91,20 +113,40 @@ def first_seen_destination(pairs: DataFrame, entity: str = "src_ip", dst: str =
 def throttle(df: DataFrame, key: list[str], seconds: float = 1.0, tie: str = "seq") -> DataFrame:
     """Keep an event if at least ``seconds`` have passed since the last one kept of its key.
 
-    The choice is greedy and so sequential within a key; times are folded per
-    key after collapsing equal instants, of which only the first can be kept.
+    Of equal instants only the first can be kept. An instant at least the step
+    after the one before it is kept for certain, so each key is cut there;
+    the pieces are independent and spread over the tasks, which hop through
+    the sorted times of each from one kept event to the next. No piece is
+    gathered: rows stream through, with the last kept time carried along.
     """
     step = int(seconds * 1e6)
-    first = df.groupBy(*key, "ts").agg(F.min(tie).alias(tie))
-    times = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), F.col(tie).alias("tie")))).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def fold(acc, x):
-        keep = acc["last"].isNull() | (x["us"] - acc["last"] >= step)
-        return F.struct(F.when(keep, x["us"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["tie"].cast("long")))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = times.select(*key, F.explode(F.aggregate("t", start, fold)["kept"]).alias(tie))
-    return df.join(kept, [*key, tie], "left_semi")
+    first = df.groupBy(*key, "ts").agg(F.min(tie).alias("tie")).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), F.unix_micros("ts").alias("us"), "tie")
+    own = [f"k{i}" for i in range(len(key))]
+    order = Window.partitionBy(*own).orderBy("us")
+    certain = F.coalesce(F.col("us") - F.lag("us").over(order) >= step, F.lit(True))
+    pieces = first.withColumn("sure", certain).withColumn("piece", F.sum(F.col("sure").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.select(F.xxhash64(*own, "piece").alias("h"), "us", "sure", "tie", *own)
+
+    def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, last = None, 0
+        for batch in batches:
+            h, times = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sure = batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(sure | np.r_[True, h[1:] != h[:-1]])
+            kept = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+                if h[a] != piece or sure[a]:
+                    piece, at = h[a], a
+                else:
+                    at = a + int(np.searchsorted(times[a:b], last + step))
+                while at < b:
+                    kept.append(at)
+                    last = times[at]
+                    at += int(np.searchsorted(times[at:b], last + step))
+            yield batch.select(range(3, batch.num_columns)).take(pa.array(kept, pa.int64()))
+
+    kept = pieces.repartition("h").sortWithinPartitions("h", "us").mapInArrow(hop, pieces.select("tie", *own).schema)
+    return df.join(kept.toDF(tie, *key), [*key, tie], "left_semi")
 
 
 def rolling_entity_features(entity_flows: DataFrame, retention_seconds: float = 300.0, large: float = 1e6) -> DataFrame:

@@ -6,11 +6,13 @@ Events of one user are about seven hours apart, so durations are scaled: burst
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_dir
 from ..functions import scalars as S
 from ..operators import correlate as C
 from ..operators import detectors as D
@@ -21,6 +23,8 @@ from ..operators import graph as G
 from ..operators import ml as M
 from ..operators import runs as R
 from ..operators import windows as W
+from ..schemas import SCHEMAS
+from ..sources import tables as T
 from . import views as V
 
 H, DAY = 3600.0, 86400.0
@@ -145,9 +149,9 @@ def packet_periodicity(spark, d):
     return rounded(X.packet_periodicity(V.packets(spark, d), ["src_ip"]).select("src_ip", "iats", "jitter_pct", "periodicity_score"))
 
 
-@query("temporal_of_last_flow", GAPS + ", z AS (SELECT src_ip, arg_max(dst_ip, (us, seq)) AS dst_ip FROM packets GROUP BY ALL) SELECT src_ip, n AS observations, dst_ip FROM a JOIN z USING (src_ip)")
+@query("temporal_of_last_flow", GAPS + ", z AS (SELECT src_ip, arg_max(dst_ip, (us, seq)) AS dst_ip FROM packets GROUP BY ALL) SELECT src_ip, n AS observations, dst_ip, round(m, 3) AS inter_arrival_mean_ms, round(CASE WHEN m = 0 THEN 0 ELSE sd / m * 100 END, 6) AS jitter_pct FROM a JOIN z USING (src_ip)")
 def temporal_of_last_flow(spark, d):
-    return X.temporal_features_of_last_flow(V.packets(spark, d), ["src_ip"], ["dst_ip"]).select("src_ip", "observations", "dst_ip")
+    return X.temporal_features_of_last_flow(V.packets(spark, d), ["src_ip"], ["dst_ip"]).select("src_ip", "observations", "dst_ip", F.round("inter_arrival_mean_ms", 3).alias("inter_arrival_mean_ms"), F.round("jitter_pct", 6).alias("jitter_pct"))
 
 
 RANGE = "(PARTITION BY src_ip ORDER BY us RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
@@ -158,18 +162,26 @@ def burst_window(spark, d):
     return W.burst_window(V.packets(spark, d), 6 * H).select("seq", "burst_packets", "burst_bytes", "burst_syn", "burst_ack", F.round("burst_rate", 9).alias("burst_rate"))
 
 
-@query("timing_window", f"WITH t AS (SELECT seq, list_sort(list(us) OVER w) AS t FROM packets WINDOW w AS {RANGE.format(86400000000)}) SELECT seq, CAST(len(t) AS BIGINT) AS timing_count, t[1] AS first_us, t[-1] AS last_us, round((t[-1] - t[1]) / 1000, 3) AS iat_sum FROM t")
+@query("timing_window", f"WITH t AS (SELECT seq, list_sort(list(us) OVER w) AS t FROM packets WINDOW w AS {RANGE.format(86400000000)}) SELECT seq, CAST(len(t) AS BIGINT) AS timing_count, t[1] AS first_us, t[-1] AS last_us, array_to_string(list_transform(range(1, len(t)), lambda i: t[i + 1] - t[i]), ',') AS gaps FROM t")
 def timing_window(spark, d):
-    total = F.round(F.aggregate("iats_ms", F.lit(0.0), lambda s, x: s + x), 3)
-    return W.timing_window(V.packets(spark, d), DAY).select("seq", "timing_count", "first_us", "last_us", total.alias("iat_sum"))
+    gaps = F.array_join(F.transform("iats_ms", lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
+    return W.timing_window(V.packets(spark, d), DAY).select("seq", "timing_count", "first_us", "last_us", gaps.alias("gaps"))
 
 
 @query("baseline_window", """
 WITH b AS (SELECT src_ip, us // 3600000000 AS bucket, count(*) AS n, sum(packet_length) AS bytes, list(DISTINCT dst_ip) AS dsts FROM packets GROUP BY ALL)
-SELECT src_ip, bucket, CAST(sum(n) OVER w AS BIGINT) AS baseline_packets, CAST(sum(bytes) OVER w AS BIGINT) AS baseline_bytes, count(*) OVER w AS buckets, CAST(len(list_distinct(flatten(list(dsts) OVER w))) AS BIGINT) AS distinct_dst
+SELECT src_ip, bucket, CAST(sum(n) OVER w AS BIGINT) AS baseline_packets, CAST(sum(bytes) OVER w AS BIGINT) AS baseline_bytes, count(*) OVER w AS buckets, CAST(len(list_distinct(flatten(list(dsts) OVER w))) AS BIGINT) AS distinct_dst, 1::BIGINT AS distinct_src, array_to_string(list(n) OVER w, ',') AS bucket_packets
 FROM b WINDOW w AS (PARTITION BY src_ip ORDER BY bucket RANGE BETWEEN 168 PRECEDING AND CURRENT ROW)""")
 def baseline_window(spark, d):
-    return W.baseline_window(V.packets(spark, d), 7 * DAY, H)
+    b = W.baseline_window(V.packets(spark, d), 7 * DAY, H)
+    return b.drop("bucket_bytes").withColumn("bucket_packets", F.array_join("bucket_packets", ","))
+
+
+@query("burst_sources", """
+SELECT p.seq, count(*) FILTER (q.src_ip = p.src_ip) AS source_packets, count(DISTINCT q.src_ip) AS sources
+FROM packets p JOIN packets q ON q.dst_ip = p.dst_ip AND q.dst_port = p.dst_port AND q.us BETWEEN p.us - 3600000000 AND p.us GROUP BY p.seq""")
+def burst_sources(spark, d):
+    return W.burst_sources(V.packets(spark, d), H, ["dst_ip", "dst_port"]).select("seq", "source_packets", "sources")
 
 
 @query("window_snapshots", f"""
@@ -204,10 +216,11 @@ def flow_direction(spark, d):
 @query("rolling_entity_features", ENDS + """
 SELECT seq, entity, CAST(sum(CAST(outbound AS INTEGER)) OVER w AS BIGINT) AS flows_out, CAST(sum(CASE WHEN outbound THEN byte_count ELSE 0 END) OVER w AS BIGINT) AS bytes_out, CAST(sum(CASE WHEN outbound THEN 0 ELSE byte_count END) OVER w AS BIGINT) AS bytes_in,
        CAST(len(list_distinct(list(CASE WHEN outbound THEN dst_ip END) OVER w)) AS BIGINT) AS distinct_dst_ips, CAST(len(list_distinct(list(CASE WHEN outbound THEN dst_port END) OVER w)) AS BIGINT) AS distinct_dst_ports,
-       coalesce(max(CASE WHEN outbound THEN byte_count END) OVER w, 0) AS max_bytes
+       coalesce(max(CASE WHEN outbound THEN byte_count END) OVER w, 0) AS max_bytes, count(*) FILTER (NOT outbound) OVER w AS flows_in,
+       count(*) FILTER (outbound AND (byte_count = 0 OR (rst_count > 0 AND byte_count < 64))) OVER w AS failed, count(*) FILTER (outbound AND byte_count >= 1000000) OVER w AS large_transfers
 FROM e WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)""")
 def rolling_entity_features(spark, d):
-    return W.rolling_entity_features(L.explode_entities(V.flows(spark, d)), 7 * DAY).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips", "distinct_dst_ports", "max_bytes")
+    return W.rolling_entity_features(L.explode_entities(V.flows(spark, d)), 7 * DAY).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips", "distinct_dst_ports", "max_bytes", "flows_in", "failed", "large_transfers")
 
 
 @query("pps_zscore", """
@@ -271,6 +284,12 @@ def entity_profiles(spark, d):
     return p.withColumns({"first_seen": F.unix_micros("first_seen"), "last_seen": F.unix_micros("last_seen")})
 
 
+@query("entity_fingerprints", "SELECT entity, min(us) AS first_seen, max(us) AS last_seen, count(*) AS observations, count(DISTINCT ja3) AS known_ja3, count(DISTINCT ja4) AS known_ja4, count(DISTINCT sni) AS known_domains FROM ctx GROUP BY ALL")
+def entity_fingerprints(spark, d):
+    p = X.entity_profiles(V.contexts(spark, d))
+    return p.withColumns({"first_seen": F.unix_micros("first_seen"), "last_seen": F.unix_micros("last_seen")})
+
+
 @query("most_recent_entities", "WITH p AS (SELECT src_ip AS entity, max(us) AS last_seen FROM flows GROUP BY ALL) SELECT entity, last_seen FROM p WHERE last_seen >= (SELECT max(last_seen) FROM p) - 86400000000 ORDER BY last_seen DESC, entity LIMIT 20")
 def most_recent_entities(spark, d):
     p = X.entity_profiles(V.flows(spark, d).withColumnRenamed("src_ip", "entity"))
@@ -342,14 +361,17 @@ C2_SCORE = f"CASE WHEN periodicity IS NULL OR jitter IS NULL THEN 0 WHEN observa
 C2_CONF = f"CASE WHEN periodicity IS NULL OR jitter IS NULL THEN 0 WHEN observations < 5 THEN least({C2_FULL}, 0.3) ELSE least({C2_FULL}, 0.85) END"
 ENC_SCORE = "CASE WHEN ja3 IS NULL AND sni IS NULL AND alpn IS NULL THEN 0 ELSE 0.3 * (CASE WHEN ja3 IS NOT NULL AND sni IS NULL THEN 0.5 ELSE 0 END + CASE WHEN sni IS NOT NULL AND alpn IS NULL THEN 0.2 ELSE 0 END) + 0.7 * coalesce(least(least(periodicity * 0.7, 0.7) + CASE WHEN jitter < 50 THEN 0.3 * (1 - jitter / 50) ELSE 0 END, 1), 0) END"
 ENC_CONF = f"({ENC_SCORE}) * ((CAST(ja3 IS NOT NULL AS INTEGER) + CAST(sni IS NOT NULL AS INTEGER) + CAST(alpn IS NOT NULL AS INTEGER)) / 4.0) * 0.85"
+ZSCORE = "CASE WHEN sd >= 0.00001 THEN greatest(0, (pps - m) / sd) WHEN m > 0 THEN greatest(0, (pps - m) / greatest(m, 1)) WHEN pps <= 10 THEN 0 ELSE pps / 10 END"
+ZWINDOW = "(PARTITION BY entity ORDER BY us, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 SIG = f"""
-WITH d AS (SELECT *, {DDOS} AS c_ddos, {C2_CONF} AS c_c2, {C2_SCORE} AS s_c2, {ENC_SCORE} AS s_enc, {ENC_CONF} AS c_enc FROM ctx),
+WITH d AS (SELECT *, {ZSCORE} AS z, {DDOS} AS c_ddos, {C2_CONF} AS c_c2, {C2_SCORE} AS s_c2, {ENC_SCORE} AS s_enc, {ENC_CONF} AS c_enc FROM (SELECT *, avg(pps) OVER h AS m, coalesce(stddev_samp(pps) OVER h, 0) AS sd FROM ctx WINDOW h AS {ZWINDOW})),
 sig AS (
-  SELECT seq, us, entity, target, 0 AS o, 'VOLUMETRIC_DDOS' AS threat_class, c_ddos AS confidence, CASE WHEN c_ddos >= 0.9 THEN 'CRITICAL' ELSE {_band('c_ddos')} END AS severity FROM d
-  UNION ALL SELECT seq, us, entity, target, 1, 'BOTNET_C2_BEACONING', c_c2, {_band('c_c2')} FROM d
-  UNION ALL SELECT seq, us, entity, target, 2, 'ENCRYPTED_MALWARE', c_enc, {_band('c_enc')} FROM d
+  SELECT seq, us, entity, target, 0 AS o, 'VOLUMETRIC_DDOS' AS threat_class, c_ddos AS confidence, CASE WHEN c_ddos >= 0.9 THEN 'CRITICAL' ELSE {_band('c_ddos')} END AS severity, z FROM d
+  UNION ALL SELECT seq, us, entity, target, 1, 'BOTNET_C2_BEACONING', c_c2, {_band('c_c2')}, z FROM d
+  UNION ALL SELECT seq, us, entity, target, 2, 'ENCRYPTED_MALWARE', c_enc, {_band('c_enc')}, z FROM d
 )
 """
+FAR = "CASE WHEN {0} > 2 THEN least(0.15, 0.03 * ({0} - 2)) ELSE 0 END"
 
 
 def _detected(spark, d, name, keep=("seq",)):
@@ -402,10 +424,10 @@ def detect_exfil(spark, d):
 
 def signals(spark, d):
     """Three detectors over the contexts, with what correlation needs."""
-    keep = ("entity", "ts", "seq", "target")
-    s = D.run_detectors(V.contexts(spark, d), ["ddos", "c2", "encrypted"], keep=keep)
+    keep = ("entity", "ts", "seq", "target", "zscore")
+    s = D.run_detectors(W.pps_zscore(V.contexts(spark, d)), ["ddos", "c2", "encrypted"], keep=keep)
     kind = F.when(F.col("threat_class") == "VOLUMETRIC_DDOS", "DETERMINISTIC_BASELINE").otherwise("LIGHTWEIGHT_ML")
-    return s.withColumn("detector_type", kind).withColumn("zscore", F.lit(0.0)).withColumn("signal_id", S.stable_id("sig-", "seq", "detector_order"))
+    return s.withColumn("detector_type", kind).withColumn("signal_id", S.stable_id("sig-", "seq", "detector_order"))
 
 
 @query("run_detectors", SIG + "SELECT seq, threat_class, round(confidence, 10) AS confidence, severity, o AS detector_order FROM sig")
@@ -423,9 +445,9 @@ def top_signal(spark, d):
     return rounded(D.top_signal(signals(spark, d), ("seq",)))
 
 
-GROUPS = SIG + """, act AS (SELECT *, CASE WHEN threat_class = 'VOLUMETRIC_DDOS' THEN 'DETERMINISTIC_BASELINE' ELSE 'LIGHTWEIGHT_ML' END AS dt FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'),
+GROUPS = SIG + f""", act AS (SELECT *, CASE WHEN threat_class = 'VOLUMETRIC_DDOS' THEN 'DETERMINISTIC_BASELINE' ELSE 'LIGHTWEIGHT_ML' END AS dt FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'),
 grp AS (SELECT *, CAST(sum(CASE WHEN us - prev > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us, o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM (SELECT *, lag(us) OVER (PARTITION BY entity ORDER BY us, o) AS prev FROM act)),
-rk AS (SELECT entity, group_no, count(*) AS signals, count(DISTINCT threat_class) AS classes, least(0.99, max(confidence) + least(0.25, 0.1 * (count(DISTINCT threat_class) - 1)) + CASE WHEN count(DISTINCT dt) > 1 THEN 0.1 ELSE 0 END) AS risk, bool_or(severity = 'CRITICAL') AS cr, bool_or(severity = 'HIGH') AS hi FROM grp GROUP BY ALL)
+rk AS (SELECT entity, group_no, count(*) AS signals, count(DISTINCT threat_class) AS classes, least(0.99, max(confidence) + least(0.25, 0.1 * (count(DISTINCT threat_class) - 1)) + CASE WHEN count(DISTINCT dt) > 1 THEN 0.1 ELSE 0 END + {FAR.format('max(z)')}) AS risk, bool_or(severity = 'CRITICAL') AS cr, bool_or(severity = 'HIGH') AS hi FROM grp GROUP BY ALL)
 """
 
 
@@ -446,7 +468,7 @@ def composite_risk(spark, d):
     return rounded(C.composite_risk(grouped(spark, d)))
 
 
-PROGRESS = GROUPS + """, pr AS (SELECT seq, o, us, entity, group_no, threat_class, least(0.99, max(confidence) OVER w + least(0.25, 0.1 * (len(list_distinct(list(threat_class) OVER w)) - 1)) + CASE WHEN len(list_distinct(list(dt) OVER w)) > 1 THEN 0.1 ELSE 0 END) AS running_risk FROM grp
+PROGRESS = GROUPS + f""", pr AS (SELECT seq, o, us, entity, group_no, threat_class, least(0.99, max(confidence) OVER w + least(0.25, 0.1 * (len(list_distinct(list(threat_class) OVER w)) - 1)) + CASE WHEN len(list_distinct(list(dt) OVER w)) > 1 THEN 0.1 ELSE 0 END + {FAR.format('z')}) AS running_risk FROM grp
 WINDOW w AS (PARTITION BY entity, group_no ORDER BY us, o ROWS UNBOUNDED PRECEDING))
 """
 
@@ -486,10 +508,13 @@ inci AS (SELECT *, 'INC-' || substr(sha256(concat_ws('|', entity, group_no, firs
 """
 
 
-@query("incidents", INC + f"SELECT incident_id, entity, first_us, last_us, stages, main_class, round(risk, 6) AS risk, {RISK_SEVERITY} AS severity FROM inci")
+ACTION = "CASE main_class WHEN 'BOTNET_C2_BEACONING' THEN 'Isolate host endpoint; perform memory and process inspection for persistent C2 implant.' WHEN 'ENCRYPTED_MALWARE' THEN 'Correlate host process hash with JA3/JA4 fingerprint and terminate suspect process.' ELSE 'Apply traffic rate limiting and upstream filter rules at gateway edge.' END"
+
+
+@query("incidents", INC + f"SELECT incident_id, entity, first_us, last_us, stages, main_class, {ACTION} AS recommended_action, round(risk, 6) AS risk, {RISK_SEVERITY} AS severity FROM inci")
 def incidents(spark, d):
     i = incidents_of(grouped(spark, d))
-    return i.select("incident_id", "entity", us("first_seen", "first_us"), us("last_seen", "last_us"), F.array_join("stages", ",").alias("stages"), "main_class", F.round("risk", 6).alias("risk"), "severity")
+    return i.select("incident_id", "entity", us("first_seen", "first_us"), us("last_seen", "last_us"), F.array_join("stages", ",").alias("stages"), "main_class", "recommended_action", F.round("risk", 6).alias("risk"), "severity")
 
 
 @query("alerts", INC + "SELECT seq, o AS detector_order, 'ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8) AS alert_id, incident_id FROM grp JOIN inci USING (entity, group_no)")
@@ -589,9 +614,9 @@ def summary_metrics(spark, d):
     return rounded(E.summary_metrics(E.class_metrics(cm_of(spark, d))))
 
 
-@query("binary_anomaly", "WITH c AS (SELECT count(*) FILTER (truth <> 'BENIGN' AND predicted <> 'BENIGN') AS tp, count(*) FILTER (truth = 'BENIGN' AND predicted <> 'BENIGN') AS fp, count(*) FILTER (truth <> 'BENIGN' AND predicted = 'BENIGN') AS fn, count(*) FILTER (truth = 'BENIGN' AND predicted = 'BENIGN') AS tn FROM decisions) SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_alarm_rate FROM c")
+@query("binary_anomaly", "WITH c AS (SELECT count(*) FILTER (truth <> 'BENIGN' AND predicted <> 'BENIGN') AS tp, count(*) FILTER (truth = 'BENIGN' AND predicted <> 'BENIGN') AS fp, count(*) FILTER (truth <> 'BENIGN' AND predicted = 'BENIGN') AS fn, count(*) FILTER (truth = 'BENIGN' AND predicted = 'BENIGN') AS tn FROM decisions) SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_alarm_rate, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c")
 def binary_anomaly(spark, d):
-    return rounded(E.binary_anomaly_metrics(V.decisions(spark, d)).drop("f1"))
+    return rounded(E.binary_anomaly_metrics(V.decisions(spark, d)))
 
 
 @query("latency_percentiles", "WITH n AS (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS i FROM decisions) SELECT count(*) AS total, median(latency) AS median, max(latency) FILTER (i = (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM decisions)) AS p95 FROM n")
@@ -643,9 +668,9 @@ def category_concentration(spark, d):
 WITH l AS (SELECT l_returnflag AS label, unnest([{'f': 'l_quantity', 'v': CAST(l_quantity AS DOUBLE)}, {'f': 'l_extendedprice', 'v': CAST(l_extendedprice AS DOUBLE)}]) AS p FROM lineitem),
 e AS (SELECT p.f AS feature, min(p.v) AS lo, max(p.v) AS hi FROM l GROUP BY ALL), c AS (SELECT feature, label, least(9, floor((p.v - lo) / ((hi - lo) / 10))) AS bin, count(*) AS n FROM l JOIN e ON p.f = feature GROUP BY ALL),
 z AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, label) AS nl, sum(n) OVER (PARTITION BY feature) AS total FROM c)
-SELECT feature, round(sum(n / total * log2(n * total / (nb * nl))), 6) AS mi FROM z GROUP BY feature""", views=False)
+SELECT feature, round(sum(n / total * log2(n * total / (nb * nl))), 6) AS mi, sum(n / total * log2(n * total / (nb * nl))) > 0.85 * max(sum(n / total * log2(n * total / (nb * nl)))) OVER () AS flagged FROM z GROUP BY feature""", views=False)
 def mutual_information(spark, d):
-    return rounded(E.mutual_information(V.read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag").select("feature", "mi"))
+    return rounded(E.mutual_information(V.read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag").select("feature", "mi", "flagged"))
 
 
 @query("split_overlap", f"WITH {ITEMS} SELECT l_partkey FROM li WHERE split = 'train' INTERSECT SELECT l_partkey FROM li WHERE split = 'test'", views=False)
@@ -697,46 +722,49 @@ def validate_features(spark, d):
 
 
 def vectors(spark, d):
+    """The labelled embeddings, a column for each component, and the columns' names."""
     e = V.read(spark, d, "embeddings").where("label is not null")
-    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)))
-
-
-XS = [f"x{i}" for i in range(16)]
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(width)]
+    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names))), names
 
 
 @query("forest_predictions")
 def forest_predictions(spark, d):
-    v = vectors(spark, d)
-    model = M.train_forest(v.where("id % 5 <> 0"), XS, trees=20, depth=8)
-    return M.predict_classes(model, v, XS).select("id", "label", "class_index", F.round("class_confidence", 6).alias("confidence"), "is_threat")
+    v, xs = vectors(spark, d)
+    model = M.train_forest(v.where("id % 5 <> 0"), xs, trees=20, depth=8)
+    return M.predict_classes(model, v, xs).select("id", "label", "class_index", F.round("class_confidence", 6).alias("confidence"), "is_threat")
 
 
 @query("boosted_predictions")
 def boosted_predictions(spark, d):
-    v = vectors(spark, d).withColumn("label", F.col("label") % 3)
-    models = M.train_boosted(v.where("id % 5 <> 0"), XS, classes=3, rounds=5, depth=3)
-    return M.predict_boosted(models, v, XS).select("id", "label", "class_index", F.round("class_confidence", 6).alias("confidence"))
+    v, xs = vectors(spark, d)
+    models = M.train_boosted(v.where("id % 5 <> 0"), xs, rounds=5, depth=3)
+    return M.predict_boosted(models, v, xs).select("id", "label", "class_index", F.round("class_confidence", 6).alias("confidence"))
 
 
 @query("anomaly_scores")
 def anomaly_scores(spark, d):
-    v = vectors(spark, d)
-    return M.anomaly_scores(M.train_isolation_forest(v, XS, trees=50), v).select("id", F.round("decision", 6).alias("decision"), "is_anomaly", "anomaly_confidence")
+    v, xs = vectors(spark, d)
+    return M.anomaly_scores(M.train_isolation_forest(v, xs, trees=50), v).select("id", F.round("decision", 6).alias("decision"), "is_anomaly", "anomaly_confidence")
 
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    return M.cross_validate(vectors(spark, d), XS, k=3, trees=10, depth=5)
+    v, xs = vectors(spark, d)
+    return M.cross_validate(v, xs, k=3, trees=10, depth=5)
 
 
 @query("combine_ml")
 def combine_ml(spark, d):
-    v = vectors(spark, d).withColumnRenamed("id", "sample_id")
-    model = M.train_forest(v, XS, trees=10, depth=5)
-    names = F.array(*map(F.lit, M.CLASS_NAMES))
-    classified = M.predict_classes(model, v, XS).select("sample_id", F.least("class_index", F.lit(6)).alias("class_index"), "class_confidence").withColumn("class_name", F.element_at(names, F.col("class_index") + 1))
-    odd = M.anomaly_scores(M.train_isolation_forest(v.withColumnRenamed("sample_id", "id"), XS, trees=20), v).select("sample_id", "is_anomaly", "anomaly_confidence")
-    return C.combine_ml(classified, odd).select("sample_id", "threat_class", "detector_type", F.round("confidence", 6).alias("confidence"))
+    v, xs = vectors(spark, d)
+    v = v.withColumnRenamed("id", "sample_id")
+    model = M.train_forest(v, xs, trees=10, depth=5)
+    # the table has more labels than there are threats: those beyond go by their number
+    names = F.coalesce(F.try_element_at(F.array(*map(F.lit, M.CLASS_NAMES)), F.col("class_index") + 1), F.concat(F.lit("CLASS_"), F.col("class_index").cast("string")))
+    classified = M.predict_classes(model, v, xs).select("sample_id", "class_index", "class_confidence").withColumn("class_name", names)
+    odd = M.anomaly_scores(M.train_isolation_forest(v.withColumnRenamed("sample_id", "id"), xs, trees=20), v).select("sample_id", "is_anomaly", "anomaly_confidence")
+    return C.combine_ml(classified, odd).select("sample_id", "threat_class", "detector_type", F.round("confidence", 6).alias("confidence"), "severity")
 
 
 @query("entity_events", SIG + """, w AS (SELECT entity, seq, us, pps, avg(pps) OVER h AS m, coalesce(stddev_samp(pps) OVER h, 0) AS sd FROM ctx WINDOW h AS (PARTITION BY entity ORDER BY us, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
@@ -755,20 +783,102 @@ def batch_entity_features(spark, d):
     return b.select("entity", "flow_count", "outbound_bytes", "inbound_bytes", "destinations", F.round("outbound_rate", 6).alias("outbound_rate"), "unique_dst_ports")
 
 
-@query("run_pipeline", INC + """SELECT 'packets' AS counter, count(*) AS n FROM packets UNION ALL SELECT 'alerts', count(*) FROM grp UNION ALL SELECT 'incidents', count(*) FROM inci UNION ALL SELECT 'signals', count(*) FROM grp""")
+FLOW = "PARTITION BY src_ip, dst_ip, dst_port, protocol, session ORDER BY us, seq"
+FAILED = {"reset": "fbytes = 0 OR (frst > 0 AND fbytes < 64)", "half_open": "fbytes = 0 OR (fsyn > 0 AND fack = 0)"}
+
+
+def _packet_contexts(rule: str) -> str:
+    return SESSIONS + f""", p1 AS (
+  SELECT *, count(*) OVER w AS observations, sum(packet_length) OVER w AS fbytes, sum(tcp_syn) OVER w AS fsyn, sum(tcp_ack) OVER w AS fack, sum(tcp_rst) OVER w AS frst, min(us) OVER w AS start_us, (us - lag(us) OVER ({FLOW})) / 1000 AS iat
+  FROM s WINDOW w AS ({FLOW} ROWS UNBOUNDED PRECEDING)
+),
+p2 AS (
+  SELECT *, count(iat) OVER w AS iats, avg(iat) OVER w AS mean, stddev_pop(iat) OVER w AS std, CAST({FAILED[rule]} AS INTEGER) AS failed_now,
+         CAST(row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY us, seq) = 1 AS INTEGER) AS new_ip, CAST(row_number() OVER (PARTITION BY src_ip, dst_port ORDER BY us, seq) = 1 AS INTEGER) AS new_port
+  FROM p1 WINDOW w AS ({FLOW} ROWS UNBOUNDED PRECEDING)
+),
+p3 AS (SELECT *, failed_now - coalesce(lag(failed_now) OVER ({FLOW}), 0) AS change FROM p2),
+p4 AS (
+  SELECT seq, us, src_ip AS entity, dst_ip AS target, true AS outbound, packet_length, observations, fbytes, fsyn, start_us, iats, mean, std, new_ip, new_port, CAST(observations = 1 AS INTEGER) AS new_flow, change FROM p3
+  UNION ALL SELECT seq, us, dst_ip, NULL, false, packet_length, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0 FROM p3
+),
+p5 AS (
+  SELECT *, sum(new_flow) OVER w AS flow_count, sum(new_ip) OVER w AS ips, sum(new_port) OVER w AS ports, sum(change) OVER w AS failed, sum(CASE WHEN outbound THEN packet_length ELSE 0 END) OVER w AS outbound_bytes,
+         sum(CASE WHEN outbound THEN 0 ELSE packet_length END) OVER w AS inbound_bytes, min(CASE WHEN outbound THEN us END) OVER w AS first_us
+  FROM p4 WINDOW w AS (PARTITION BY entity ORDER BY us, seq, outbound DESC ROWS UNBOUNDED PRECEDING)
+),
+pc AS (
+  SELECT seq, us, entity, target, observations, coalesce(observations / nullif((us - start_us) / 1e6, 0), 0) AS pps, fsyn / observations AS syn_ratio,
+         CASE WHEN iats >= 3 THEN CASE WHEN mean = 0 THEN 0 ELSE std / mean * 100 END END AS jitter, flow_count, ips, ports, failed, outbound_bytes, inbound_bytes, greatest(1.0, (us - first_us) / 1e6) AS life
+  FROM p5 WHERE outbound
+),
+pd AS (SELECT *, CASE WHEN jitter IS NOT NULL THEN greatest(0, least(1, 1 - jitter / 50)) END AS periodicity, CASE WHEN inbound_bytes > 0 THEN outbound_bytes / greatest(1.0, inbound_bytes) WHEN outbound_bytes > 10000 THEN 100.0 ELSE 1.0 END AS ratio FROM pc),
+pe AS (
+  SELECT *, {DDOS} AS c_ddos, {C2_CONF} AS c_c2, 0.35 * {_ramp('ips', 3.0, 30.0)} + 0.35 * {_ramp('ports', 5.0, 100.0)} + 0.2 * {_ramp('flow_count / life', 0.5, 20.0)} + 0.1 * {_ramp('failed / flow_count', 0.3, 0.9)} AS s_recon,
+         0.35 * {_ramp('outbound_bytes', 1e7, 5e8)} + 0.3 * {_ramp('outbound_bytes / life', 1e5, 1e7)} + 0.25 * {_ramp('ratio', 2.0, 50.0)} AS s_exfil, avg(pps) OVER h AS m, coalesce(stddev_samp(pps) OVER h, 0) AS sd
+  FROM pd WINDOW h AS {ZWINDOW}
+),
+pf AS (SELECT *, {ZSCORE} AS z, CASE WHEN flow_count >= 3 THEN s_recon * 0.9 ELSE 0.1 END AS c_recon, CASE WHEN flow_count >= 3 THEN s_exfil * 0.9 ELSE 0 END AS c_exfil FROM pe),
+ps AS (
+  SELECT seq, us, entity, 0 AS o, 'VOLUMETRIC_DDOS' AS threat_class, c_ddos AS confidence, CASE WHEN c_ddos >= 0.9 THEN 'CRITICAL' ELSE {_band('c_ddos')} END AS severity, z, 'DETERMINISTIC_BASELINE' AS dt FROM pf
+  UNION ALL SELECT seq, us, entity, 1, 'BOTNET_C2_BEACONING', c_c2, {_band('c_c2')}, z, 'DETERMINISTIC_BASELINE' FROM pf
+  UNION ALL SELECT seq, us, entity, 2, 'RECON_PORT_SCAN', c_recon, CASE WHEN flow_count >= 3 THEN {_band('c_recon')} ELSE 'INFO' END, z, 'DETERMINISTIC_BASELINE' FROM pf
+  UNION ALL SELECT seq, us, entity, 3, 'DATA_EXFILTRATION', c_exfil, {_band('c_exfil')}, z, 'DETERMINISTIC_BASELINE' FROM pf
+)
+"""
+
+
+ALL_RULES = ["ddos", "c2", "recon", "exfil"]
+
+
+@query("packet_contexts", _packet_contexts("reset") + "SELECT seq, entity, target, observations, round(pps, 9) AS pps, round(syn_ratio, 6) AS syn_ratio, round(jitter, 6) AS jitter, round(periodicity, 6) AS periodicity, CAST(flow_count AS BIGINT) AS flow_count, CAST(ips AS BIGINT) AS unique_dst_ips, CAST(ports AS BIGINT) AS unique_dst_ports, round(failed / flow_count, 6) AS failed_ratio, round(flow_count / life, 9) AS connection_rate, CAST(outbound_bytes AS BIGINT) AS outbound_bytes, round(ratio, 6) AS up_down_ratio FROM pd")
+def packet_contexts(spark, d):
+    c = X.packet_contexts(V.packets(spark, d), 12 * H)
+    six = {n: F.round(n, 6) for n in ("syn_ratio", "jitter", "periodicity", "failed_ratio", "up_down_ratio")} | {n: F.round(n, 9) for n in ("pps", "connection_rate")}
+    return c.withColumns(six).select("seq", "entity", "target", "observations", "pps", "syn_ratio", "jitter", "periodicity", "flow_count", "unique_dst_ips", "unique_dst_ports", "failed_ratio", "connection_rate", "outbound_bytes", "up_down_ratio")
+
+
+PIPE = _packet_contexts("reset") + f""", ml AS (SELECT seq, us, entity, 9 AS o, 'UNKNOWN_ANOMALY' AS threat_class, least(1, z / 10) AS confidence, {_band('least(1, z / 10)')} AS severity, z, 'UNSUPERVISED_ANOMALY' AS dt FROM pf),
+act AS (SELECT * FROM (SELECT * FROM ps UNION ALL SELECT * FROM ml) WHERE confidence >= 0.1 AND severity <> 'INFO'),
+grp AS (SELECT *, CAST(sum(CASE WHEN us - prev > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us, o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM (SELECT *, lag(us) OVER (PARTITION BY entity ORDER BY us, o) AS prev FROM act)),
+rk AS (SELECT entity, group_no, count(*) AS signals, min(us) AS first_us, max(us) AS last_us, least(0.99, max(confidence) + least(0.25, 0.1 * (count(DISTINCT threat_class) - 1)) + CASE WHEN count(DISTINCT dt) > 1 THEN 0.1 ELSE 0 END + {FAR.format('max(z)')}) AS risk, bool_or(severity = 'CRITICAL') AS cr, bool_or(severity = 'HIGH') AS hi, arg_max(threat_class, (confidence, -us, -o)) AS main_class,
+  array_to_string(list(threat_class ORDER BY us, o), ',') AS classes FROM grp GROUP BY ALL)
+"""
+
+
+def piped(spark, d):
+    def anomalies(contexts):
+        """Deviation alone as a second kind of detector."""
+        c = F.least(F.lit(1.0), F.col("zscore") / 10)
+        keep = ("entity", "ts", "seq", "target", "zscore")
+        return contexts.select(*keep, F.lit(9).alias("detector_order"), F.lit("ok").alias("status"), F.lit("UNKNOWN_ANOMALY").alias("threat_class"), F.lit("deviation").alias("detector"), c.alias("score"), c.alias("confidence"), S.severity_band(c).alias("severity"), F.array().cast("array<string>").alias("reasons"), F.lit("UNSUPERVISED_ANOMALY").alias("detector_type"))
+
+    return R.run_pipeline(V.packets(spark, d), DAY, 12 * H, ALL_RULES, anomalies)
+
+
+@query("run_pipeline", PIPE + """SELECT 'packets' AS counter, count(*) AS n FROM packets UNION ALL SELECT 'flows', count(*) FROM f UNION ALL SELECT 'alerts', count(*) FROM grp UNION ALL SELECT 'incidents', count(*) FROM rk UNION ALL SELECT 'signals', count(*) FROM grp""")
 def run_pipeline(spark, d):
-    out = R.run_pipeline(V.packets(spark, d), V.contexts(spark, d), DAY, "12 hours", ["ddos", "c2", "encrypted"])
-    return out["stats"].where("counter <> 'flows'")
+    return piped(spark, d)["stats"]
+
+
+RISKS = "CASE WHEN round(risk, 9) >= 0.9 OR cr THEN 'CRITICAL' WHEN round(risk, 9) >= 0.7 OR hi THEN 'HIGH' WHEN round(risk, 9) >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END"
+LIFE = "CASE x WHEN 'VOLUMETRIC_DDOS' THEN 'IMPACT_DENIAL_OF_SERVICE' WHEN 'BOTNET_C2_BEACONING' THEN 'C2_ESTABLISHMENT' WHEN 'RECON_PORT_SCAN' THEN 'RECONNAISSANCE' WHEN 'DATA_EXFILTRATION' THEN 'EXFILTRATION' ELSE 'ANOMALOUS_BEHAVIOUR' END"
+
 
+@query("pipeline_incidents", PIPE + f"SELECT entity, group_no, signals, first_us, last_us, round(risk, 6) AS risk, main_class, array_to_string(list_transform(string_split(classes, ','), lambda x: {LIFE}), ',') AS stages FROM rk")
+def pipeline_incidents(spark, d):
+    i = piped(spark, d)["incidents"]
+    return i.select("entity", "group_no", "signals", us("first_seen", "first_us"), us("last_seen", "last_us"), F.round("risk", 6).alias("risk"), "main_class", F.array_join("stages", ",").alias("stages"))
 
-@query("evaluate_captures", SIG + """, n AS (SELECT seq, us, entity, row_number() OVER (PARTITION BY entity ORDER BY us, seq) AS no FROM ctx),
+
+@query("evaluate_captures", _packet_contexts("half_open") + """, n AS (SELECT seq, us, src_ip AS entity, row_number() OVER (PARTITION BY src_ip ORDER BY us, seq) AS no FROM packets),
 k AS (SELECT entity, no, seq, us, us AS last, true AS kept FROM n WHERE no = 1 UNION ALL
   SELECT n.entity, n.no, n.seq, n.us, CASE WHEN n.us - k.last >= 43200000000 THEN n.us ELSE k.last END, n.us - k.last >= 43200000000 FROM k JOIN n ON n.entity = k.entity AND n.no = k.no + 1),
-t AS (SELECT seq, arg_max(threat_class, (confidence, -o)) AS predicted FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL),
+t AS (SELECT seq, arg_max(threat_class, (confidence, -o)) AS predicted FROM ps WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL),
 h AS (SELECT p.seq, arg_min(g.threat_class, g.event_order) AS truth FROM k p JOIN gt g ON p.entity = g.entity AND p.us BETWEEN g.lo - 5000000 AND g.hi + 5000000 WHERE p.kept GROUP BY ALL)
 SELECT k.seq AS decision_id, coalesce(t.predicted, 'BENIGN') AS predicted, coalesce(h.truth, 'BENIGN') AS truth FROM k LEFT JOIN t USING (seq) LEFT JOIN h USING (seq) WHERE k.kept""")
 def evaluate_captures(spark, d):
-    return R.evaluate_captures(signals(spark, d), V.gt_events(spark, d), 12 * H).select("decision_id", "predicted", "truth")
+    return R.evaluate_captures(V.packets(spark, d), V.gt_events(spark, d), 12 * H, flow_gap_seconds=12 * H, enabled=ALL_RULES).select("decision_id", "predicted", "truth")
 
 
 @query("ablate_modes", SIG + """, s AS (SELECT seq, threat_class, confidence, CASE o WHEN 0 THEN 'rules' WHEN 1 THEN 'classifier' ELSE 'anomaly' END AS source FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'),
@@ -806,6 +916,136 @@ def importance_by_domain(spark, d):
     return out.withColumns({"gain": F.round("gain", 4), "share": F.round("share", 6)})
 
 
+@query("flow_events", SESSIONS + "SELECT src_ip || ':40000-' || dst_ip || ':' || dst_port || '-' || protocol AS flow_id, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS start_time_iso, strftime(make_timestamp(end_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS end_time_iso, packet_count, byte_count, CASE WHEN protocol = 6 THEN syn_count END AS syn FROM f")
+def flow_events(spark, d):
+    return L.normalize_flow_events(built(spark, d)).select("flow_id", "start_time_iso", "end_time_iso", "packet_count", "byte_count", F.col("tcp_flags.syn").alias("syn"))
+
+
+@query("flow_events_json", SESSIONS + """SELECT '{"byte_count":' || byte_count || ',"dst_ip":"' || dst_ip || '","packet_count":' || packet_count || ',"src_ip":"' || src_ip || '"}' AS json FROM f""")
+def flow_events_json(spark, d):
+    return T.as_json(built(spark, d).select("src_ip", "dst_ip", "packet_count", "byte_count"))
+
+
+@query("captures_by", "SELECT o_orderkey AS capture_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'", views=False)
+def captures_by(spark, d):
+    c = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("capture_id"), F.col("o_orderpriority").alias("primary_label"), F.col("o_orderstatus").alias("split"))
+    return T.captures_by(c, primary_label="1-URGENT", split="F").select("capture_id")
+
+
+@query("ml_features", "SELECT seq, round(pps, 6) AS packets_per_sec, coalesce(periodicity, 0.0) AS periodicity_score, round(jitter, 6) AS jitter, CAST(coalesce(ja3 = 'J1', false) AS DOUBLE) AS j1, 0.0::DOUBLE AS duration, 52 AS width FROM ctx")
+def ml_features(spark, d):
+    c = V.contexts(spark, d).withColumn("ja3", F.when(F.col("ja3") == "J1", "a").otherwise(F.col("ja3")))
+    f = M.to_ml_features(c)
+    return f.select("seq", F.round("packets_per_sec", 6).alias("packets_per_sec"), "periodicity_score", F.round("jitter", 6).alias("jitter"), F.col("ja3_JA3_A").alias("j1"), "duration", F.lit(len(f.columns) - 1).alias("width"))
+
+
+@query("map_labels", "SELECT event_order, list_position(['BENIGN', 'VOLUMETRIC_DDOS', 'BOTNET_C2_BEACONING', 'DGA_DNS_TUNNELLING', 'ENCRYPTED_MALWARE', 'RECON_PORT_SCAN', 'DATA_EXFILTRATION'], threat_class) - 1 AS label FROM gt")
+def map_labels(spark, d):
+    return M.map_labels(V.gt_events(spark, d), "threat_class").select("event_order", "label")
+
+
+@query("column_group", "SELECT l_linenumber, sum(l_discount) AS l_discount, sum(l_tax) AS l_tax FROM (SELECT l_linenumber, round(l_discount * 100) AS l_discount, round(l_tax * 100) AS l_tax FROM lineitem) GROUP BY ALL", views=False)
+def column_group(spark, d):
+    li = R.column_group(V.read(spark, d, "lineitem"), ("l_line", "l_d", "l_t"), ("l_linestatus",))
+    return li.groupBy("l_linenumber").agg(*(F.sum(F.round(F.col(c) * 100)).alias(c) for c in ("l_discount", "l_tax")))
+
+
+@query("find_alert", SIG + "SELECT 'ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8) AS alert_id, seq, o AS detector_order FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' AND 'ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8) = (SELECT min('ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8)) FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO')")
+def find_alert(spark, d):
+    a = C.build_alerts(D.active_signals(signals(spark, d))).select("alert_id", "seq", "detector_order")
+    return R.find(a, "alert_id", a.agg(F.min("alert_id")).first()[0])
+
+
+@query("benign_only", "SELECT doc_id FROM labels WHERE toxic = 0", views=False)
+def benign_only(spark, d):
+    return R.benign_only(V.read(spark, d, "labels"), "toxic").select("doc_id")
+
+
+@query("classification_metrics", CM + ", own AS (SELECT *, tp + fn AS support, coalesce(p, 0) AS p0, coalesce(r, 0) AS r0, coalesce(f1, 0) AS f0 FROM m3 WHERE tp + fn > 0 OR fp > 0) SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(p0), 6) AS macro_precision, round(avg(r0), 6) AS macro_recall, round(avg(f0), 6) AS macro_f1, round(sum(p0 * support) / sum(support), 6) AS weighted_precision, round(sum(r0 * support) / sum(support), 6) AS weighted_recall, round(sum(f0 * support) / sum(support), 6) AS weighted_f1 FROM own")
+def classification_metrics(spark, d):
+    return rounded(E.classification_metrics(V.decisions(spark, d), "truth", "predicted"))
+
+
+METRICS = "mt AS (SELECT CASE WHEN decision_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, avg(CAST(truth = predicted AS INTEGER)) AS accuracy, avg(CAST(predicted = 'BENIGN' AS INTEGER)) AS macro_f1 FROM decisions GROUP BY ALL), lm AS (UNPIVOT mt ON accuracy, macro_f1 INTO NAME metric VALUE value)"
+
+
+def metric_rows(spark, d):
+    n = V.decisions(spark, d).withColumn("split", F.when(F.col("decision_id") % 2 == 0, "train").otherwise("val"))
+    wide = n.groupBy("split").agg(F.avg((F.col("truth") == F.col("predicted")).cast("int")).alias("accuracy"), F.avg((F.col("predicted") == "BENIGN").cast("int")).alias("macro_f1"))
+    return E.long_metrics(wide, ("split",))
+
+
+@query("train_val_gap", f"WITH {METRICS}, g AS (SELECT metric, max(value) FILTER (split = 'train') - max(value) FILTER (split = 'val') AS gap FROM lm GROUP BY ALL) SELECT metric, round(gap, 6) AS gap, metric = 'macro_f1' AND gap > 0.001 AS overfit FROM g")
+def train_val_gap(spark, d):
+    return rounded(R.train_val_gap(metric_rows(spark, d), 0.001))
+
+
+@query("fold_summary", f"WITH {METRICS} SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM lm GROUP BY ALL")
+def fold_summary(spark, d):
+    return rounded(E.fold_summary(metric_rows(spark, d)))
+
+
+@query("top_features", "SELECT l_suppkey AS feature, round(sum(l_quantity), 2) AS gain FROM lineitem GROUP BY ALL ORDER BY gain DESC, feature LIMIT 20", views=False)
+def top_features(spark, d):
+    return R.top_features(V.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature")).agg(F.round(F.sum("l_quantity"), 2).alias("gain")))
+
+
+@query("scalars", """SELECT seq, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, us AS again_us, us / 1e6 AS seconds, us // 3600000000 AS bucket, CASE WHEN value < 50 THEN 0.0 ELSE value - 50 END AS excess,
+  round(1 / (1 + exp(CASE WHEN value < 50 THEN 1.0 ELSE -1.0 END * (value / 100 - 0.5) * 20)), 4) AS confidence, CASE WHEN k % 2 = 0 THEN 'DOMAIN' ELSE 'EXTERNAL_IP' END AS node, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS evidence FROM base""")
+def scalars(spark, d):
+    b = V.base(spark, d)
+    us_ = F.unix_micros("ts")
+    target = F.when(F.col("k") % 2 == 0, F.concat(F.lit("h"), F.col("k").cast("string"), F.lit(".example"))).otherwise(F.col("host"))
+    excess = F.when(F.col("k") % 97 == 96, F.col("value") - 50).otherwise(F.col("value") - 50)
+    indicators = F.when(F.col("k") % 3 == 0, F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)))
+    return b.select("seq", S.epoch_to_iso(us_).alias("iso"), F.unix_micros(S.iso_to_ts(S.epoch_to_iso(us_))).alias("again_us"), S.epoch_seconds("ts").alias("seconds"), S.bucket_id("ts", 3600.0).alias("bucket"), S.non_negative_finite(excess).alias("excess"),
+                    S.anomaly_confidence(F.col("value") / 100 - 0.5, F.col("value") < 50).alias("confidence"), S.node_type(target).alias("node"), S.evidence_count(indicators).alias("evidence"))
+
+
+@query("alert_summaries", "SELECT seq, 'Volumetric Ddos activity detected from ' || entity || ' toward ' || target || ' (' || format('{:.1f} pps', round(pps, 1)) || CASE WHEN syn_ratio IS NOT NULL THEN format(', SYN ratio {:.2f}', round(syn_ratio, 2)) ELSE '' END || CASE WHEN periodicity IS NOT NULL THEN format(', periodicity {:.2f}', round(periodicity, 2)) ELSE '' END || ').' AS summary FROM ctx")
+def alert_summaries(spark, d):
+    s = D.detect(V.contexts(spark, d), "ddos")
+    columns = [c for c in s.columns if c != "jitter"]
+    return s.select("seq", C.alert_summary(columns).alias("summary"))
+
+
+@query("incident_alerts", INC + "SELECT seq, o AS detector_order, 'Correlated Incident ' || incident_id || ': ' || threat_class || ' on ' || entity || ' (Risk: ' || format('{:.2f}', round(risk, 2)) || ', Stages: ' || signals || ')' AS summary FROM grp JOIN inci USING (entity, group_no)")
+def incident_alerts(spark, d):
+    g = grouped(spark, d)
+    return C.build_alerts(g, incidents_of(g)).select("seq", "detector_order", "summary")
+
+
+@query("provenance", SIG + "SELECT seq, o AS detector_order, CASE o WHEN 0 THEN 'ddos' WHEN 1 THEN 'c2' ELSE 'encrypted' END AS detector_id, '1.0.0' AS detector_version, us AS start_us, us + 5000000 AS end_us FROM sig")
+def provenance(spark, d):
+    s = D.run_detectors(V.contexts(spark, d), ["ddos", "c2", "encrypted"], keep=("seq", "ts")).withColumns({"window_start": F.col("ts"), "window_end": F.col("ts") + F.expr("INTERVAL 5 SECONDS")})
+    return s.select("seq", "detector_order", R.provenance().alias("p")).select("seq", "detector_order", "p.detector_id", "p.detector_version", us("p.window_start", "start_us"), us("p.window_end", "end_us"))
+
+
+@query("export_graph", EDGE + """, nd AS (SELECT DISTINCT entity AS id, 'HOST_IP' AS type FROM act UNION SELECT sid, 'SIGNAL' FROM act UNION SELECT target, 'EXTERNAL_IP' FROM act)
+SELECT 'node' AS kind, '{"id":"' || id || '","type":"' || type || '"}' AS json FROM nd UNION ALL SELECT DISTINCT 'link', '{"source":"' || src || '","target":"' || dst || '","type":"' || type || '"}' FROM ed""")
+def export_graph(spark, d):
+    s = D.active_signals(signals(spark, d))
+    return G.export_graph(G.signal_nodes(s), G.distinct_edges(edges_of(spark, d)))
+
+
+@query("alerts_json", SIG + "SELECT 'ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8) AS alert_id, entity, threat_class, severity, round(confidence, 9) AS confidence FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'")
+def alerts_json(spark, d):
+    """Alerts written as JSON lines in the shared folder and read back by their schema."""
+    path = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    a = C.build_alerts(D.active_signals(signals(spark, d))).withColumn("incident_id", F.lit(None).cast("string"))
+    T.write_alerts(a.select(*(x.split()[0] for x in SCHEMAS["alerts"].split(", "))), path)
+    return T.alerts_from_json(spark.read.text(path)).select("alert_id", "entity", "threat_class", "severity", F.round("confidence", 9).alias("confidence"))
+
+
+@query("export_splits", f"WITH {ITEMS} SELECT split, count(*) AS rows, 'l_orderkey,l_linenumber,l_quantity' AS columns FROM li GROUP BY ALL", views=False)
+def export_splits(spark, d):
+    """Rows written by split, and the manifest read back."""
+    path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    T.export_splits(items(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "split"), path)
+    written = spark.read.parquet(f"{path}/data").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("split string, rows long, columns string").json(f"{path}/manifest").join(written, "split").where("rows = n").drop("n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows to reconnaissance signals of each internal host, the most confident first."""
     f = V.flows(spark, sf_dir)

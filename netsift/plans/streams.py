@@ -50,6 +50,11 @@ def stream_window(spark, d):
     return drained(T.stream_window(V.packets(_Streamed(spark), d), "6 hours")).select("src_ip", us("start", "start_us"), "packets", "bytes")
 
 
+@query("stream_hopping", f"WITH h AS (SELECT src_ip, us // 10800000000 * 10800000000 - shift AS start_us, packet_length FROM packets, (SELECT unnest([0, 10800000000]) AS shift)), w AS (SELECT src_ip, start_us, count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes FROM h GROUP BY ALL) SELECT * FROM w WHERE start_us + 21600000000 <= {CLOSED}")
+def stream_hopping(spark, d):
+    return drained(T.stream_window(V.packets(_Streamed(spark), d), "6 hours", "3 hours")).select("src_ip", us("start", "start_us"), "packets", "bytes")
+
+
 @query("stream_correlate", SIG + f""", g AS (SELECT entity, us, sum(CASE WHEN us - prev > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us, o ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT *, lag(us) OVER (PARTITION BY entity ORDER BY us, o) AS prev FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO')),
 h AS (SELECT entity, n, count(*) AS signals, min(us) AS first_us, max(us) AS last_us FROM g GROUP BY ALL) SELECT entity, signals, first_us, last_us FROM h WHERE last_us + 86400000000 <= (SELECT max(us) // 1000 * 1000 - 300000000 FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO')""")
 def stream_correlate(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,15 +96,23 @@ def stream_entity_context(entity_flows: DataFrame, retention_seconds: float = 30
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
         fresh = [(ts.value // 1000, int(b), bool(o), d) for ts, b, o, d in zip(rows["ts"], rows["byte_count"], rows["outbound"], rows["dst_ip"])]
         held = sorted([*held, *fresh])
-        out = []
-        for seq, (us, *_) in zip(rows["seq"], fresh):
-            own = [h for h in held if us - retention_seconds * 1e6 <= h[0] <= us]
-            out.append((k[0], seq, sum(h[2] for h in own), sum(h[1] for h in own if h[2]), sum(h[1] for h in own if not h[2]), len({h[3] for h in own if h[2]})))
+        us, size, out = (np.array([h[i] for h in held]) for i in range(3))
+        # where each outbound flow's destination was last seen, so that a window counts its first sights
+        seen: dict[str, int] = {}
+        last = np.full(len(held), -1)
+        for i in np.flatnonzero(out).tolist():
+            last[i] = seen.get(held[i][3], -1)
+            seen[held[i][3]] = i
+        upto = [np.concatenate([[0], np.cumsum(x)]) for x in (out, size * out, size * ~out)]
+        at = np.array([f[0] for f in fresh])
+        lo, hi = np.searchsorted(us, at - int(retention_seconds * 1e6)), np.searchsorted(us, at, side="right")
+        distinct = [int((out[a:b] & (last[a:b] < a)).sum()) for a, b in zip(lo.tolist(), hi.tolist())]
+        found = pd.DataFrame({"entity": k[0], "seq": rows["seq"].to_numpy()} | {n: x[hi] - x[lo] for n, x in zip(("flows_out", "bytes_out", "bytes_in"), upto)} | {"distinct_dst_ips": distinct})
         newest = held[-1][0]
         held = [h for h in held if h[0] >= newest - retention_seconds * 1e6]
         state.update(tuple(list(c) for c in zip(*held)))
         state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + int(ttl_seconds * 1000))
-        yield pd.DataFrame(out, columns=["entity", "seq", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips"])
+        yield found
 
     columns = "entity string, seq long, flows_out long, bytes_out long, bytes_in long, distinct_dst_ips long"
     state = "us array<long>, bytes array<long>, outbound array<boolean>, dst array<string>"
