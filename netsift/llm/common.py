@@ -19,18 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the reader nothing, and the
     shuffles behind ``df`` are not run again: their files go when the table
-    is written.
+    is written. With ``by``, a folder for each value of that column.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
