@@ -43,11 +43,11 @@ def column_group(df: DataFrame, include: tuple[str, ...] = (), exclude: tuple[st
 
 
 def entity_events(contexts: DataFrame, flows: DataFrame, signals: DataFrame, history: int = 60) -> DataFrame:
-    """Each entity's last z-score (three places), its known and new destinations and active signals."""
+    """Each entity's last z-score (three places), its known destinations and active signals; a snapshot has no new destinations."""
     z = W.pps_zscore(contexts, history=history).groupBy("entity").agg(F.round(F.max_by("zscore", F.struct("ts", "seq")), 3).alias("zscore"), F.count(F.lit(1)).alias("observations"))
     seen = W.first_seen_destination(flows).groupBy(F.col("src_ip").alias("entity")).agg(F.count_if("is_new_destination").alias("known_destinations"), F.max_by("is_new_destination", F.struct("ts", "seq")).alias("last_is_new"))
     active = D.active_signals(signals).groupBy("entity").agg(F.count(F.lit(1)).alias("active_signals"))
-    return X.context_join(z, seen, active).withColumn("active_signals", F.coalesce("active_signals", F.lit(0)))
+    return X.context_join(z, seen, active).withColumns({"active_signals": F.coalesce("active_signals", F.lit(0)), "new_destinations": F.lit(0)})
 
 
 def run_pipeline(packets: DataFrame, gap_seconds: float = 300.0, flow_gap_seconds: float = 30.0, enabled: list[str] | None = None, ml: Callable[[DataFrame], DataFrame] | None = None, history: int = 60) -> dict[str, DataFrame]:

@@ -79,7 +79,7 @@ def baseline_window(packets: DataFrame, seconds: float = 300.0, bucket_seconds:
 
 
 def window_snapshots(packets: DataFrame, every_n: int = 1, burst: float = 5.0, timing: float = 30.0, baseline: float = 300.0, key: list[str] = ("src_ip",)) -> DataFrame:
-    """Burst, timing and baseline counts on every n-th packet of a key.
+    """Burst, timing and baseline counts on every n-th packet of a key, the burst's flags and rates, and the timing window's ends.
 
     All three frames share one partitioning and order, so one sort serves
     them. Late packets are counted at the largest time seen before them.
@@ -89,6 +89,13 @@ def window_snapshots(packets: DataFrame, every_n: int = 1, burst: float = 5.0, t
     no = F.row_number().over(Window.partitionBy(*key).orderBy("__us", "seq"))
     frames = {name: _trailing(key, s) for name, s in (("burst", burst), ("timing", timing), ("baseline", baseline))}
     out = df.withColumns({"packet_no": no} | {f"{n}_packets": F.count(F.lit(1)).over(w) for n, w in frames.items()} | {f"{n}_bytes": F.sum("packet_length").over(w) for n, w in frames.items()})
+    b, t = frames["burst"], frames["timing"]
+    out = out.withColumns(
+        {
+            "burst_syn": F.sum("tcp_syn").over(b), "burst_ack": F.sum("tcp_ack").over(b), "burst_rate": F.col("burst_packets") / F.lit(float(burst)), "burst_byte_rate": F.col("burst_bytes") / F.lit(float(burst)),
+            "timing_first_us": F.min("__us").over(t), "timing_last_us": F.col("__us"), "timing_gaps": F.col("timing_packets") - 1,
+        }
+    )
     return out.where(F.col("packet_no") % every_n == 0).drop("__us")
 
 

@@ -185,11 +185,11 @@ def burst_sources(spark, d):
 
 
 @query("window_snapshots", f"""
-WITH n AS (SELECT seq, row_number() OVER (PARTITION BY src_ip ORDER BY us, seq) AS packet_no, count(*) OVER b AS burst_packets, count(*) OVER t AS timing_packets, count(*) OVER l AS baseline_packets, CAST(sum(packet_length) OVER l AS BIGINT) AS baseline_bytes
+WITH n AS (SELECT seq, row_number() OVER (PARTITION BY src_ip ORDER BY us, seq) AS packet_no, count(*) OVER b AS burst_packets, count(*) OVER t AS timing_packets, count(*) OVER l AS baseline_packets, CAST(sum(packet_length) OVER l AS BIGINT) AS baseline_bytes, CAST(sum(tcp_syn) OVER b AS BIGINT) AS burst_syn, CAST(sum(tcp_ack) OVER b AS BIGINT) AS burst_ack, round(sum(packet_length) OVER b / 21600, 9) AS burst_byte_rate, min(us) OVER t AS timing_first_us, us AS timing_last_us
 FROM packets WINDOW b AS {RANGE.format(21600000000)}, t AS {RANGE.format(86400000000)}, l AS {RANGE.format(604800000000)})
-SELECT seq, burst_packets, timing_packets, baseline_packets, baseline_bytes FROM n WHERE packet_no % 5 = 0""")
+SELECT seq, burst_packets, timing_packets, baseline_packets, baseline_bytes, burst_syn, burst_ack, burst_byte_rate, timing_first_us, timing_last_us FROM n WHERE packet_no % 5 = 0""")
 def window_snapshots(spark, d):
-    return W.window_snapshots(V.packets(spark, d), 5, 6 * H, DAY, 7 * DAY).select("seq", "burst_packets", "timing_packets", "baseline_packets", "baseline_bytes")
+    return W.window_snapshots(V.packets(spark, d), 5, 6 * H, DAY, 7 * DAY).select("seq", "burst_packets", "timing_packets", "baseline_packets", "baseline_bytes", "burst_syn", "burst_ack", F.round("burst_byte_rate", 9).alias("burst_byte_rate"), "timing_first_us", "timing_last_us")
 
 
 ENDS = """
@@ -770,7 +770,7 @@ def combine_ml(spark, d):
 @query("entity_events", SIG + """, w AS (SELECT entity, seq, us, pps, avg(pps) OVER h AS m, coalesce(stddev_samp(pps) OVER h, 0) AS sd FROM ctx WINDOW h AS (PARTITION BY entity ORDER BY us, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 z AS (SELECT entity, round(arg_max(CASE WHEN sd >= 0.00001 THEN greatest(0, (pps - m) / sd) WHEN m > 0 THEN greatest(0, (pps - m) / greatest(m, 1)) WHEN pps <= 10 THEN 0 ELSE pps / 10 END, (us, seq)), 3) AS zscore, count(*) AS observations FROM w GROUP BY ALL),
 k AS (SELECT src_ip AS entity, count(DISTINCT dst_ip) AS known_destinations FROM flows GROUP BY ALL), a AS (SELECT entity, count(*) AS n FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL)
-SELECT entity, zscore, observations, known_destinations, coalesce(n, 0) AS active_signals FROM z LEFT JOIN k USING (entity) LEFT JOIN a USING (entity)""")
+SELECT entity, zscore, observations, known_destinations, 0 AS new_destinations, coalesce(n, 0) AS active_signals FROM z LEFT JOIN k USING (entity) LEFT JOIN a USING (entity)""")
 def entity_events(spark, d):
     return R.entity_events(V.contexts(spark, d), V.flows(spark, d), signals(spark, d)).drop("last_is_new")
 
