@@ -37,7 +37,8 @@ def events_overlapping(events: DataFrame, windows: DataFrame, bin_seconds: float
 def confusion_matrix(decisions: DataFrame, classes: DataFrame) -> DataFrame:
     """Counts of every (truth, predicted), zeros included; ``classes`` is the small table of ``name``."""
     counts = decisions.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    grid = classes.select(F.col("name").alias("truth")).join(F.broadcast(classes.select(F.col("name").alias("predicted"))))
+    names = classes.agg(F.collect_set("name").alias("names"))
+    grid = names.select("names", F.explode("names").alias("truth")).select("truth", F.explode("names").alias("predicted"))
     return grid.join(counts, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -121,13 +122,15 @@ def score_distribution(df: DataFrame, by: list[str], value: str = "score") -> Da
 
 
 def threshold_sweep(scores: DataFrame, percents: tuple[int, ...] = (1, 5, 10, 15, 20, 25, 30), value: str = "score", attack: str = "is_attack") -> DataFrame:
-    """Rates if the scores up to each percentile count as anomalous."""
-    t = quantiles(scores, value, [p / 100 for p in percents])
-    table = t.select(F.explode(F.array(*(F.struct(F.lit(p).alias("pct"), F.col(f"q{i}").alias("threshold")) for i, p in enumerate(percents)))).alias("t")).select("t.*")
-    # a row for each percentile beside every score
-    rows = scores.join(F.broadcast(table))
-    alarm, bad = F.col(value) <= F.col("threshold"), F.col(attack)
-    c = rows.groupBy("pct", "threshold").agg(F.count_if(alarm & bad).alias("tp"), F.count_if(alarm & ~bad).alias("fp"), F.count_if(~alarm & bad).alias("fn"), F.count_if(~alarm & ~bad).alias("tn"))
+    """Rates if the scores up to each percentile count as anomalous: one pass counts for all thresholds, which are a few numbers."""
+    found = quantiles(scores, value, [p / 100 for p in percents]).first()
+    if not found:
+        return scores.sparkSession.createDataFrame([], "pct int, threshold double, tp long, fp long, fn long, tn long, precision double, recall double, fpr double, fnr double, accuracy double")
+    bad, counts = F.col(attack), []
+    for i, p in enumerate(percents):
+        alarm = F.col(value) <= found[f"q{i}"]
+        counts.append(F.struct(F.lit(p).alias("pct"), F.lit(found[f"q{i}"]).alias("threshold"), F.count_if(alarm & bad).alias("tp"), F.count_if(alarm & ~bad).alias("fp"), F.count_if(~alarm & bad).alias("fn"), F.count_if(~alarm & ~bad).alias("tn")).alias(f"c{i}"))
+    c = scores.agg(*counts).select(F.explode(F.array(*(f"c{i}" for i in range(len(percents))))).alias("c")).select("c.*")
     c = c.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "fpr": F.try_divide("fp", F.col("fp") + F.col("tn"))})
     return c.withColumns({"fnr": 1 - F.col("recall"), "accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
 
