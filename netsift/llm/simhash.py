@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 from .graph import components
+from .hashing import ODD, mix, runs_of, token_hashes, word_hashes
 
 BITS = 64
+_WHITE = re.compile(rb"[ \t-\r]")
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -28,16 +32,37 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
+def shingle_blocks(text: str, size: int, block: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The same some megabytes of text at a time, so that a very long text is never laid out as words as a whole."""
+    body = text.encode("utf-8", "surrogatepass").lower()
+    at, words, begun = 0, [], False
+    while at < len(body):
+        white = _WHITE.search(body, at + block)
+        end = white.start() if white else len(body)
+        words += body[at:end].split()
+        at = end
+        if len(words) > size or begun and len(words) == size:
+            yield [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+            words, begun = words[len(words) - size + 1 :], True
+    if words and not begun:
+        yield [b" ".join(words)]
+
+
 def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bit i is 1 if it is set in more than half of the hashes."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    h = np.array(hashes, "<u8")
-    for at in range(0, len(h), 8192):
-        part = np.unpackbits(h[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, BITS)
-        counts += part.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
+    return fingerprint_of([hashes])
+
+
+def fingerprint_of(blocks: Iterable[list[int] | np.ndarray]) -> int:
+    """The same over blocks of hashes."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
+        h = np.array(hashes, "<u8")
+        n += len(h)
+        for at in range(0, len(h), 8192):
+            part = np.unpackbits(h[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, BITS)
+            counts += part.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little") if n else 0
 
 
 def fingerprints(docs: DataFrame, *, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,7 +71,7 @@ def fingerprints(docs: DataFrame, *, size: int = 3, id_col: str = "doc_id", text
     def run(batches):
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            fps = [fingerprint([digest(s, 42) for s in shingles(t.as_py() or "", size)]) for t in batch.column(2)]
+            fps = [fingerprint_of([digest(s, 42) for s in block] for block in shingle_blocks(t.as_py() or "", size)) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, "<u8").view("<i8"))], names=["doc_id", "text_hash", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
@@ -159,18 +184,13 @@ def _spread(prints: DataFrame, limit: int, most: int, levels: int = 3) -> DataFr
 def linked(prints: DataFrame, *, limit: int = 3, most: int = 50_000) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints that span all links of at most ``limit`` bits.
 
-    Each task indexes the groups that it holds, finds every link in them, and
-    returns for each fingerprint one edge to the smallest that it reaches
-    within the group: as many edges as fingerprints at most, with the same
+    Each task indexes some of its groups at a time, finds every link in them,
+    and returns for each fingerprint one edge to the smallest that it reaches
+    within the groups: as many edges as fingerprints at most, with the same
     components as all links.
     """
 
-    def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        key = np.concatenate([b.column(0).to_numpy() for b in batches])
-        fp = np.concatenate([b.column(1).to_numpy() for b in batches])
+    def edges(key, fp):
         root = np.arange(len(fp))
         for i, j in GrayIndex(fp.view(np.uint64), key).links(limit):
             root = _join(root, i, j)
@@ -179,8 +199,23 @@ def linked(prints: DataFrame, *, limit: int = 3, most: int = 50_000) -> DataFram
         for at in range(0, len(a), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["a", "b"])
 
+    def run(batches, rows: int = 200_000):
+        """Whole groups at a time: the rows come in order of the key."""
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= rows:
+                key, fp = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield from edges(key[:cut], fp[:cut])
+                held, size = [(key[cut:], fp[cut:])], len(key) - cut
+        if size:
+            yield from edges(*(np.concatenate(x) for x in zip(*held)))
+
     groups = _spread(prints.select("fp").distinct(), limit, most)
-    return groups.repartition("key").mapInArrow(run, "a long, b long")
+    return groups.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -219,30 +254,80 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, limit: int = 3, id_col: s
     return found.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
-def _sketches(docs: DataFrame, size: int, segments: int, sketch: int) -> DataFrame:
-    """For each text: its fingerprint, those of some segments, and its least shingle hashes.
+def _majorities(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Fingerprints of the ranges ``first..last`` (exclusive, in order, none empty) of hashes."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    bits = np.unpackbits(np.append(hashes, np.uint64(0)).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS)
+    counts = np.add.reduceat(bits, np.stack([first, last], axis=1).ravel(), axis=0, dtype=np.int32)[::2]
+    return np.packbits(2 * counts > (last - first)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _short(body: bytes) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has."""
+    words = body.lower().split()
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+
+
+def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each text: its fingerprint over runs of ``size`` words, those of some segments, and its least run hashes.
 
     A segment is a run of words up to one whose hash says so (sixteen words
     on average), so an edit changes only the segments that it touches; the
     ``segments`` of least fingerprint are taken, the same ones in texts alike.
     """
+    n = len(bodies)
+    word, owner = word_hashes(bodies)
+    token, starts, counts = runs_of(word, owner, n, size)
+    words = np.bincount(owner, minlength=n)
+    begin = np.cumsum(words) - words
+    long = np.flatnonzero(counts)
+    fps = np.zeros(n, np.uint64)
+    fps[long] = _majorities(token, starts[long], (starts + counts)[long])
+
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (mix(word[:-1], ODD[7]) & np.uint64(15) == 0)] if len(word) else np.zeros(0, bool)
+    left = np.flatnonzero(new)
+    right = np.r_[left[1:], len(word)]
+    whose = owner[left]
+    fits = right - left >= size
+    left, right, whose = left[fits], right[fits], whose[fits]
+    first = starts[whose] + left - begin[whose]
+    own = _majorities(token, first, first + (right - left) - size + 1)
+    order = np.lexsort((own, mix(own, ODD[6]), whose))
+    own, whose = own[order], whose[order]
+    keep = np.r_[True, (own[1:] != own[:-1]) | (whose[1:] != whose[:-1])] if len(own) else np.zeros(0, bool)
+    own, whose = own[keep], whose[keep]
+    edges = np.searchsorted(whose, np.arange(n + 1))
+    parts = [own[a : min(b, a + segments)] for a, b in itertools.pairwise(edges.tolist())]
+
+    least = [np.unique(token[a : a + c])[:sketch] for a, c in zip(starts.tolist(), counts.tolist())]
+    for i in np.flatnonzero(counts == 0).tolist():
+        least[i] = _short(bodies[i])
+        fps[i] = fingerprint(least[i])
+    return fps, parts, least
+
+
+def _text_chunks(batch: pa.RecordBatch, column: int, limit: int = 200_000):
+    """``(rows, texts)`` of a batch, some texts at a time; null counts as empty."""
+    bodies, held, at = [], 0, 0
+    for i, text in enumerate(batch.column(column)):
+        bodies.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+        held += len(bodies[-1])
+        if held >= limit or i + 1 == batch.num_rows:
+            yield batch.slice(at, len(bodies)), bodies
+            at, bodies, held = i + 1, [], 0
+
+
+def _sketches(docs: DataFrame, size: int, segments: int, sketch: int) -> DataFrame:
+    """``key, fp, parts, least`` of every text."""
 
     def run(batches):
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            fps, parts, least = [], [], []
-            for text in batch.column(1):
-                body = text.as_py() or ""
-                hashes = np.array([digest(s, 42) for s in shingles(body, size)], np.uint64)
-                fps.append(fingerprint(hashes))
-                words = body.encode("utf-8", "surrogatepass").lower().split()
-                marks = [i + 1 for i, w in enumerate(words) if not digest(w, 7) & 15]
-                cuts = [0, *marks, len(words)]
-                own = {fingerprint(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(a, max(a + 1, b - size + 1))], np.uint64)) for a, b in itertools.pairwise(cuts) if b - a >= 4}
-                parts.append(sorted(own, key=lambda x: digest(x.to_bytes(8, "little"), 3))[:segments])
-                least.append(np.unique(hashes)[:sketch].astype("<u8").tobytes())
-            parts = [np.array(p, "<u8").view("<i8") for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(parts, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["key", "fp", "parts", "least"])
+            for rows, bodies in _text_chunks(batch, 1):
+                fps, parts, least = text_sketches(bodies, size, segments, sketch)
+                offsets = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), lists, pa.array([x.astype("<u8").tobytes() for x in least], pa.binary())], names=["key", "fp", "parts", "least"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, fp long, parts array<long>, least binary")
 
@@ -256,36 +341,43 @@ def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
     return np.isin(union, both, assume_unique=True).sum() / len(union) if len(union) else 1.0
 
 
-def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int = 3, segments: int = 8, sketch: int = 256, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int = 3, segments: int = 8, sketch: int = 256, margin: float = 0.15, turns: int = 2, few: int = 16, apart: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
     Equal texts are one class. Texts are candidates if their SimHash
     fingerprints over runs of ``size`` words link within ``limit`` bits in the
     Gray-order index, or if they share the fingerprint of a segment: three
-    bits alone find few of the pairs near 0.8. A segment that many texts share
-    sets each against the least of them only. Candidates link if the Jaccard
+    bits alone find few of the pairs near 0.8. Candidates whose fingerprints
+    differ in more than ``apart`` bits are let go (at a similarity of 0.8 they
+    differ in about 10, give or take 3); the others link if the Jaccard
     similarity of their shingle sets is ``similarity`` or more. The ``sketch``
     least hashes decide texts of fewer shingles (exactly) and estimates more
     than ``margin`` from the limit, six standard errors at 0.8; all other
     pairs are verified by their whole sets. Groups are the connected
     components of the links.
 
+    The texts of one segment or linked fingerprint are set against the least
+    of them. Those that do not link to it are dealt again against the next,
+    ``turns`` times; then all that are left are set against each other where
+    they are ``few`` at most, else those that share another segment as well
+    against the least of these. So no text depends on one partner, and no
+    step makes all pairs of a large group.
+
     Null texts count as empty, and all empty texts are equal. A null id comes
     before all others. Of repeated rows one stays. All columns stay as they
     are; an empty table stays empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key, row_id = F.xxhash64(text, F.lit(11)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    id_, key_ = fresh(docs, "id", "key")
     keyed = docs.select(key.alias("key"), row_id.alias("id"), text.alias("text"))
     found = stash(_sketches(keyed, size, segments, sketch).dropDuplicates(["key"]), "sketches")
 
     # whole fingerprints: texts of one fingerprint, and fingerprints that link
     reach = components(linked(found, limit=limit)).select(F.col("node").alias("fp"), F.col("component").alias("unit"))
-    whole = found.select("key", "fp").join(reach, "fp", "left").select("key", F.coalesce("unit", "fp").alias("unit"), F.lit(0).alias("kind"))
-    parts = found.select("key", F.explode("parts").alias("unit"), F.lit(1).alias("kind"))
+    whole = found.select("key", "fp").join(reach, "fp", "left").select("key", "fp", F.coalesce("unit", "fp").alias("unit"), F.lit(0).alias("kind"))
+    parts = found.select("key", "fp", F.explode("parts").alias("unit"), F.lit(1).alias("kind"))
     units = whole.unionByName(parts)
-    least = units.groupBy("kind", "unit").agg(F.min("key").alias("of"), F.max("key").alias("last")).where("of <> last").select("kind", "unit", "of")
-    pairs = units.join(least, ["kind", "unit"]).where("key <> of").select("key", "of").distinct()
 
     def judged(batches):
         for batch in batches:
@@ -298,10 +390,10 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
 
     def sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                hashes = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t.as_py(), size)], np.uint64)).astype("<u8").tobytes() for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary())], names=["key", "all"])
+            for rows, bodies in _text_chunks(batch, 1):
+                token, starts, counts = token_hashes(bodies, size)
+                hashes = [np.unique(token[a : a + c]) if c else _short(body) for a, c, body in zip(starts.tolist(), counts.tolist(), bodies)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.astype("<u8").tobytes() for x in hashes], pa.binary())], names=["key", "all"])
 
     def alike(batches):
         for batch in batches:
@@ -310,18 +402,44 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
             ok = pa.array([n / (len(x) + len(y) - n) >= similarity for n, x, y in zip(both, a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    mine = pairs.join(found.select("key", F.col("least").alias("x")), "key")
-    both = mine.join(found.select(F.col("key").alias("of"), F.col("least").alias("y")), "of").select("key", "of", "x", "y")
-    verdict = stash(both.mapInArrow(judged, "a long, b long, clear boolean"), "verdicts")
-    # estimates near the limit decide nothing: those pairs are verified by all their shingles
-    unclear = verdict.where(~F.col("clear")).select(F.col("a").alias("key"), F.col("b").alias("of"))
-    needed = unclear.select("key").unionByName(unclear.select(F.col("of").alias("key"))).distinct()
-    full = stash(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key long, all binary"), "sets")
-    exact = unclear.join(full.withColumnRenamed("all", "x"), "key").join(full.select(F.col("key").alias("of"), F.col("all").alias("y")), "of").select("key", "of", "x", "y")
-    links = verdict.where("clear").select("a", "b").unionByName(exact.mapInArrow(alike, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs ``key, of`` that are alike, as ``a, b``."""
+        mine = pairs.distinct().join(found.select("key", F.col("least").alias("x")), "key")
+        both = mine.join(found.select(F.col("key").alias("of"), F.col("least").alias("y")), "of").select("key", "of", "x", "y")
+        verdict = stash(both.mapInArrow(judged, "a long, b long, clear boolean"), "verdicts")
+        # estimates near the limit decide nothing: those pairs are verified by all their shingles
+        unclear = verdict.where(~F.col("clear")).select(F.col("a").alias("key"), F.col("b").alias("of"))
+        needed = unclear.select("key").unionByName(unclear.select(F.col("of").alias("key"))).distinct()
+        full = stash(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key long, all binary"), "sets")
+        exact = unclear.join(full.withColumnRenamed("all", "x"), "key").join(full.select(F.col("key").alias("of"), F.col("all").alias("y")), "of").select("key", "of", "x", "y")
+        return stash(verdict.where("clear").select("a", "b").unionByName(exact.mapInArrow(alike, "a long, b long")), "links")
+
+    def with_least(df: DataFrame) -> DataFrame:
+        """The units of two texts or more, with the least text and the number of each."""
+        told = df.groupBy("kind", "unit").agg(F.min(F.struct("key", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        return stash(df.join(told.select("kind", "unit", F.col("h.key").alias("of"), F.col("h.fp").alias("of_fp"), "n"), ["kind", "unit"]), "units")
+
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= apart
+    rest, links = with_least(units), None
+    for turn in range(turns + 1):
+        more = verified(rest.where("key <> of").where(near).select("key", "of"))
+        links = more if links is None else links.unionByName(more)
+        linked_to = more.select(F.col("a").alias("key"), F.col("b").alias("of"))
+        rest = with_least(rest.where("key <> of").join(linked_to, ["key", "of"], "left_anti").select("kind", "unit", "key", "fp"))
+        if turn == turns or not rest.take(1):
+            break
+    small = rest.where(F.col("n") <= few)
+    others = small.select("kind", "unit", F.col("key").alias("of"), F.col("fp").alias("of_fp"))
+    pairs = small.select("kind", "unit", "key", "fp").join(others, ["kind", "unit"]).where("key > of").where(near).select("key", "of")
+    # of the units that are still large, two of one text make a finer one
+    large = rest.where(F.col("n") > few).select(F.xxhash64("kind", "unit").alias("unit"), "key", "fp")
+    finer = large.join(units.select("key", F.xxhash64("kind", "unit").alias("second")), "key").where("unit <> second")
+    finer = finer.select("key", "fp", F.xxhash64(F.least("unit", "second"), F.greatest("unit", "second")).alias("unit"), F.lit(2).alias("kind")).distinct()
+    pairs = pairs.unionByName(with_least(finer).where("key <> of").where(near).select("key", "of"))
+    links = links.unionByName(verified(pairs))
     group = components(links).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
     ids = keyed.groupBy("key").agg(F.min("id").alias("id")).join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))
-    stay = ids.groupBy("group").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.key").alias("__key"))
-    marked = docs.withColumns({"__id": row_id, "__key": key})
-    return marked.join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    stay = ids.groupBy("group").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias(id_), F.col("s.key").alias(key_))
+    marked = docs.withColumns({id_: row_id, key_: key})
+    return marked.join(stay, [id_, key_], "left_semi").dropDuplicates([id_, key_]).select(*docs.columns)
