@@ -23,8 +23,22 @@ def integer_vectors(vectors: DataFrame, *, scale: int = 1024, id_col: str = "vec
 
 
 def approximate(vectors: DataFrame, shift: int) -> DataFrame:
-    """The approximation file: ``vec_id, cells``, a cell number of 2^shift units for each component."""
-    return vectors.select("vec_id", F.transform("v", lambda c: F.shiftright(c, shift)).alias("cells"))
+    """The approximation file: ``vec_id, cells``, a cell number of 2^shift units for each component.
+
+    The numbers are as narrow as the largest component allows, a byte each
+    where it is below 2^(shift + 7).
+    """
+    most = vectors.agg(F.max(F.array_max(F.transform("v", lambda c: F.greatest(c, -c - 1))))).first()[0] or 0
+    kind = next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if most >> shift < 1 << bits)
+    return vectors.select("vec_id", F.transform("v", lambda c: F.shiftright(c, shift).cast(kind)).alias("cells"))
+
+
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products as whole numbers: by way of doubles where all are below 2^53 and so exact, else as integers."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * q.shape[1]
+    if most < 1 << 53:
+        return (q.astype(float) @ c.T.astype(float)).astype(np.int64)
+    return q.astype(np.int64) @ c.T.astype(np.int64)
 
 
 def scan(cells: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, shift: int) -> DataFrame:
@@ -53,8 +67,7 @@ def scan(cells: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, shift:
             c = c.reshape(-1, width) if len(fits) == len(sizes) else np.array([lists[int(i)].as_py() for i in fits])
             vec = batch.column(0).to_numpy()[fits]
             for at in range(0, len(q), 256):
-                # whole numbers below 2^53: the products are exact in doubles
-                base = (q[at : at + 256].astype(float) @ c.T.astype(float)).astype(np.int64) << shift
+                base = _products(q[at : at + 256], c) << shift
                 low, high = base + low_part[at : at + 256, None], base + high_part[at : at + 256, None]
                 itself = own[at : at + 256, None] == vec[None, :]
                 low[itself] = np.iinfo(np.int64).min
@@ -74,7 +87,7 @@ def _exact(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
     return candidates.join(vectors, "vec_id").join(queries, "query_id").select("query_id", "vec_id", product.alias("score"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shift: int = 3, block: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shift: int = 3, block: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` largest inner products, itself apart.
 
     ``vectors`` are those of ``integer_vectors``; ``queries`` holds a subset of their ids as
@@ -82,20 +95,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shift: int = 3
     over the approximation file, so that what is broadcast stays bounded however many there
     are. Exact vectors are then read in order of the bounds: first those with the k best upper
     bounds of a query, which give a kth score that is certain to be reached; then those whose
-    upper bound reaches it. Ties go to the smaller id. Fewer than k others: all of them. Repeated
+    upper bound reaches it. Ties go to the smaller id, so that of equal vectors no more than
+    k + 1 are searched. Fewer than k others: all of them. Repeated
     rows of one id count once (the smallest vector); vectors of another length than the query's
     have no score with it; no rows, no result.
     """
     spark = vectors.sparkSession
     vectors = stash(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    cells = stash(approximate(vectors, shift), "cells")
+    # of equal vectors only the k + 1 smallest ids can be among a query's k best
+    among = Window.partitionBy("v").orderBy("vec_id")
+    apart = vectors.withColumn("at", F.row_number().over(among)).where(F.col("at") <= k + 1).drop("at")
+    cells = stash(approximate(apart, shift), "cells")
     asked = vectors.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").withColumn("width", F.size("v"))
     groups = asked.groupBy("width").count().collect()  # as many as there are vector lengths
+    sizes = {r["width"]: -(-r["count"] // block) for r in groups}
     blocks = []
-    for width, n in sorted((r["width"], r["count"]) for r in groups):
-        parts = -(-n // block)
-        for part in range(parts):
-            rows = asked.where((F.col("width") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)).select("vec_id", "v").toArrow()
+    if sizes:
+        parts = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("width"))
+        asked = stash(asked.withColumn("part", F.concat_ws("-", "width", F.pmod(F.xxhash64("vec_id"), parts))), "asked", by="part")
+    for width, n in sorted(sizes.items()):
+        for part in range(n):
+            rows = asked.where(F.col("part") == f"{width}-{part}").select("vec_id", "v").toArrow()
             if not rows.num_rows:
                 continue
             q = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
