@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_dir, ship_package
 
+_ONE_AT_A_TIME = threading.Lock()
 #: Spark's setting that a query's shuffle files go at its end.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,13 +41,14 @@ def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     is written. With ``by``, a folder for each value of that column.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
+    with _ONE_AT_A_TIME:  # the setting is the session's
+        before = spark.conf.get(_CLEAN_UP, "false")
+        spark.conf.set(_CLEAN_UP, "true")
+        try:
+            writer = df.write.option("compression", "zstd")
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        finally:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -95,6 +95,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.SQL,
+    "op2_suffix_dedup": repeats.SQL,
     "op3_topk": topk.SQL,
     "op8_decontamination": decontamination.SQL,
 }

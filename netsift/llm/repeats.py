@@ -48,7 +48,7 @@ def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[:n], back[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
     """Content-defined anchors of documents laid end to end: ``hashes, first, last, owner, twice``.
 
     Each start of a ``length``-byte string belongs to the gram of least hash
@@ -56,11 +56,23 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     document that follow each other with one hash make one context. Equal
     strings have equal anchor hashes wherever they stand. The strings of a
     context all differ, unless it is marked ``twice``: then the gram itself
-    comes again within it, as in a run of one byte.
+    comes again within it, as in a run of one byte. ``block`` starts are
+    worked on at a time, at some 50 bytes each, so that a very long text costs
+    no more; a context that a block cuts is two.
     """
+    parts = []
+    for at in range(0, max(1, len(data) - length + 1), block):
+        part = data[at : at + block + length - 1]
+        h, first, last, twice = _anchors(part, ends[(ends > at) & (ends < at + len(part))] - at, length)
+        parts.append((h, first + at, last + at, np.searchsorted(ends, first + at, side="right"), twice))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The same for one block: ``hashes, first, last, twice``."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool)
     h = gram_hashes(data)
     # the upper half of the hash, then the place: the least is the leftmost of equal ones
     place = np.arange(len(h), dtype=np.uint64)
@@ -70,7 +82,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         fits[max(0, end - length + 1) : end] = False
     starts = np.flatnonzero(fits)
     if not len(starts):
-        return none.astype(np.uint64), none, none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool)
     at = own[starts].astype(np.int64)
     moved = np.r_[True, at[1:] != at[:-1]]
     step = np.flatnonzero(moved)
@@ -78,17 +90,16 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     new = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]
     heads = step[new]
     twice = np.diff(np.r_[np.flatnonzero(new), len(step)]) > 1
-    return value[new], starts[heads], starts[np.r_[heads[1:], len(starts)] - 1], owner[new], twice
+    return value[new], starts[heads], starts[np.r_[heads[1:], len(starts)] - 1], twice
 
 
-def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
+def suffix_array(data: np.ndarray) -> np.ndarray:
     """All suffixes in order.
 
     Larsson and Sadakane's refinement: groups by the first eight bytes are
     sorted again by the rank of the suffix as far on as they are sorted
-    already, which doubles the depth; groups of one are left alone. With
-    ``depth``, suffixes equal in so many bytes or more may stay in order of
-    their places, which keeps common prefixes up to ``depth`` right.
+    already, which doubles the depth; groups of one are left alone. All are
+    sorted to the end: the common prefixes need the whole order.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -109,9 +120,6 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
         if not len(slots):
             break
         suffix = sa[slots]
-        if depth and done >= depth:
-            sa[slots] = suffix[np.lexsort((suffix, rank[suffix]))]
-            break
         key = rank[suffix] * (n + 2) + rank[np.minimum(suffix + done, n)] + 1
         order = np.argsort(key)
         key, suffix = key[order], suffix[order]
@@ -173,7 +181,7 @@ def shard_repeats(contexts: list[tuple[int, int, int, bytes]], length: int) -> t
     sizes = np.array([len(c[3]) for c in contexts])
     data = np.frombuffer(b"".join(c[3] for c in contexts), np.uint8)
     ends = np.cumsum(sizes)
-    sa = suffix_array(data, length)
+    sa = suffix_array(data)
     lcp = common_prefixes(data, sa, length)
     owner = np.repeat(np.arange(len(contexts)), sizes)[sa]
     valid = sa + length <= ends[owner]
@@ -442,3 +450,22 @@ _TYPES = {"hot": pa.bool_(), "bytes": pa.binary(), "string": pa.binary(), "kept"
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES.get(n, pa.int64())) for n, c in zip(names, zip(*rows))], names=names)
+
+
+#: The same in SQL: every string of 100 bytes numbered by its starts (told apart by their MD5), islands of those that come later.
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS s, b FROM d WHERE octet_length(b) >= 100),
+n AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5_number(array_slice(b, s, s + 99)) ORDER BY doc_id, s) AS no FROM p),
+late AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 100 THEN 0 ELSE 1 END AS new FROM n WHERE no > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+runs AS (SELECT doc_id, min(s) AS first, max(s) + 99 AS last FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM late) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, last + 1 AS first, coalesce(lead(first) OVER (PARTITION BY doc_id ORDER BY first) - 1, 9223372036854775807) AS last FROM runs
+  UNION ALL SELECT doc_id, 1, min(first) - 1 FROM runs GROUP BY doc_id
+),
+kept AS (SELECT g.doc_id, unhex(string_agg(hex(array_slice(d.b, g.first, least(g.last, octet_length(d.b)))), '' ORDER BY g.first)) AS k FROM gaps g JOIN d USING (doc_id) WHERE g.first <= least(g.last, octet_length(d.b)) GROUP BY g.doc_id),
+r AS (SELECT doc_id, CAST(sum(last - first + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans,
+       CASE WHEN r.doc_id IS NULL THEN sha256(d.b) ELSE sha256(coalesce(k.k, ''::BLOB)) END AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
