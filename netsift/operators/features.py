@@ -98,11 +98,15 @@ def in_out_volumes(flows: DataFrame) -> DataFrame:
     return e.groupBy("entity").agg(F.sum(F.when(F.col("outbound"), F.col("byte_count")).otherwise(0)).alias("out_bytes"), F.sum(F.when(~F.col("outbound"), F.col("byte_count")).otherwise(0)).alias("in_bytes"))
 
 
-def entity_profiles(contexts: DataFrame) -> DataFrame:
-    """First and last sight, observations and how many destinations, ports and fingerprints each entity has."""
+def entity_profiles(contexts: DataFrame, signals: DataFrame | None = None, max_signals: int = 100) -> DataFrame:
+    """First and last sight, observations and how many destinations, ports, fingerprints and, of at most ``max_signals``, active signals each entity has."""
     known = {"known_destinations": "dst_ip", "known_ports": "dst_port", "known_ja3": "ja3", "known_ja4": "ja4", "known_domains": "sni"}
     counts = [F.count_distinct(c).alias(n) for n, c in known.items() if c in contexts.columns]
-    return contexts.groupBy("entity").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("observations"), *counts)
+    found = contexts.groupBy("entity").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("observations"), *counts)
+    if signals is None:
+        return found
+    active = signals.groupBy("entity").agg(F.least(F.count(F.lit(1)), F.lit(max_signals)).alias("active_signals"))
+    return found.join(active, "entity", "left").withColumn("active_signals", F.coalesce("active_signals", F.lit(0)))
 
 
 def sample_known_destinations(flows: DataFrame, k: int = 5, entity: str = "src_ip") -> DataFrame:

@@ -157,12 +157,20 @@ def throttle(df: DataFrame, key: list[str], seconds: float = 1.0, tie: str = "se
 
 
 def rolling_entity_features(entity_flows: DataFrame, retention_seconds: float = 300.0, large: float = 1e6) -> DataFrame:
-    """Trailing counts per entity over exploded flows (``entity, outbound``): flows, bytes, distinct peers, failures."""
+    """Trailing counts per entity over exploded flows (``entity, outbound``): flows, bytes, distinct peers, failures, timing.
+
+    Timing is of all the entity's flows in the frame, null for one alone. The
+    mean gap is the frame's span by its gaps; the deviation comes from summed
+    squares of gaps, less that of the frame's first flow, which lies before.
+    """
+    from ..functions.scalars import jitter_pct, periodicity_cv
     from .flows import failed_connection
 
     w = Window.partitionBy("entity").orderBy("__us").rangeBetween(-int(retention_seconds * 1e6), 0)
     out, zero = F.col("outbound"), F.lit(0)
     df = entity_flows.withColumn("__us", F.unix_micros("start_ts"))
+    gap = F.coalesce((F.col("__us") - F.lag("__us").over(Window.partitionBy("entity").orderBy("__us"))) / 1000, F.lit(0.0))
+    df = df.withColumn("__gap2", gap * gap)
 
     def distinct(c):
         return F.size(F.array_distinct(F.collect_list(F.when(out, F.col(c))).over(w))).cast("long")
@@ -175,5 +183,11 @@ def rolling_entity_features(entity_flows: DataFrame, retention_seconds: float =
             "failed": F.sum(F.when(out & failed_connection(), 1).otherwise(zero)).over(w),
             "large_transfers": F.sum(F.when(out & (F.col("byte_count") >= large), 1).otherwise(zero)).over(w),
             "max_bytes": F.coalesce(F.max(F.when(out, F.col("byte_count"))).over(w), zero),
+            "__n": F.count(F.lit(1)).over(w) - 1, "__first": F.min(F.struct("__us", (-F.col("__gap2")).alias("less"))).over(w), "__squares": F.sum("__gap2").over(w),
         }
-    ).drop("__us")
+    ).withColumn("inter_arrival_mean_ms", F.when(F.col("__n") > 0, (F.col("__us") - F.col("__first.__us")) / 1000 / F.col("__n"))).withColumn(
+        "inter_arrival_std_ms",
+        F.when(F.col("__n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("__squares") + F.col("__first.less") - F.col("__n") * F.pow("inter_arrival_mean_ms", F.lit(2.0))) / (F.col("__n") - 1)))).when(F.col("__n") == 1, 0.0),
+    ).withColumns(
+        {"jitter_pct": F.when(F.col("__n") > 0, jitter_pct("inter_arrival_mean_ms", "inter_arrival_std_ms")), "periodicity_score": F.when(F.col("__n") > 0, periodicity_cv("inter_arrival_mean_ms", "inter_arrival_std_ms"))}
+    ).drop("__us", "__gap2", "__n", "__first", "__squares")

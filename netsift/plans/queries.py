@@ -214,13 +214,18 @@ def flow_direction(spark, d):
 
 
 @query("rolling_entity_features", ENDS + """
-SELECT seq, entity, CAST(sum(CAST(outbound AS INTEGER)) OVER w AS BIGINT) AS flows_out, CAST(sum(CASE WHEN outbound THEN byte_count ELSE 0 END) OVER w AS BIGINT) AS bytes_out, CAST(sum(CASE WHEN outbound THEN 0 ELSE byte_count END) OVER w AS BIGINT) AS bytes_in,
+, g AS (SELECT *, coalesce(power((us - lag(us) OVER (PARTITION BY entity ORDER BY us)) / 1000, 2), 0) AS gap2 FROM e), fg AS (SELECT entity, us, max(gap2) AS first2 FROM g GROUP BY ALL),
+r AS (SELECT seq, us, entity, CAST(sum(CAST(outbound AS INTEGER)) OVER w AS BIGINT) AS flows_out, CAST(sum(CASE WHEN outbound THEN byte_count ELSE 0 END) OVER w AS BIGINT) AS bytes_out, CAST(sum(CASE WHEN outbound THEN 0 ELSE byte_count END) OVER w AS BIGINT) AS bytes_in,
        CAST(len(list_distinct(list(CASE WHEN outbound THEN dst_ip END) OVER w)) AS BIGINT) AS distinct_dst_ips, CAST(len(list_distinct(list(CASE WHEN outbound THEN dst_port END) OVER w)) AS BIGINT) AS distinct_dst_ports,
        coalesce(max(CASE WHEN outbound THEN byte_count END) OVER w, 0) AS max_bytes, count(*) FILTER (NOT outbound) OVER w AS flows_in,
-       count(*) FILTER (outbound AND (byte_count = 0 OR (rst_count > 0 AND byte_count < 64))) OVER w AS failed, count(*) FILTER (outbound AND byte_count >= 1000000) OVER w AS large_transfers
-FROM e WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)""")
+       count(*) FILTER (outbound AND (byte_count = 0 OR (rst_count > 0 AND byte_count < 64))) OVER w AS failed, count(*) FILTER (outbound AND byte_count >= 1000000) OVER w AS large_transfers,
+       count(*) OVER w - 1 AS n, min(us) OVER w AS lo, sum(gap2) OVER w AS squares
+FROM g WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)),
+m AS (SELECT r.*, first2, CASE WHEN n > 0 THEN (r.us - lo) / 1000 / n END AS mean FROM r JOIN fg ON fg.entity = r.entity AND fg.us = lo)
+SELECT seq, entity, flows_out, bytes_out, bytes_in, distinct_dst_ips, distinct_dst_ports, max_bytes, flows_in, failed, large_transfers, round(mean, 2) AS inter_arrival_mean_ms,
+       round(CASE WHEN n > 1 THEN sqrt(greatest(0, (squares - first2 - n * mean * mean) / (n - 1))) WHEN n = 1 THEN 0 END, 1) AS inter_arrival_std_ms FROM m""")
 def rolling_entity_features(spark, d):
-    return W.rolling_entity_features(L.explode_entities(V.flows(spark, d)), 7 * DAY).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips", "distinct_dst_ports", "max_bytes", "flows_in", "failed", "large_transfers")
+    return W.rolling_entity_features(L.explode_entities(V.flows(spark, d)), 7 * DAY).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips", "distinct_dst_ports", "max_bytes", "flows_in", "failed", "large_transfers", F.round("inter_arrival_mean_ms", 2).alias("inter_arrival_mean_ms"), F.round("inter_arrival_std_ms", 1).alias("inter_arrival_std_ms"))
 
 
 @query("pps_zscore", """
@@ -284,12 +289,6 @@ def entity_profiles(spark, d):
     return p.withColumns({"first_seen": F.unix_micros("first_seen"), "last_seen": F.unix_micros("last_seen")})
 
 
-@query("entity_fingerprints", "SELECT entity, min(us) AS first_seen, max(us) AS last_seen, count(*) AS observations, count(DISTINCT ja3) AS known_ja3, count(DISTINCT ja4) AS known_ja4, count(DISTINCT sni) AS known_domains FROM ctx GROUP BY ALL")
-def entity_fingerprints(spark, d):
-    p = X.entity_profiles(V.contexts(spark, d))
-    return p.withColumns({"first_seen": F.unix_micros("first_seen"), "last_seen": F.unix_micros("last_seen")})
-
-
 @query("most_recent_entities", "WITH p AS (SELECT src_ip AS entity, max(us) AS last_seen FROM flows GROUP BY ALL) SELECT entity, last_seen FROM p WHERE last_seen >= (SELECT max(last_seen) FROM p) - 86400000000 ORDER BY last_seen DESC, entity LIMIT 20")
 def most_recent_entities(spark, d):
     p = X.entity_profiles(V.flows(spark, d).withColumnRenamed("src_ip", "entity"))
@@ -422,6 +421,12 @@ def detect_exfil(spark, d):
     return rounded(D.detect(X.exfil_features(V.flows(spark, d)), "exfil").select("entity", "score", "confidence", "severity"))
 
 
+@query("entity_fingerprints", SIG + ", a AS (SELECT entity, least(count(*), 100) AS active_signals FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL), p AS (SELECT entity, min(us) AS first_seen, max(us) AS last_seen, count(*) AS observations, count(DISTINCT ja3) AS known_ja3, count(DISTINCT ja4) AS known_ja4, count(DISTINCT sni) AS known_domains FROM ctx GROUP BY ALL) SELECT p.*, coalesce(active_signals, 0) AS active_signals FROM p LEFT JOIN a USING (entity)")
+def entity_fingerprints(spark, d):
+    p = X.entity_profiles(V.contexts(spark, d), D.active_signals(signals(spark, d)))
+    return p.withColumns({"first_seen": F.unix_micros("first_seen"), "last_seen": F.unix_micros("last_seen")})
+
+
 def signals(spark, d):
     """Three detectors over the contexts, with what correlation needs."""
     keep = ("entity", "ts", "seq", "target", "zscore")
