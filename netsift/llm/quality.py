@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .toxicity import labelled
+
 DIMS = 2048
 _CLASSES = [(re.compile(r"[^\W\d_]+"), lambda m: ("A" if m[0].isupper() and len(m[0]) > 1 else "a") * (1 + (len(m[0]) > 5) + (len(m[0]) > 12))), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
 _SHAPES: dict[str, int] = {}
@@ -83,21 +85,17 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, rank: int = 24, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> dict:
     """The latent space and the labelled vectors in it.
 
-    Labelled rows beyond ``max_labelled`` are left out by a hash of the id,
+    At most ``max_labelled`` labelled ids are taken, those of least hash,
     which bounds what is broadcast; document frequencies cover all of
     ``docs``. Rows with a null id or label teach nothing.
     """
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    n = labels.count()
-    keep = labels.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.97 * max_labelled / max(n, 1))))
-    keep = keep.limit(max_labelled)
 
     def run(batches):
         for batch in batches:
             rows = [vector(t.as_py() or "").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["row", "y"])
 
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(keep), "id").select("text", "y").mapInArrow(run, "row binary, y double").limit(2 * max_labelled).collect()
+    sample = labelled(docs, labels, max_labelled, id_col, text_col, label_col, "double").select("text", "y").mapInArrow(run, "row binary, y double").collect()
     seen, total = document_frequencies(docs, text_col)
     idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + 0.1
     x = np.array([np.frombuffer(r["row"], np.float32) for r in sample], np.float32).reshape(-1, DIMS) * idf

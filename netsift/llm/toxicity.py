@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -32,12 +34,14 @@ def counts(text: str, vocabulary: dict[str, int], cache: dict[str, tuple[int, ..
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Texts of at most ``max_labelled`` labelled rows, chosen by a hash of the id."""
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str, label_col: str, kind: str = "int") -> DataFrame:
+    """``id, y, text`` of at most ``max_labelled`` labelled ids, those of least hash; of several texts under one id the first in order."""
+    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast(kind).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     n = labels.count()
-    keep = labels.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.97 * max_labelled / max(n, 1)))).limit(max_labelled)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(keep), "id")
+    h = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
+    keep = labels.where(h < int((1 << 30) * min(1.0, 1.2 * max_labelled / max(n, 1))) + 1).orderBy(h, "id").limit(max_labelled)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(keep), "id")
+    return stash(sample.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
 
 
 def select_vocabulary(sample: DataFrame, max_terms: int, min_docs: int) -> list[tuple[str, float]]:
@@ -121,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, grades: int = 3, max_labelled: in
             found = [counts(t.as_py() or "", vocabulary, cache) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), batch.column(1)], names=["i", "n", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(run, "i array<int>, n array<int>, y int").limit(2 * max_labelled).collect()
+    rows = sample.select("text", "y").mapInArrow(run, "i array<int>, n array<int>, y int").collect()
     found = [dict(zip(r["i"], r["n"])) for r in rows]
     y = np.array([r["y"] for r in rows], np.int64)
     if len(y) and y.max() == 1 and grades == 3:

@@ -93,6 +93,35 @@ def test_repeats_equal_brute_force(spark, options):
     assert sorted((tuple(r) for r in got), key=repr) == repeats_brute(rows, 100)
 
 
+def test_repeats_in_long_runs(spark):
+    # a run of one byte, and a text of one line over and over, with copies and parts of both
+    rows = [(1, "x" * 1_000_000), (2, "one line\n" * 20_000), (3, "x" * 150 + "y"), (4, "one line\n" * 20_000), (5, "one line\n" * 15), (6, "x" * 1_000_000 + "z")]
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (999_999, 1) and got[2].n_removed == 180_000 - 9
+    assert (got[3].n_removed, got[5].n_removed, got[6].n_removed) == (150, 135, 1_000_000)
+    assert (got[4].n_removed, got[4].n_spans, got[4].kept_sha256) == (180_000, 1, hashlib.sha256(b"").hexdigest())
+
+
+def test_anchors_in_blocks_find_the_same_repeats():
+    r = np.random.default_rng(9)
+    data = r.integers(97, 100, 5000).astype(np.uint8)
+    data[3000:3600] = data[1000:1600]
+    ends = np.array([900, 2500, 5000])
+    whole = repeats.anchors(data, ends, 100)
+    for block in (64, 999):
+        cut = repeats.anchors(data, ends, 100, block)
+        # every start has the same anchor hash, whichever block it stands in
+        spread = [np.repeat(x[0], x[2] - x[1] + 1) for x in (whole, cut)]
+        places = [np.concatenate([np.arange(a, b + 1) for a, b in zip(x[1], x[2])]) for x in (whole, cut)]
+        assert np.array_equal(*spread) and np.array_equal(*places) and np.array_equal(np.repeat(whole[3], whole[2] - whole[1] + 1), np.repeat(cut[3], cut[2] - cut[1] + 1))
+
+
+def test_window_minima():
+    x = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
+    for width in (1, 2, 7, 81, 500):
+        assert repeats._window_minima(x, width).tolist() == [min(x[i : i + width]) for i in range(500 - width + 1)]
+
+
 def test_repeated_rows_are_one_document(spark):
     t = prose(9, 60)
     got = repeats.remove_repeats(docs(spark, [(1, t), (1, t)])).collect()
@@ -115,6 +144,21 @@ def test_suffix_array_and_prefixes():
             assert lcp[k] == min(m, 50)
 
 
+def test_shards_of_repetitive_contexts():
+    # pieces of a few long strings, cut and joined anew, so that many suffixes agree in a little more than the length
+    r = random.Random(17)
+    for _ in range(8):
+        pool = ["".join(r.choice("abc ") for _ in range(60)) for _ in range(4)]
+        contexts = [(i, i, 0, "".join(x[r.randrange(9) :] for x in r.choices(pool, k=r.randrange(1, 6))).encode()) for i in range(60)]
+        doc, _, start, _, first, _, _ = repeats.shard_repeats(contexts, 40)
+        seen, want = {}, set()
+        for i, _, _, body in contexts:
+            for s in range(len(body) - 39):
+                if seen.setdefault(body[s : s + 40], (i, s)) != (i, s):
+                    want.add((i, s))
+        assert set(zip(doc[~first].tolist(), start[~first].tolist())) == want
+
+
 # --- top-k
 
 
@@ -134,6 +178,10 @@ def test_topk_equals_brute_force(spark):
         s = z @ z[q]
         best = sorted((-int(s[i]), i) for i in range(700) if i != q)[:10]
         assert sorted(got[q]) == [(k + 1, i, -t) for k, (t, i) in enumerate(best)]
+    big = topk.integer_vectors(spark.createDataFrame([(i, [float(x) for x in r.integers(-(1 << 20), 1 << 20, 3)]) for i in range(40)], "vec_id long, embedding array<double>"))
+    table = {x.vec_id: x.v for x in big.collect()}
+    best = sorted((-sum(a * b for a, b in zip(table[0], table[i])), i) for i in range(1, 40))[:10]
+    assert [(x.vec_id, x.score) for x in topk.top_k(big, big.where("vec_id = 0").select(F.col("vec_id").alias("query_id"))).orderBy("rank").collect()] == [(i, -s) for s, i in best]
     few = whole.where("vec_id < 3")
     assert topk.top_k(few, few.select(F.col("vec_id").alias("query_id"))).count() == 6
     assert topk.top_k(whole.limit(0), few.select(F.col("vec_id").alias("query_id"))).count() == 0
@@ -168,6 +216,17 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, rows).limit(0), **queries.tokenizer_paths()).count() == 0
 
 
+def test_ids_of_odd_strings_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    paths, r = queries.tokenizer_paths(), random.Random(15)
+    whole, own = Tokenizer.from_file(paths["json_path"]), packing.encoder(**paths)
+    letters = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "a", "Ab", "'s", "'LL", "1234", "é", "ß", "中文", "🙂", "\u200b", "<|endoftext|>", "_", "--", "\x00", "e\u0301", "٣", "ي"]
+    for _ in range(3000):
+        text = "".join(r.choice(letters) for _ in range(r.randrange(12)))
+        assert np.frombuffer(own.encode(text), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_tightest_window():
     tree = packing.CapacityTree(1024)
     for c in (5, 700, 1024):
@@ -261,6 +320,14 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_shingles_in_blocks():
+    r = random.Random(14)
+    for n in (0, 1, 2, 3, 4, 50):
+        text = "".join(r.choice("Ab \t\n\x0b") for _ in range(n))
+        for block in (1, 3, 7, 1000):
+            assert [s for b in simhash.shingle_blocks(text, 3, block) for s in b] == simhash.shingles(text, 3)
+
+
 def test_gray_index_finds_every_link():
     r = np.random.default_rng(2)
     x = np.concatenate([r.integers(0, 1 << 62, 400), np.arange(300)]).astype(np.uint64)
@@ -315,6 +382,22 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert simhash.dedup(df.limit(0)).count() == 0
 
 
+def test_dedup_behind_shared_passages(spark):
+    # every text holds one of two long licences, so the segments of these have heads that are alike to nothing else
+    r, rows, want = random.Random(41), [], set()
+    licences = [prose(800 + k, 160) for k in (0, 1)]
+    for k in range(40):
+        words = prose(600 + k, 240).split()
+        other = list(words)
+        for i in r.sample(range(240), 5 if k % 4 else 60):
+            other[i] = f"edit{k}x{i}"
+        rows += [(2 * k, f"{' '.join(words)} {licences[k % 2]}"), (2 * k + 1, f"{' '.join(other)} {licences[k % 2]}")]
+        a, b = (frozenset(simhash.shingles(t, 5)) for _, t in rows[-2:])
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+    assert len(want) == 50
+    assert {x.doc_id for x in simhash.dedup(docs(spark, rows), few=4).collect()} == want
+
+
 def test_dedup_of_long_texts_is_exact(spark):
     # pairs of long texts with similarities close to 0.8 on either side, each pair on words of its own
     rows, want = [], set()
@@ -344,7 +427,16 @@ def test_overlaps_tolerate_substitutions(spark):
     kept = decontamination.decontaminate(df, bench)
     assert kept.columns == df.columns and kept.count() == len(rows) - 4
     by_shuffle = decontamination.contaminated(df, bench, max_broadcast_seeds=0)
-    assert by_shuffle.count() == 4 and decontamination.contaminated(df.limit(0), bench).count() == 0 and decontamination.contaminated(df, bench.limit(0)).count() == 0
+    assert sorted(map(tuple, by_shuffle.collect()), key=repr) == sorted(map(tuple, bad), key=repr)
+    # every change that the share allows, in items of 8 to 13 words
+    import itertools
+
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(8, 14)}
+    changed = [(n, s) for n in items for k in range(n - -(-n * 4 // 5) + 1) for s in itertools.combinations(range(n), k)]
+    texts = [(k, " ".join(["before", "it", *(f"c{k}" if i in s else w for i, w in enumerate(items[n])), "after"])) for k, (n, s) in enumerate(changed)]
+    found = decontamination.overlaps(docs(spark, texts), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(k, n) for k, (n, _) in enumerate(changed)}
+    assert decontamination.contaminated(df.limit(0), bench).count() == 0 and decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
 # --- passages
@@ -352,14 +444,19 @@ def test_overlaps_tolerate_substitutions(spark):
 
 def test_compact_windows_cover_every_run():
     r = np.random.default_rng(6)
-    h = r.integers(0, 1 << 60, 120).astype(np.uint64)
-    found = passages.compact_windows(h, 0, 120, 10)
-    for i in range(120):
-        for j in range(i + 9, 120):
-            c = i + int(h[i : j + 1].argmin())
-            assert sum(a <= i and j <= b and m == c for a, m, b in found) == 1
-    place = passages.pack_window(*np.array(found).T)
-    assert np.array_equal(np.stack(passages.unpack_window(place), axis=1), np.array(found))
+    h = r.integers(0, 1 << 60, 200).astype(np.uint64)
+    starts, counts = np.array([0, 120, 125]), np.array([120, 5, 75])
+    owner, left, centre, right = passages.compact_windows(h, starts, counts, 10)
+    found = list(zip(left.tolist(), centre.tolist(), right.tolist()))
+    assert not (owner == 1).any()
+    for lo, hi in ((0, 120), (125, 200)):
+        for i in range(lo, hi):
+            for j in range(i + 9, hi):
+                c = i + int(h[i : j + 1].argmin())
+                assert sum(a <= i and j <= b and m == c for a, m, b in found) == 1
+    assert all(starts[o] <= a <= m <= b < starts[o] + counts[o] for o, (a, m, b) in zip(owner, found))
+    # a text of one word over and over has one window
+    assert len(passages.compact_windows(np.full(5000, 3, np.uint64), np.array([0]), np.array([5000]), 46)[0]) == 1
 
 
 def test_passages(spark):
@@ -387,6 +484,66 @@ def test_passages_behind_other_heads(spark):
     assert got == {(61, 60, 40, 50, 30), (101, 100, 0, 60, 30)}
 
 
+def passage_pairs_brute(rows, words, size, share):
+    """Pairs of ids with two runs of ``words`` words whose sets of runs of ``size`` words are alike."""
+    grams = {i: [tuple(t.lower().split()[k : k + size]) for k in range(len(t.split()) - size + 1)] for i, t in rows}
+    n, found = words - size + 1, set()
+    for i, a in grams.items():
+        for j, b in grams.items():
+            common = set(a) & set(b)
+            if i >= j or len(common) < share * n / 2:
+                continue
+            x, y = ([set(g[k : k + n]) for k in range(len(g) - n + 1)] for g in (a, b))
+            if any(len(p & q) >= share * len(p | q) for p in x if len(p & common) >= n / 2 for q in y):
+                found.add((i, j))
+    return found
+
+
+def reached(pairs):
+    """Each id's group under the links."""
+    root = {}
+
+    def find(p):
+        while root.setdefault(p, p) != p:
+            p = root[p]
+        return p
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return {p: find(p) for p in list(root)}
+
+
+def test_passages_equal_brute_force(spark):
+    # passages of 50 to 80 words, some with a word changed, in texts of their own
+    r, rows = random.Random(31), []
+    for k in range(60):
+        p = prose(900 + k, 50 + k % 31).split()
+        q = list(p)
+        if k % 3:
+            q[r.randrange(len(q))] = "changed"
+        rows += [(2 * k, f"{prose(2000 + k, r.randrange(40))} {' '.join(p)} {prose(3000 + k, r.randrange(40))}"), (2 * k + 1, f"{prose(4000 + k, r.randrange(40))} {' '.join(q)} {prose(5000 + k, r.randrange(40))}")]
+    want = passage_pairs_brute(rows, 50, 5, 0.8)
+    assert len(want) > 50
+    group = reached([(x.doc_id, x.of_doc_id) for x in passages.near_passages(docs(spark, rows)).collect()])
+    lost = [p for p in want if group.get(p[0], -1) != group.get(p[1], -2)]
+    assert len(lost) <= 0.03 * len(want)
+    clean = {i for i, _ in rows} - {i for p in want for i in p}
+    assert not clean & set(group)
+
+
+def test_passages_quoted_in_parts_before(spark):
+    # earlier documents quote runs of 19 words of passages that later ones repeat whole
+    rows, r = [], random.Random(32)
+    for k in range(100):
+        p = prose(7000 + k, 60).split()
+        for q in range(3):
+            at = r.randrange(42)
+            rows.append((10 * k + q, f"{prose(10_000 + 3 * k + q, 40)} {' '.join(p[at : at + 19])} {prose(20_000 + 3 * k + q, 40)}"))
+        rows += [(10 * k + 5 + d, f"{prose(30_000 + 2 * k + d, 30)} {' '.join(p)} {prose(40_000 + 2 * k + d, 30)}") for d in (0, 1)]
+    got = {(x.doc_id, x.of_doc_id) for x in passages.near_passages(docs(spark, rows)).collect()}
+    assert got <= {(10 * k + 6, 10 * k + 5) for k in range(100)} and len(got) >= 98
+
+
 # --- pages
 
 
@@ -425,3 +582,53 @@ def test_extract(spark):
     assert got[3, rows[2][1]].text == "Site menu alone Imprint" and got[4, rows[3][1]].text == got[5, rows[4][1]].text == "same"
     assert got[6, None].text == "" and got[7, rows[7][1]].text == "Site menu copy Imprint" and all(r.n_chars == len(r.text) for r in got.values())
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
+
+
+def test_page_differencing_equals_brute_force(spark):
+    # a host of many pages without marks: a frame of its own for each section, copies among them; any number of ranges
+    r, rows = random.Random(12), []
+    for i in range(60):
+        section = i // 20
+        body = [f"story {i if i % 7 else 1} part {k}" for k in range(3)]
+        lines_ = ["Site menu", f"Section {section}", *body, *(["Now with offers"] if r.random() < 0.5 else []), "Imprint"]
+        rows.append((i, f"http://h.example/{section}/{i:03d}?q={i}", "".join(f"<div>{x}</div>" for x in lines_)))
+    rows += [(100 + k, f"http://h.example/0/003?copy={k}", rows[3][2]) for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted((x.page_id, x.text) for x in html.extract(pages, partitions=n).collect()) for n in (1, 7, 50)]
+    assert got[0] == got[1] == got[2]
+    # brute force: one page of each list of lines, by least path, against the ones beside it
+    own = {i: tuple(t for t, _ in html.lines_of(h)) for i, _, h in rows}
+    place = {}
+    for i, u, _ in rows:
+        path = u.split("?")[0]
+        place[own[i]] = min(place.get(own[i], path), path)
+    line = sorted(place, key=lambda x: place[x])
+
+    def longest(a, b):
+        if not a or not b:
+            return []
+        table = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = (*table[i][j], i) if x == y else max(table[i][j + 1], table[i + 1][j], key=len)
+        return table[-1][-1]
+
+    want = []
+    for i, _, _ in rows:
+        k = line.index(own[i])
+        gone = {x for other in [*line[max(k - 1, 0) : k], *line[k + 1 : k + 2]] for x in longest(own[i], other)}
+        want.append((i, " ".join(t for x, t in enumerate(own[i]) if x not in gone)))
+    assert got[0] == sorted(want)
+    assert all("Imprint" not in t and "menu" not in t for _, t in want)
+
+
+def test_extract_passes_marked_content_whole(spark, small):
+    # the tables' pages mark their article: what stays is the article's own text, whatever its neighbours share
+    got = {r.page_id: r.text for r in queries.op10_html(spark, small).collect()}
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        inner = re.search(r"<article[^>]*>(.*?)</article>", r.html or "", re.S)
+        if inner and "<" not in re.sub(r"</?(?:p|h1|b|br|i|em|strong)\b[^>]*>", "", inner[1]):
+            import html as entities
+
+            plain = " ".join(entities.unescape(re.sub(r"</?(?:b|i|em|strong)\b[^>]*>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", inner[1]))).split())
+            assert got[r.page_id] == plain
