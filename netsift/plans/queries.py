@@ -222,10 +222,10 @@ r AS (SELECT seq, us, entity, CAST(sum(CAST(outbound AS INTEGER)) OVER w AS BIGI
        count(*) OVER w - 1 AS n, min(us) OVER w AS lo, sum(gap2) OVER w AS squares
 FROM g WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)),
 m AS (SELECT r.*, first2, CASE WHEN n > 0 THEN (r.us - lo) / 1000 / n END AS mean FROM r JOIN fg ON fg.entity = r.entity AND fg.us = lo)
-SELECT seq, entity, flows_out, bytes_out, bytes_in, distinct_dst_ips, distinct_dst_ports, max_bytes, flows_in, failed, large_transfers, round(mean, 2) AS inter_arrival_mean_ms,
-       round(CASE WHEN n > 1 THEN sqrt(greatest(0, (squares - first2 - n * mean * mean) / (n - 1))) WHEN n = 1 THEN 0 END, 1) AS inter_arrival_std_ms FROM m""")
+SELECT seq, entity, flows_out, bytes_out, bytes_in, distinct_dst_ips, distinct_dst_ports, max_bytes, flows_in, failed, large_transfers, round(mean / 1000) AS inter_arrival_mean_sec,
+       round(CASE WHEN n > 1 THEN sqrt(greatest(0, (squares - first2 - n * mean * mean) / (n - 1))) WHEN n = 1 THEN 0 END / 1000) AS inter_arrival_std_sec FROM m""")
 def rolling_entity_features(spark, d):
-    return W.rolling_entity_features(L.explode_entities(V.flows(spark, d)), 7 * DAY).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips", "distinct_dst_ports", "max_bytes", "flows_in", "failed", "large_transfers", F.round("inter_arrival_mean_ms", 2).alias("inter_arrival_mean_ms"), F.round("inter_arrival_std_ms", 1).alias("inter_arrival_std_ms"))
+    return W.rolling_entity_features(L.explode_entities(V.flows(spark, d)), 7 * DAY).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips", "distinct_dst_ports", "max_bytes", "flows_in", "failed", "large_transfers", F.round(F.col("inter_arrival_mean_ms") / 1000).alias("inter_arrival_mean_sec"), F.round(F.col("inter_arrival_std_ms") / 1000).alias("inter_arrival_std_sec"))
 
 
 @query("pps_zscore", """
