@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lines, passages, repeats, simhash, topk
+from . import decontamination, licences, lines, negatives, passages, ranked, repeats, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,20 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan_licences(table(spark, sf_dir, "documents")))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), label=moved)
+    return negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("anchor_id")))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +105,9 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op4_packing": op4_packing,
+    "op11_licences": op11_licences,
+    "op12_negatives": op12_negatives,
+    "op13_ranked": op13_ranked,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +115,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": repeats.SQL,
     "op3_topk": topk.SQL,
     "op8_decontamination": decontamination.SQL,
+    "op12_negatives": negatives.SQL,
+    "op13_ranked": ranked.SQL,
 }
