@@ -554,6 +554,18 @@ def test_page_text():
     assert html.lines_of("") == [] and html.lines_of("<p>cut <b") == [("cut", 0)]
 
 
+def test_marks_count_by_whole_tokens():
+    text = lambda page, want: " ".join(t for t, role in html.lines_of(page) if role == want)
+    article = '<article class="post share-price">{}</article>'
+    own = '<h1 id="search">A</h1><section id="related-work">B</section><p class="share-price">C</p><div class="form-factor">D</div><p>E</p><h2 class="menu">F</h2><p id="comments">G</p><div data-class="ad">H</div><div class="header banner">I</div><div id="notice">J</div>'
+    assert text(article.format(own), 1) == "A B C D E F G H I J"
+    foreign = ['<div class="x share-buttons">', "<ul id=comments>", "<div class=ad>", "<div class='comment-list'>", '<div role="navigation">', '<p class="related">', '<div class="entry-footer">', '<div class="cookie_notice">', '<div id="ads">', "<form>", "<aside>", '<section class="newsletter-signup">']
+    for tag in foreign:
+        assert text(article.format(f"<p>A</p>{tag}B</{tag[1:].split()[0].strip('>')}><p>C</p>"), 1) == "A C", tag
+    outside = '<div id="top-nav">a</div><div class="site-header">b</div><div id="sidebar">c</div><div class="search">d</div><div id="nav-research">E</div><div class="form-factor">F</div>'
+    assert text(outside, 0) == "E F" and text('<article class="comment">r</article><main id="search">M</main>', 1) == "M"
+
+
 def test_page_text_after_open_controls():
     text = lambda page, want: " ".join(t for t, role in html.lines_of(page) if role == want)
     assert text("<datalist><option value=a></datalist><article>one</article>", 1) == "one"
