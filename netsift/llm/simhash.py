@@ -269,12 +269,15 @@ def _short(body: bytes) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
 
 
-def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int, short: int = 256, shared: int = 6) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """For each text: its fingerprint over runs of ``size`` words, those of some segments, and its least run hashes.
 
     A segment is a run of words up to one whose hash says so (sixteen words
     on average), so an edit changes only the segments that it touches; the
     ``segments`` of least fingerprint are taken, the same ones in texts alike.
+    A text of fewer than ``short`` words has few segments, and one edit may
+    change them all: its ``shared`` least run hashes stand beside them. Two
+    texts at a similarity of 0.8 share none of six with a chance of 0.2^6.
     """
     n = len(bodies)
     word, owner = word_hashes(bodies)
@@ -304,6 +307,7 @@ def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int) ->
     for i in np.flatnonzero(counts == 0).tolist():
         least[i] = _short(bodies[i])
         fps[i] = fingerprint(least[i])
+    parts = [np.concatenate([p, mix(x[:shared], ODD[5])]) if n < short else p for p, x, n in zip(parts, least, words.tolist())]
     return fps, parts, least
 
 
@@ -329,7 +333,7 @@ def _sketches(docs: DataFrame, size: int, segments: int, sketch: int) -> DataFra
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), lists, pa.array([x.astype("<u8").tobytes() for x in least], pa.binary())], names=["key", "fp", "parts", "least"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, fp long, parts array<long>, least binary")
+    return docs.select("key", "text").mapInArrow(run, "key binary, fp long, parts array<long>, least binary")
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
@@ -344,10 +348,11 @@ def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
 def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int = 3, segments: int = 8, sketch: int = 256, margin: float = 0.15, turns: int = 2, few: int = 16, apart: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
-    Equal texts are one class. Texts are candidates if their SimHash
+    Equal texts (by a hash of 128 bits) are one class. Texts are candidates if their SimHash
     fingerprints over runs of ``size`` words link within ``limit`` bits in the
-    Gray-order index, or if they share the fingerprint of a segment: three
-    bits alone find few of the pairs near 0.8. Candidates whose fingerprints
+    Gray-order index, or if they share the fingerprint of a segment (short
+    texts also one of their least shingle hashes): three bits alone find few
+    of the pairs near 0.8. Candidates whose fingerprints
     differ in more than ``apart`` bits are let go (at a similarity of 0.8 they
     differ in about 10, give or take 3); the others link if the Jaccard
     similarity of their shingle sets is ``similarity`` or more. The ``sketch``
@@ -368,7 +373,7 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     are; an empty table stays empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key, row_id = F.xxhash64(text, F.lit(11)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    key, row_id = F.unhex(F.md5(text.cast("binary"))), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     id_, key_ = fresh(docs, "id", "key")
     keyed = docs.select(key.alias("key"), row_id.alias("id"), text.alias("text"))
     found = stash(_sketches(keyed, size, segments, sketch).dropDuplicates(["key"]), "sketches")
@@ -406,13 +411,13 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
         """The pairs ``key, of`` that are alike, as ``a, b``."""
         mine = pairs.distinct().join(found.select("key", F.col("least").alias("x")), "key")
         both = mine.join(found.select(F.col("key").alias("of"), F.col("least").alias("y")), "of").select("key", "of", "x", "y")
-        verdict = stash(both.mapInArrow(judged, "a long, b long, clear boolean"), "verdicts")
+        verdict = stash(both.mapInArrow(judged, "a binary, b binary, clear boolean"), "verdicts")
         # estimates near the limit decide nothing: those pairs are verified by all their shingles
         unclear = verdict.where(~F.col("clear")).select(F.col("a").alias("key"), F.col("b").alias("of"))
         needed = unclear.select("key").unionByName(unclear.select(F.col("of").alias("key"))).distinct()
-        full = stash(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key long, all binary"), "sets")
+        full = stash(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key binary, all binary"), "sets")
         exact = unclear.join(full.withColumnRenamed("all", "x"), "key").join(full.select(F.col("key").alias("of"), F.col("all").alias("y")), "of").select("key", "of", "x", "y")
-        return stash(verdict.where("clear").select("a", "b").unionByName(exact.mapInArrow(alike, "a long, b long")), "links")
+        return stash(verdict.where("clear").select("a", "b").unionByName(exact.mapInArrow(alike, "a binary, b binary")), "links")
 
     def with_least(df: DataFrame) -> DataFrame:
         """The units of two texts or more, with the least text and the number of each."""
