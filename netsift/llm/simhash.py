@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, stash
@@ -269,15 +269,14 @@ def _short(body: bytes) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
 
 
-def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int, short: int = 256, shared: int = 6) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For each text: its fingerprint over runs of ``size`` words, those of some segments, and its least run hashes.
+def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int, short: int = 128) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each text: its fingerprint over runs of ``size`` words, those of some segments, its least run hashes, and all of a short one's.
 
     A segment is a run of words up to one whose hash says so (sixteen words
     on average), so an edit changes only the segments that it touches; the
     ``segments`` of least fingerprint are taken, the same ones in texts alike.
     A text of fewer than ``short`` words has few segments, and one edit may
-    change them all: its ``shared`` least run hashes stand beside them. Two
-    texts at a similarity of 0.8 share none of six with a chance of 0.2^6.
+    change them all: all its run hashes come beside them.
     """
     n = len(bodies)
     word, owner = word_hashes(bodies)
@@ -307,8 +306,8 @@ def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int, sh
     for i in np.flatnonzero(counts == 0).tolist():
         least[i] = _short(bodies[i])
         fps[i] = fingerprint(least[i])
-    parts = [np.concatenate([p, mix(x[:shared], ODD[5])]) if n < short else p for p, x, n in zip(parts, least, words.tolist())]
-    return fps, parts, least
+    runs = [x if n < short else x[:0] for x, n in zip(least, words.tolist())]
+    return fps, parts, least, runs
 
 
 def _text_chunks(batch: pa.RecordBatch, column: int, limit: int = 200_000):
@@ -322,18 +321,39 @@ def _text_chunks(batch: pa.RecordBatch, column: int, limit: int = 200_000):
             at, bodies, held = i + 1, [], 0
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def _sketches(docs: DataFrame, size: int, segments: int, sketch: int) -> DataFrame:
-    """``key, fp, parts, least`` of every text."""
+    """``key, fp, parts, runs, least`` of every text."""
 
     def run(batches):
         for batch in batches:
             for rows, bodies in _text_chunks(batch, 1):
-                fps, parts, least = text_sketches(bodies, size, segments, sketch)
-                offsets = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), lists, pa.array([x.astype("<u8").tobytes() for x in least], pa.binary())], names=["key", "fp", "parts", "least"])
+                fps, parts, least, runs = text_sketches(bodies, size, segments, sketch)
+                columns = [rows.column(0), pa.array(fps.view(np.int64)), _lists(parts), _lists(runs), pa.array([x.astype("<u8").tobytes() for x in least], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "parts", "runs", "least"])
+
+    return docs.select("key", "text").mapInArrow(run, "key binary, fp long, parts array<long>, runs array<long>, least binary")
 
-    return docs.select("key", "text").mapInArrow(run, "key binary, fp long, parts array<long>, least binary")
+
+def _rarest(found: DataFrame, similarity: float) -> DataFrame:
+    """``key, fp, unit``: of each short text's runs, in order from the rarest, as many as two texts alike must share one of.
+
+    Of n runs, at least a share of ``similarity`` stands in any text alike, so
+    the first n - similarity * n + 1 hold a shared one, and the same order
+    for all texts puts the same one into both. Runs that many texts hold come
+    last, so they are keys of those only that hold little else. Runs of one
+    text are counted, but make no key.
+    """
+    runs = found.where(F.size("runs") > 0).select("key", "fp", F.size("runs").alias("n"), F.explode("runs").alias("unit"))
+    often = runs.groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1)
+    own = Window.partitionBy("key")
+    place = F.row_number().over(own.orderBy("texts", "unit")) + F.col("n") - F.count(F.lit(1)).over(own)
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    return runs.join(often, "unit").withColumns({"place": place, "first": first}).where("place <= first").select("key", "fp", "unit")
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
@@ -348,25 +368,28 @@ def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
 def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int = 3, segments: int = 8, sketch: int = 256, margin: float = 0.15, turns: int = 2, few: int = 16, apart: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
-    Equal texts (by a hash of 128 bits) are one class. Texts are candidates if their SimHash
-    fingerprints over runs of ``size`` words link within ``limit`` bits in the
-    Gray-order index, or if they share the fingerprint of a segment (short
-    texts also one of their least shingle hashes): three bits alone find few
-    of the pairs near 0.8. Candidates whose fingerprints
-    differ in more than ``apart`` bits are let go (at a similarity of 0.8 they
-    differ in about 10, give or take 3); the others link if the Jaccard
-    similarity of their shingle sets is ``similarity`` or more. The ``sketch``
-    least hashes decide texts of fewer shingles (exactly) and estimates more
-    than ``margin`` from the limit, six standard errors at 0.8; all other
-    pairs are verified by their whole sets. Groups are the connected
-    components of the links.
-
-    The texts of one segment or linked fingerprint are set against the least
-    of them. Those that do not link to it are dealt again against the next,
-    ``turns`` times; then all that are left are set against each other where
-    they are ``few`` at most, else those that share another segment as well
-    against the least of these. So no text depends on one partner, and no
-    step makes all pairs of a large group.
+    Equal texts (by a hash of 128 bits) are one class. Texts are candidates if
+    their SimHash fingerprints over runs of ``size`` words link within
+    ``limit`` bits in the Gray-order index, or if they share the fingerprint
+    of a segment: three bits alone find few of the pairs near 0.8. Of these,
+    texts whose fingerprints differ in more than ``apart`` bits are let go (at
+    a similarity of 0.8 they differ in about 10, give or take 3). Texts of
+    fewer than 128 words, which have few segments, are candidates also if they
+    share one of the rarest of their shingles, so many that any two at
+    ``similarity`` share one. Candidates link if the Jaccard similarity of
+    their shingle sets is ``similarity`` or more. The ``sketch`` least hashes
+    decide texts of fewer shingles (exactly) and estimates more than
+    ``margin`` from the limit, six standard errors at 0.8; all other pairs are
+    verified by their whole sets. Groups are the connected components of the
+    links.
+
+    The texts of one segment, linked fingerprint or rare shingle are set
+    against the least of them. Those that do not link to it are dealt again
+    against the next, ``turns`` times; then all that are left are set against
+    each other where they are ``few`` at most, else those of a segment or
+    fingerprint that share another one as well against the least of these. So
+    no text depends on one partner, and no step makes all pairs of a large
+    group.
 
     Null texts count as empty, and all empty texts are equal. A null id comes
     before all others. Of repeated rows one stays. All columns stay as they
@@ -382,6 +405,8 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     reach = components(linked(found, limit=limit)).select(F.col("node").alias("fp"), F.col("component").alias("unit"))
     whole = found.select("key", "fp").join(reach, "fp", "left").select("key", "fp", F.coalesce("unit", "fp").alias("unit"), F.lit(0).alias("kind"))
     parts = found.select("key", "fp", F.explode("parts").alias("unit"), F.lit(1).alias("kind"))
+    # texts of few segments meet by the rarest of their runs as well
+    rare = _rarest(found, similarity).withColumn("kind", F.lit(2))
     units = whole.unionByName(parts)
 
     def judged(batches):
@@ -424,8 +449,8 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
         told = df.groupBy("kind", "unit").agg(F.min(F.struct("key", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
         return stash(df.join(told.select("kind", "unit", F.col("h.key").alias("of"), F.col("h.fp").alias("of_fp"), "n"), ["kind", "unit"]), "units")
 
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= apart
-    rest, links = with_least(units), None
+    near = (F.col("kind") == 2) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= apart)
+    rest, links = with_least(units.unionByName(rare)), None
     for turn in range(turns + 1):
         more = verified(rest.where("key <> of").where(near).select("key", "of"))
         links = more if links is None else links.unionByName(more)
@@ -437,9 +462,9 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     others = small.select("kind", "unit", F.col("key").alias("of"), F.col("fp").alias("of_fp"))
     pairs = small.select("kind", "unit", "key", "fp").join(others, ["kind", "unit"]).where("key > of").where(near).select("key", "of")
     # of the units that are still large, two of one text make a finer one
-    large = rest.where(F.col("n") > few).select(F.xxhash64("kind", "unit").alias("unit"), "key", "fp")
+    large = rest.where((F.col("n") > few) & (F.col("kind") != 2)).select(F.xxhash64("kind", "unit").alias("unit"), "key", "fp")
     finer = large.join(units.select("key", F.xxhash64("kind", "unit").alias("second")), "key").where("unit <> second")
-    finer = finer.select("key", "fp", F.xxhash64(F.least("unit", "second"), F.greatest("unit", "second")).alias("unit"), F.lit(2).alias("kind")).distinct()
+    finer = finer.select("key", "fp", F.xxhash64(F.least("unit", "second"), F.greatest("unit", "second")).alias("unit"), F.lit(3).alias("kind")).distinct()
     pairs = pairs.unionByName(with_least(finer).where("key <> of").where(near).select("key", "of"))
     links = links.unionByName(verified(pairs))
     group = components(links).select(F.col("node").alias("key"), F.col("component").alias("group"))
