@@ -52,6 +52,14 @@ def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a stashed table, once every table that was made of it is written."""
+    files, sc = df.inputFiles(), df.sparkSession.sparkContext
+    if files:
+        path = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` (a shuffle join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
