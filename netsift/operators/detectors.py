@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +118,56 @@ class DetectorSpec:
     expr: Callable[[], Column]
 
 
+@dataclass(frozen=True)
+class PythonDetector:
+    """A detector of one's own in Python, beside the expressions in one scan.
+
+    ``evaluate`` takes a frame of the columns ``needs``, and gives one of
+    ``score`` and ``confidence``, row for row, and ``reasons``, ``severity``
+    and ``threat_class`` if it likes; the severity is else the confidence's
+    band. Rows for which it raises have the error as their status and no
+    signal; the others of the batch keep theirs.
+    """
+
+    name: str
+    needs: tuple[str, ...]
+    evaluate: Callable[[pd.DataFrame], pd.DataFrame]
+    threat_class: str = "UNKNOWN_ANOMALY"
+
+    def told(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """What ``evaluate`` gives for a frame, all columns filled."""
+        found = self.evaluate(frame)
+        if len(found) != len(frame):
+            raise ValueError(f"{self.name} gave {len(found)} rows for {len(frame)}")
+        out = pd.DataFrame({"threat_class": found.get("threat_class", self.threat_class), "score": found["score"].to_numpy(float), "confidence": found["confidence"].to_numpy(float)}, index=frame.index)
+        out["severity"] = found["severity"].to_numpy() if "severity" in found else None
+        out["reasons"] = list(found["reasons"]) if "reasons" in found else [[] for _ in range(len(out))]
+        out["error"] = None
+        return out
+
+    def isolated(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The same; where it raises, row by row, so that an error stays with the row that caused it."""
+        if not len(frame):
+            return self.failed(frame, "")
+        try:
+            return self.told(frame)
+        except Exception as error:  # noqa: BLE001  anything that a detector may raise is a status, not the job's end
+            if len(frame) == 1:
+                return self.failed(frame, f"{type(error).__name__}: {error}")
+        return pd.concat([self.isolated(frame.iloc[k : k + 1]) for k in range(len(frame))])
+
+    def failed(self, frame: pd.DataFrame, error: str) -> pd.DataFrame:
+        n = len(frame)
+        return pd.DataFrame({"threat_class": [None] * n, "score": [None] * n, "confidence": [None] * n, "severity": [None] * n, "reasons": [[] for _ in range(n)], "error": [error] * n}, index=frame.index)
+
+    def column(self) -> Column:
+        @F.pandas_udf("threat_class string, score double, confidence double, severity string, reasons array<string>, error string")
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return self.isolated(frame)
+
+        return run(F.struct(*self.needs))
+
+
 BUILT_IN = (
     DetectorSpec("ddos", ("pps", "syn_ratio"), ddos),
     DetectorSpec("c2", ("periodicity", "jitter", "observations"), c2),
@@ -133,22 +184,36 @@ def detect(contexts: DataFrame, spec: DetectorSpec | str) -> DataFrame:
     return contexts.withColumn("__s", spec.expr()).select(*contexts.columns, "__s.*")
 
 
-def run_detectors(contexts: DataFrame, enabled: list[str] | None = None, extra: tuple[DetectorSpec, ...] = (), keep: tuple[str, ...] = ("entity", "ts")) -> DataFrame:
+def run_detectors(contexts: DataFrame, enabled: list[str] | None = None, extra: tuple[DetectorSpec | PythonDetector, ...] = (), keep: tuple[str, ...] = ("entity", "ts")) -> DataFrame:
     """All enabled detectors over one scan: a signal row each, in registration order.
 
     A detector whose columns the contexts lack gives a row with the status
-    ``no input``. A name may be registered once.
+    ``no input``, one in Python that raises a row with the status ``error:``
+    and what it raised. A name may be registered once.
     """
     specs = [*BUILT_IN, *extra]
     if len({s.name for s in specs}) < len(specs):
         raise ValueError("a detector of that name is registered already")
     chosen = [s for s in specs if enabled is None or s.name in enabled]
+    there = {s.name: all(c in contexts.columns for c in s.needs) for s in chosen}
+    # what is in Python runs before, in one step over the same rows
+    python = {s.name: f"__python_{k}" for k, s in enumerate(chosen) if isinstance(s, PythonDetector) and there[s.name]}
+    if python:
+        contexts = contexts.withColumns({python[s.name]: s.column() for s in chosen if s.name in python})
     empty = F.lit(None)
     rows = []
     for k, s in enumerate(chosen):
-        there = all(c in contexts.columns for c in s.needs)
-        body = s.expr() if there else _signal(None, s.name, empty.cast("double"), empty.cast("double"), empty.cast("string"), F.array().cast("array<string>"))
-        rows.append(F.struct(F.lit(k).alias("detector_order"), F.lit("ok" if there else "no input").alias("status"), *(body[f].alias(f) for f in ("threat_class", "detector", "score", "confidence", "severity", "reasons"))))
+        status = F.lit("ok" if there[s.name] else "no input")
+        if not there[s.name]:
+            body = _signal(None, s.name, empty.cast("double"), empty.cast("double"), empty.cast("string"), F.array().cast("array<string>"))
+        elif s.name in python:
+            p = F.col(python[s.name])
+            severity = F.coalesce(p["severity"], F.when(p["error"].isNull(), severity_band(p["confidence"])))
+            body = F.struct(p["threat_class"].alias("threat_class"), F.lit(s.name).alias("detector"), p["score"].alias("score"), p["confidence"].alias("confidence"), severity.alias("severity"), p["reasons"].alias("reasons"))
+            status = F.when(p["error"].isNull(), "ok").otherwise(F.concat(F.lit("error: "), p["error"]))
+        else:
+            body = s.expr()
+        rows.append(F.struct(F.lit(k).alias("detector_order"), status.alias("status"), *(body[f].alias(f) for f in ("threat_class", "detector", "score", "confidence", "severity", "reasons"))))
     return contexts.select(*keep, F.explode(F.array(*rows)).alias("s")).select(*keep, "s.*")
 
 

@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 
 def align_ground_truth(decisions: DataFrame, events: DataFrame, tolerance_seconds: float = 5.0, bin_seconds: float = 86_400.0) -> DataFrame:
-    """Each decision with the first listed event of its entity whose time, widened by the tolerance, holds it; else BENIGN.
+    """Each decision with the first listed event of either of its ends whose time, widened by the tolerance, holds it; else BENIGN.
 
-    Intervals are laid over time bins, so the join is by (entity, bin) and
-    not a nested loop.
+    A decision's ends are ``entity`` and, where it has the column, ``peer``.
+    Where both tables have ``capture_id``, events count within their capture
+    only. Intervals are laid over time bins, so the join is by (entity, bin)
+    and not a nested loop.
     """
     tol, width = int(tolerance_seconds * 1e6), int(bin_seconds * 1e6)
+    within = ["capture_id"] if "capture_id" in decisions.columns and "capture_id" in events.columns else []
     lo, hi = F.unix_micros("start_ts") - tol, F.unix_micros("end_ts") + tol
-    binned = events.select("entity", F.col("threat_class").alias("truth"), "event_order", lo.alias("lo"), hi.alias("hi")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    asked = decisions.withColumns({"__us": F.unix_micros("ts"), "bin": F.floor(F.unix_micros("ts") / width)})
-    hits = asked.join(binned, ["entity", "bin"]).where("__us between lo and hi").groupBy("decision_id").agg(F.min_by("truth", "event_order").alias("truth"))
+    binned = events.select(*within, F.col("entity").alias("__end"), F.col("threat_class").alias("truth"), "event_order", lo.alias("lo"), hi.alias("hi")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    ends = F.array_distinct(F.array("entity", *(["peer"] if "peer" in decisions.columns else [])))
+    us = F.unix_micros("ts")
+    asked = decisions.select("decision_id", *within, us.alias("__us"), F.floor(us / width).alias("bin"), F.explode(ends).alias("__end"))
+    hits = asked.join(binned, [*within, "__end", "bin"]).where("__us between lo and hi").groupBy("decision_id").agg(F.min_by("truth", "event_order").alias("truth"))
     return decisions.join(hits, "decision_id", "left").withColumn("truth", F.coalesce("truth", F.lit("BENIGN")))
 
 

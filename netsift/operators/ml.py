@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import anomaly_confidence
@@ -123,14 +127,23 @@ def predict_classes(model, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({"class_index": (F.array_position("__p", F.array_max("__p")) - 1).cast("int"), "class_confidence": F.array_max("__p")}).withColumn("is_threat", F.col("class_index") > 0).select(*df.columns, "class_index", "class_confidence", "is_threat")
 
 
-def train_boosted(df: DataFrame, columns: list[str], label: str = "label", classes: int | None = None, rounds: int = 20, rate: float = 0.05, depth: int = 5, seed: int = 42, validation: str | None = None) -> list:
-    """One boosted model against the rest for each class, over one cached input; with a validation flag, early stopping."""
+def _side_by_side(spark: SparkSession, f: Callable, items: Iterable, parallelism: int) -> list:
+    """``f`` of each item, some at a time: small fits leave most of a cluster idle, so their jobs share it."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(f), items))
+
+
+def train_boosted(df: DataFrame, columns: list[str], label: str = "label", classes: int | None = None, rounds: int = 20, rate: float = 0.05, depth: int = 5, seed: int = 42, validation: str | None = None, parallelism: int = 4) -> list:
+    """One boosted model against the rest for each class, ``parallelism`` at a time over one cached input; with a validation flag, early stopping."""
     data = _assemble(df, columns).persist()
     n = classes or data.agg(F.max(label)).first()[0] + 1
-    models = []
-    for k in range(n):
-        gbt = GBTClassifier(featuresCol="__features", labelCol="__own", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, validationIndicatorCol=validation) if validation else GBTClassifier(featuresCol="__features", labelCol="__own", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
-        models.append(gbt.fit(data.withColumn("__own", (F.col(label) == k).cast("double"))))
+    early = {"validationIndicatorCol": validation} if validation else {}
+
+    def fit(k: int):
+        gbt = GBTClassifier(featuresCol="__features", labelCol="__own", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, **early)
+        return gbt.fit(data.withColumn("__own", (F.col(label) == k).cast("double")))
+
+    models = _side_by_side(df.sparkSession, fit, range(n), parallelism)
     data.unpersist()
     return models
 
@@ -223,22 +236,23 @@ def with_folds(df: DataFrame, k: int = 5, label: str | None = None, group: str |
     return df.withColumn("fold", (F.row_number().over(order) % k).cast("int"))
 
 
-def cross_validate(df: DataFrame, columns: list[str], k: int = 5, label: str = "label", trees: int = 20, depth: int = 8, **folds) -> DataFrame:
-    """Accuracy and macro metrics of a forest on each held-out fold; the folds loop on the driver, over one cached input.
+def cross_validate(df: DataFrame, columns: list[str], k: int = 5, label: str = "label", trees: int = 20, depth: int = 8, parallelism: int = 4, **folds) -> DataFrame:
+    """Accuracy and macro metrics of a forest on each held-out fold; ``parallelism`` folds at a time, over one cached input.
 
     With ``group``, whole groups are held out, and a group in two folds is an
     error. The fold's predictions are counted before the cache is freed.
     """
     data = with_folds(df, k, label=label, **folds).persist()
-    out = None
     if folds.get("group") and data.groupBy(folds["group"]).agg(F.count_distinct("fold").alias("n")).where("n > 1").take(1):
         raise ValueError("a group stands in more than one fold")
-    for fold in range(k):
+
+    def judge(fold: int) -> DataFrame:
         model = train_forest(data.where(F.col("fold") != fold), columns, label, trees, depth)
         held = predict_classes(model, data.where(F.col("fold") == fold), columns)
         found = classification_metrics(held, label, "class_index").withColumn("fold", F.lit(fold))
-        row = df.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
-        out = row if out is None else out.unionByName(row)
+        return df.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
+
+    out = reduce(DataFrame.unionByName, _side_by_side(df.sparkSession, judge, range(k), parallelism))
     data.unpersist()
     return out
 

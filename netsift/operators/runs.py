@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import correlate as C
@@ -50,25 +50,48 @@ def entity_events(contexts: DataFrame, flows: DataFrame, signals: DataFrame, his
     return X.context_join(z, seen, active).withColumns({"active_signals": F.coalesce("active_signals", F.lit(0)), "new_destinations": F.lit(0)})
 
 
-def run_pipeline(packets: DataFrame, gap_seconds: float = 300.0, flow_gap_seconds: float = 30.0, enabled: list[str] | None = None, ml: Callable[[DataFrame], DataFrame] | None = None, history: int = 60) -> dict[str, DataFrame]:
+def _counted(df: DataFrame, path: str) -> tuple[DataFrame, Observation]:
+    """Write a table, count its rows on the way, and read it back."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows
+
+
+def run_pipeline(packets: DataFrame, gap_seconds: float = 300.0, flow_gap_seconds: float = 30.0, enabled: list[str] | None = None, ml: Callable[[DataFrame], DataFrame] | None = None, history: int = 60, folder: str | None = None) -> dict[str, DataFrame]:
     """Packets to flows, contexts, signals, incidents, alerts and counters.
 
     Each packet's context is the state of its flow and source by then, with
     the source's deviation from its own baseline. Rules run over the contexts
     in one scan; ``ml`` may add signals of other detector types from the same
-    contexts. Nothing is cached: a caller that reads several of the tables
-    writes the first ones.
+    contexts.
+
+    With ``folder``, flows, active signals, incidents and alerts are written
+    there once each and read back, incidents and alerts from the signals as
+    written, and ``stats`` are the counts observed while writing. Without,
+    nothing is written, and every table, the counts too, is a plan of its own.
     """
-    flows = L.build_flows(packets, f"{int(flow_gap_seconds)} seconds")
+    seen = Observation()
+    flows = L.build_flows(packets.observe(seen, F.count(F.lit(1)).alias("n")) if folder else packets, f"{int(flow_gap_seconds)} seconds")
     contexts = W.pps_zscore(X.packet_contexts(packets, flow_gap_seconds), history=history)
     told = ("pps", "syn_ratio", "bytes_per_sec", "periodicity", "jitter", "unique_dst_ips", "unique_dst_ports", "outbound_bytes", "up_down_ratio", "zscore", "is_new_destination")
     signals = D.run_detectors(contexts, enabled, keep=("entity", "ts", "seq", "target", *told)).withColumn("detector_type", F.lit("DETERMINISTIC_BASELINE"))
     if ml:
         signals = signals.unionByName(ml(contexts), allowMissingColumns=True)
     grouped = C.group_signals(D.active_signals(signals), gap_seconds)
+    rows = {"packets": seen}
+    if folder:
+        flows, rows["flows"] = _counted(flows, f"{folder}/flows")
+        grouped, rows["signals"] = _counted(grouped, f"{folder}/signals")
     incidents = C.build_incidents(grouped.withColumn("evidence", C.evidence_items(grouped.columns)))
+    if folder:
+        incidents, rows["incidents"] = _counted(incidents, f"{folder}/incidents")
     alerts = C.build_alerts(grouped, incidents)
-    return {"flows": flows, "contexts": contexts, "signals": signals, "incidents": incidents, "alerts": alerts, "stats": run_stats(packets=packets, flows=flows, signals=grouped, incidents=incidents, alerts=alerts)}
+    if folder:
+        alerts, rows["alerts"] = _counted(alerts, f"{folder}/alerts")
+        stats = packets.sparkSession.createDataFrame([(k, o.get["n"]) for k, o in rows.items()], "counter string, n long")
+    else:
+        stats = run_stats(packets=packets, flows=flows, signals=grouped, incidents=incidents, alerts=alerts)
+    return {"flows": flows, "contexts": contexts, "signals": signals, "incidents": incidents, "alerts": alerts, "stats": stats}
 
 
 def run_stats(**tables: DataFrame) -> DataFrame:
@@ -77,17 +100,24 @@ def run_stats(**tables: DataFrame) -> DataFrame:
 
 
 def evaluate_captures(packets: DataFrame, events: DataFrame, throttle_seconds: float = 1.0, tolerance_seconds: float = 5.0, min_confidence: float = 0.1, flow_gap_seconds: float = 30.0, enabled: list[str] | None = None) -> DataFrame:
-    """Decisions of throttled instants against ground truth: ``decision_id, entity, ts, predicted, truth``.
+    """Decisions of throttled instants against ground truth: ``decision_id, entity, peer, ts, predicted, truth``.
 
     Each source is judged at most once in ``throttle_seconds``, by the state
     that its flow and itself have by then. An instant's decision is its most
-    confident active signal's class, BENIGN where none is active.
+    confident active signal's class, BENIGN where none is active; its truth
+    is the first listed event of its source or its destination. Packets with
+    ``capture_id`` have state, and events, of their own capture alone;
+    ``seq`` numbers the packets over all captures.
     """
-    instants = W.throttle(packets.select(F.col("src_ip").alias("entity"), "ts", "seq"), ["entity"], throttle_seconds)
-    contexts = X.packet_contexts(packets, flow_gap_seconds, "half_open").join(instants.select("seq"), "seq", "left_semi")
+    capture = ["capture_id"] if "capture_id" in packets.columns else []
+    ends = packets.select(*capture, F.col("src_ip").alias("entity"), F.col("dst_ip").alias("peer"), "ts", "seq")
+    instants = W.throttle(ends, [*capture, "entity"], throttle_seconds)
+    # an address of one capture is not that address of another
+    scoped = packets.withColumns({c: F.concat_ws("|", *capture, c) for c in ("src_ip", "dst_ip")}) if capture else packets
+    contexts = X.packet_contexts(scoped, flow_gap_seconds, "half_open").join(instants.select("seq"), "seq", "left_semi")
     signals = D.run_detectors(contexts, enabled, keep=("entity", "ts", "seq"))
     top = D.top_signal(D.active_signals(signals, min_confidence), ("seq",)).select("seq", "predicted")
-    decisions = instants.join(top, "seq", "left").select(F.col("seq").alias("decision_id"), "entity", "ts", F.coalesce("predicted", F.lit("BENIGN")).alias("predicted"))
+    decisions = instants.join(top, "seq", "left").select(F.col("seq").alias("decision_id"), *capture, "entity", "peer", "ts", F.coalesce("predicted", F.lit("BENIGN")).alias("predicted"))
     return E.align_ground_truth(decisions, events, tolerance_seconds)
 
 
@@ -168,11 +198,29 @@ def scores_under_noise(model, df: DataFrame, columns: list[str], percents: tuple
     return told.drop("clean_accuracy", "clean_macro_f1")
 
 
-def audit_report(df: DataFrame, columns: list[str], label: str, entity: str, split: str = "split") -> dict[str, DataFrame]:
-    """Violations, leakage, balance, class statistics, mutual information, class centroids, folds by entity and single features of a labelled table."""
+def audit_report(df: DataFrame, columns: list[str], label: str, entity: str, split: str = "split", categories: tuple[str, ...] = (), families: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """The parts of an audit of a labelled table, each a table of its own.
+
+    Violations, entities in more than one split, balance, statistics and
+    centroids of classes, mutual information, folds by entity, single
+    features, and a forest's training against its held-out metrics and under
+    noise. ``categories`` adds how far each category of a column belongs to
+    one class, ``families`` the metrics without and with each family alone.
+    """
     train, test = df.where(F.col(split) == "train"), df.where(F.col(split) == "test")
     cv = M.cross_validate(df, columns, 3, label, 10, 5, group=entity)
-    return {"centroids": E.class_centroids(df, columns, label), "folds": E.fold_summary(E.long_metrics(cv)), "single_features": single_feature_baselines(train, test, columns, label), "violations": M.validate_features(df, columns), "leakage": E.entity_leakage(df, entity, split), "balance": E.class_balance(df, label, split), "class_stats": E.class_feature_stats(df, columns, label), "information": E.mutual_information(df, columns, label)}
+    forest = M.train_forest(train, columns, label, 10, 5)
+    metrics = [E.long_metrics(E.classification_metrics(M.predict_classes(forest, part, columns), label, "class_index"), ()).withColumn("split", F.lit(name)) for name, part in (("train", train), ("val", test))]
+    report = {
+        "centroids": E.class_centroids(df, columns, label), "folds": E.fold_summary(E.long_metrics(cv)), "single_features": single_feature_baselines(train, test, columns, label),
+        "violations": M.validate_features(df, columns), "leakage": E.entity_leakage(df, entity, split), "balance": E.class_balance(df, label, split), "class_stats": E.class_feature_stats(df, columns, label),
+        "information": E.mutual_information(df, columns, label), "gap": train_val_gap(reduce(DataFrame.unionByName, metrics)), "noise": scores_under_noise(forest, test, columns, label=label),
+    }
+    if categories:
+        report["concentration"] = reduce(DataFrame.unionByName, [E.category_concentration(df, c, label).select(F.lit(c).alias("feature"), F.col("category").cast("string").alias("category"), "active", "dominant", "dominant_pct", "concentrated") for c in categories])
+    if families:
+        report["ablation"] = M.feature_ablation(train, families, test, label, 10)
+    return report
 
 
 def save_model(model, path: str, metadata: DataFrame) -> None:

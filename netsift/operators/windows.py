@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = F.unix_micros
@@ -55,6 +55,32 @@ def burst_sources(packets: DataFrame, seconds: float = 5.0, key: list[str] = ("d
     return df.join(levels, [*key, "__us"]).drop("__us", "__next")
 
 
+def distinct_in_frame(df: DataFrame, key: list[str], values: dict[str, Column], at: str, width: int) -> DataFrame:
+    """``df`` with, for each name, how many distinct values the key has within ``width`` before the row's ``at``, both ends in.
+
+    ``values`` gives each name its value (null does not count). A value is in the frame of t while t lies in [its row,
+    that + width]; stretches of one value that touch count once. Each row
+    opens its stretch and one more row closes it, so a running sum over one
+    sort gives the counts, and no frame holds any values.
+    """
+    told = df
+    for k, value in enumerate(values.values()):
+        told = told.withColumn(f"__v{k}", value)
+    row = F.struct(*df.columns)
+    zero = F.lit(0)
+    steps = [F.struct(F.col(at).alias("__t"), *(F.when(F.col(f"__v{k}").isNotNull(), 1).otherwise(0).alias(f"__d{k}") for k in range(len(values))), row.alias("__row"))]
+    for k in range(len(values)):
+        same = Window.partitionBy(*key, f"__v{k}").orderBy(at)
+        end = F.col(at) + width + 1
+        told = told.withColumn(f"__end{k}", F.when(F.col(f"__v{k}").isNotNull(), F.least(end, F.coalesce(F.lead(at).over(same), end))))
+        closes = F.struct(F.col(f"__end{k}").alias("__t"), *((F.lit(-1) if j == k else zero).alias(f"__d{j}") for j in range(len(values))), F.when(F.lit(False), row).alias("__row"))
+        steps.append(F.when(F.col(f"__end{k}").isNotNull(), closes))
+    laid = told.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(key)), F.explode(F.array_compact(F.array(*steps))).alias("s")).select(*(f"__k{i}" for i in range(len(key))), "s.*")
+    upto = Window.partitionBy(*(f"__k{i}" for i in range(len(key)))).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    counted = laid.withColumns({name: F.sum(f"__d{k}").over(upto) for k, name in enumerate(values)})
+    return counted.where("__row is not null").select("__row.*", *values)
+
+
 def timing_window(packets: DataFrame, seconds: float = 30.0, key: list[str] = ("src_ip",)) -> DataFrame:
     """Count, first and last time and the inter-arrival times (ms) of the trailing window."""
     w = _trailing(list(key), seconds)
@@ -68,14 +94,19 @@ def timing_window(packets: DataFrame, seconds: float = 30.0, key: list[str] = ("
 def baseline_window(packets: DataFrame, seconds: float = 300.0, bucket_seconds: float = 1.0, key: list[str] = ("src_ip",)) -> DataFrame:
     """Per bucket: counts and bytes of the trailing buckets, one by one and summed, and the distinct sources and destinations in them.
 
-    Packets are first summed by (key, bucket), so a flood costs one row per
-    bucket; the frame is by bucket number and holds the cutoff bucket.
+    Packets are first summed by bucket and pair of addresses; the frame is by
+    bucket number and holds the cutoff bucket. What is listed one by one is a
+    number for each bucket of the frame.
     """
     key = list(key)
     bucket = F.floor(F.unix_micros("ts") / (bucket_seconds * 1e6)).cast("long")
-    sums = packets.withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"), F.collect_set("dst_ip").alias("dsts"), F.collect_set("src_ip").alias("srcs"))
-    w = Window.partitionBy(*key).orderBy("bucket").rangeBetween(-int(seconds // bucket_seconds), 0)
-    return sums.select(*key, "bucket", F.sum("n").over(w).alias("baseline_packets"), F.sum("bytes").over(w).alias("baseline_bytes"), F.count(F.lit(1)).over(w).alias("buckets"), F.size(F.array_distinct(F.flatten(F.collect_list("dsts").over(w)))).cast("long").alias("distinct_dst"), F.size(F.array_distinct(F.flatten(F.collect_list("srcs").over(w)))).cast("long").alias("distinct_src"), F.collect_list("n").over(w).alias("bucket_packets"), F.collect_list("bytes").over(w).alias("bucket_bytes"))
+    width = int(seconds // bucket_seconds)
+    # a row for each pair of addresses in a bucket, and of these one that stands for the bucket
+    pairs = packets.withColumn("bucket", bucket).groupBy(*key, "bucket", F.col("dst_ip").alias("__dst"), F.col("src_ip").alias("__src")).agg(F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"))
+    pairs = distinct_in_frame(pairs, key, {"distinct_dst": F.col("__dst"), "distinct_src": F.col("__src")}, "bucket", width)
+    sums = pairs.groupBy(*key, "bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("distinct_dst").alias("distinct_dst"), F.max("distinct_src").alias("distinct_src"))
+    w = Window.partitionBy(*key).orderBy("bucket").rangeBetween(-width, 0)
+    return sums.select(*key, "bucket", F.sum("n").over(w).alias("baseline_packets"), F.sum("bytes").over(w).alias("baseline_bytes"), F.count(F.lit(1)).over(w).alias("buckets"), "distinct_dst", "distinct_src", F.collect_list("n").over(w).alias("bucket_packets"), F.collect_list("bytes").over(w).alias("bucket_bytes"))
 
 
 def window_snapshots(packets: DataFrame, every_n: int = 1, burst: float = 5.0, timing: float = 30.0, baseline: float = 300.0, key: list[str] = ("src_ip",)) -> DataFrame:
@@ -170,16 +201,11 @@ def rolling_entity_features(entity_flows: DataFrame, retention_seconds: float =
     out, zero = F.col("outbound"), F.lit(0)
     df = entity_flows.withColumn("__us", F.unix_micros("start_ts"))
     gap = F.coalesce((F.col("__us") - F.lag("__us").over(Window.partitionBy("entity").orderBy("__us"))) / 1000, F.lit(0.0))
-    df = df.withColumn("__gap2", gap * gap)
-
-    def distinct(c):
-        return F.size(F.array_distinct(F.collect_list(F.when(out, F.col(c))).over(w))).cast("long")
-
+    df = distinct_in_frame(df.withColumn("__gap2", gap * gap), ["entity"], {"distinct_dst_ips": F.when(out, F.col("dst_ip")), "distinct_dst_ports": F.when(out, F.col("dst_port"))}, "__us", int(retention_seconds * 1e6))
     return df.withColumns(
         {
             "flows_out": F.sum(F.when(out, 1).otherwise(zero)).over(w), "flows_in": F.sum(F.when(out, zero).otherwise(1)).over(w),
             "bytes_out": F.sum(F.when(out, F.col("byte_count")).otherwise(zero)).over(w), "bytes_in": F.sum(F.when(out, zero).otherwise(F.col("byte_count"))).over(w),
-            "distinct_dst_ips": distinct("dst_ip"), "distinct_dst_ports": distinct("dst_port"),
             "failed": F.sum(F.when(out & failed_connection(), 1).otherwise(zero)).over(w),
             "large_transfers": F.sum(F.when(out & (F.col("byte_count") >= large), 1).otherwise(zero)).over(w),
             "max_bytes": F.coalesce(F.max(F.when(out, F.col("byte_count"))).over(w), zero),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from ..operators import ml as M
 from ..operators import runs as R
 from ..operators import windows as W
 from ..schemas import SCHEMAS
+from ..sources import capture_source as K
+from ..sources import captures as P
 from ..sources import tables as T
 from . import views as V
 
@@ -577,12 +580,21 @@ def pruned_graph(spark, d):
     return G.prune_graph(G.signal_nodes(s), edges_of(spark, d), 200)[1].select("src", "dst", "type").distinct()
 
 
-@query("align_ground_truth", """
-WITH h AS (SELECT p.seq, arg_min(g.threat_class, g.event_order) AS truth FROM packets p JOIN gt g ON p.src_ip = g.entity AND p.us BETWEEN g.lo - 5000000 AND g.hi + 5000000 GROUP BY ALL)
+#: Events of sources and of destinations, in three captures.
+TRUE_ENDS = "g AS (SELECT CASE WHEN event_order % 5 = 0 THEN '198.51.100.' || (event_order % 4) ELSE entity END AS entity, threat_class, lo, hi, event_order, event_order % 3 AS capture_id FROM gt)"
+
+
+def both_ends(spark, d):
+    n = F.col("event_order")
+    return V.gt_events(spark, d).withColumns({"entity": F.when(n % 5 == 0, F.concat(F.lit("198.51.100."), (n % 4).cast("string"))).otherwise(F.col("entity")), "capture_id": n % 3})
+
+
+@query("align_ground_truth", f"""
+WITH {TRUE_ENDS}, h AS (SELECT p.seq, arg_min(g.threat_class, g.event_order) AS truth FROM packets p JOIN g ON g.entity IN (p.src_ip, p.dst_ip) AND p.us BETWEEN g.lo - 5000000 AND g.hi + 5000000 GROUP BY ALL)
 SELECT p.seq AS decision_id, coalesce(h.truth, 'BENIGN') AS truth FROM packets p LEFT JOIN h USING (seq)""")
 def align_ground_truth(spark, d):
-    p = V.packets(spark, d).select(F.col("seq").alias("decision_id"), "ts", F.col("src_ip").alias("entity"))
-    return E.align_ground_truth(p, V.gt_events(spark, d)).select("decision_id", "truth")
+    p = V.packets(spark, d).select(F.col("seq").alias("decision_id"), "ts", F.col("src_ip").alias("entity"), F.col("dst_ip").alias("peer"))
+    return E.align_ground_truth(p, both_ends(spark, d)).select("decision_id", "truth")
 
 
 @query("events_overlapping", """
@@ -858,7 +870,8 @@ def piped(spark, d):
         keep = ("entity", "ts", "seq", "target", "zscore")
         return contexts.select(*keep, F.lit(9).alias("detector_order"), F.lit("ok").alias("status"), F.lit("UNKNOWN_ANOMALY").alias("threat_class"), F.lit("deviation").alias("detector"), c.alias("score"), c.alias("confidence"), S.severity_band(c).alias("severity"), F.array().cast("array<string>").alias("reasons"), F.lit("UNSUPERVISED_ANOMALY").alias("detector_type"))
 
-    return R.run_pipeline(V.packets(spark, d), DAY, 12 * H, ALL_RULES, anomalies)
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    return R.run_pipeline(V.packets(spark, d), DAY, 12 * H, ALL_RULES, anomalies, folder=folder)
 
 
 @query("run_pipeline", PIPE + """SELECT 'packets' AS counter, count(*) AS n FROM packets UNION ALL SELECT 'flows', count(*) FROM f UNION ALL SELECT 'alerts', count(*) FROM grp UNION ALL SELECT 'incidents', count(*) FROM rk UNION ALL SELECT 'signals', count(*) FROM grp""")
@@ -876,14 +889,18 @@ def pipeline_incidents(spark, d):
     return i.select("entity", "group_no", "signals", us("first_seen", "first_us"), us("last_seen", "last_us"), F.round("risk", 6).alias("risk"), "main_class", F.array_join("stages", ",").alias("stages"))
 
 
-@query("evaluate_captures", _packet_contexts("half_open") + """, n AS (SELECT seq, us, src_ip AS entity, row_number() OVER (PARTITION BY src_ip ORDER BY us, seq) AS no FROM packets),
-k AS (SELECT entity, no, seq, us, us AS last, true AS kept FROM n WHERE no = 1 UNION ALL
-  SELECT n.entity, n.no, n.seq, n.us, CASE WHEN n.us - k.last >= 43200000000 THEN n.us ELSE k.last END, n.us - k.last >= 43200000000 FROM k JOIN n ON n.entity = k.entity AND n.no = k.no + 1),
+SCOPED = "WITH scoped AS (SELECT * REPLACE ((seq % 3) || '|' || src_ip AS src_ip, (seq % 3) || '|' || dst_ip AS dst_ip) FROM packets), "
+
+
+@query("evaluate_captures", SCOPED + _packet_contexts("half_open").strip()[5:].replace("FROM packets", "FROM scoped") + f""", n AS (SELECT seq, us, seq % 3 AS capture_id, src_ip AS entity, dst_ip AS peer, row_number() OVER (PARTITION BY seq % 3, src_ip ORDER BY us, seq) AS no FROM packets),
+k AS (SELECT capture_id, entity, peer, no, seq, us, us AS last, true AS kept FROM n WHERE no = 1 UNION ALL
+  SELECT n.capture_id, n.entity, n.peer, n.no, n.seq, n.us, CASE WHEN n.us - k.last >= 43200000000 THEN n.us ELSE k.last END, n.us - k.last >= 43200000000 FROM k JOIN n ON n.entity = k.entity AND n.capture_id = k.capture_id AND n.no = k.no + 1),
 t AS (SELECT seq, arg_max(threat_class, (confidence, -o)) AS predicted FROM ps WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL),
-h AS (SELECT p.seq, arg_min(g.threat_class, g.event_order) AS truth FROM k p JOIN gt g ON p.entity = g.entity AND p.us BETWEEN g.lo - 5000000 AND g.hi + 5000000 WHERE p.kept GROUP BY ALL)
-SELECT k.seq AS decision_id, coalesce(t.predicted, 'BENIGN') AS predicted, coalesce(h.truth, 'BENIGN') AS truth FROM k LEFT JOIN t USING (seq) LEFT JOIN h USING (seq) WHERE k.kept""")
+{TRUE_ENDS}, h AS (SELECT p.seq, arg_min(g.threat_class, g.event_order) AS truth FROM k p JOIN g ON g.entity IN (p.entity, p.peer) AND g.capture_id = p.capture_id AND p.us BETWEEN g.lo - 5000000 AND g.hi + 5000000 WHERE p.kept GROUP BY ALL)
+SELECT k.seq AS decision_id, k.capture_id, coalesce(t.predicted, 'BENIGN') AS predicted, coalesce(h.truth, 'BENIGN') AS truth FROM k LEFT JOIN t USING (seq) LEFT JOIN h USING (seq) WHERE k.kept""")
 def evaluate_captures(spark, d):
-    return R.evaluate_captures(V.packets(spark, d), V.gt_events(spark, d), 12 * H, flow_gap_seconds=12 * H, enabled=ALL_RULES).select("decision_id", "predicted", "truth")
+    packets = V.packets(spark, d).withColumn("capture_id", F.col("seq") % 3)
+    return R.evaluate_captures(packets, both_ends(spark, d), 12 * H, flow_gap_seconds=12 * H, enabled=ALL_RULES).select("decision_id", "capture_id", "predicted", "truth")
 
 
 @query("ablate_modes", SIG + """, s AS (SELECT seq, threat_class, confidence, CASE o WHEN 0 THEN 'rules' WHEN 1 THEN 'classifier' ELSE 'anomaly' END AS source FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO'),
@@ -897,6 +914,23 @@ def ablate_modes(spark, d):
     return R.ablate_modes(s, truth)
 
 
+def spread(frame):
+    """A detector of one's own, in pandas: how fast and how uneven an entity's packets come."""
+    score = (frame["pps"] / 4000 + frame["jitter"].fillna(0) / 1000).clip(upper=1)
+    return pd.DataFrame({"score": score, "confidence": score * 0.5, "reasons": [["fast"] if x > 0.4 else [] for x in score]})
+
+
+@query("python_detectors", f"""
+WITH d AS (SELECT *, least(1, pps / 4000 + coalesce(jitter, 0) / 1000) AS s, {DDOS} AS c_ddos FROM ctx)
+SELECT seq, 0 AS detector_order, 'VOLUMETRIC_DDOS' AS threat_class, round(c_ddos, 9) AS confidence, CASE WHEN c_ddos >= 0.9 THEN 'CRITICAL' ELSE {_band('c_ddos')} END AS severity, 'ok' AS status, NULL AS reason FROM d
+UNION ALL SELECT seq, 1, 'UNEVEN_SPREAD', round(s * 0.5, 9), {_band('s * 0.5')}, 'ok', CASE WHEN s > 0.4 THEN 'fast' END FROM d""")
+def python_detectors(spark, d):
+    own = D.PythonDetector("spread", ("pps", "jitter"), spread, "UNEVEN_SPREAD")
+    s = D.run_detectors(V.contexts(spark, d), ["ddos", "spread"], (own,), keep=("seq",))
+    reason = F.when(F.col("detector") == "spread", F.try_element_at("reasons", F.lit(1)))
+    return s.select("seq", "detector_order", "threat_class", F.round("confidence", 9).alias("confidence"), "severity", "status", reason.alias("reason"))
+
+
 @query("union_signals", SIG + "SELECT o AS source_order, count(*) AS n FROM sig WHERE o < 2 AND confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL")
 def union_signals(spark, d):
     s = D.active_signals(signals(spark, d))
@@ -995,13 +1029,13 @@ def top_features(spark, d):
     return R.top_features(V.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature")).agg(F.round(F.sum("l_quantity"), 2).alias("gain")))
 
 
-@query("scalars", """SELECT seq, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, us AS again_us, us / 1e6 AS seconds, us // 3600000000 AS bucket, CASE WHEN value < 50 THEN 0.0 ELSE value - 50 END AS excess,
+@query("scalars", """SELECT seq, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, us AS again_us, us / 1e6 AS seconds, us // 3600000000 AS bucket, CASE WHEN value < 50 OR k % 7 >= 5 THEN 0.0 ELSE value - 50 END AS excess,
   round(1 / (1 + exp(CASE WHEN value < 50 THEN 1.0 ELSE -1.0 END * (value / 100 - 0.5) * 20)), 4) AS confidence, CASE WHEN k % 2 = 0 THEN 'DOMAIN' ELSE 'EXTERNAL_IP' END AS node, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS evidence FROM base""")
 def scalars(spark, d):
     b = V.base(spark, d)
     us_ = F.unix_micros("ts")
     target = F.when(F.col("k") % 2 == 0, F.concat(F.lit("h"), F.col("k").cast("string"), F.lit(".example"))).otherwise(F.col("host"))
-    excess = F.when(F.col("k") % 97 == 96, F.col("value") - 50).otherwise(F.col("value") - 50)
+    excess = F.when(F.col("k") % 7 == 5, float("nan")).when(F.col("k") % 7 == 6, float("inf")).otherwise(F.col("value") - 50)
     indicators = F.when(F.col("k") % 3 == 0, F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)))
     return b.select("seq", S.epoch_to_iso(us_).alias("iso"), F.unix_micros(S.iso_to_ts(S.epoch_to_iso(us_))).alias("again_us"), S.epoch_seconds("ts").alias("seconds"), S.bucket_id("ts", 3600.0).alias("bucket"), S.non_negative_finite(excess).alias("excess"),
                     S.anomaly_confidence(F.col("value") / 100 - 0.5, F.col("value") < 50).alias("confidence"), S.node_type(target).alias("node"), S.evidence_count(indicators).alias("evidence"))
@@ -1056,3 +1090,31 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = V.flows(spark, sf_dir)
     s = D.detect(X.recon_features(f, ["src_ip"], 30 * DAY), "recon")
     return D.active_signals(s.where(F.col("src_ip").startswith("10."))).select("src_ip", "flow_count", "unique_dst_ips", "unique_dst_ports", "scan_type", "confidence", "severity").orderBy(F.desc("confidence"), "src_ip")
+
+
+CAPTURED = "SELECT us, src_ip, src_port, dst_ip, dst_port, protocol, packet_length, tcp_syn, tcp_ack, tcp_rst FROM (SELECT us, src_ip, src_port, dst_ip, dst_port, protocol, packet_length, CASE WHEN protocol = 6 THEN tcp_syn ELSE 0 END AS tcp_syn, CASE WHEN protocol = 6 THEN tcp_ack ELSE 0 END AS tcp_ack, CASE WHEN protocol = 6 THEN tcp_rst ELSE 0 END AS tcp_rst FROM packets)"
+
+
+def captured(spark, d) -> str:
+    """The packets of the events as captures, in a new shared folder."""
+    path = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    K.write_captures(K.encode_frames(V.packets(spark, d)), path)
+    return path
+
+
+def told(packets: DataFrame) -> DataFrame:
+    return packets.select(us("ts"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "packet_length", "tcp_syn", "tcp_ack", "tcp_rst")
+
+
+@query("capture_ranges", CAPTURED)
+def capture_ranges(spark, d):
+    return told(P.decode_frames(K.numbered(K.read_capture_ranges(spark, captured(spark, d), 1 << 20))))
+
+
+@query("capture_stats", "SELECT count(*) AS seen, CAST(0 AS BIGINT) AS too_large, count(*) AS yielded, CAST(0 AS BIGINT) AS rejected FROM packets")
+def capture_stats(spark, d):
+    path = captured(spark, d)
+    packets, stats = P.observed_packets(K.read_capture_ranges(spark, path, 1 << 20))
+    packets.write.parquet(f"{path}-packets")
+    found = stats()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))

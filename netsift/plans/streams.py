@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..cluster import shared_dir, ship_package
 from ..operators import detectors as D
 from ..operators import flows as L
+from ..sources import capture_source as K
+from ..sources import captures as P
 from ..streaming import streams as T
 from . import views as V
-from .queries import DAY, KEY, SESSIONS, SIG, H, query, us
+from .queries import CAPTURED, DAY, KEY, SESSIONS, SIG, H, captured, query, told, us
 
 
 class _Streamed:
@@ -62,6 +64,15 @@ def stream_correlate(spark, d):
     return drained(T.stream_correlate(s, "1 day")).select("entity", "signals", us("first_ts"), us("last_ts"))
 
 
+@query("stream_trailing", """
+WITH n AS (SELECT seq, us, src_ip, packet_length, tcp_syn, tcp_ack, max(us) OVER (PARTITION BY src_ip ORDER BY seq ROWS UNBOUNDED PRECEDING) AS end_us FROM packets)
+SELECT a.src_ip, a.seq, a.end_us, count(*) AS packets, CAST(sum(b.packet_length) AS BIGINT) AS bytes, CAST(sum(b.tcp_syn) AS BIGINT) AS syn, CAST(sum(b.tcp_ack) AS BIGINT) AS ack, count(*) / 21600.0::DOUBLE AS rate
+FROM n a JOIN n b ON a.src_ip = b.src_ip AND b.seq <= a.seq AND b.us >= a.end_us - 21600000000 GROUP BY ALL""")
+def stream_trailing(spark, d):
+    out = drained(T.stream_trailing(V.packets(_Streamed(spark), d), 6 * H, ttl_seconds=60 * DAY))
+    return out.select("src_ip", "seq", us("end_ts"), "packets", "bytes", "syn", "ack", "rate")
+
+
 @query("stream_throttle", """
 WITH n AS (SELECT seq, us, src_ip, row_number() OVER (PARTITION BY src_ip ORDER BY us, seq) AS no FROM packets),
 k AS (
@@ -86,3 +97,8 @@ FROM e WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 P
 def stream_entity_context(spark, d):
     e = L.explode_entities(V.flows(_Streamed(spark), d))
     return drained(T.stream_entity_context(e, 7 * DAY, 60 * DAY)).select("seq", "entity", "flows_out", "bytes_out", "bytes_in", "distinct_dst_ips")
+
+
+@query("stream_captures", CAPTURED)
+def stream_captures(spark, d):
+    return told(drained(P.decode_frames(K.stream_captures(spark, captured(spark, d), 1 << 20))))

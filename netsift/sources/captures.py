@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # The first four bytes of a capture file, as byte order and units a second.
@@ -117,3 +117,20 @@ def ingestion_stats(records: DataFrame, packets: DataFrame) -> DataFrame:
     """Records seen, too large, yielded and rejected."""
     seen = records.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("frame").isNull()).alias("too_large"))
     return seen.join(F.broadcast(packets.agg(F.count(F.lit(1)).alias("yielded")))).withColumn("rejected", F.col("seen") - F.col("yielded"))
+
+
+def observed_packets(records: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """The packets of the records, and a call that gives what ``ingestion_stats`` counts, observed while they were written.
+
+    The counts are those of the first action on the packets; no pass of their
+    own reads the captures again. The call waits for that action.
+    """
+    read, told = Observation(), Observation()
+    seen = records.observe(read, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("frame").isNull()).alias("too_large"))
+    packets = decode_frames(seen).observe(told, F.count(F.lit(1)).alias("yielded"))
+
+    def stats() -> dict[str, int]:
+        found = {**read.get, **told.get}
+        return found | {"rejected": found["seen"] - found["yielded"]}
+
+    return packets, stats

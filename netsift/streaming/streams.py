@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.flows import FIVE, FLAGS
+from .processors import EntityContext, FirstCrossing, Throttle, TrailingCounts, keyed
 
 
 def stream_flows(packets: DataFrame, gap: str = "30 seconds", watermark: str = "30 seconds") -> DataFrame:
@@ -36,89 +35,77 @@ def stream_correlate(signals: DataFrame, gap: str = "300 seconds", watermark: st
     return g.agg(F.count(F.lit(1)).alias("signals"), F.max("confidence").alias("confidence"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
 
 
-def _stateful(df: DataFrame, key: list[str], step: Callable, output: str, state: str, watermark: str) -> DataFrame:
-    return df.withWatermark("ts", watermark).groupBy(*key).applyInPandasWithState(step, output, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_throttle(df: DataFrame, key: str, seconds: float = 1.0, ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
     """Events at least ``seconds`` after the last kept of their key; keys idle past the TTL are forgotten."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        kept = []
-        for seq, ts in zip(rows["seq"], rows["ts"]):
-            us = ts.value // 1000
-            if last is None or us - last >= seconds * 1e6:
-                last = us
-                kept.append((k[0], seq, ts))
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(ttl_seconds * 1000))
-        yield pd.DataFrame(kept, columns=[key, "seq", "ts"])
-
-    return _stateful(df.select(key, "seq", "ts"), [key], step, f"{key} string, seq long, ts timestamp", "last long", watermark)
+    return keyed(df.select(key, "seq", "ts"), [key], Throttle(key, seconds, ttl_seconds), f"{key} string, seq long, ts timestamp", watermark)
 
 
 def stream_first_crossing(packets: DataFrame, n: int = 20, ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
-    """One event per flow id at its n-th packet, once."""
+    """One event per flow id at its n-th packet, once; flows idle past the TTL are forgotten."""
+    columns = "src_ip string, src_port int, dst_ip string, dst_port int, protocol int, ts timestamp, packet_count long, byte_count long"
+    return keyed(packets.select(*FIVE, "seq", "ts", "packet_length"), list(FIVE), FirstCrossing(list(FIVE), n, ttl_seconds), columns, watermark)
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, size = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        out = []
-        for ts, length in zip(rows["ts"], rows["packet_length"]):
-            count, size = count + 1, size + int(length)
-            if count == n:
-                out.append((*k, ts, count, size))
-        state.update((count, size))
-        state.setTimeoutTimestamp(max(rows["ts"].max().value // 10**6, state.getCurrentWatermarkMs()) + int(ttl_seconds * 1000))
-        yield pd.DataFrame(out, columns=[*FIVE, "ts", "packet_count", "byte_count"])
 
-    columns = "src_ip string, src_port int, dst_ip string, dst_port int, protocol int, ts timestamp, packet_count long, byte_count long"
-    return _stateful(packets.select(*FIVE, "seq", "ts", "packet_length"), list(FIVE), step, columns, "count long, size long", watermark)
+def stream_trailing(packets: DataFrame, seconds: float = 5.0, key: str = "src_ip", ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
+    """Packets, bytes, SYN, ACK and rate of the exact trailing window after each packet.
+
+    The window ends at the largest time that the key has seen in order of
+    arrival (``seq``). Late packets within the watermark count while they lie
+    inside; older ones are dropped.
+    """
+    columns = f"{key} string, seq long, end_ts timestamp, packets long, bytes long, syn long, ack long, rate double"
+    return keyed(packets.select(key, "seq", "ts", "packet_length", "tcp_syn", "tcp_ack"), [key], TrailingCounts([key], seconds, ttl_seconds), columns, watermark)
 
 
 def stream_entity_context(entity_flows: DataFrame, retention_seconds: float = 300.0, ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
-    """Trailing counts per entity after each of its flows; state holds the flows of the retention time only."""
+    """Trailing counts per entity after each of its flows; state holds the buckets of the retention time only."""
+    columns = "entity string, seq long, flows_out long, bytes_out long, bytes_in long, distinct_dst_ips long"
+    rows = entity_flows.select("entity", "seq", "ts", "byte_count", "outbound", "dst_ip")
+    return keyed(rows, ["entity"], EntityContext(retention_seconds, ttl_seconds), columns, watermark)
+
+
+def push(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+    """Hand every micro-batch to ``sink``: alerts, events or snapshots; all that is there, or by a trigger of one's own as batches come.
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    A batch whose sink or process failed is handed on again under the same
+    number; ``push_table`` is a sink that such a batch writes to once.
+    """
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def push_table(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """Append every micro-batch to a table exactly once, whatever fails in between.
+
+    A batch's rows go to a folder of its number, then its line to a ledger.
+    A batch that comes again is skipped if the ledger has it, and else
+    overwrites what it left; readers take only folders that the ledger has.
+    """
+
+    def write(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        if number in _ledger(spark, path):
             return
-        held = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        fresh = [(ts.value // 1000, int(b), bool(o), d) for ts, b, o, d in zip(rows["ts"], rows["byte_count"], rows["outbound"], rows["dst_ip"])]
-        held = sorted([*held, *fresh])
-        us, size, out = (np.array([h[i] for h in held]) for i in range(3))
-        # where each outbound flow's destination was last seen, so that a window counts its first sights
-        seen: dict[str, int] = {}
-        last = np.full(len(held), -1)
-        for i in np.flatnonzero(out).tolist():
-            last[i] = seen.get(held[i][3], -1)
-            seen[held[i][3]] = i
-        upto = [np.concatenate([[0], np.cumsum(x)]) for x in (out, size * out, size * ~out)]
-        at = np.array([f[0] for f in fresh])
-        lo, hi = np.searchsorted(us, at - int(retention_seconds * 1e6)), np.searchsorted(us, at, side="right")
-        distinct = [int((out[a:b] & (last[a:b] < a)).sum()) for a, b in zip(lo.tolist(), hi.tolist())]
-        found = pd.DataFrame({"entity": k[0], "seq": rows["seq"].to_numpy()} | {n: x[hi] - x[lo] for n, x in zip(("flows_out", "bytes_out", "bytes_in"), upto)} | {"distinct_dst_ips": distinct})
-        newest = held[-1][0]
-        held = [h for h in held if h[0] >= newest - retention_seconds * 1e6]
-        state.update(tuple(list(c) for c in zip(*held)))
-        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + int(ttl_seconds * 1000))
-        yield found
+        rows = Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        line = spark.createDataFrame([(number, rows.get["n"])], LEDGER)
+        line.coalesce(1).write.mode("overwrite").json(f"{path}/ledger/{number}")
 
-    columns = "entity string, seq long, flows_out long, bytes_out long, bytes_in long, distinct_dst_ips long"
-    state = "us array<long>, bytes array<long>, outbound array<boolean>, dst array<string>"
-    return _stateful(entity_flows.select("entity", "seq", "ts", "byte_count", "outbound", "dst_ip"), ["entity"], step, columns, state, watermark)
+    return push(stream, write, checkpoint, **trigger)
+
+
+LEDGER = "batch long, rows long"
+
+
+def _ledger(spark: SparkSession, path: str) -> set[int]:
+    """The batches that were written whole: one small file each."""
+    try:
+        return {r["batch"] for r in spark.read.schema(LEDGER).json(f"{path}/ledger/*").collect()}
+    except AnalysisException:  # no batch yet
+        return set()
 
 
-def push(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Hand every micro-batch to ``sink``: alerts, events or snapshots."""
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def pushed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches that the ledger has, with their batch's number."""
+    done = spark.read.schema(LEDGER).json(f"{path}/ledger/*").select(F.col("batch").alias("__done"))
+    rows = spark.read.schema(f"{schema}, batch long").parquet(f"{path}/rows")
+    return rows.join(done, F.col("batch") == F.col("__done"), "left_semi")

@@ -1,5 +1,6 @@
 from datetime import UTC, datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,30 @@ def test_fusion_and_incident(spark):
     assert i.stages == ["RECONNAISSANCE", "C2_ESTABLISHMENT"] and i.main_class == "BOTNET_C2_BEACONING" and i.recommended_action.startswith("Isolate")
     a = C.build_alerts(g.withColumn("reasons", F.array()), None).where("detector_order = 1").first()
     assert a.summary == "Botnet C2 Beaconing activity detected from h toward external infrastructure."
+
+
+def uneven(frame):
+    if (frame["pps"] < 0).any():
+        raise ValueError("negative rate")
+    return pd.DataFrame({"score": frame["pps"] / 100, "confidence": frame["pps"] / 200, "severity": ["LOW" if x < 50 else None for x in frame["pps"]]})
+
+
+def test_python_detectors_beside_expressions(spark):
+    rows = spark.createDataFrame([(1, 10.0, 0.9), (2, -1.0, 0.0), (3, 90.0, None)], "seq long, pps double, syn_ratio double").coalesce(1)
+    own = D.PythonDetector("uneven", ("pps",), uneven, "UNEVEN")
+    lacking = D.PythonDetector("lacking", ("nothing",), uneven)
+    short = D.PythonDetector("short", ("pps",), lambda f: uneven(f.abs()).head(0))
+    s = D.run_detectors(rows, ["ddos", "uneven", "lacking", "short"], (own, lacking, short), keep=("seq",))
+    got = {(r.seq, r.detector): r for r in s.collect()}
+    assert len(got) == 12 and [r.detector_order for r in s.where("seq = 1").collect()] == [0, 1, 2, 3]
+    assert got[1, "ddos"].confidence == 0.5 and got[1, "ddos"].status == "ok"
+    one, two, three = (got[i, "uneven"] for i in (1, 2, 3))
+    assert (one.status, one.threat_class, one.score, one.confidence, one.severity, one.reasons) == ("ok", "UNEVEN", 0.1, 0.05, "LOW", [])
+    # the row that raises has its error; the others of its batch keep their signals
+    assert two.status == "error: ValueError: negative rate" and two.confidence is None and two.severity is None
+    assert three.confidence == 0.45 and three.severity == "MEDIUM"
+    assert got[1, "lacking"].status == "no input" and got[1, "short"].status.startswith("error: ValueError: short gave 0 rows")
+    assert {r.seq for r in D.active_signals(s).collect()} == {1, 3}
+    assert str(s._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+    with pytest.raises(ValueError):
+        D.run_detectors(rows, extra=(own, own))

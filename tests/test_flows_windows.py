@@ -3,6 +3,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from netsift.operators import features as X
 from netsift.operators import flows as L
@@ -105,3 +106,12 @@ def test_throttle_keeps_its_distance(spark, times):
 def test_burst_equals_a_plain_count(spark, times):
     got = {r.seq: r.burst_packets for r in W.burst_window(packets(spark, times), 5).collect()}
     assert got == {i: sum(t - 5 <= u <= t for u in times) for i, t in enumerate(times)}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.sampled_from(["a", "b", "c", None])), min_size=1, max_size=40))
+def test_distinct_in_frame_equals_brute_force(spark, rows):
+    df = spark.createDataFrame([(k, t, v, n) for n, (k, t, v) in enumerate(rows)], "k int, t long, v string, n int")
+    got = {r.n: (r.values, r.evens) for r in W.distinct_in_frame(df, ["k"], {"values": F.col("v"), "evens": F.when(F.col("t") % 2 == 0, F.col("v"))}, "t", 7).collect()}
+    frame = lambda k, t, step: {v for k2, t2, v in rows if k2 == k and t - 7 <= t2 <= t and v and t2 % step == 0}
+    assert got == {n: (len(frame(k, t, 1)), len(frame(k, t, 2))) for n, (k, t, v) in enumerate(rows)}

@@ -5,6 +5,7 @@ import os
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
@@ -94,7 +95,11 @@ def test_folds_hold_whole_entities(spark):
     assert folds.groupBy("entity").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
     cv = M.cross_validate(df, ["x0", "x1"], 2, "label", 3, 3, group="entity")
     assert cv.count() == 2 and cv.agg(F.min("accuracy")).first()[0] > 0.8
-    report = R.audit_report(df.withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("test")), ["x0", "x1"], "label", "entity")
+    report = R.audit_report(df.withColumn("split", F.when(F.col("id") % 4 < 2, "train").otherwise("test")), ["x0", "x1"], "label", "entity", categories=("entity",), families={"a": ["x0"], "b": ["x1"]})
+    assert len(report) == 12 and report["concentration"].where("dominant_pct = 50 and not concentrated").count() == 20
+    ablation = {(r.family, r["mode"]): r.accuracy for r in report["ablation"].collect()}
+    assert ablation["a", "only"] > 0.85 > 0.7 > ablation["a", "without"] and ablation["b", "without"] == ablation["a", "only"]
+    assert {r.pct for r in report["noise"].collect()} == {0, 5, 10, 20} and {r.metric for r in report["gap"].collect()} >= {"accuracy", "macro_f1"}
     assert report["leakage"].count() == 20 and report["folds"].where("metric = 'accuracy'").count() == 1 and report["centroids"].count() == 2
     with pytest.raises(ValueError, match="more than one split"):
         R.prepare_dataset(df.withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("test")), ["x0"], [], "label", "entity", ("A", "B"))
@@ -186,6 +191,101 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert (0, 5, 2) in spans and (80, 102, 4) in spans and not any(s[0] == 10 for s in spans), spans
 
 
+def arriving(spark, tmp_path, batches, **columns):
+    """A stream of packet tables, one file a batch, oldest first; ``seq`` counts over all."""
+    folder, n = tmp_path / "arriving", 0
+    folder.mkdir()
+    for k, times in enumerate(batches):
+        rows = packets(spark, times, **columns).withColumn("seq", F.col("seq") + n)
+        n += len(times)
+        rows.coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        part = next((tmp_path / f"part{k}").glob("*.parquet"))
+        (folder / f"{k}.parquet").write_bytes(part.read_bytes())
+        os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    return B.stream_packets(spark, str(folder))
+
+
+def test_trailing_counts_hold_late_packets_inside_the_frame(spark, tmp_path):
+    # 102 comes after 110: outside a frame of 5 s, inside one of 30 s; 106 is inside both; 40 is older than the watermark by then
+    batches = [[(100, 100), (110, 200), (102, 300)], [(106, 400)], [(111, 500)], [(150, 10)], [(152, 20), (40, 999)]]
+    for seconds, want in ((5, [(1, 100), (1, 200), (1, 200), (2, 600), (3, 1100), (1, 10), (2, 30)]), (30, [(1, 100), (2, 300), (3, 600), (4, 1000), (5, 1500), (1, 10), (2, 30)])):
+        folder = tmp_path / str(seconds)
+        folder.mkdir()
+        got = drained(S.stream_trailing(arriving(spark, folder, batches), seconds, watermark="30 seconds")).orderBy("seq").collect()
+        assert [(r.packets, r.bytes) for r in got] == want
+        assert got[2].end_ts == got[1].end_ts and got[1].rate == got[1].packets / seconds
+
+
+def test_trailing_counts_equal_the_batch_window(spark, tmp_path):
+    r = np.random.default_rng(2)
+    times = np.cumsum(r.exponential(2.0, 200)).round(3).tolist()
+    batches = [[(t, int(n)) for t, n in zip(times[k : k + 40], r.integers(40, 1500, 40))] for k in range(0, 200, 40)]
+    stream = arriving(spark, tmp_path, batches)
+    got = {x.seq: (x.packets, x.bytes) for x in drained(S.stream_trailing(stream, 7)).collect()}
+    table = spark.read.schema(stream.schema).parquet(f"{tmp_path}/arriving")
+    assert got == {x.seq: (x.burst_packets, x.burst_bytes) for x in W.burst_window(table, 7).collect()}
+
+
+def test_idle_keys_are_forgotten_by_timers(spark, tmp_path):
+    # the watermark passes 0 + 60 s in the third batch, so its timer lets the key start anew in the fourth
+    stream = arriving(spark, tmp_path, [[0, 1], [10, 200], [201], [202, 203]], src_ip="a").withColumn("src_ip", F.when(F.unix_micros("ts") < int(T0.timestamp() * 1e6) + 100_000_000, "a").when(F.col("seq") >= 5, "a").otherwise("b"))
+    kept = drained(S.stream_throttle(stream, "src_ip", 1000.0, ttl_seconds=60, watermark="1 second")).collect()
+    assert sorted((r.src_ip, r.seq) for r in kept) == [("a", 0), ("a", 5), ("b", 3)]
+    (tmp_path / "n").mkdir()
+    crossed = drained(S.stream_first_crossing(arriving(spark, tmp_path / "n", [[0], [1, 2, 3], [4]]), 3)).collect()
+    assert [(r.packet_count, r.byte_count) for r in crossed] == [(3, 300)]
+
+
+def test_context_state_keeps_the_frame_only(spark, tmp_path):
+    from netsift.streaming.processors import EntityContext
+
+    class Map(dict):
+        def iterator(self):
+            return iter([((k,), v) for k, v in self.items()])
+
+        def updateValue(self, key, value):
+            self[key[0]] = value
+            written.append(key[0])
+
+        def removeKey(self, key):
+            del self[key[0]]
+
+    class Value:
+        def __init__(self):
+            self.x = None
+
+        exists = lambda self: self.x is not None
+        get = lambda self: self.x
+
+        def update(self, x):
+            self.x = x
+
+    class Handle:
+        timers = set()
+        getValueState = lambda self, name, schema: Value()
+        getMapState = lambda self, name, a, b: Map()
+        registerTimer = lambda self, ms: self.timers.add(ms)
+        deleteTimer = lambda self, ms: self.timers.remove(ms)
+
+    class Now:
+        def __init__(self, s):
+            self.s = s
+
+        def getCurrentWatermarkInMs(self):
+            return int(self.s * 1000)
+
+    written = []
+    p = EntityContext(8.0, 60.0)
+    p.init(Handle())
+    for t in range(100):
+        written.clear()
+        rows = pd.DataFrame({"seq": [t], "ts": pd.to_datetime([t * 10**9]), "byte_count": [1], "outbound": [True], "dst_ip": ["x"]})
+        out = next(p.handleInputRows(("a",), iter([rows]), Now(max(0, t - 2))))
+        assert out["flows_out"].tolist() == [min(t, 8) + 1] and out["distinct_dst_ips"].tolist() == [1]
+        # one bucket is written for one row, whatever is held
+        assert written == [t] and len(p.buckets) <= 12 and len(Handle.timers) == 1
+
+
 def test_batches_are_pushed(spark, tmp_path):
     packets(spark, [0, 1, 2]).write.parquet(f"{tmp_path}/in")
     seen = []
@@ -193,6 +293,51 @@ def test_batches_are_pushed(spark, tmp_path):
     assert sum(seen) == 3
 
 
+def test_batches_are_written_once(spark, tmp_path, monkeypatch):
+    stream = arriving(spark, tmp_path, [[0, 1], [2], [3, 4, 5]])
+    table, state = f"{tmp_path}/table", f"{tmp_path}/state"
+    # the second batch's rows are written, then its line is not: the process dies between the two
+    real = S._ledger
+    monkeypatch.setattr(S, "_ledger", lambda spark, path: (_ for _ in ()).throw(RuntimeError("lost")) if len(real(spark, path)) == 1 else real(spark, path))
+    with pytest.raises(Exception, match="lost"):
+        S.push_table(stream, table, state).awaitTermination(120)
+    monkeypatch.setattr(S, "_ledger", real)
+    spark.range(7).selectExpr("id AS seq").write.parquet(f"{table}/rows/batch=1")  # what it left
+    schema = stream.schema.fieldNames()
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+    assert S.pushed(spark, table, ddl).count() == 2
+    # the stream says that a batch was done, the ledger that it was not, and the other way round
+    assert S.push_table(stream, table, state).awaitTermination(120)
+    got = S.pushed(spark, table, ddl)
+    assert sorted((r.batch, r.seq) for r in got.collect()) == [(0, 0), (0, 1), (1, 2), (2, 3), (2, 4), (2, 5)] and set(got.columns) == {*schema, "batch"}
+    # a new state hands all batches on again: the ledger has them
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    assert S.push_table(stream, table, f"{state}-2").awaitTermination(120)
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+
+
+def test_whole_run_is_written_once_and_counted_on_the_way(spark, tmp_path):
+    p = packets(spark, [0, 0.001, 0.002, 1, 2, 100, 400], tcp_syn=1)
+    once, plain = R.run_pipeline(p, folder=f"{tmp_path}/run"), R.run_pipeline(p)
+    stats = {r.counter: r.n for r in once["stats"].collect()}
+    assert stats == {r.counter: r.n for r in plain["stats"].collect()} and stats["packets"] == 7 and stats["signals"] > 0
+    for name in ("flows", "incidents", "alerts"):
+        assert once[name].count() == stats[name] == spark.read.parquet(f"{tmp_path}/run/{name}").count()
+        drop = [c for c, t in once[name].dtypes if t.startswith(("map", "array", "struct"))]
+        assert sorted(map(str, once[name].drop(*drop).collect())) == sorted(map(str, plain[name].drop(*drop).collect()))
+
+
+def test_truth_by_either_end_and_capture(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    p = packets(spark, [0, 100]).withColumn("capture_id", F.lit("a")).unionByName(packets(spark, [0, 100]).withColumns({"capture_id": F.lit("b"), "seq": F.col("seq") + 2}))
+    events = spark.createDataFrame([("a", "10.0.0.2", "X", at(0), at(1), 1), ("a", "10.0.0.1", "Y", at(0), at(1), 2), ("b", "10.0.0.2", "Z", at(95), at(98), 0), ("b", "10.0.0.9", "W", at(0), at(200), 1)], "capture_id string, entity string, threat_class string, start_ts timestamp, end_ts timestamp, event_order int")
+    got = {r.decision_id: r.truth for r in R.evaluate_captures(p, events).collect()}
+    assert got == {0: "X", 1: "BENIGN", 2: "BENIGN", 3: "Z"}
+    # without captures, all events count for all packets
+    got = {r.decision_id: r.truth for r in R.evaluate_captures(p.drop("capture_id"), events.drop("capture_id")).collect()}
+    assert got == {0: "W", 1: "Z"} or set(got.values()) <= {"X", "Y", "Z", "BENIGN"}
+
+
 def test_flow_events_and_json(spark):
     f = L.normalize_flow_events(L.build_flows(packets(spark, [0, 1])))
     line = json.loads(B.as_json(f).first().json)

@@ -1,6 +1,11 @@
 import socket
 import struct
 
+import pytest
+from pyspark.sql import functions as F
+
+from netsift.plans.streams import drained
+from netsift.sources import capture_source as K
 from netsift.sources import captures as P
 from netsift.sources import tables as B
 
@@ -56,3 +61,62 @@ def test_manifest_and_alerts(spark, tmp_path):
     assert captures.count() == 1 and events.first().event_id == "e1" and [r.problem for r in problems.collect()] == ["event outside its capture"]
     lines = spark.createDataFrame([('{"alert_id": "x", "confidence": 0.5}',)], "value string")
     assert B.alerts_from_json(lines).first().confidence == 0.5
+
+
+def mixed(n):
+    """Frames of many sizes, some of which hold whole records as their payload."""
+    own = capture([frame(), frame(v6=True)])[24:]
+    return [frame() + (own * (i % 7) if i % 3 == 0 else bytes([i % 251]) * (i % 1400)) for i in range(n)]
+
+
+@pytest.mark.parametrize(("order", "nano"), [("<", False), (">", True)])
+def test_ranges_equal_the_whole_read(spark, tmp_path, order, nano):
+    (tmp_path / "a.pcap").write_bytes(capture(mixed(3000), order, nano))
+    (tmp_path / "b.pcap").write_bytes(capture(mixed(5), order, nano))
+    (tmp_path / "empty.pcap").write_bytes(capture([], order, nano))
+    want = sorted((r.file[-6:], r.rec_no, r.ts, bytes(r.frame) if r.frame else None, r.captured) for r in P.read_captures(spark, f"{tmp_path}/*.pcap", max_len=1200).collect())
+    for step in (20_000, 300_000, 1 << 25):
+        records = K.read_capture_ranges(spark, f"{tmp_path}/*.pcap", step, max_len=1200)
+        got = K.numbered(records)
+        assert sorted((r.file[-6:], r.rec_no, r.ts, bytes(r.frame) if r.frame else None, r.captured) for r in got.collect()) == want
+        assert step > 20_000 or records.rdd.getNumPartitions() > 50
+    stats = P.ingestion_stats(records, P.decode_frames(records)).first()
+    assert stats.seen == 3005 and stats.too_large > 0
+
+
+def test_payload_that_looks_like_records(spark, tmp_path):
+    # chains of records as payload, some to the end of their frame, in a file of many times the walk before a range
+    trap = capture([frame()] * 40)[24:]
+    frames = [frame() + trap + b"x" * (i % 3) if i % 2 else frame() for i in range(600)]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    want = [(r.rec_no, bytes(r.frame)) for r in P.read_captures(spark, f"{tmp_path}/a.pcap").orderBy("rec_no").collect()]
+    records = K.read_capture_ranges(spark, f"{tmp_path}/a.pcap", 100_000)
+    assert [(r.rec_no, bytes(r.frame)) for r in K.numbered(records).orderBy("rec_no").collect()] == want and len(want) == 600
+    # ranges that do not join are an error
+    with pytest.raises(Exception, match="ranges do not join"):
+        K.numbered(records.where("range <> 3 or place > 0")).collect()
+    for bad in (b"nothing", capture([frame()])[:-3], capture([frame()])[:30]):
+        (tmp_path / "bad.pcap").write_bytes(bad)
+        for step in (20, 1 << 20):
+            with pytest.raises(Exception, match="capture"):
+                K.read_capture_ranges(spark, f"{tmp_path}/bad.pcap", step).collect()
+
+
+def test_captures_written_and_streamed(spark, tmp_path):
+    from tests.test_flows_windows import packets
+
+    p = packets(spark, [0, 1, (2, 900)], tcp_syn=1).unionByName(packets(spark, [5], protocol=17)).withColumn("packet_length", F.greatest("packet_length", F.lit(40)))
+    K.write_captures(K.encode_frames(p.repartition(2)), f"{tmp_path}/out")
+    columns = [c for c in p.columns if c not in ("seq", "tcp_payload")]
+    back = P.decode_frames(K.numbered(K.read_capture_ranges(spark, f"{tmp_path}/out")))
+    columns = [c for c in columns if c in back.columns]
+    assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, p.select(columns).collect())) and len(columns) > 8
+    # a stream takes each file once, and those that come later in the next run
+    stream = lambda: K.stream_captures(spark, f"{tmp_path}/out", 64).select("at", "captured")
+    run = lambda: stream().writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/got").trigger(availableNow=True).start().awaitTermination(120)
+    assert run() and spark.read.parquet(f"{tmp_path}/got").count() == 4
+    K.write_captures(K.encode_frames(p.limit(2).coalesce(1)), f"{tmp_path}/out")
+    assert run() and spark.read.parquet(f"{tmp_path}/got").count() == 6
+    assert drained(stream()).count() == 6
+    K.write_captures(K.encode_frames(p.limit(1)), f"{tmp_path}/out", overwrite=True)
+    assert K.read_capture_ranges(spark, f"{tmp_path}/out").count() == 1
