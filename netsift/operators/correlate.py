@@ -138,15 +138,44 @@ def evidence_items(columns: list[str]) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(plain))
 
 
-def build_incidents(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group_no"), evidence: str = "evidence") -> DataFrame:
-    """One incident per group: first and last sight, stages and evidence in order of time, the action of the most confident signal, and its risk."""
-    order = F.struct(F.unix_micros("ts").alias("us"), F.col("detector_order").alias("o"))
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("at"), attack_stage().alias("stage"), F.col(evidence).alias("evidence"))))
+def _at() -> Column:
+    """A signal's place in time: signals of one instant go by their detectors' order."""
+    return F.struct(F.unix_micros("ts").alias("us"), F.col("detector_order").alias("o"))
+
+
+def incident_timeline(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group_no")) -> DataFrame:
+    """The stages of every incident in order of time, a row each: ``place`` counts from 1."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("ts", "detector_order"))
+    return grouped.select(*key, place.alias("place"), "ts", "threat_class", attack_stage().alias("stage"), "confidence")
+
+
+def incident_evidence(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group_no"), evidence: str = "evidence") -> DataFrame:
+    """The different evidence texts of every incident, a row each: in how many signals, and where it first stood.
+
+    Texts are summed by incident before the shuffle, so an incident that says
+    one thing a million times is one row. ``place`` orders them by their first sight.
+    """
+    texts = grouped.select(*key, "ts", _at().alias("at"), F.posexplode(evidence).alias("no", "text"))
+    told = texts.groupBy(*key, "text").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("at", "no")).alias("first"), F.min("ts").alias("first_ts"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("first", "text"))
+    return told.select(*key, place.alias("place"), "text", "times", "first_ts")
+
+
+def build_incidents(grouped: DataFrame, key: tuple[str, ...] = ("entity", "group_no"), evidence: str = "evidence", listed: bool = True) -> DataFrame:
+    """One incident per group: first and last sight, the action of the most confident signal, and its risk.
+
+    ``listed`` adds its stages and evidence in order of time as arrays, which
+    are as long as the group; without, the row is of fixed size, whatever the
+    group's (``n_stages`` counts), and ``incident_timeline`` and
+    ``incident_evidence`` tell the same as rows.
+    """
     body = grouped.groupBy(*key).agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), rows.alias("r"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), *([F.array_sort(F.collect_list(F.struct(_at().alias("at"), attack_stage().alias("stage"), F.col(evidence).alias("evidence")))).alias("r")] if listed else []),
         F.max_by("threat_class", F.struct("confidence", -F.unix_micros("ts"), -F.col("detector_order"))).alias("main_class"), *_risk_parts(),
     )
-    body = _with_risk(body).withColumns({"stages": F.transform("r", lambda x: x["stage"]), "evidence_items": F.array_distinct(F.flatten(F.transform("r", lambda x: x["evidence"]))), "recommended_action": recommended_action("main_class")}).drop("r")
+    body = _with_risk(body).withColumns({"n_stages": F.col("signals"), "recommended_action": recommended_action("main_class")})
+    if listed:
+        body = body.withColumns({"stages": F.transform("r", lambda x: x["stage"]), "evidence_items": F.array_distinct(F.flatten(F.transform("r", lambda x: x["evidence"])))}).drop("r")
     return body.withColumn("incident_id", stable_id("INC-", *key, F.unix_micros("first_seen")))
 
 
@@ -165,7 +194,7 @@ def build_alerts(signals: DataFrame, incidents: DataFrame | None = None, key: tu
     alert = signals.withColumns({"alert_id": stable_id("ALT-", "entity", F.unix_micros("ts"), "detector_order"), "summary": alert_summary(signals.columns), "evidence_count": evidence_count("indicators") if "indicators" in signals.columns else F.greatest(F.lit(1), F.size("reasons"))})
     if incidents is None:
         return alert
-    own = incidents.select(*key, "incident_id", F.col("risk").alias("__r"), F.size("stages").alias("__n"))
+    own = incidents.select(*key, "incident_id", F.col("risk").alias("__r"), F.col("n_stages").alias("__n"))
     text = F.format_string("Correlated Incident %s: %s on %s (Risk: %.2f, Stages: %d)", "incident_id", "threat_class", "entity", "__r", "__n")
     return alert.join(own, list(key)).withColumn("summary", text).drop("__r", "__n")
 

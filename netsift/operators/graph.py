@@ -34,18 +34,30 @@ def signal_nodes(signals: DataFrame) -> DataFrame:
 
 
 def k_hop_subgraph(edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
-    """Nodes within ``depth`` (at most 4) undirected hops of ``start``, with their distance."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0)], "id string, hops int")
-    frontier = seen
+    """Nodes within ``depth`` (at most 4) undirected hops of ``start``, with their distance.
+
+    Each hop joins the nodes of the hop before to their neighbours and keeps
+    the least distance of each node. The nodes so far stand in it once, so
+    the plan grows by one join and one sum a hop; the edges' exchange is
+    reused.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null").distinct()
+    seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int")
     for hop in range(1, min(depth, 4) + 1):
-        step = frontier.join(both, frontier["id"] == both["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(frontier)
+        met = seen.join(both, (F.col("id") == F.col("src")) & (F.col("hops") == hop - 1), "left")
+        own, next_ = F.struct("id", "hops"), F.struct(F.col("dst").alias("id"), F.lit(hop).alias("hops"))
+        reached = met.select(F.explode(F.array_compact(F.array(own, F.when(F.col("dst").isNotNull(), next_)))).alias("n"))
+        seen = reached.groupBy("n.id").agg(F.min("n.hops").alias("hops"))
     return seen
 
 
+def k_hop_edges(edges: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
+    """The edges that a walk of ``depth`` hops goes along: those with an end among ``nodes`` nearer than that."""
+    near = nodes.where(F.col("hops") < depth).select("id")
+    ends = edges.withColumn("__end", F.explode(F.array_distinct(F.array("src", "dst"))))
+    return ends.join(near, F.col("__end") == F.col("id"), "left_semi").select(*edges.columns).distinct()
+
+
 def prune_graph(nodes: DataFrame, edges: DataFrame, n: int = 5000) -> tuple[DataFrame, DataFrame]:
     """The ``n`` nodes touched last, and the edges with both ends among them."""
     kept = nodes.orderBy(F.desc("updated"), "id").limit(n)

@@ -180,6 +180,15 @@ def baseline_window(spark, d):
     return b.drop("bucket_bytes").withColumn("bucket_packets", F.array_join("bucket_packets", ","))
 
 
+@query("baseline_sketches", """
+WITH b AS (SELECT src_ip, us // 3600000000 AS bucket, list(DISTINCT dst_port) AS ports FROM packets GROUP BY ALL)
+SELECT src_ip, bucket, CAST(len(list_distinct(flatten(list(ports) OVER w))) AS BIGINT) AS estimate, len(list_distinct(flatten(list(ports) OVER w))) > 3 AS capped
+FROM b WINDOW w AS (PARTITION BY src_ip ORDER BY bucket RANGE BETWEEN 168 PRECEDING AND CURRENT ROW)""")
+def baseline_sketches(spark, d):
+    # sketches of so few ports count exactly
+    return W.baseline_sketches(V.packets(spark, d), 7 * DAY, H, value="dst_port", cap=3)
+
+
 @query("burst_sources", """
 SELECT p.seq, count(*) FILTER (q.src_ip = p.src_ip) AS source_packets, count(DISTINCT q.src_ip) AS sources
 FROM packets p JOIN packets q ON q.dst_ip = p.dst_ip AND q.dst_port = p.dst_port AND q.us BETWEEN p.us - 3600000000 AND p.us GROUP BY p.seq""")
@@ -525,6 +534,27 @@ def incidents(spark, d):
     return i.select("incident_id", "entity", us("first_seen", "first_us"), us("last_seen", "last_us"), F.array_join("stages", ",").alias("stages"), "main_class", "recommended_action", F.round("risk", 6).alias("risk"), "severity")
 
 
+TEXT = "CASE WHEN z > 2 THEN format('Traffic velocity deviates significantly (+{:.1f}σ) from host baseline', round(z, 1)) ELSE format('Automated detector signal: {} confidence {:.2f}', dt, round(confidence, 2)) END"
+
+
+@query("incident_timeline", GROUPS + f"SELECT entity, group_no, CAST(row_number() OVER (PARTITION BY entity, group_no ORDER BY us, o) AS INTEGER) AS place, us, threat_class, {STAGE} AS stage FROM grp")
+def incident_timeline(spark, d):
+    return C.incident_timeline(grouped(spark, d)).select("entity", "group_no", "place", us("ts"), "threat_class", "stage")
+
+
+@query("incident_evidence", GROUPS + f""", x AS (SELECT entity, group_no, {TEXT} AS text, count(*) AS times, min((us, o)) AS first, min(us) AS first_us FROM grp GROUP BY ALL)
+SELECT entity, group_no, CAST(row_number() OVER (PARTITION BY entity, group_no ORDER BY first, text) AS INTEGER) AS place, text, times, first_us FROM x""")
+def incident_evidence(spark, d):
+    g = grouped(spark, d).select("entity", "group_no", "ts", "detector_order", "threat_class", "detector_type", "confidence", "zscore")
+    return C.incident_evidence(g.withColumn("evidence", C.evidence_items(g.columns))).select("entity", "group_no", "place", "text", "times", us("first_ts", "first_us"))
+
+
+@query("compact_incidents", INC + f"SELECT incident_id, entity, first_us, last_us, signals AS n_stages, main_class, {ACTION} AS recommended_action, round(risk, 6) AS risk, {RISK_SEVERITY} AS severity FROM inci")
+def compact_incidents(spark, d):
+    i = C.build_incidents(grouped(spark, d), listed=False)
+    return i.select("incident_id", "entity", us("first_seen", "first_us"), us("last_seen", "last_us"), "n_stages", "main_class", "recommended_action", F.round("risk", 6).alias("risk"), "severity")
+
+
 @query("alerts", INC + "SELECT seq, o AS detector_order, 'ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8) AS alert_id, incident_id FROM grp JOIN inci USING (entity, group_no)")
 def alerts(spark, d):
     g = grouped(spark, d)
@@ -557,14 +587,29 @@ def signal_graph(spark, d):
     return G.distinct_edges(edges_of(spark, d)).select("src", "dst", "type", "weight", us("first_ts"), us("last_ts"))
 
 
-@query("k_hop_subgraph", """
-WITH e AS (SELECT DISTINCT src_ip AS a, dst_ip AS b FROM flows UNION SELECT DISTINCT dst_ip, src_ip FROM flows),
+#: Nodes within three hops, each hop from the nodes of the hop before.
+HOPS = """
+WITH f AS (SELECT src_ip AS src, dst_ip AS dst FROM flows WHERE seq % 40 = 0 OR src_ip = '10.0.0.1'), e AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f),
 h0 AS (SELECT '10.0.0.1' AS id, 0 AS hops), h1 AS (SELECT DISTINCT b AS id, 1 AS hops FROM e JOIN h0 ON a = id WHERE b NOT IN (SELECT id FROM h0)),
-h2 AS (SELECT DISTINCT b AS id, 2 AS hops FROM e JOIN h1 ON a = id WHERE b NOT IN (SELECT id FROM h0 UNION SELECT id FROM h1))
-SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
+h2 AS (SELECT DISTINCT b AS id, 2 AS hops FROM e JOIN h1 ON a = id WHERE b NOT IN (SELECT id FROM h0 UNION SELECT id FROM h1)),
+h3 AS (SELECT DISTINCT b AS id, 3 AS hops FROM e JOIN h2 ON a = id WHERE b NOT IN (SELECT id FROM h0 UNION SELECT id FROM h1 UNION SELECT id FROM h2)),
+h AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)
+"""
+
+
+def some_edges(spark, d):
+    return V.flows(spark, d).where("seq % 40 = 0 or src_ip = '10.0.0.1'").select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"))
+
+
+@query("k_hop_subgraph", HOPS + "SELECT * FROM h")
 def k_hop_subgraph(spark, d):
-    e = V.flows(spark, d).select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"))
-    return G.k_hop_subgraph(e, "10.0.0.1", 2)
+    return G.k_hop_subgraph(some_edges(spark, d), "10.0.0.1", 3)
+
+
+@query("k_hop_edges", HOPS + "SELECT DISTINCT src, dst FROM f WHERE src IN (SELECT id FROM h WHERE hops < 3) OR dst IN (SELECT id FROM h WHERE hops < 3)")
+def k_hop_edges(spark, d):
+    e = some_edges(spark, d)
+    return G.k_hop_edges(e, G.k_hop_subgraph(e, "10.0.0.1", 3), 3)
 
 
 @query("incident_graph", INC + ", a AS (SELECT entity, 'sig-' || substr(sha256(concat_ws('|', seq, o)), 1, 8) AS sid, incident_id, us FROM grp JOIN inci USING (entity, group_no)), e AS (SELECT entity AS src, incident_id AS dst, us FROM a UNION ALL SELECT sid, incident_id, us FROM a) SELECT src, dst, 'PART_OF_INCIDENT' AS type, count(*) AS weight FROM e GROUP BY ALL")
@@ -690,6 +735,24 @@ def mutual_information(spark, d):
     return rounded(E.mutual_information(V.read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag").select("feature", "mi", "flagged"))
 
 
+PSI = "(ln({0} + 6.0) - 1 / (2 * ({0} + 6.0)) - 1 / (12 * ({0} + 6.0) ** 2) + 1 / (120 * ({0} + 6.0) ** 4) - 1 / (252 * ({0} + 6.0) ** 6) - 1.0 / {0} - 1 / ({0} + 1.0) - 1 / ({0} + 2.0) - 1 / ({0} + 3.0) - 1 / ({0} + 4.0) - 1 / ({0} + 5.0))"
+
+
+@query("neighbour_information", f"""
+WITH l AS (SELECT vec_id AS id, label, unnest([{{'f': 'x0', 'x': CAST(embedding[1] AS DOUBLE)}}, {{'f': 'x1', 'x': CAST(embedding[2] AS DOUBLE)}}, {{'f': 'tens', 'x': CAST(vec_id // 10 AS DOUBLE)}}, {{'f': 'label', 'x': CAST(label AS DOUBLE)}}]) AS p FROM embeddings WHERE label IS NOT NULL),
+s AS (SELECT *, count(*) OVER (PARTITION BY p.f, label) AS size FROM l),
+n AS (SELECT a.p.f AS f, a.id, a.p.x AS x, a.size, row_number() OVER (PARTITION BY a.p.f, a.id ORDER BY abs(b.p.x - a.p.x)) AS k, abs(b.p.x - a.p.x) AS d FROM s a JOIN s b ON a.p.f = b.p.f AND a.label = b.label AND a.id <> b.id),
+r AS (SELECT f, id, x, size, least(3, size - 1) AS k, d FROM n WHERE k = least(3, size - 1)),
+m AS (SELECT r.f, r.id, any_value(r.k) AS k, any_value(r.size) AS size, count(*) AS m FROM r JOIN r b ON b.f = r.f AND CASE WHEN r.d = 0 THEN b.x = r.x ELSE b.x > r.x - r.d AND b.x < r.x + r.d END GROUP BY ALL)
+SELECT f AS feature, round(greatest(0, {PSI.format('count(*)')} + avg({PSI.format('k')}) - avg({PSI.format('size')}) - avg({PSI.format('m')})), 6) AS mi FROM m GROUP BY f""", views=False)
+def neighbour_information(spark, d):
+    v = V.read(spark, d, "embeddings")
+    v = v.select(F.col("vec_id").alias("id"), "label", F.col("embedding")[0].alias("x0"), F.col("embedding")[1].alias("x1"), F.floor(F.col("vec_id") / 10).alias("tens"))
+    wide = v.withColumn("label_", F.col("label"))
+    found = E.neighbour_information(wide, ["x0", "x1", "tens", "label_"], "label", sample=None)
+    return found.select(F.regexp_replace("feature", "_$", "").alias("feature"), F.round("mi", 6).alias("mi"))
+
+
 @query("split_overlap", f"WITH {ITEMS} SELECT l_partkey FROM li WHERE split = 'train' INTERSECT SELECT l_partkey FROM li WHERE split = 'test'", views=False)
 def split_overlap(spark, d):
     li = items(spark, d)

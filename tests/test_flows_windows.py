@@ -115,3 +115,12 @@ def test_distinct_in_frame_equals_brute_force(spark, rows):
     got = {r.n: (r.values, r.evens) for r in W.distinct_in_frame(df, ["k"], {"values": F.col("v"), "evens": F.when(F.col("t") % 2 == 0, F.col("v"))}, "t", 7).collect()}
     frame = lambda k, t, step: {v for k2, t2, v in rows if k2 == k and t - 7 <= t2 <= t and v and t2 % step == 0}
     assert got == {n: (len(frame(k, t, 1)), len(frame(k, t, 2))) for n, (k, t, v) in enumerate(rows)}
+
+
+def test_sketches_count_within_their_error(spark):
+    # 30,000 addresses in 60 buckets, each row a sketch and no list of addresses
+    df = spark.range(60_000).selectExpr("'a' AS src_ip", "concat('d', id % 30000) AS dst_ip", "timestamp_seconds(id div 1000) AS ts", "1L AS packet_length")
+    got = W.baseline_sketches(df, 300, 1, cap=1000).orderBy("bucket").collect()
+    want = [min(30_000, 1000 * (k + 1)) for k in range(60)]
+    assert [r.bucket for r in got] == list(range(60)) and all(abs(r.estimate - w) <= 0.05 * w for r, w in zip(got, want)) and [r.capped for r in got][2:] == [True] * 58
+    assert "collect" not in str(W.baseline_sketches(df)._jdf.queryExecution().executedPlan())

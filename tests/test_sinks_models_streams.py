@@ -107,6 +107,42 @@ def test_folds_hold_whole_entities(spark):
     assert ready.columns == ["entity", "split", "label", "x0", "raw_A", "raw_B"] and state["words"] == {"raw": ["A", "B"]} and ready.count() == 200
 
 
+def test_neighbour_information_equals_brute_force(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, int(i % 3 if i else 9), float(r.normal(loc=i % 3)), float(r.integers(0, 4)), None if i % 11 == 0 else float(r.normal())) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, label int, near double, ties double, noise double")
+
+    def psi(n):
+        return -0.5772156649015329 + sum(1 / j for j in range(1, n))
+
+    def brute(x, y, k=3):
+        pairs = [(a, b) for a, b in zip(x, y) if a is not None and sum(c == b and d is not None for c, d in zip(y, x)) > 1]
+        ks, sizes, ms = [], [], []
+        for i, (a, b) in enumerate(pairs):
+            own = sorted(abs(c - a) for j, (c, d) in enumerate(pairs) if d == b and j != i)
+            ks.append(psi(min(k, len(own))))
+            d = own[min(k, len(own)) - 1]
+            ms.append(psi(sum(abs(c - a) < d or c == a for c, _ in pairs)))
+            sizes.append(psi(len(own) + 1))
+        return max(0.0, psi(len(pairs)) + np.mean(ks) - np.mean(sizes) - np.mean(ms))
+
+    got = {x.feature: x.mi for x in E.neighbour_information(df, ["near", "ties", "noise"], "label").collect()}
+    want = {n: brute([x[c] for x in rows], [x[1] for x in rows]) for n, c in (("near", 2), ("ties", 3), ("noise", 4))}
+    assert got == pytest.approx(want, abs=1e-6) and got["near"] > 0.1 > got["noise"]
+    assert len(E.neighbour_information(df, ["near"], "label", sample=50).collect()) == 1
+
+
+def test_subgraph_is_one_linear_plan(spark):
+    from netsift.operators import graph as G
+
+    edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "f"), ("x", "y"), ("b", "a"), (None, "a")], "src string, dst string")
+    nodes = G.k_hop_subgraph(edges, "a", 4)
+    assert {r.id: r.hops for r in nodes.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4}
+    assert sorted((r.src or "", r.dst) for r in G.k_hop_edges(edges.where("src is not null"), nodes, 4).collect()) == [("a", "b"), ("b", "a"), ("c", "b"), ("c", "d"), ("d", "e")]
+    joins = [str(G.k_hop_subgraph(edges, "a", n)._jdf.queryExecution().optimizedPlan()).count("Join") for n in (1, 2, 3, 4)]
+    assert joins == [1, 2, 3, 4] and G.k_hop_subgraph(edges.limit(0), "a").collect() == [("a", 0)]
+
+
 def test_isolation_forest_finds_what_is_odd(spark):
     r = np.random.default_rng(5)
     rows = [(i, *map(float, r.normal(size=3))) for i in range(500)] + [(1000 + i, 9.0, -9.0, 9.0) for i in range(5)]
