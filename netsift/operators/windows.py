@@ -55,6 +55,23 @@ def burst_sources(packets: DataFrame, seconds: float = 5.0, key: list[str] = ("d
     return df.join(levels, [*key, "__us"]).drop("__us", "__next")
 
 
+def timing_stats(packets: DataFrame, seconds: float = 30.0, key: list[str] = ("src_ip",)) -> DataFrame:
+    """Count, first and last time of the trailing window, and mean and sample deviation of its inter-arrival times (ms).
+
+    What ``timing_window`` lists, in numbers only: the mean gap is the
+    window's span by its gaps, the deviation comes from summed squares of
+    gaps, less that of the window's first packet, which lies before.
+    """
+    w = _trailing(list(key), seconds)
+    df = packets.withColumn("__us", F.unix_micros("ts"))
+    gap = F.coalesce((F.col("__us") - F.lag("__us").over(Window.partitionBy(*key).orderBy("__us", "seq"))) / 1000, F.lit(0.0))
+    df = df.withColumn("__gap2", gap * gap).withColumns({"timing_count": F.count(F.lit(1)).over(w), "__first": F.min(F.struct("__us", (-F.col("__gap2")).alias("less"))).over(w), "__squares": F.sum("__gap2").over(w)})
+    n, mean = F.col("timing_count") - 1, F.col("mean_iat_ms")
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("__squares") + F.col("__first.less") - n * mean * mean) / (n - 1)))
+    out = df.withColumns({"first_us": F.col("__first.__us"), "last_us": F.col("__us"), "mean_iat_ms": F.when(n > 0, (F.col("__us") - F.col("__first.__us")) / 1000 / n)})
+    return out.withColumn("std_iat_ms", F.when(n > 1, spread).when(n == 1, 0.0)).drop("__us", "__gap2", "__first", "__squares")
+
+
 def distinct_in_frame(df: DataFrame, key: list[str], values: dict[str, Column], at: str, width: int) -> DataFrame:
     """``df`` with, for each name, how many distinct values the key has within ``width`` before the row's ``at``, both ends in.
 
@@ -169,18 +186,22 @@ def throttle(df: DataFrame, key: list[str], seconds: float = 1.0, tie: str = "se
     """Keep an event if at least ``seconds`` have passed since the last one kept of its key.
 
     Of equal instants only the first can be kept. An instant at least the step
-    after the one before it is kept for certain, so each key is cut there;
-    the pieces are independent and spread over the tasks, which hop through
-    the sorted times of each from one kept event to the next. No piece is
-    gathered: rows stream through, with the last kept time carried along.
+    after the one before it is kept for certain, so each key is cut there.
+    Pieces of one instant are done; the others are independent and spread over
+    the tasks, which hop through the sorted times of each from one kept event
+    to the next. No piece is gathered: rows stream through, with the last kept
+    time carried along.
     """
     step = int(seconds * 1e6)
-    first = df.groupBy(*key, "ts").agg(F.min(tie).alias("tie")).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), F.unix_micros("ts").alias("us"), "tie")
     own = [f"k{i}" for i in range(len(key))]
-    order = Window.partitionBy(*own).orderBy("us")
-    certain = F.coalesce(F.col("us") - F.lag("us").over(order) >= step, F.lit(True))
-    pieces = first.withColumn("sure", certain).withColumn("piece", F.sum(F.col("sure").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = pieces.select(F.xxhash64(*own, "piece").alias("h"), "us", "sure", "tie", *own)
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(key, own)), F.unix_micros("ts").alias("us"), F.col(tie).alias("tie"), F.struct(*df.columns).alias("row"))
+    order = Window.partitionBy(*own).orderBy("us", "tie")
+    before = F.lag("us").over(order)
+    first = rows.withColumn("again", F.coalesce(F.col("us") == before, F.lit(False))).where("not again").drop("again")
+    sure = F.coalesce(F.col("us") - before >= step, F.lit(True))
+    alone = sure & F.coalesce(F.lead("us").over(order) - F.col("us") >= step, F.lit(True))
+    cut = first.withColumns({"sure": sure, "alone": alone}).withColumn("piece", F.sum(F.col("sure").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = cut.where("not alone").select(F.xxhash64(*own, "piece").alias("h"), "us", "sure", "row")
 
     def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, last = None, 0
@@ -198,10 +219,10 @@ def throttle(df: DataFrame, key: list[str], seconds: float = 1.0, tie: str = "se
                     kept.append(at)
                     last = times[at]
                     at += int(np.searchsorted(times[at:b], last + step))
-            yield batch.select(range(3, batch.num_columns)).take(pa.array(kept, pa.int64()))
+            yield batch.select([3]).take(pa.array(kept, pa.int64()))
 
-    kept = pieces.repartition("h").sortWithinPartitions("h", "us").mapInArrow(hop, pieces.select("tie", *own).schema)
-    return df.join(kept.toDF(tie, *key), [*key, tie], "left_semi")
+    kept = pieces.repartition("h").sortWithinPartitions("h", "us").mapInArrow(hop, pieces.select("row").schema)
+    return cut.where("alone").select("row.*").unionByName(kept.select("row.*"))
 
 
 def rolling_entity_features(entity_flows: DataFrame, retention_seconds: float = 300.0, large: float = 1e6) -> DataFrame:

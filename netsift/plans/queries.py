@@ -171,6 +171,15 @@ def timing_window(spark, d):
     return W.timing_window(V.packets(spark, d), DAY).select("seq", "timing_count", "first_us", "last_us", gaps.alias("gaps"))
 
 
+@query("timing_stats", """
+WITH w AS (SELECT seq, count(*) OVER w AS timing_count, min(us) OVER w AS first_us, us AS last_us, list_sort(list(us) OVER w) AS t FROM packets WINDOW w AS (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, list_transform(range(2, len(t) + 1), lambda i: (t[i] - t[i - 1]) / 1e6) AS gaps FROM w)
+SELECT seq, timing_count, first_us, last_us, round(list_avg(gaps)) AS mean_sec, round(CASE WHEN len(gaps) = 1 THEN 0 ELSE list_stddev_samp(gaps) END) AS std_sec FROM g""")
+def timing_stats(spark, d):
+    t = W.timing_stats(V.packets(spark, d), DAY)
+    return t.select("seq", "timing_count", "first_us", "last_us", F.round(F.col("mean_iat_ms") / 1000).alias("mean_sec"), F.round(F.col("std_iat_ms") / 1000).alias("std_sec"))
+
+
 @query("baseline_window", """
 WITH b AS (SELECT src_ip, us // 3600000000 AS bucket, count(*) AS n, sum(packet_length) AS bytes, list(DISTINCT dst_ip) AS dsts FROM packets GROUP BY ALL)
 SELECT src_ip, bucket, CAST(sum(n) OVER w AS BIGINT) AS baseline_packets, CAST(sum(bytes) OVER w AS BIGINT) AS baseline_bytes, count(*) OVER w AS buckets, CAST(len(list_distinct(flatten(list(dsts) OVER w))) AS BIGINT) AS distinct_dst, 1::BIGINT AS distinct_src, array_to_string(list(n) OVER w, ',') AS bucket_packets
