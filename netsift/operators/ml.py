@@ -31,7 +31,7 @@ FEATURE_NAMES = (
     "ja3_JA3_A", "ja3_JA3_B", "ja3_JA3_C", "ja3_JA3_D", "ja3_JA3_E", "ja4_JA4_A", "ja4_JA4_B", "ja4_JA4_C", "ja4_JA4_D", "ja4_JA4_E", "ja4_JA4_SUS_1", "ja4_JA4_SUS_2", "ja4_JA4_SUS_3",
     "tls_version_NONE", "tls_version_TLS1.2", "tls_version_TLS1.3",
 )
-#: Which column or expression of a context fills a feature, where the names differ.
+# Which column or expression of a context fills a feature, where the names differ.
 CONTEXT_FEATURES = {
     "duration": "duration_sec", "total_packets": "packet_count", "total_bytes": "byte_count", "packets_per_sec": "pps", "periodicity_score": "periodicity", "domain_length_mean": "query_length_mean", "domain_entropy": "entropy_mean",
     "connection_attempt_rate": "connection_rate", "failed_connection_ratio": "failed_ratio", "fan_out": "unique_dst_ips + unique_dst_ports", "upload_download_ratio": "up_down_ratio", "destination_count": "destinations",

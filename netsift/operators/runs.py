@@ -229,7 +229,27 @@ def save_model(model, path: str, metadata: DataFrame) -> None:
     metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_model(kind, path: str, spark: SparkSession | None = None):
-    """The model; with a session, also its metadata as a table."""
+def load_model(kind, path: str, spark: SparkSession | None = None, features: list[str] | None = None, labels: list[str] | None = None):
+    """The model; with a session, also its metadata as a table.
+
+    With ``features`` or ``labels``, those that the model was saved with must
+    be the same in the same order, and as many as it has weights for; else it
+    is an error, as predictions would be of other columns or classes. They
+    are columns of the metadata, arrays or texts parted by commas.
+    """
     model = kind.load(f"{path}/model")
-    return (model, spark.read.json(f"{path}/metadata")) if spark else model
+    if spark is None:
+        return model
+    metadata = spark.read.json(f"{path}/metadata")
+    row = metadata.first()
+    for name, want in (("features", features), ("labels", labels)):
+        if want is None:
+            continue
+        saved = row[name] if name in metadata.columns else None
+        saved = saved.split(",") if isinstance(saved, str) else saved
+        if saved != list(want):
+            raise ValueError(f"the model's {name} are {saved}, not {list(want)}")
+    for name, want, attribute in (("features", features, "numFeatures"), ("classes", labels, "numClasses")):
+        if want is not None and getattr(model, attribute, len(want)) != len(want):
+            raise ValueError(f"the model has {getattr(model, attribute)} {name}, not {len(want)}")
+    return model, metadata

@@ -182,11 +182,11 @@ def timing_stats(spark, d):
 
 @query("baseline_window", """
 WITH b AS (SELECT src_ip, us // 3600000000 AS bucket, count(*) AS n, sum(packet_length) AS bytes, list(DISTINCT dst_ip) AS dsts FROM packets GROUP BY ALL)
-SELECT src_ip, bucket, CAST(sum(n) OVER w AS BIGINT) AS baseline_packets, CAST(sum(bytes) OVER w AS BIGINT) AS baseline_bytes, count(*) OVER w AS buckets, CAST(len(list_distinct(flatten(list(dsts) OVER w))) AS BIGINT) AS distinct_dst, 1::BIGINT AS distinct_src, array_to_string(list(n) OVER w, ',') AS bucket_packets
+SELECT src_ip, bucket, CAST(sum(n) OVER w AS BIGINT) AS baseline_packets, CAST(sum(bytes) OVER w AS BIGINT) AS baseline_bytes, count(*) OVER w AS buckets, CAST(len(list_distinct(flatten(list(dsts) OVER w))) AS BIGINT) AS distinct_dst, 1::BIGINT AS distinct_src, array_to_string(list(n) OVER w, ',') AS bucket_packets, array_to_string(list(CAST(bytes AS BIGINT)) OVER w, ',') AS bucket_bytes
 FROM b WINDOW w AS (PARTITION BY src_ip ORDER BY bucket RANGE BETWEEN 168 PRECEDING AND CURRENT ROW)""")
 def baseline_window(spark, d):
     b = W.baseline_window(V.packets(spark, d), 7 * DAY, H)
-    return b.drop("bucket_bytes").withColumn("bucket_packets", F.array_join("bucket_packets", ","))
+    return b.withColumns({c: F.array_join(c, ",") for c in ("bucket_packets", "bucket_bytes")})
 
 
 @query("baseline_sketches", """
@@ -526,10 +526,13 @@ def threat_stages(spark, d):
 
 
 def incidents_of(g):
-    return C.build_incidents(g.withColumn("evidence", C.evidence_items(g.columns)))
+    told = ["threat_class", "detector_type", "confidence", "zscore"]
+    return C.build_incidents(g.withColumn("evidence", C.evidence_items(told)))
 
 
-INC = GROUPS + f""", inc AS (SELECT entity, group_no, min(us) AS first_us, max(us) AS last_us, array_to_string(list({STAGE} ORDER BY us, o), ',') AS stages, arg_max(threat_class, (confidence, -us, -o)) AS main_class FROM grp GROUP BY ALL),
+#: The evidence text of a signal that has a deviation and no other features.
+TEXT = "CASE WHEN z > 2 THEN format('Traffic velocity deviates significantly (+{:.1f}σ) from host baseline', round(z, 1)) ELSE format('Automated detector signal: {} confidence {:.2f}', dt, round(confidence, 2)) END"
+INC = GROUPS + f""", inc AS (SELECT entity, group_no, min(us) AS first_us, max(us) AS last_us, array_to_string(list({STAGE} ORDER BY us, o), ',') AS stages, list({TEXT} ORDER BY us, o) AS texts, arg_max(threat_class, (confidence, -us, -o)) AS main_class FROM grp GROUP BY ALL),
 inci AS (SELECT *, 'INC-' || substr(sha256(concat_ws('|', entity, group_no, first_us)), 1, 8) AS incident_id FROM inc JOIN rk USING (entity, group_no))
 """
 
@@ -537,13 +540,10 @@ inci AS (SELECT *, 'INC-' || substr(sha256(concat_ws('|', entity, group_no, firs
 ACTION = "CASE main_class WHEN 'BOTNET_C2_BEACONING' THEN 'Isolate host endpoint; perform memory and process inspection for persistent C2 implant.' WHEN 'ENCRYPTED_MALWARE' THEN 'Correlate host process hash with JA3/JA4 fingerprint and terminate suspect process.' ELSE 'Apply traffic rate limiting and upstream filter rules at gateway edge.' END"
 
 
-@query("incidents", INC + f"SELECT incident_id, entity, first_us, last_us, stages, main_class, {ACTION} AS recommended_action, round(risk, 6) AS risk, {RISK_SEVERITY} AS severity FROM inci")
+@query("incidents", INC + f"SELECT incident_id, entity, first_us, last_us, stages, array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), '; ') AS evidence, main_class, {ACTION} AS recommended_action, round(risk, 6) AS risk, {RISK_SEVERITY} AS severity FROM inci")
 def incidents(spark, d):
     i = incidents_of(grouped(spark, d))
-    return i.select("incident_id", "entity", us("first_seen", "first_us"), us("last_seen", "last_us"), F.array_join("stages", ",").alias("stages"), "main_class", "recommended_action", F.round("risk", 6).alias("risk"), "severity")
-
-
-TEXT = "CASE WHEN z > 2 THEN format('Traffic velocity deviates significantly (+{:.1f}σ) from host baseline', round(z, 1)) ELSE format('Automated detector signal: {} confidence {:.2f}', dt, round(confidence, 2)) END"
+    return i.select("incident_id", "entity", us("first_seen", "first_us"), us("last_seen", "last_us"), F.array_join("stages", ",").alias("stages"), F.array_join("evidence_items", "; ").alias("evidence"), "main_class", "recommended_action", F.round("risk", 6).alias("risk"), "severity")
 
 
 @query("incident_timeline", GROUPS + f"SELECT entity, group_no, CAST(row_number() OVER (PARTITION BY entity, group_no ORDER BY us, o) AS INTEGER) AS place, us, threat_class, {STAGE} AS stage FROM grp")
@@ -695,19 +695,20 @@ def latency_percentiles(spark, d):
     return E.latency_percentiles(V.decisions(spark, d)).select("total", "median", "p95")
 
 
-@query("score_distribution", "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(CAST(n_chars AS DOUBLE)) AS min, max(CAST(n_chars AS DOUBLE)) AS max, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.05), 6) AS p5, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.95), 6) AS p95 FROM documents GROUP BY ALL", views=False)
+@query("score_distribution", "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(CAST(n_chars AS DOUBLE)) AS min, max(CAST(n_chars AS DOUBLE)) AS max, " + ", ".join(f"round(quantile_cont(CAST(n_chars AS DOUBLE), {p / 100}), 6) AS p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM documents GROUP BY ALL", views=False)
 def score_distribution(spark, d):
     docs = V.read(spark, d, "documents").withColumn("score", F.col("n_chars").cast("double"))
-    return rounded(E.score_distribution(docs, ["lang"]).select("lang", "n", "mean", "std", "min", "max", "p5", "p50", "p95"))
+    return rounded(E.score_distribution(docs, ["lang"]))
 
 
 @query("threshold_sweep", """
-WITH s AS (SELECT CAST(n_chars AS DOUBLE) AS score, toxic = 1 AS bad FROM documents JOIN labels USING (doc_id)), t AS (SELECT pct, (SELECT quantile_cont(score, 0.01) FROM s) AS t1, (SELECT quantile_cont(score, 0.1) FROM s) AS t10, (SELECT quantile_cont(score, 0.3) FROM s) AS t30 FROM (SELECT unnest([1, 10, 30]) AS pct)),
-u AS (SELECT pct, CASE pct WHEN 1 THEN t1 WHEN 10 THEN t10 ELSE t30 END AS threshold FROM t)
-SELECT pct, round(threshold, 6) AS threshold, count(*) FILTER (score <= threshold AND bad) AS tp, count(*) FILTER (score <= threshold AND NOT bad) AS fp, count(*) FILTER (score > threshold AND bad) AS fn, count(*) FILTER (score > threshold AND NOT bad) AS tn FROM s, u GROUP BY ALL""", views=False)
+WITH s AS (SELECT CAST(n_chars AS DOUBLE) AS score, toxic = 1 AS bad FROM documents JOIN labels USING (doc_id)), q AS (SELECT quantile_cont(score, [0.01, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3]) AS t FROM s),
+u AS (SELECT [1, 5, 10, 15, 20, 25, 30][i] AS pct, t[i] AS threshold FROM q, (SELECT unnest(range(1, 8)) AS i)),
+c AS (SELECT pct, threshold, count(*) FILTER (score <= threshold AND bad) AS tp, count(*) FILTER (score <= threshold AND NOT bad) AS fp, count(*) FILTER (score > threshold AND bad) AS fn, count(*) FILTER (score > threshold AND NOT bad) AS tn FROM s, u GROUP BY ALL)
+SELECT pct, round(threshold, 6) AS threshold, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(1 - tp / nullif(tp + fn, 0), 6) AS fnr, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""", views=False)
 def threshold_sweep(spark, d):
     s = V.read(spark, d, "documents").join(V.read(spark, d, "labels"), "doc_id").select(F.col("n_chars").cast("double").alias("score"), (F.col("toxic") == 1).alias("is_attack"))
-    return E.threshold_sweep(s, (1, 10, 30)).select("pct", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn")
+    return rounded(E.threshold_sweep(s))
 
 
 ITEMS = "li AS (SELECT *, CASE l_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM lineitem)"
@@ -856,6 +857,19 @@ def combine_ml(spark, d):
     return C.combine_ml(classified, odd).select("sample_id", "threat_class", "detector_type", F.round("confidence", 6).alias("confidence"), "severity")
 
 
+@query("combine_verdicts", f"""
+WITH x AS (SELECT doc_id AS sample_id, doc_id % 7 AS class_index, n_chars % 101 / 100 AS class_confidence, n_chars % 3 = 0 AS is_anomaly, n_chars % 53 / 52 AS anomaly_confidence FROM documents),
+c AS (SELECT sample_id, CASE WHEN class_index > 0 THEN ['BENIGN', 'VOLUMETRIC_DDOS', 'BOTNET_C2_BEACONING', 'DGA_DNS_TUNNELLING', 'ENCRYPTED_MALWARE', 'RECON_PORT_SCAN', 'DATA_EXFILTRATION'][class_index + 1] ELSE 'UNKNOWN_ANOMALY' END AS threat_class, CASE WHEN class_index > 0 THEN 'LIGHTWEIGHT_ML' ELSE 'UNSUPERVISED_ANOMALY' END AS detector_type,
+  CASE WHEN class_index > 0 THEN class_confidence ELSE anomaly_confidence END AS confidence FROM x WHERE class_index > 0 OR is_anomaly)
+SELECT sample_id, threat_class, detector_type, confidence, {_band('confidence')} AS severity FROM c""", views=False)
+def combine_verdicts(spark, d):
+    docs, n = V.read(spark, d, "documents"), F.col("doc_id")
+    names = F.element_at(F.array(*map(F.lit, M.CLASS_NAMES)), (n % 7 + 1).cast("int"))
+    classified = docs.select(n.alias("sample_id"), (n % 7).alias("class_index"), names.alias("class_name"), (F.col("n_chars") % 101 / 100).alias("class_confidence"))
+    odd = docs.select(n.alias("sample_id"), (F.col("n_chars") % 3 == 0).alias("is_anomaly"), (F.col("n_chars") % 53 / 52).alias("anomaly_confidence"))
+    return C.combine_ml(classified, odd).select("sample_id", "threat_class", "detector_type", "confidence", "severity")
+
+
 @query("entity_events", SIG + """, w AS (SELECT entity, seq, us, pps, avg(pps) OVER h AS m, coalesce(stddev_samp(pps) OVER h, 0) AS sd FROM ctx WINDOW h AS (PARTITION BY entity ORDER BY us, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 z AS (SELECT entity, round(arg_max(CASE WHEN sd >= 0.00001 THEN greatest(0, (pps - m) / sd) WHEN m > 0 THEN greatest(0, (pps - m) / greatest(m, 1)) WHEN pps <= 10 THEN 0 ELSE pps / 10 END, (us, seq)), 3) AS zscore, count(*) AS observations FROM w GROUP BY ALL),
 k AS (SELECT src_ip AS entity, count(DISTINCT dst_ip) AS known_destinations FROM flows GROUP BY ALL), a AS (SELECT entity, count(*) AS n FROM sig WHERE confidence >= 0.1 AND severity <> 'INFO' GROUP BY ALL)
@@ -897,7 +911,7 @@ p5 AS (
   FROM p4 WINDOW w AS (PARTITION BY entity ORDER BY us, seq, outbound DESC ROWS UNBOUNDED PRECEDING)
 ),
 pc AS (
-  SELECT seq, us, entity, target, observations, coalesce(observations / nullif((us - start_us) / 1e6, 0), 0) AS pps, fsyn / observations AS syn_ratio,
+  SELECT seq, us, entity, target, observations, coalesce(observations / nullif((us - start_us) / 1e6, 0), 0) AS pps, coalesce(fbytes / nullif((us - start_us) / 1e6, 0), 0) AS bps, new_ip = 1 AS is_new_destination, fsyn / observations AS syn_ratio,
          CASE WHEN iats >= 3 THEN CASE WHEN mean = 0 THEN 0 ELSE std / mean * 100 END END AS jitter, flow_count, ips, ports, failed, outbound_bytes, inbound_bytes, greatest(1.0, (us - first_us) / 1e6) AS life
   FROM p5 WHERE outbound
 ),
@@ -920,11 +934,11 @@ ps AS (
 ALL_RULES = ["ddos", "c2", "recon", "exfil"]
 
 
-@query("packet_contexts", _packet_contexts("reset") + "SELECT seq, entity, target, observations, round(pps, 9) AS pps, round(syn_ratio, 6) AS syn_ratio, round(jitter, 6) AS jitter, round(periodicity, 6) AS periodicity, CAST(flow_count AS BIGINT) AS flow_count, CAST(ips AS BIGINT) AS unique_dst_ips, CAST(ports AS BIGINT) AS unique_dst_ports, round(failed / flow_count, 6) AS failed_ratio, round(flow_count / life, 9) AS connection_rate, CAST(outbound_bytes AS BIGINT) AS outbound_bytes, round(ratio, 6) AS up_down_ratio FROM pd")
+@query("packet_contexts", _packet_contexts("reset") + "SELECT seq, entity, target, observations, round(pps, 9) AS pps, round(syn_ratio, 6) AS syn_ratio, round(jitter, 6) AS jitter, round(periodicity, 6) AS periodicity, CAST(flow_count AS BIGINT) AS flow_count, CAST(ips AS BIGINT) AS unique_dst_ips, CAST(ports AS BIGINT) AS unique_dst_ports, round(failed / flow_count, 6) AS failed_ratio, round(flow_count / life, 9) AS connection_rate, CAST(outbound_bytes AS BIGINT) AS outbound_bytes, round(outbound_bytes / life, 9) AS outbound_rate, round(bps, 9) AS bytes_per_sec, is_new_destination, flow_count >= 3 AS sufficient, round(ratio, 6) AS up_down_ratio FROM pd")
 def packet_contexts(spark, d):
     c = X.packet_contexts(V.packets(spark, d), 12 * H)
-    six = {n: F.round(n, 6) for n in ("syn_ratio", "jitter", "periodicity", "failed_ratio", "up_down_ratio")} | {n: F.round(n, 9) for n in ("pps", "connection_rate")}
-    return c.withColumns(six).select("seq", "entity", "target", "observations", "pps", "syn_ratio", "jitter", "periodicity", "flow_count", "unique_dst_ips", "unique_dst_ports", "failed_ratio", "connection_rate", "outbound_bytes", "up_down_ratio")
+    six = {n: F.round(n, 6) for n in ("syn_ratio", "jitter", "periodicity", "failed_ratio", "up_down_ratio")} | {n: F.round(n, 9) for n in ("pps", "connection_rate", "outbound_rate", "bytes_per_sec")}
+    return c.withColumns(six).select("seq", "entity", "target", "observations", "pps", "syn_ratio", "jitter", "periodicity", "flow_count", "unique_dst_ips", "unique_dst_ports", "failed_ratio", "connection_rate", "outbound_bytes", "outbound_rate", "bytes_per_sec", "is_new_destination", "sufficient", "up_down_ratio")
 
 
 PIPE = _packet_contexts("reset") + f""", ml AS (SELECT seq, us, entity, 9 AS o, 'UNKNOWN_ANOMALY' AS threat_class, least(1, z / 10) AS confidence, {_band('least(1, z / 10)')} AS severity, z, 'UNSUPERVISED_ANOMALY' AS dt FROM pf),
@@ -1043,6 +1057,37 @@ def captures_by(spark, d):
     return T.captures_by(c, primary_label="1-URGENT", split="F").select("capture_id")
 
 
+@query("labeled_splits", f"WITH {ITEMS} SELECT split, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, min(l_quantity) AS least FROM li GROUP BY ALL", views=False)
+def labeled_splits(spark, d):
+    """The line items by split, written as CSV and read back under their schema."""
+    folder = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    li = items(spark, d)
+    for s in ("train", "val", "test"):
+        li.where(F.col("split") == s).select(F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").cast("double").alias("quantity")).write.option("header", True).csv(f"{folder}/{s}.csv")
+    back = T.read_labeled_splits(spark, folder, "line long, quantity double")
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("line").alias("lines"), F.min("quantity").alias("least"))
+
+
+@query("manifest_events", """
+WITH c AS (SELECT k % 7 AS capture_id, min(us) AS c0, max(us) AS c1 FROM base GROUP BY ALL),
+e AS (SELECT k % 7 AS capture_id, seq, us AS s, us + 7200000000 AS t, row_number() OVER (PARTITION BY k % 7 ORDER BY seq) - 1 AS event_order FROM base WHERE event_type = 'error')
+SELECT CAST(capture_id AS VARCHAR) AS capture_id, CAST(event_order AS INTEGER) AS event_order, CAST(seq AS VARCHAR) AS event_id, s AS start_us, t AS end_us, CASE WHEN t > c1 THEN 'event outside its capture' END AS problem FROM e JOIN c USING (capture_id)""")
+def manifest_events(spark, d):
+    """A manifest of seven captures over the events, written as JSON, read back and held to its own bounds."""
+    folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    b = V.base(spark, d).withColumn("capture_id", (F.col("k") % 7).cast("string"))
+    span = F.struct(iso(F.col("ts")).alias("start_time_iso"), iso(F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("end_time_iso"))
+    event = F.struct("seq", F.col("seq").cast("string").alias("event_id"), F.lit("RECON").alias("traffic_class"), F.array("host").alias("source_ips"), span.alias("time_window"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("event_type") == "error", event)))
+    by = b.groupBy("capture_id").agg(F.struct(F.lit("RECON").alias("primary_label"), F.lit("test").alias("split"), iso(F.min("ts")).alias("capture_start_iso"), iso(F.max("ts")).alias("capture_end_iso"), listed.alias("labeled_events")).alias("c"))
+    # a manifest is one document: as many captures as it lists
+    by.agg(F.map_from_entries(F.collect_list(F.struct("capture_id", "c"))).alias("captures")).coalesce(1).write.json(folder)
+    _, events, problems = T.read_manifest(spark, folder)
+    told = events.join(problems, ["capture_id", "event_id"], "left")
+    return told.select("capture_id", "event_order", "event_id", us("start_ts", "start_us"), us("end_ts", "end_us"), "problem")
+
+
 @query("ml_features", "SELECT seq, round(pps, 6) AS packets_per_sec, coalesce(periodicity, 0.0) AS periodicity_score, round(jitter, 6) AS jitter, CAST(coalesce(ja3 = 'J1', false) AS DOUBLE) AS j1, 0.0::DOUBLE AS duration, 52 AS width FROM ctx")
 def ml_features(spark, d):
     c = V.contexts(spark, d).withColumn("ja3", F.when(F.col("ja3") == "J1", "a").otherwise(F.col("ja3")))
@@ -1113,11 +1158,14 @@ def scalars(spark, d):
                     S.anomaly_confidence(F.col("value") / 100 - 0.5, F.col("value") < 50).alias("confidence"), S.node_type(target).alias("node"), S.evidence_count(indicators).alias("evidence"))
 
 
-@query("alert_summaries", "SELECT seq, 'Volumetric Ddos activity detected from ' || entity || ' toward ' || target || ' (' || format('{:.1f} pps', round(pps, 1)) || CASE WHEN syn_ratio IS NOT NULL THEN format(', SYN ratio {:.2f}', round(syn_ratio, 2)) ELSE '' END || CASE WHEN periodicity IS NOT NULL THEN format(', periodicity {:.2f}', round(periodicity, 2)) ELSE '' END || ').' AS summary FROM ctx")
+@query("alert_summaries", SIG + """, c AS (SELECT sig.seq, o, threat_class, sig.entity, sig.target, ctx.pps, ctx.syn_ratio, ctx.periodicity, ctx.jitter, sig.seq % 50 / 10 AS entropy_mean FROM sig JOIN ctx USING (seq))
+SELECT seq, o AS detector_order, CASE o WHEN 0 THEN 'Volumetric Ddos' WHEN 1 THEN 'Botnet C2 Beaconing' ELSE 'Encrypted Malware' END || ' activity detected from ' || entity || ' toward ' || CASE WHEN seq % 3 = 0 THEN 'external infrastructure' ELSE target END || ' (' || format('{:.1f} pps', round(pps, 1))
+  || coalesce(format(', SYN ratio {:.2f}', round(syn_ratio, 2)), '') || coalesce(format(', periodicity {:.2f}', round(periodicity, 2)), '') || format(', jitter {:.1f}%', round(jitter, 1)) || format(', DNS entropy {:.2f}', round(entropy_mean, 2)) || ').' AS summary FROM c""")
 def alert_summaries(spark, d):
-    s = D.detect(V.contexts(spark, d), "ddos")
-    columns = [c for c in s.columns if c != "jitter"]
-    return s.select("seq", C.alert_summary(columns).alias("summary"))
+    told = ("pps", "syn_ratio", "periodicity", "jitter")
+    s = D.run_detectors(V.contexts(spark, d), ["ddos", "c2", "encrypted"], keep=("seq", "entity", "target", *told))
+    s = s.withColumns({"target": F.when(F.col("seq") % 3 != 0, F.col("target")), "entropy_mean": F.col("seq") % 50 / 10})
+    return s.select("seq", "detector_order", C.alert_summary(s.columns).alias("summary"))
 
 
 @query("incident_alerts", INC + "SELECT seq, o AS detector_order, 'Correlated Incident ' || incident_id || ': ' || threat_class || ' on ' || entity || ' (Risk: ' || format('{:.2f}', round(risk, 2)) || ', Stages: ' || signals || ')' AS summary FROM grp JOIN inci USING (entity, group_no)")
@@ -1126,10 +1174,14 @@ def incident_alerts(spark, d):
     return C.build_alerts(g, incidents_of(g)).select("seq", "detector_order", "summary")
 
 
-@query("provenance", SIG + "SELECT seq, o AS detector_order, CASE o WHEN 0 THEN 'ddos' WHEN 1 THEN 'c2' ELSE 'encrypted' END AS detector_id, '1.0.0' AS detector_version, us AS start_us, us + 5000000 AS end_us FROM sig")
+@query("provenance", SIG + """SELECT sig.seq, o AS detector_order, CASE o WHEN 0 THEN 'ddos' WHEN 1 THEN 'c2' ELSE 'encrypted' END AS detector_id, '1.0.0' AS detector_version, sig.us AS start_us, sig.us + 5000000 AS end_us, ctx.pps, ctx.syn_ratio,
+  CASE o WHEN 0 THEN concat_ws(',', CASE WHEN ctx.pps > 5000 THEN 'critical_packet_velocity_exceeded' WHEN ctx.pps > 1000 THEN 'suspicious_packet_velocity_observed' END, CASE WHEN syn_ratio > 0.8 THEN 'critical_tcp_syn_flood_ratio' WHEN syn_ratio > 0.5 THEN 'elevated_tcp_syn_ratio' END)
+  WHEN 1 THEN concat_ws(',', CASE WHEN periodicity >= 0.8 THEN 'high_temporal_periodicity_observed' END, CASE WHEN jitter <= 15 THEN 'low_inter_arrival_jitter_beacon' END, CASE WHEN periodicity IS NOT NULL AND jitter IS NOT NULL AND observations < 5 THEN 'insufficient_observations_penalty_applied' END)
+  ELSE concat_ws(',', CASE WHEN ja3 <> '' THEN 'suspicious_ja3_fingerprint_match' END, CASE WHEN (ja3 <> '' OR sni <> '' OR alpn <> '') AND periodicity IS NOT NULL THEN 'correlated_temporal_periodicity_observed' END) END AS reasons FROM sig JOIN ctx USING (seq)""")
 def provenance(spark, d):
-    s = D.run_detectors(V.contexts(spark, d), ["ddos", "c2", "encrypted"], keep=("seq", "ts")).withColumns({"window_start": F.col("ts"), "window_end": F.col("ts") + F.expr("INTERVAL 5 SECONDS")})
-    return s.select("seq", "detector_order", R.provenance().alias("p")).select("seq", "detector_order", "p.detector_id", "p.detector_version", us("p.window_start", "start_us"), us("p.window_end", "end_us"))
+    s = D.run_detectors(V.contexts(spark, d), ["ddos", "c2", "encrypted"], keep=("seq", "ts", "pps", "syn_ratio")).withColumns({"window_start": F.col("ts"), "window_end": F.col("ts") + F.expr("INTERVAL 5 SECONDS")})
+    told = s.select("seq", "detector_order", R.provenance(observed=("pps", "syn_ratio")).alias("p"))
+    return told.select("seq", "detector_order", "p.detector_id", "p.detector_version", us("p.window_start", "start_us"), us("p.window_end", "end_us"), "p.observed_features.pps", "p.observed_features.syn_ratio", F.array_join("p.decision_reason", ",").alias("reasons"))
 
 
 @query("export_graph", EDGE + """, nd AS (SELECT DISTINCT entity AS id, 'HOST_IP' AS type FROM act UNION SELECT sid, 'SIGNAL' FROM act UNION SELECT target, 'EXTERNAL_IP' FROM act)

@@ -78,6 +78,12 @@ def test_models_learn_and_report(spark, tmp_path):
     R.save_model(model, str(tmp_path), spark.createDataFrame([("x0,x1", 42)], "features string, seed int"))
     again, about = R.load_model(RandomForestClassificationModel, str(tmp_path), spark)
     assert again.getNumTrees == 5 and about.first().seed == 42
+    assert R.load_model(RandomForestClassificationModel, str(tmp_path), spark, ["x0", "x1"])[0].getNumTrees == 5
+    for wrong in (["x1", "x0"], ["x0"], ["x0", "x1", "x2"]):
+        with pytest.raises(ValueError, match="features"):
+            R.load_model(RandomForestClassificationModel, str(tmp_path), spark, wrong)
+    with pytest.raises(ValueError, match="labels are None"):
+        R.load_model(RandomForestClassificationModel, str(tmp_path), spark, labels=["A", "B"])
     boosted = M.train_boosted(train, ["x0", "x1"], rounds=3, depth=2)
     right = M.predict_boosted(boosted, test, ["x0", "x1"]).agg(F.avg((F.col("class_index") == F.col("label")).cast("int"))).first()[0]
     assert right > 0.9
