@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, rank: i
 
 
 def vote(rows: np.ndarray, model: dict, k: int) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the k nearest labelled vectors."""
+    """Similarity-weighted share of label 1 among the k nearest labelled vectors; those that tie at the last places share these."""
     x = (rows * model["idf"]) @ model["basis"]
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     score = np.full(len(x), model["prior"])
@@ -121,8 +121,13 @@ def vote(rows: np.ndarray, model: dict, k: int) -> np.ndarray:
     if k and ok.any():
         cosine = (x[ok] / norm[ok]) @ model["latent"].T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 8 + 1e-9
-        score[ok] = (weight * model["y"][near]).sum(axis=1) / weight.sum(axis=1)
+        close = np.take_along_axis(cosine, near, axis=1)
+        last = close.min(axis=1, keepdims=True)
+        weight = np.maximum(close, 0).astype(np.float64) ** 8 + 1e-9
+        tied = cosine == last
+        share = tied @ model["y"] / tied.sum(axis=1)
+        label = np.where(close > last, model["y"][near], share[:, None])
+        score[ok] = (weight * label).sum(axis=1) / weight.sum(axis=1)
     return np.clip(score, 0, 1)
 
 
@@ -132,7 +137,9 @@ def score(docs: DataFrame, model: dict, *, k: int = 15, threshold: float = 0.7,
     The model is broadcast; its size is bounded by ``max_labelled`` and
     ``rank``. Cosine products are exact and computed in blocks of ``block``
     rows. Texts that are null, empty or only white space have no direction and
-    get the labelled rows' mean. Repeated rows and null ids are scored like any.
+    get the labelled rows' mean. Labelled vectors that tie for the last of the
+    ``k`` places share these by the mean of their labels, so their order is of
+    no matter. Repeated rows and null ids are scored like any.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

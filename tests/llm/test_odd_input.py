@@ -131,6 +131,15 @@ def test_quality_equals_brute_force(spark, small):
             assert got[r.doc_id].score == pytest.approx(share, abs=2e-3)
 
 
+def test_votes_of_ties_are_shared():
+    # of three places one is taken for certain; four equal vectors share the other two, in whatever order they stand
+    near, far = [1.0, 0.0], [0.6, 0.8]
+    for y in ([1, 1, 0, 0, 0], [1, 0, 0, 1, 0], [1, 0, 1, 0, 0]):
+        model = {"idf": np.ones(2, np.float32), "basis": np.eye(2, dtype=np.float32), "latent": np.array([near, far, far, far, far], np.float32), "y": np.array(y, np.float32), "prior": 0.5}
+        w = np.float32(0.6).astype(float) ** 8 + 1e-9
+        assert quality.vote(np.array([near], np.float32), model, 3)[0] == pytest.approx((1 + 2 * w * 0.25) / (1 + 2 * w), abs=1e-6)
+
+
 def test_stages_on_odd_tables(spark, small):
     plain = docs(spark, ROWS, extra=False)
     for df in (plain, plain.limit(0), clashing(plain)):
