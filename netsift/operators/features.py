@@ -155,12 +155,13 @@ def packet_contexts(packets: DataFrame, gap_seconds: float = 30.0, rule: str = "
     jitter and periodicity. Of the source: flows begun, distinct destinations
     and ports, failed flows, bytes out and in. Distinct counts are running
     sums of first sights and failures running sums of changes, so no frame
-    holds more than numbers; windows of one key share a sort.
+    holds more than numbers. Packets are dealt by source once, for all windows
+    over flows and first sights, and by entity once more.
     """
     flow = Window.partitionBy(*FIVE, "session").orderBy("ts", "seq")
     so_far = flow.rowsBetween(Window.unboundedPreceding, 0)
     us = F.unix_micros("ts")
-    p = sessions(packets, gap_seconds).withColumns(
+    p = sessions(packets.repartition("src_ip"), gap_seconds).withColumns(
         {
             "observations": F.count(F.lit(1)).over(so_far), "byte_count": F.sum("packet_length").over(so_far), "syn_count": F.sum("tcp_syn").over(so_far), "ack_count": F.sum("tcp_ack").over(so_far),
             "rst_count": F.sum("tcp_rst").over(so_far), "start_us": F.min(us).over(so_far), "iat": (us - F.lag(us).over(flow)) / 1000,

@@ -525,6 +525,13 @@ def threat_stages(spark, d):
     return C.threat_stages(grouped(spark, d)).select("entity", us("ts"), "threat_class", "stage", F.round("confidence", 10).alias("confidence"))
 
 
+def grouped_once(spark, d):
+    """The same, written once for what reads it more than once."""
+    g, path = grouped(spark, d), f"{shared_dir(spark)}/grouped-{uuid.uuid4().hex}"
+    g.write.parquet(path)
+    return spark.read.schema(g.schema).parquet(path)
+
+
 def incidents_of(g):
     told = ["threat_class", "detector_type", "confidence", "zscore"]
     return C.build_incidents(g.withColumn("evidence", C.evidence_items(told)))
@@ -566,7 +573,7 @@ def compact_incidents(spark, d):
 
 @query("alerts", INC + "SELECT seq, o AS detector_order, 'ALT-' || substr(sha256(concat_ws('|', entity, us, o)), 1, 8) AS alert_id, incident_id FROM grp JOIN inci USING (entity, group_no)")
 def alerts(spark, d):
-    g = grouped(spark, d)
+    g = grouped_once(spark, d)
     return C.build_alerts(g, incidents_of(g)).select("seq", "detector_order", "alert_id", "incident_id")
 
 
@@ -623,7 +630,7 @@ def k_hop_edges(spark, d):
 
 @query("incident_graph", INC + ", a AS (SELECT entity, 'sig-' || substr(sha256(concat_ws('|', seq, o)), 1, 8) AS sid, incident_id, us FROM grp JOIN inci USING (entity, group_no)), e AS (SELECT entity AS src, incident_id AS dst, us FROM a UNION ALL SELECT sid, incident_id, us FROM a) SELECT src, dst, 'PART_OF_INCIDENT' AS type, count(*) AS weight FROM e GROUP BY ALL")
 def incident_graph(spark, d):
-    g = grouped(spark, d)
+    g = grouped_once(spark, d)
     return G.distinct_edges(G.incident_edges(incidents_of(g), g)).select("src", "dst", "type", "weight")
 
 
@@ -1170,7 +1177,7 @@ def alert_summaries(spark, d):
 
 @query("incident_alerts", INC + "SELECT seq, o AS detector_order, 'Correlated Incident ' || incident_id || ': ' || threat_class || ' on ' || entity || ' (Risk: ' || format('{:.2f}', round(risk, 2)) || ', Stages: ' || signals || ')' AS summary FROM grp JOIN inci USING (entity, group_no)")
 def incident_alerts(spark, d):
-    g = grouped(spark, d)
+    g = grouped_once(spark, d)
     return C.build_alerts(g, incidents_of(g)).select("seq", "detector_order", "summary")
 
 
