@@ -42,6 +42,27 @@ def test_query_gives_rows(spark, small, name):
     assert plans.QUERIES[name](spark, small).count() > 0
 
 
+def test_model_queries(spark, small):
+    """What models learn is beyond SQL: their queries are held to the table they read and to what must hold of any model."""
+    labels = {r.vec_id: r.label for r in spark.read.parquet(f"{small}/embeddings.parquet").where("label is not null").collect()}
+    forest = {r.id: r for r in plans.QUERIES["forest_predictions"](spark, small).collect()}
+    boosted = {r.id: r for r in plans.QUERIES["boosted_predictions"](spark, small).collect()}
+    for found, least in ((forest, 0.7), (boosted, 0.4)):
+        assert found.keys() == labels.keys() and all(found[i].label == labels[i] for i in labels)
+        assert {r.class_index for r in found.values()} <= set(labels.values()) and all(1 / 10 < r.confidence <= 1 for r in found.values())
+        learned = [found[i].class_index == labels[i] for i in labels if i % 5]
+        assert sum(learned) > least * len(learned)
+    assert all(r.is_threat == (r.class_index > 0) for r in forest.values())
+    odd = {r.id: r for r in plans.QUERIES["anomaly_scores"](spark, small).collect()}
+    assert odd.keys() == labels.keys() and all(r.is_anomaly == (r.decision < 0) for r in odd.values() if abs(r.decision) > 1e-6)
+    assert 0 < sum(r.is_anomaly for r in odd.values()) <= 0.06 * len(odd) + 1 and all(0 <= r.anomaly_confidence <= 1 for r in odd.values())
+    folds = plans.QUERIES["cross_validate"](spark, small).collect()
+    assert sorted(r.fold for r in folds) == [0, 1, 2] and all(0 <= r[c] <= 1 for r in folds for c in r.asDict() if c != "fold")
+    told = plans.QUERIES["combine_ml"](spark, small).collect()
+    assert {r.sample_id for r in told} <= labels.keys() and {r.detector_type for r in told} <= {"LIGHTWEIGHT_ML", "UNSUPERVISED_ANOMALY"}
+    assert all((r.threat_class == "UNKNOWN_ANOMALY") == (r.detector_type == "UNSUPERVISED_ANOMALY") for r in told)
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 15 and all(r.confidence >= 0.1 for r in rows)
