@@ -211,8 +211,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, k: int = 20, cells: int
     The index is dealt by documents: each task searches the impact lists of
     its own ones, so no list of a frequent word stands in one place, and
     nothing but each task's best is shuffled. Items go in blocks of about
-    ``block_bytes`` of text (by a hash of the row), whose terms are all that
-    is broadcast; each block reads the documents once, for a table of their
+    ``block_bytes`` (of text, and 256 for each item; by a hash of the row),
+    whose terms are all that is broadcast; each block reads the documents once, for a table of their
     counts, and that table twice.
 
     Null and empty texts have no terms: such documents do not count, such
@@ -223,7 +223,9 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, k: int = 20, cells: int
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
     asked = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("binary").alias("body"))
-    size = asked.agg(F.sum(F.length("body")).alias("s")).first()["s"] or 0
+    asked = asked.where(F.length("body") > 0)
+    # an item weighs its text and what a task holds for it
+    size = asked.agg(F.sum(F.length("body") + 256).alias("s")).first()["s"] or 0
     parts = -(-size // block_bytes)
     asked = stash(asked.withColumn("part", F.pmod(F.xxhash64("item_id", "body"), F.lit(max(parts, 1)))), "items", by="part") if parts > 1 else asked.withColumn("part", F.lit(0))
     totals, out = None, None

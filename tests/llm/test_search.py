@@ -235,7 +235,7 @@ def ranked_brute(rows, items, k=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("cells", "block_bytes"), [(16_000_000, 32 << 20), (3000, 400)])
+@pytest.mark.parametrize(("cells", "block_bytes"), [(16_000_000, 32 << 20), (3000, 1500)])
 def test_ranking_equals_brute_force(spark, cells, block_bytes):
     r = random.Random(9)
     rows = [*ODD, *((100 + i, prose(i, r.randrange(1, 200), 300)) for i in range(400)), *((600 + i, prose(3, 50, 300)) for i in range(30)), (None, prose(3, 50, 300)), (700, "Zürich w1 W1 " * 3), (701, "w5 " * 5000)]
