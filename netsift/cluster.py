@@ -11,11 +11,16 @@ from pyspark.sql import SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, unless PYTHONPATH has it already."""
+    """Send this package to the Python workers, unless PYTHONPATH has it already.
+
+    Data sources and keyed stream processors also run in Python processes
+    beside the driver, which read no sent files: they find the package by path.
+    """
     package = Path(__file__).resolve().parent
     sc = spark.sparkContext
     if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_netsift_shipped", False):
         return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [sc.environment.get("PYTHONPATH"), str(package.parent)]))
     built = Path(tempfile.mkdtemp(prefix="netsift-")) / f"{package.name}.zip"
     with zipfile.ZipFile(built, "w") as z:
         for source in package.rglob("*.py"):
