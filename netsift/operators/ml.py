@@ -117,7 +117,8 @@ def _assemble(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def train_forest(df: DataFrame, columns: list[str], label: str = "label", trees: int = 100, depth: int = 15, seed: int = 42):
     model = RandomForestClassifier(featuresCol="__features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    return model.fit(_assemble(df, columns))
+    # the copy leaves the training summary behind: that holds the session, which no task can carry once it has observed metrics
+    return model.fit(_assemble(df, columns)).copy()
 
 
 def predict_classes(model, df: DataFrame, columns: list[str]) -> DataFrame:

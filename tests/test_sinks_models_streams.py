@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from netsift.cluster import shared_dir
@@ -72,6 +73,8 @@ def test_names_and_labels(spark):
 def test_models_learn_and_report(spark, tmp_path):
     df = labelled(spark)
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    observed = Observation()
+    assert df.observe(observed, F.count(F.lit(1)).alias("n")).count() == observed.get["n"]  # models still predict in a session that observes
     model = M.train_forest(train, ["x0", "x1"], trees=5, depth=4)
     got = R.final_evaluation({"forest": model}, test, ["x0", "x1"], val=df.where("split = 'val'")).collect()
     assert {r.split for r in got} == {"test", "val"} and all(r.accuracy > 0.9 for r in got) and abs(got[0].accuracy_gap) < 0.1
