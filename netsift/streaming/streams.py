@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.flows import FIVE, FLAGS
 from .processors import EntityContext, FirstCrossing, Throttle, TrailingCounts, keyed
@@ -40,10 +41,13 @@ def stream_throttle(df: DataFrame, key: str, seconds: float = 1.0, ttl_seconds:
     return keyed(df.select(key, "seq", "ts"), [key], Throttle(key, seconds, ttl_seconds), f"{key} string, seq long, ts timestamp", watermark)
 
 
-def stream_first_crossing(packets: DataFrame, n: int = 20, ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
-    """One event per flow id at its n-th packet, once; flows idle past the TTL are forgotten."""
+def stream_first_crossing(packets: DataFrame, n: int = 20, ttl_seconds: float = 900.0, watermark: str = "30 seconds", buckets: int = 1024) -> DataFrame:
+    """One event per flow id at its n-th packet, once; flows idle past the TTL are forgotten. State is kept by so many buckets of flows."""
     columns = "src_ip string, src_port int, dst_ip string, dst_port int, protocol int, ts timestamp, packet_count long, byte_count long"
-    return keyed(packets.select(*FIVE, "seq", "ts", "packet_length"), list(FIVE), FirstCrossing(list(FIVE), n, ttl_seconds), columns, watermark)
+    crossing = FirstCrossing(list(FIVE), n, ttl_seconds)
+    flow = F.to_json(F.array(*(F.col(c).cast("string") for c in FIVE)))
+    rows = packets.select(*FIVE, "seq", "ts", "packet_length", flow.alias("flow"), F.pmod(F.xxhash64(*FIVE), F.lit(buckets)).alias("bucket"))
+    return rows.withWatermark("ts", watermark).groupBy("bucket").applyInPandasWithState(crossing, columns, crossing.STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_trailing(packets: DataFrame, seconds: float = 5.0, key: str = "src_ip", ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:

@@ -281,6 +281,42 @@ def test_idle_keys_are_forgotten_by_timers(spark, tmp_path):
     assert [(r.packet_count, r.byte_count) for r in crossed] == [(3, 300)]
 
 
+def test_many_flows_cross_in_few_calls(spark, tmp_path):
+    # three flows in one bucket: one crosses over two batches, one within a batch, one is forgotten before its third packet
+    def flow(stream):
+        n = F.col("seq")
+        return stream.withColumn("src_ip", F.when(n.isin(0, 2, 7), "a").when(n.isin(1, 3, 4), "b").otherwise("c"))
+
+    stream = flow(arriving(spark, tmp_path, [[(0, 10), (1, 20), (2, 30), (3, 40), (2, 50)], [(4, 60), (5, 70)], [(6, 80), (900, 1)], [(901, 1)], [(902, 1), (903, 1)]]))
+    crossed = drained(S.stream_first_crossing(stream, 3, ttl_seconds=60, watermark="1 second", buckets=1)).collect()
+    rows = {r.seq: r for r in flow(spark.read.schema(stream.drop("src_ip").schema).parquet(f"{tmp_path}/arriving")).collect()}
+    want = set()
+    for ip, seqs in (("a", [0, 2, 7]), ("b", [1, 4, 3])):
+        want.add((ip, sum(rows[q].packet_length for q in seqs)))
+    assert {(r.src_ip, r.byte_count) for r in crossed} >= want and all(r.packet_count == 3 for r in crossed)
+
+    class State:
+        exists, hasTimedOut = False, False
+        get, calls = None, 0
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, x):
+            self.get, self.exists, self.calls = x, True, self.calls + 1
+
+        def setTimeoutTimestamp(self, ms):
+            self.timer = ms
+
+    from netsift.streaming.processors import FirstCrossing
+
+    # the work of 5,000 flows is one call on one state
+    state, p = State(), FirstCrossing(["k"], 2, 60.0)
+    frame = pd.DataFrame({"k": np.arange(10_000) % 5000, "flow": [str(i % 5000) for i in range(10_000)], "seq": np.arange(10_000), "ts": pd.to_datetime(np.arange(10_000) * 10**9), "packet_length": 1})
+    found = pd.concat(list(p((0,), iter([frame[:6000], frame[6000:]]), state)))
+    assert sorted(found["k"]) == list(range(5000)) and set(found["byte_count"]) == {2} and state.calls == 1 and state.timer == 5000 * 1000 + 60_000
+
+
 def test_context_state_keeps_the_frame_only(spark, tmp_path):
     from netsift.streaming.processors import EntityContext
 
