@@ -117,6 +117,29 @@ def test_distinct_in_frame_equals_brute_force(spark, rows):
     assert got == {n: (len(frame(k, t, 1)), len(frame(k, t, 2))) for n, (k, t, v) in enumerate(rows)}
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 40), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=40))
+def test_aggregates_in_frame_equal_brute_force(spark, rows):
+    df = spark.createDataFrame([(k, t, v) for k, t, v in rows], "k int, t long, v long")
+    parts = {"n": (F.sum, F.lit(1)), "total": (F.sum, F.col("v")), "most": (F.max, F.col("v")), "first": (F.min, F.col("t"))}
+    got = {(r.k, r.t): (r.n, r.total, r.most, r["first"]) for r in W.aggregated_in_frame(df, ["k"], parts, "t", 7).collect()}
+    want = {}
+    for k, t, _ in rows:
+        own = [(t2, v) for k2, t2, v in rows if k2 == k and t - 7 <= t2 <= t]
+        values = [v for _, v in own if v is not None]
+        want[k, t] = (len(own), sum(values) if values else None, max(values, default=None), min(t2 for t2, _ in own))
+    assert got == want
+
+
+def test_rolling_features_add_up_no_frame_anew(spark):
+    # a window that slides row by row adds up the whole frame for each row: many flows of one entity in one frame would not end
+    flows = spark.range(40_000).selectExpr("'a' AS entity", "id % 2 = 0 AS outbound", "concat('d', id % 7) AS dst_ip", "cast(id % 5 as int) AS dst_port", "id AS byte_count", "0L AS rst_count", "timestamp_seconds(id) AS start_ts", "6 AS protocol", "0L AS syn_count", "1L AS ack_count")
+    rolled = W.rolling_entity_features(flows, 30_000)
+    assert "-30000000000" not in rolled._jdf.queryExecution().optimizedPlan().toString()
+    last = rolled.orderBy(F.desc("start_ts")).first()
+    assert (last.flows_out, last.flows_in, last.max_bytes, last.distinct_dst_ips, last.distinct_dst_ports, last.inter_arrival_mean_ms, last.inter_arrival_std_ms) == (15_000, 15_001, 39_998, 7, 5, 1000.0, 0.0)
+
+
 def test_sketches_count_within_their_error(spark):
     # 30,000 addresses in 60 buckets, each row a sketch and no list of addresses
     df = spark.range(60_000).selectExpr("'a' AS src_ip", "concat('d', id % 30000) AS dst_ip", "timestamp_seconds(id div 1000) AS ts", "1L AS packet_length")
