@@ -310,8 +310,10 @@ def encode_frames(packets: DataFrame) -> DataFrame:
     """``ts, frame`` of IPv4 packets: Ethernet, IP and TCP or UDP headers, padded with zeros to the packet's length.
 
     The reverse of ``decode_frames``; checksums and sequence numbers are 0.
+    An address that is not of four bytes is an error.
     """
-    ip = lambda c: F.array_join(F.transform(F.split(F.col(c), r"\."), lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
+    byte = lambda c: lambda x: F.when(x.cast("long").between(0, 255), _hex(x, 2)).otherwise(F.raise_error(F.concat(F.lit("not an IPv4 address: "), F.col(c))).cast("string"))
+    ip = lambda c: F.array_join(F.transform(F.split(F.col(c), r"\."), byte(c)), "")
     bits = {"tcp_fin": 1, "tcp_syn": 2, "tcp_rst": 4, "tcp_psh": 8, "tcp_ack": 16, "tcp_urg": 32}
     flags = sum((F.col(c) * b for c, b in bits.items()), F.lit(0))
     size, tcp, udp = F.col("packet_length"), F.col("protocol") == 6, F.col("protocol") == 17

@@ -42,6 +42,32 @@ def test_query_gives_rows(spark, small, name):
     assert plans.QUERIES[name](spark, small).count() > 0
 
 
+@pytest.fixture(scope="module")
+def beyond(spark, small, tmp_path_factory):
+    """The small tables with events of more than 65,536 users, and values whose texts end in a half."""
+    folder = tmp_path_factory.mktemp("beyond")
+    for t in TABLES:
+        if t != "events":
+            (folder / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    sql = f"SELECT event_id, ts, user_id % 20 + (event_id % 3) * 65530 AS user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 108 + 56 * (event_id % 3) ELSE value END AS value, props FROM '{small}/events.parquet'"
+    duckdb.connect().execute(f"COPY ({sql}) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["capture_ranges", "stream_captures", "incidents", "incident_evidence", "incident_alerts"])
+def test_query_equals_sql_beyond_the_small_tables(spark, beyond, name):
+    compare(spark, beyond, name, plans.ORACLE_SQL[name], plans.QUERIES[name])
+
+
+def test_frames_hold_addresses_of_four_bytes_only(spark, small):
+    from netsift.sources.capture_source import encode_frames
+
+    p = plans.V.packets(spark, small).limit(1)
+    assert encode_frames(p).count() == 1
+    with pytest.raises(Exception, match="not an IPv4 address: 10.0.351.3"):
+        encode_frames(p.withColumn("src_ip", plans.F.lit("10.0.351.3"))).collect()
+
+
 def test_model_queries(spark, small):
     """What models learn is beyond SQL: their queries are held to the table they read and to what must hold of any model."""
     labels = {r.vec_id: r.label for r in spark.read.parquet(f"{small}/embeddings.parquet").where("label is not null").collect()}
