@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +15,43 @@ def align_ground_truth(decisions: DataFrame, events: DataFrame, tolerance_second
 
     A decision's ends are ``entity`` and, where it has the column, ``peer``.
     Where both tables have ``capture_id``, events count within their capture
-    only. Intervals are laid over time bins, so the join is by (entity, bin)
-    and not a nested loop.
+    only. Intervals are laid over time bins, and each (entity, bin) is swept
+    once in order of time with the events begun so far in a heap, so that an
+    entity with many events at once makes no pairs of decision and event.
     """
     tol, width = int(tolerance_seconds * 1e6), int(bin_seconds * 1e6)
     within = ["capture_id"] if "capture_id" in decisions.columns and "capture_id" in events.columns else []
+    group = F.to_json(F.array(*(F.col(c).cast("string") for c in (*within, "__end", "bin")))).alias("key")
     lo, hi = F.unix_micros("start_ts") - tol, F.unix_micros("end_ts") + tol
-    binned = events.select(*within, F.col("entity").alias("__end"), F.col("threat_class").alias("truth"), "event_order", lo.alias("lo"), hi.alias("hi")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    begun = events.select(*within, F.col("entity").alias("__end"), F.col("threat_class").alias("truth"), F.col("event_order").cast("long").alias("order"), lo.alias("at"), hi.alias("hi")).where("at <= hi").withColumn("bin", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor(F.col("hi") / width))))
     ends = F.array_distinct(F.array("entity", *(["peer"] if "peer" in decisions.columns else [])))
     us = F.unix_micros("ts")
-    asked = decisions.select("decision_id", *within, us.alias("__us"), F.floor(us / width).alias("bin"), F.explode(ends).alias("__end"))
-    hits = asked.join(binned, [*within, "__end", "bin"]).where("__us between lo and hi").groupBy("decision_id").agg(F.min_by("truth", "event_order").alias("truth"))
+    asked = decisions.select("decision_id", *within, us.alias("at"), F.floor(us / width).alias("bin"), F.explode(ends).alias("__end")).where("at is not null")
+    known = " and ".join(f"{c} is not null" for c in (*within, "__end"))
+    steps = asked.where(known).select("decision_id", group, "at").unionByName(begun.where(known).select(group, "at", "hi", "order", "truth"), allowMissingColumns=True).select("decision_id", "key", "at", "hi", "order", "truth")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, open_, no = None, [], 0
+        for batch in batches:
+            rows, orders, truths = [], [], []
+            for i, (key, at, hi, order, truth) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)))):
+                if key != here:
+                    here, open_ = key, []
+                if hi is not None:
+                    no += 1
+                    heapq.heappush(open_, (order, no, hi, truth))
+                    continue
+                # time only goes on: an event that has ended holds no later decision
+                while open_ and open_[0][2] < at:
+                    heapq.heappop(open_)
+                if open_:
+                    rows.append(i)
+                    orders.append(open_[0][0])
+                    truths.append(open_[0][3])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(orders, pa.int64()), pa.array(truths, pa.string())], names=["decision_id", "order", "truth"])
+
+    swept = steps.repartition("key").sortWithinPartitions("key", "at", F.desc_nulls_last("hi"))
+    hits = swept.mapInArrow(sweep, steps.select("decision_id", "order", "truth").schema).groupBy("decision_id").agg(F.min_by("truth", "order").alias("truth"))
     return decisions.join(hits, "decision_id", "left").withColumn("truth", F.coalesce("truth", F.lit("BENIGN")))
 
 

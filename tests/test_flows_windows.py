@@ -147,3 +147,14 @@ def test_sketches_count_within_their_error(spark):
     want = [min(30_000, 1000 * (k + 1)) for k in range(60)]
     assert [r.bucket for r in got] == list(range(60)) and all(abs(r.estimate - w) <= 0.05 * w for r, w in zip(got, want)) and [r.capped for r in got][2:] == [True] * 58
     assert "collect" not in str(W.baseline_sketches(df)._jdf.queryExecution().executedPlan())
+
+
+def test_ground_truth_makes_no_pairs(spark):
+    from netsift.operators.evaluate import align_ground_truth
+
+    # 3,000 decisions within 3,000 events of their peer: nine million pairs, were they made
+    events = spark.range(3000).selectExpr("'p' AS entity", "concat('c', id) AS threat_class", "timestamp_seconds(86400 + 10 * (3000 - id)) AS start_ts", "timestamp_seconds(200000) AS end_ts", "id AS event_order")
+    asked = spark.range(3000).selectExpr("id AS decision_id", "timestamp_seconds(86400 + 10 * id) AS ts", "concat('e', id % 7) AS entity", "'p' AS peer")
+    found = align_ground_truth(asked, events)
+    assert "Join" not in found._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1]
+    assert {r.decision_id: r.truth for r in found.collect()} == {i: f"c{3000 - i}" if i else "BENIGN" for i in range(3000)}
