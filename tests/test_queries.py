@@ -1,4 +1,6 @@
+import json
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -68,6 +70,16 @@ def test_frames_hold_addresses_of_four_bytes_only(spark, small):
         encode_frames(p.withColumn("src_ip", plans.F.lit("10.0.351.3"))).collect()
 
 
+def test_manifest_is_a_document_for_each_capture(spark, small):
+    from netsift.cluster import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.glob("manifest-*"))
+    assert plans.QUERIES["manifest_events"](spark, small).count() > 0
+    (folder,) = set(root.glob("manifest-*")) - before
+    assert sorted(len(json.loads(f.read_text())["captures"]) for f in folder.rglob("*.json")) == [1] * 7
+
+
 def test_model_queries(spark, small):
     """What models learn is beyond SQL: their queries are held to the table they read and to what must hold of any model."""
     labels = {r.vec_id: r.label for r in spark.read.parquet(f"{small}/embeddings.parquet").where("label is not null").collect()}
