@@ -484,6 +484,17 @@ def test_passages_behind_other_heads(spark):
     assert got == {(61, 60, 40, 50, 30), (101, 100, 0, 60, 30)}
 
 
+def test_passages_behind_a_common_middle(spark):
+    # 44 words in the middle of each passage stand in all 240 documents, and make keys of strangers; only pairs share all 60
+    middle, rows = prose(50, 44), []
+    for k in range(120):
+        p = f"{prose(60_000 + k, 8)} {middle} {prose(61_000 + k, 8)}"
+        rows += [(k, f"{prose(62_000 + k, 30)} {p} {prose(63_000 + k, 30)}"), (1000 + k, f"{prose(64_000 + k, 30)} {p} {prose(65_000 + k, 30)}")]
+    want = {(1000 + k, k) for k in range(120)}
+    got = {(x.doc_id, x.of_doc_id) for x in passages.near_passages(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def passage_pairs_brute(rows, words, size, share):
     """Pairs of ids with two runs of ``words`` words whose sets of runs of ``size`` words are alike."""
     grams = {i: [tuple(t.lower().split()[k : k + size]) for k in range(len(t.split()) - size + 1)] for i, t in rows}
