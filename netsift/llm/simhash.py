@@ -269,14 +269,13 @@ def _short(body: bytes) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
 
 
-def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int, short: int = 128) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each text: its fingerprint over runs of ``size`` words, those of some segments, its least run hashes, and all of a short one's.
+def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each text: its fingerprint over runs of ``size`` words, those of some segments, and its least run hashes.
 
     A segment is a run of words up to one whose hash says so (sixteen words
     on average), so an edit changes only the segments that it touches; the
     ``segments`` of least fingerprint are taken, the same ones in texts alike.
-    A text of fewer than ``short`` words has few segments, and one edit may
-    change them all: all its run hashes come beside them.
+    They are a first look only; what they miss is found by ``_rarest``.
     """
     n = len(bodies)
     word, owner = word_hashes(bodies)
@@ -306,8 +305,7 @@ def text_sketches(bodies: list[bytes], size: int, segments: int, sketch: int, sh
     for i in np.flatnonzero(counts == 0).tolist():
         least[i] = _short(bodies[i])
         fps[i] = fingerprint(least[i])
-    runs = [x if n < short else x[:0] for x, n in zip(least, words.tolist())]
-    return fps, parts, least, runs
+    return fps, parts, least
 
 
 def _text_chunks(batch: pa.RecordBatch, column: int, limit: int = 200_000):
@@ -327,33 +325,54 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sketches(docs: DataFrame, size: int, segments: int, sketch: int) -> DataFrame:
-    """``key, fp, parts, runs, least`` of every text."""
+    """``key, fp, parts, least`` of every text."""
 
     def run(batches):
         for batch in batches:
             for rows, bodies in _text_chunks(batch, 1):
-                fps, parts, least, runs = text_sketches(bodies, size, segments, sketch)
-                columns = [rows.column(0), pa.array(fps.view(np.int64)), _lists(parts), _lists(runs), pa.array([x.astype("<u8").tobytes() for x in least], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "parts", "runs", "least"])
+                fps, parts, least = text_sketches(bodies, size, segments, sketch)
+                columns = [rows.column(0), pa.array(fps.view(np.int64)), _lists(parts), pa.array([x.astype("<u8").tobytes() for x in least], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "parts", "least"])
 
-    return docs.select("key", "text").mapInArrow(run, "key binary, fp long, parts array<long>, runs array<long>, least binary")
+    return docs.select("key", "text").mapInArrow(run, "key binary, fp long, parts array<long>, least binary")
 
 
-def _rarest(found: DataFrame, similarity: float) -> DataFrame:
-    """``key, fp, unit``: of each short text's runs, in order from the rarest, as many as two texts alike must share one of.
+def _rarest(texts: DataFrame, size: int, similarity: float, often: int = 32, bits: int = 1 << 23) -> DataFrame:
+    """``key, n, unit``: of each text's runs, as many, in one order for all texts, as two texts alike must share one of.
 
-    Of n runs, at least a share of ``similarity`` stands in any text alike, so
-    the first n - similarity * n + 1 hold a shared one, and the same order
-    for all texts puts the same one into both. Runs that many texts hold come
-    last, so they are keys of those only that hold little else. Runs of one
-    text are counted, but make no key.
+    Of n different runs, at least a share of ``similarity`` stands in any text
+    alike, so the first n - similarity * n + 1 of any common order hold a
+    shared one. The order is by hash; runs that more than ``often`` texts
+    would be keys of come last, as told by a bit table of fixed size, so they
+    are keys of those only that hold little else.
     """
-    runs = found.where(F.size("runs") > 0).select("key", "fp", F.size("runs").alias("n"), F.explode("runs").alias("unit"))
-    often = runs.groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1)
-    own = Window.partitionBy("key")
-    place = F.row_number().over(own.orderBy("texts", "unit")) + F.col("n") - F.count(F.lit(1)).over(own)
-    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    return runs.join(often, "unit").withColumns({"place": place, "first": first}).where("place <= first").select("key", "fp", "unit")
+
+    def firsts(last: np.ndarray | None):
+        def run(batches):
+            for batch in batches:
+                for rows, bodies in _text_chunks(batch, 1):
+                    token, starts, counts = token_hashes(bodies, size)
+                    units, sizes = [], []
+                    for a, c, body in zip(starts.tolist(), counts.tolist(), bodies):
+                        own = np.unique(token[a : a + c]) if c else _short(body)
+                        sizes.append(len(own))
+                        if last is not None and len(own):
+                            slot = (own & np.uint64(bits - 1)).astype(np.int64)
+                            own = own[np.argsort(last[slot >> 3] >> (slot & 7) & 1, kind="stable")]
+                        units.append(own[: len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), _lists(units)], names=["key", "n", "units"])
+
+        found = texts.select("key", "text").mapInArrow(run, "key binary, n long, units array<long>")
+        return found.select("key", "n", F.explode("units").alias("unit"))
+
+    slot = F.col("unit").bitwiseAND(bits - 1)
+    many = firsts(None).groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > often)
+    # at most a row for each byte of the table, whatever the number of texts
+    marks = many.groupBy(F.shiftright(slot, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(unit & 7 as int))")).alias("byte")).collect()
+    last = np.zeros(bits >> 3, np.uint8)
+    for at, byte in marks:
+        last[at] = byte
+    return firsts(last).distinct()
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
@@ -372,10 +391,10 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     their SimHash fingerprints over runs of ``size`` words link within
     ``limit`` bits in the Gray-order index, or if they share the fingerprint
     of a segment: three bits alone find few of the pairs near 0.8. Of these,
-    texts whose fingerprints differ in more than ``apart`` bits are let go (at
-    a similarity of 0.8 they differ in about 10, give or take 3). Texts of
-    fewer than 128 words, which have few segments, are candidates also if they
-    share one of the rarest of their shingles, so many that any two at
+    texts whose fingerprints differ in more than ``apart`` bits wait for the
+    exact rest (at a similarity of 0.8 they differ in about 10, give or take
+    3). At last all texts are candidates that share one of the rarest of their
+    shingles, so many that any two at
     ``similarity`` share one. Candidates link if the Jaccard similarity of
     their shingle sets is ``similarity`` or more. The ``sketch`` least hashes
     decide texts of fewer shingles (exactly) and estimates more than
@@ -383,13 +402,16 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     verified by their whole sets. Groups are the connected components of the
     links.
 
-    The texts of one segment, linked fingerprint or rare shingle are set
+    The texts of one segment or linked fingerprint are set
     against the least of them. Those that do not link to it are dealt again
     against the next, ``turns`` times; then all that are left are set against
     each other where they are ``few`` at most, else those of a segment or
-    fingerprint that share another one as well against the least of these. So
-    no text depends on one partner, and no step makes all pairs of a large
-    group.
+    fingerprint that share another one as well against the least of these.
+    That joins most; the exact rest makes up for what it leaves. Texts that
+    share a rare shingle, and that no links join yet, are all set against each
+    other unless their sizes forbid it: first against ``few`` of each shingle,
+    then against four times as many each turn, so what these join is not
+    compared again. A shingle of n strangers takes n * n / 2 comparisons.
 
     Null texts count as empty, and all empty texts are equal. A null id comes
     before all others. Of repeated rows one stays. All columns stay as they
@@ -405,8 +427,6 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     reach = components(linked(found, limit=limit)).select(F.col("node").alias("fp"), F.col("component").alias("unit"))
     whole = found.select("key", "fp").join(reach, "fp", "left").select("key", "fp", F.coalesce("unit", "fp").alias("unit"), F.lit(0).alias("kind"))
     parts = found.select("key", "fp", F.explode("parts").alias("unit"), F.lit(1).alias("kind"))
-    # texts of few segments meet by the rarest of their runs as well
-    rare = _rarest(found, similarity).withColumn("kind", F.lit(2))
     units = whole.unionByName(parts)
 
     def judged(batches):
@@ -449,8 +469,8 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
         told = df.groupBy("kind", "unit").agg(F.min(F.struct("key", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
         return stash(df.join(told.select("kind", "unit", F.col("h.key").alias("of"), F.col("h.fp").alias("of_fp"), "n"), ["kind", "unit"]), "units")
 
-    near = (F.col("kind") == 2) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= apart)
-    rest, links = with_least(units.unionByName(rare)), None
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= apart
+    rest, links = with_least(units), None
     for turn in range(turns + 1):
         more = verified(rest.where("key <> of").where(near).select("key", "of"))
         links = more if links is None else links.unionByName(more)
@@ -462,11 +482,30 @@ def dedup(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, limit: int
     others = small.select("kind", "unit", F.col("key").alias("of"), F.col("fp").alias("of_fp"))
     pairs = small.select("kind", "unit", "key", "fp").join(others, ["kind", "unit"]).where("key > of").where(near).select("key", "of")
     # of the units that are still large, two of one text make a finer one
-    large = rest.where((F.col("n") > few) & (F.col("kind") != 2)).select(F.xxhash64("kind", "unit").alias("unit"), "key", "fp")
+    large = rest.where(F.col("n") > few).select(F.xxhash64("kind", "unit").alias("unit"), "key", "fp")
     finer = large.join(units.select("key", F.xxhash64("kind", "unit").alias("second")), "key").where("unit <> second")
     finer = finer.select("key", "fp", F.xxhash64(F.least("unit", "second"), F.greatest("unit", "second")).alias("unit"), F.lit(3).alias("kind")).distinct()
     pairs = pairs.unionByName(with_least(finer).where("key <> of").where(near).select("key", "of"))
     links = links.unionByName(verified(pairs))
+
+    # the rest is exact: of texts that share one of their rarest runs, all that no links join yet are set against each other, some heads at a time
+    by_key = Window.partitionBy("unit").orderBy("key")
+    rest, asked, done = _rarest(keyed, size, similarity).withColumns({"no": F.row_number().over(by_key), "texts": F.count(F.lit(1)).over(Window.partitionBy("unit"))}), None, 0
+    rest = stash(rest.where("texts > 1").drop("texts"), "rarest")
+    while True:
+        of_text = components(links).select(F.col("node").alias("key"), "component")
+        rest = rest.join(of_text, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        told = rest.groupBy("unit").agg(F.max("no").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").where(F.col("most") > done + 1).select("unit")
+        rest = stash(rest.join(told, "unit", "left_semi").where(F.col("no") > done), "waiting")
+        if not rest.take(1):
+            break
+        heads = rest.where(F.col("no") <= done + few).select("unit", F.col("key").alias("of"), F.col("n").alias("of_n"), F.col("component").alias("of_component"))
+        sizes = F.least("n", "of_n") >= similarity * F.greatest("n", "of_n") - 1e-6
+        pairs = rest.join(heads, "unit").where("key > of and component <> of_component").where(sizes).select("key", "of").distinct()
+        pairs = stash(pairs.join(asked, ["key", "of"], "left_anti") if asked else pairs, "pairs")
+        asked = asked.unionByName(pairs) if asked else pairs
+        links = stash(links.unionByName(verified(pairs)), "all-links")
+        rest, done, few = rest.drop("component"), done + few, 4 * few
     group = components(links).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
     ids = keyed.groupBy("key").agg(F.min("id").alias("id")).join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))

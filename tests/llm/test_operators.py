@@ -398,6 +398,21 @@ def test_dedup_behind_shared_passages(spark):
     assert {x.doc_id for x in simhash.dedup(docs(spark, rows), few=4).collect()} == want
 
 
+def test_dedup_of_texts_without_shared_segments(spark):
+    # no word ends a segment, so each text is one segment, which the edits change, as they do more than three bits of the whole
+    words = [f"w{i}" for i in range(3000)]
+    hashes, _ = simhash.word_hashes([" ".join(words).encode()])
+    words = [w for w, end in zip(words, simhash.mix(hashes, simhash.ODD[7]) & np.uint64(15)) if end]
+    r, rows = random.Random(43), []
+    for k in range(30):
+        mine = r.sample(words, 306)
+        other = mine[:300]
+        for n, i in enumerate(range(20, 300, 50)):
+            other[i] = mine[300 + n]
+        rows += [(2 * k, " ".join(mine[:300])), (2 * k + 1, " ".join(other))]
+    assert {x.doc_id for x in simhash.dedup(docs(spark, rows)).collect()} == {2 * k for k in range(30)}
+
+
 def test_dedup_of_long_texts_is_exact(spark):
     # pairs of long texts with similarities close to 0.8 on either side, each pair on words of its own
     rows, want = [], set()
