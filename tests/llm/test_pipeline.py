@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -71,3 +72,35 @@ def test_near_duplicates_of_short_texts(spark, words, edits):
     assert {i for i in range(0, 600, 2)} <= kept and len(alike) >= 150
     missed = [i for i in alike if i + 1 in kept]
     assert len(missed) <= 0.02 * len(alike) and all(i + 1 in kept for i in range(0, 600, 2) if i not in alike)
+
+
+def test_strangers_that_share_a_passage_are_not_read(spark, monkeypatch):
+    """Texts of one passage in common, and else different, are told apart by the bounds; those alike stay found, against brute force."""
+    r, rows = random.Random(5), []
+    for g in range(40):
+        passage = [f"p{g}_{k}" for k in range(9)]
+        for _ in range(12):
+            own = [f"w{r.randrange(10**6)}" for _ in range(22)]
+            rows.append((len(rows), " ".join([*own[:11], *passage, *own[11:]])))
+        rows.append((len(rows), f"{rows[-1][1]} z"))
+    grams = {i: frozenset(shingles(t, 5)) for i, t in rows}
+    want = {i for i, _ in rows if not (i % 13 == 12 and len(grams[i] & grams[i - 1]) >= 0.8 * len(grams[i] | grams[i - 1]))}
+    compared = []
+
+    def counted(df, name, by=None):
+        out = stash(df, name, by)
+        if name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", counted)
+    assert {x.doc_id for x in simhash.dedup(docs(spark, rows), segments=0).collect()} == want and len(want) == 480
+    assert sum(compared) <= 80
+
+
+def test_parities_differ_in_no_more_bits_than_sets():
+    r = np.random.default_rng(3)
+    for n, shared in ((1, 0), (40, 30), (700, 500), (4000, 0)):
+        x = r.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
+        a, b = simhash.parities(x[:n]), simhash.parities(x[n - shared :])
+        assert len(a) == simhash.PARITIES // 64 and np.bitwise_count(a ^ b).sum() <= 2 * (n - shared)
