@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash, tidy
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -19,6 +19,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rows = edges.count()
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
@@ -28,8 +29,10 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        edges = stash(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges, asked = stash(small, "edges", rows=rows), edges
+        release(asked)
+        with tidy(edges.sparkSession):
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

@@ -1,13 +1,16 @@
 """The pipeline's stages, each on its own input, and the queries against SQL."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from netsift.cluster import shared_dir
 from netsift.llm import queries, simhash
 from netsift.llm.common import stash, table
+from netsift.llm.graph import components
 from netsift.llm.simhash import shingles
 from tests.llm.test_operators import docs
 from tests.test_queries import compare
@@ -104,3 +107,20 @@ def test_parities_differ_in_no_more_bits_than_sets():
         x = r.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
         a, b = simhash.parities(x[:n]), simhash.parities(x[n - shared :])
         assert len(a) == simhash.PARITIES // 64 and np.bitwise_count(a ^ b).sum() <= 2 * (n - shared)
+
+
+def test_rounds_leave_one_table_of_few_files(spark):
+    """A small graph is not written as a file for each partition, and each round's table goes when the next one is written."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("edges-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(spark.range(200).selectExpr("id AS a", "id + 1 AS b"))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    left = set(folder.glob("edges-*")) - before
+    assert len(left) == 1 and len(list(left.pop().glob("*.parquet"))) == 1
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(201)}
