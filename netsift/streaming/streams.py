@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.flows import FIVE, FLAGS
-from .processors import EntityContext, FirstCrossing, Throttle, TrailingCounts, keyed
+from .processors import Bucketed, EntityContext, EntityContexts, FirstCrossing, Throttle, TrailingCounts, keyed
 
 
 def stream_flows(packets: DataFrame, gap: str = "30 seconds", watermark: str = "30 seconds") -> DataFrame:
@@ -50,22 +50,37 @@ def stream_first_crossing(packets: DataFrame, n: int = 20, ttl_seconds: float =
     return rows.withWatermark("ts", watermark).groupBy("bucket").applyInPandasWithState(crossing, columns, crossing.STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_trailing(packets: DataFrame, seconds: float = 5.0, key: str = "src_ip", ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
+def _bucketed(rows: DataFrame, trailing: Bucketed, key: str, columns: str, watermark: str, buckets: int) -> DataFrame:
+    """Rows of ``host`` through a trailing frame, whose state is kept by so many buckets of hosts."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(buckets))).withWatermark("ts", watermark)
+    told = rows.groupBy("bucket").applyInPandasWithState(trailing, f"host string, seq long, {columns}", trailing.STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return told.withColumnRenamed("host", key)
+
+
+def stream_trailing(packets: DataFrame, seconds: float = 5.0, key: str = "src_ip", ttl_seconds: float = 900.0, watermark: str = "30 seconds", buckets: int = 1024) -> DataFrame:
     """Packets, bytes, SYN, ACK and rate of the exact trailing window after each packet.
 
     The window ends at the largest time that the key has seen in order of
     arrival (``seq``). Late packets within the watermark count while they lie
-    inside; older ones are dropped.
+    inside; older ones are dropped. State is kept by so many buckets of keys.
     """
-    columns = f"{key} string, seq long, end_ts timestamp, packets long, bytes long, syn long, ack long, rate double"
-    return keyed(packets.select(key, "seq", "ts", "packet_length", "tcp_syn", "tcp_ack"), [key], TrailingCounts([key], seconds, ttl_seconds), columns, watermark)
+    rows = packets.select(F.col(key).alias("host"), "seq", "ts", "packet_length", "tcp_syn", "tcp_ack")
+    return _bucketed(rows, TrailingCounts(seconds, ttl_seconds), key, "end_ts timestamp, packets long, bytes long, syn long, ack long, rate double", watermark, buckets)
 
 
-def stream_entity_context(entity_flows: DataFrame, retention_seconds: float = 300.0, ttl_seconds: float = 900.0, watermark: str = "30 seconds") -> DataFrame:
-    """Trailing counts per entity after each of its flows; state holds the buckets of the retention time only."""
-    columns = "entity string, seq long, flows_out long, bytes_out long, bytes_in long, distinct_dst_ips long"
+def stream_entity_context(entity_flows: DataFrame, retention_seconds: float = 300.0, ttl_seconds: float = 900.0, watermark: str = "30 seconds", buckets: int = 1024) -> DataFrame:
+    """Trailing counts per entity after each of its flows; state holds the rows of the retention time only.
+
+    State is kept by so many buckets of entities, each written whole when a
+    batch touches it. With no buckets each entity has its own, of which a
+    batch writes only the times that its rows fall into: for few entities
+    with many rows in a frame.
+    """
+    columns = "flows_out long, bytes_out long, bytes_in long, distinct_dst_ips long"
     rows = entity_flows.select("entity", "seq", "ts", "byte_count", "outbound", "dst_ip")
-    return keyed(rows, ["entity"], EntityContext(retention_seconds, ttl_seconds), columns, watermark)
+    if not buckets:
+        return keyed(rows, ["entity"], EntityContext(retention_seconds, ttl_seconds), f"entity string, seq long, {columns}", watermark)
+    return _bucketed(rows.withColumnRenamed("entity", "host"), EntityContexts(retention_seconds, ttl_seconds), "entity", columns, watermark, buckets)
 
 
 def push(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger):

@@ -271,6 +271,21 @@ def test_trailing_counts_equal_the_batch_window(spark, tmp_path):
     assert got == {x.seq: (x.burst_packets, x.burst_bytes) for x in W.burst_window(table, 7).collect()}
 
 
+def test_hosts_of_one_bucket_are_told_apart(spark, tmp_path):
+    r = np.random.default_rng(4)
+    times = np.cumsum(r.exponential(2.0, 160)).round(3).tolist()
+    host = F.concat(F.lit("h"), (F.col("seq") % 3).cast("string"))
+    batches = [[(t, int(n)) for t, n in zip(times[k : k + 40], r.integers(40, 1500, 40))] for k in range(0, 160, 40)]
+    stream = arriving(spark, tmp_path, batches)
+    table = spark.read.schema(stream.schema).parquet(f"{tmp_path}/arriving").withColumn("src_ip", host)
+    got = {(x.src_ip, x.seq): (x.packets, x.bytes) for x in drained(S.stream_trailing(stream.withColumn("src_ip", host), 7, buckets=1)).collect()}
+    assert got == {(x.src_ip, x.seq): (x.burst_packets, x.burst_bytes) for x in W.burst_window(table, 7).collect()}
+    e = stream.select(host.alias("entity"), "seq", "ts", F.col("packet_length").alias("byte_count"), (F.col("seq") % 4 > 0).alias("outbound"), F.concat(F.lit("d"), (F.col("packet_length") % 5).cast("string")).alias("dst_ip"))
+    # one call for all entities, and a state for each of them
+    one, each = (sorted(map(tuple, drained(S.stream_entity_context(e, 20, 3600, buckets=n)).collect())) for n in (1, 0))
+    assert len(one) == 160 and one == each
+
+
 def test_idle_keys_are_forgotten_by_timers(spark, tmp_path):
     # the watermark passes 0 + 60 s in the third batch, so its timer lets the key start anew in the fourth
     stream = arriving(spark, tmp_path, [[0, 1], [10, 200], [201], [202, 203]], src_ip="a").withColumn("src_ip", F.when(F.unix_micros("ts") < int(T0.timestamp() * 1e6) + 100_000_000, "a").when(F.col("seq") >= 5, "a").otherwise("b"))
