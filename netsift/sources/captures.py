@@ -66,10 +66,14 @@ def _number(data: str, at, size: int) -> Column:
     return F.conv(F.hex(F.substring(F.col(data), F.lit(1) + at, F.lit(size))), 16, 10).cast("long")
 
 
-def _ipv6_text(hexed: Column) -> Column:
-    """RFC 5952 text: groups without leading zeros, the first longest run of zeros cut."""
+def _ipv6_groups(hexed: Column) -> Column:
+    """The eight groups without leading zeros."""
     groups = [F.coalesce(F.nullif(F.regexp_replace(F.lower(F.substring(hexed, 1 + 4 * k, 4)), "^0+", ""), F.lit("")), F.lit("0")) for k in range(8)]
-    plain = F.concat_ws(":", *groups)
+    return F.concat_ws(":", *groups)
+
+
+def _ipv6_text(plain: Column) -> Column:
+    """RFC 5952 text of the groups: the first longest run of zeros cut."""
     out = F
     for n in range(8, 1, -1):
         pattern = rf"^(|.*?:)0(?::0){{{n - 1}}}(?![0-9a-f])(.*)$"
@@ -85,31 +89,39 @@ def decode_frames(frames: DataFrame, max_tags: int = 3) -> DataFrame:
     packet length is IP's total length.
     """
     size = F.length("frame")
-    steps = frames.where(F.col("frame").isNotNull() & (size >= 14)).withColumns({"__at": F.lit(14), "__type": _number("frame", F.lit(12), 2)})
-    for _ in range(max_tags):
-        tagged = F.col("__type").isin(*VLAN) & (size >= F.col("__at") + 4)
-        steps = steps.withColumns({"__type": F.when(tagged, _number("frame", F.col("__at") + 2, 2)).otherwise(F.col("__type")), "__at": F.when(tagged, F.col("__at") + 4).otherwise(F.col("__at"))})
+    two = lambda at: F.substring(F.col("frame"), at, F.lit(2))
+    is_type = lambda at, *types: two(at).isin(*(F.lit(bytearray(t.to_bytes(2))) for t in types))
+
+    def with_values(df: DataFrame, **values: Column) -> DataFrame:
+        """Columns that stand for themselves: what is made of them, and filters on them too, does not repeat what they are made of."""
+        return df.select("*", F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))
+
+    tags = F.lit(max_tags)
+    for k in reversed(range(max_tags)):
+        tags = F.when(is_type(F.lit(13 + 4 * k), *VLAN) & (size >= 18 + 4 * k), tags).otherwise(k)
+    steps = with_values(frames.where(F.col("frame").isNotNull() & (size >= 14)), __at=14 + 4 * tags)
     at = F.col("__at")
-    first = _number("frame", at, 1)
-    v4, v6 = F.col("__type") == IPV4, F.col("__type") == IPV6
+    steps = with_values(steps, __v4=is_type(at - 1, IPV4), __v6=is_type(at - 1, IPV6), __first=_number("frame", at, 1))
+    v4, v6, first = F.col("__v4"), F.col("__v6"), F.col("__first")
     header = F.when(v4, first.bitwiseAND(F.lit(15)) * 4).otherwise(40)
     total = F.when(v4, _number("frame", at + 2, 2)).otherwise(40 + _number("frame", at + 4, 2))
     steps = steps.where((v4 & (size - at >= 20) & (F.shiftright(first, 4) == 4)) | (v6 & (size - at >= 40) & (F.shiftright(first, 4) == 6)))
-    steps = steps.withColumns({"__head": header, "packet_length": total, "protocol": F.when(v4, _number("frame", at + 9, 1)).otherwise(_number("frame", at + 6, 1)).cast("int")})
+    steps = with_values(steps, __head=header, packet_length=total, protocol=F.when(v4, _number("frame", at + 9, 1)).otherwise(_number("frame", at + 6, 1)).cast("int"))
     steps = steps.where((F.col("__head") >= 20) & (F.col("packet_length") >= F.col("__head")) & (F.col("packet_length") <= size - at))
     body, room = at + F.col("__head"), F.col("packet_length") - F.col("__head")
     tcp, udp = F.col("protocol") == 6, F.col("protocol") == 17
     offset = F.shiftright(_number("frame", body + 12, 1), 4) * 4
     sound = F.when(tcp, (room >= 20) & (offset >= 20) & (offset <= room)).when(udp, (room >= 8) & _number("frame", body + 4, 2).between(F.lit(8), room)).otherwise(True)
-    flags = _number("frame", body + 13, 1)
     quad = lambda p: F.concat_ws(".", *(_number("frame", at + p + k, 1).cast("string") for k in range(4)))
-    six = lambda p: _ipv6_text(F.hex(F.substring(F.col("frame"), F.lit(1) + at + p, F.lit(16))))
+    six = lambda p: _ipv6_groups(F.hex(F.substring(F.col("frame"), F.lit(1) + at + p, F.lit(16))))
     port = lambda p: F.when(tcp | udp, _number("frame", body + p, 2)).otherwise(0).cast("int")
+    steps = with_values(steps.where(sound), __src=F.when(v4, quad(12)).otherwise(six(8)), __dst=F.when(v4, quad(16)).otherwise(six(24)), __flags=F.when(tcp, _number("frame", body + 13, 1)).otherwise(0))
+    text = lambda c: F.when(v4, F.col(c)).otherwise(_ipv6_text(F.col(c)))
     bits = {"tcp_fin": 1, "tcp_syn": 2, "tcp_rst": 4, "tcp_psh": 8, "tcp_ack": 16, "tcp_urg": 32}
     carried = [c for c in ("file", "rec_no", "ts") if c in frames.columns]
-    return steps.where(sound).select(
-        *carried, F.when(v4, quad(12)).otherwise(six(8)).alias("src_ip"), port(0).alias("src_port"), F.when(v4, quad(16)).otherwise(six(24)).alias("dst_ip"), port(2).alias("dst_port"),
-        "protocol", "packet_length", *(F.when(tcp, (flags.bitwiseAND(F.lit(b)) > 0).cast("long")).otherwise(0).alias(n) for n, b in bits.items()),
+    return steps.select(
+        *carried, text("__src").alias("src_ip"), port(0).alias("src_port"), text("__dst").alias("dst_ip"), port(2).alias("dst_port"),
+        "protocol", "packet_length", *((F.col("__flags").bitwiseAND(F.lit(b)) > 0).cast("long").alias(n) for n, b in bits.items()),
     )
 
 

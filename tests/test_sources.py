@@ -120,3 +120,16 @@ def test_captures_written_and_streamed(spark, tmp_path):
     assert drained(stream()).count() == 6
     K.write_captures(K.encode_frames(p.limit(1)), f"{tmp_path}/out", overwrite=True)
     assert K.read_capture_ranges(spark, f"{tmp_path}/out").count() == 1
+
+
+def test_decoding_compiles(spark):
+    """Steps that repeated what they are made of grew beyond what Java compiles, and were interpreted row by row."""
+    rows = [(frame(v6, tags, proto),) for v6 in (False, True) for tags in range(4) for proto in (6, 17)]
+    read = spark.createDataFrame(rows, "frame binary").repartition(2)
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        got = P.decode_frames(read).collect()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+    assert sorted((r.src_ip, r.src_port, r.protocol) for r in got) == sorted((ip, *p) for ip in ("10.1.2.3", "2001:db8::1") for p in ((1234, 6), (53, 17)) for _ in range(4))
