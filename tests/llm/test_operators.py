@@ -510,6 +510,46 @@ def test_passages_behind_a_common_middle(spark):
     assert got == want
 
 
+def test_rare_places_hold_a_token_of_every_passage():
+    # texts with runs alike, of tokens of few or many texts: some token that is rare in one is rare in the other
+    r = np.random.default_rng(8)
+    for n in range(150):
+        base = r.choice(400 if n % 2 else 60, 70, replace=n % 2 == 0)
+        texts = []
+        for side in (0, 1):
+            own = base.copy()
+            at = r.choice(70, int(r.integers(9)), replace=False)
+            own[at] = 500 + 100 * side + np.arange(len(at))
+            texts.append(np.r_[r.integers(0, 400, r.integers(60)), own[: r.integers(46, 71)], r.integers(0, 400, r.integers(60))].astype(np.uint32))
+        common = np.intersect1d(*texts)
+        rank = np.full(800, -1)
+        rank[common] = r.permutation(800)[: len(common)]  # any order will do
+        found = [set(t[passages.rare_places(rank[t], t, 46, 0.8, cells=2000)].tolist()) for t in texts]
+        if passages.alike(texts[0], texts[1], 0.8, 46):
+            assert found[0] & found[1]
+            assert all(passages.held_places(rank[t] >= 0, t, np.arange(len(t)), np.arange(len(t)), 46, 0.8).any() for t in texts)
+    assert not len(passages.rare_places(np.where(np.arange(200) % 100 < 30, np.arange(200), -1), np.arange(200, dtype=np.uint32), 46, 0.8))
+
+
+def test_strangers_of_a_key_are_not_compared(spark, monkeypatch):
+    # a line of 32 words stands in all 150 texts, and makes keys of strangers; the last of each 10 repeats the one before
+    line, rows, compared, stash = prose(70, 32), [], [], passages.stash
+    for k in range(150):
+        of = k - 1 if k % 10 == 9 else k
+        rows.append((k, f"{prose(70_000 + of, 40)} {line} {prose(71_000 + of, 40)} {prose(72_000 + k, 9)}"))
+
+    def counted(df, name, *args, **kwargs):
+        out = stash(df, name, *args, **kwargs)
+        if name == "candidates":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "stash", counted)
+    got = {(x.doc_id, x.of_doc_id) for x in passages.near_passages(docs(spark, rows)).collect()}
+    assert got == {(k, k - 1) for k in range(9, 150, 10)}
+    assert sum(compared[1:]) <= 30  # after those against the first document of each key
+
+
 def passage_pairs_brute(rows, words, size, share):
     """Pairs of ids with two runs of ``words`` words whose sets of runs of ``size`` words are alike."""
     grams = {i: [tuple(t.lower().split()[k : k + size]) for k in range(len(t.split()) - size + 1)] for i, t in rows}
