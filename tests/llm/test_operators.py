@@ -700,6 +700,24 @@ def test_page_differencing_equals_brute_force(spark):
     assert all("Imprint" not in t and "menu" not in t for _, t in want)
 
 
+def test_pages_that_mark_an_article_are_differenced_too(spark):
+    # menus without marks around marked articles: every page's shared lines are found, among pages that mark none as well
+    rows = []
+    for k in range(12):
+        body = [f"story {k}", "a common quote", f"end {k}"]
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        rows.append((k, f"http://m.example/{k:02d}", f"<div>Menu</div>{f'<article>{inner}</article>' if k % 3 else inner}<div>Own {k}</div><div>Imprint</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 5):
+        got = {r.page_id: r for r in html.extract(df, partitions=n).collect()}
+        for k in range(12):
+            own = [[t for t, _ in html.lines_of(rows[i][2])] for i in (k - 1, k, k + 1) if 0 <= i < 12]
+            mine = own[min(k, 1)]
+            shared = set().union(*(html.shared_lines(mine, other) for other in own if other is not mine))
+            assert (got[k].n_lines, got[k].n_shared) == (len(mine), len(shared)) == (6, 3)
+            assert got[k].text == (f"story {k} a common quote end {k}" if k % 3 else f"story {k} end {k} Own {k}")
+
+
 def test_extract_passes_marked_content_whole(spark, small):
     # the tables' pages mark their article: what stays is the article's own text, whatever its neighbours share
     got = {r.page_id: r.text for r in queries.op10_html(spark, small).collect()}
