@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stash, tidy
+from .common import few_files, release, stash, tidy
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        edges, asked = stash(small, "edges", rows=rows), edges
+        edges, asked = stash(few_files(small, rows), "edges"), edges
         release(asked)
         with tidy(edges.sparkSession):
             now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
