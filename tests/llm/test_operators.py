@@ -531,6 +531,18 @@ def test_rare_places_hold_a_token_of_every_passage():
     assert not len(passages.rare_places(np.where(np.arange(200) % 100 < 30, np.arange(200), -1), np.arange(200, dtype=np.uint32), 46, 0.8))
 
 
+def test_runs_longer_than_a_window_are_found_within_others():
+    # texts that differ at places of chance: wherever a run of 46 tokens or more is alike in line, a passage is found
+    r = np.random.default_rng(3)
+    for _ in range(500):
+        a = np.arange(92, dtype=np.uint32)
+        b = a.copy()
+        b[r.choice(92, int(r.integers(18, 26)), replace=False)] += 1000
+        same = np.r_[0, np.cumsum(a == b)]
+        runs = [(same[j] - same[i]) / (2 * (j - i) - same[j] + same[i]) for i in range(47) for j in range(i + 46, 93)]
+        assert bool(passages.alike(a, b, 0.8, 46)) == (max(runs) >= 0.8)
+
+
 def test_strangers_of_a_key_are_not_compared(spark, monkeypatch):
     # a line of 32 words stands in all 150 texts, and makes keys of strangers; the last of each 10 repeats the one before
     line, rows, compared, stash = prose(70, 32), [], [], passages.stash
